@@ -151,11 +151,15 @@ SELECT p_partkey AS warranty_id, p_partkey AS asset_id, CONCAT(p_name, ' warrant
 FROM part""",
     "fx_rules": """
 SELECT p_partkey AS rule_id, p_partkey AS asset_id, CONCAT('Service ', p_name) AS title,
-  CASE WHEN p_size % 2 = 0 THEN 'OIL' ELSE 'TIRES' END AS kind,
+  CASE WHEN p_size % 2 = 0 THEN 'SERVICE_SCHEDULE' ELSE 'MAINTENANCE_ITEM' END AS kind,
   CASE p_partkey % 3 WHEN 0 THEN 'TIME' WHEN 1 THEN 'MILEAGE' ELSE 'TIME_OR_MILEAGE' END AS trigger_type,
   1 + p_size % 24 AS interval_months, CAST(5000 * (1 + p_size % 6) AS BIGINT) AS interval_km,
   DATE '1996-01-01' AS baseline_date, CAST(0 AS BIGINT) AS baseline_km, 30 AS warning_days, CAST(500 AS BIGINT) AS warning_km,
   p_partkey % 17 <> 0 AS is_active, CAST(p_size AS BIGINT) AS created_at
+FROM part
+UNION ALL
+SELECT -1 - p_partkey, p_partkey, CONCAT('Inspect ', p_name), CASE WHEN p_size % 4 < 2 THEN 'SERVICE_SCHEDULE' ELSE 'MAINTENANCE_ITEM' END, 'TIME_OR_MILEAGE',
+  6 + p_size % 12, CAST(8000 AS BIGINT), DATE '1997-03-15', CAST(20000 AS BIGINT), 45, CAST(1000 AS BIGINT), p_size % 10 <> 1, CAST(p_size AS BIGINT)
 FROM part""",
     "fx_rule_events": """
 SELECT part_id AS rule_id, part_id AS asset_id, line_id AS event_id, ship_date AS event_date,
@@ -192,13 +196,13 @@ UNION ALL
 SELECT CONCAT('C', CAST(p_partkey AS STRING)), p_partkey, 'CHECKPOINT', p_partkey, CASE WHEN p_size % 2 = 0 THEN 'DAYS_BEFORE' ELSE 'ON_DUE' END,
   CAST(14 AS BIGINT), p_size % 10 <> 3 FROM part WHERE p_size <> 4""",
     "fx_identifiers": """
-SELECT p_partkey AS identifier_id, p_partkey AS asset_id, CASE WHEN p_size > 25 THEN 'SERIAL' ELSE 'IMEI' END AS identifier_type,
+SELECT p_partkey AS identifier_id, p_partkey AS asset_id, CASE WHEN p_size > 25 THEN 'SERIAL_NUMBER' ELSE 'IMEI' END AS identifier_type,
   CASE WHEN p_size = 9 THEN '  ' ELSE CONCAT(' ', p_brand, '-', CAST(p_size AS STRING)) END AS value FROM part
 UNION ALL
-SELECT -1 - p_partkey, p_partkey, 'SERIAL', CONCAT(p_brand, '-', CAST(p_size AS STRING), ' ') FROM part""",
+SELECT -1 - p_partkey, p_partkey, 'SERIAL_NUMBER', CONCAT(p_brand, '-', CAST(p_size AS STRING), ' ') FROM part""",
     "fx_documents": """
 SELECT p_partkey AS document_id, p_partkey AS asset_id,
-  CASE p_size % 5 WHEN 0 THEN 'PURCHASE_RECEIPT' WHEN 1 THEN 'WARRANTY_CARD' WHEN 2 THEN 'INSURANCE' WHEN 3 THEN 'MANUAL' ELSE 'OTHER' END AS document_type,
+  CASE p_size % 5 WHEN 0 THEN 'RECEIPT' WHEN 1 THEN 'WARRANTY_CARD' WHEN 2 THEN 'SERVICE_RECEIPT' WHEN 3 THEN 'INVOICE' ELSE 'OTHER' END AS document_type,
   CONCAT('Doc ', p_name) AS title,
   CASE p_size WHEN 1 THEN CONCAT('assets/documents/../', p_brand) WHEN 2 THEN CONCAT('/tmp/', p_brand)
     WHEN 3 THEN CONCAT('assets', CHR(92), 'documents', CHR(92), p_brand) ELSE CONCAT('assets/documents/', p_brand) END AS stored_path,
@@ -206,6 +210,8 @@ SELECT p_partkey AS document_id, p_partkey AS asset_id,
 FROM part""",
     "fx_document_links": """
 SELECT line_id AS event_id, part_id AS document_id FROM fx_lines WHERE line_no = 1 AND flag <> 'N'""",
+    "fx_commitment_links": """
+SELECT part_id AS asset_id, order_id AS commitment_id, MIN(CASE WHEN flag = 'R' THEN 'FINANCING' ELSE 'OTHER' END) AS relation FROM fx_lines GROUP BY part_id, order_id""",
     "fx_vec": """
 SELECT vec_id AS item_id, CAST(label AS BIGINT) AS label, CONCAT(CAST(label AS STRING), '-', CAST(@DIV[vec_id, 3] AS STRING)) AS canonical_id,
   CASE vec_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ar' ELSE 'mixed' END AS language,
