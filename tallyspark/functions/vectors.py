@@ -40,12 +40,19 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def vector_sums(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec_sum", n: str = "n_vec") -> DataFrame:
-    """Element-wise sum and count per key.
-
-    Two aggregations with map-side combine; what reaches the second is one row
-    per (key, position), so a hot key costs its dimension, not its row count.
+def vector_sums(
+    df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec_sum", n: str = "n_vec", dim: int | None = None
+) -> DataFrame:
+    """Element-wise sum and count per key, combined before the shuffle.
+
+    With a known ``dim`` one sum per position travels in one row per key. Without
+    it the vectors are exploded and re-packed, which costs one row per (key,
+    position); either way a hot key costs its dimension, not its row count.
     """
+    if dim is not None:
+        sums = [F.sum(F.col(vec)[i]).alias(f"__s{i}") for i in range(dim)]
+        wide = df.groupBy(*keys).agg(*sums, F.count(vec).alias(n))
+        return wide.select(*keys, F.array(*[F.col(f"__s{i}") for i in range(dim)]).alias(out), n)
     long = df.select(*keys, F.posexplode(vec).alias("__pos", "__x"))
     cells = long.groupBy(*keys, "__pos").agg(F.sum("__x").alias("__s"), F.count("__x").alias("__n"))
     packed = cells.groupBy(*keys).agg(
@@ -54,9 +61,9 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vec: str, out: str = "vec_su
     return packed.select(*keys, F.transform("__cells", lambda c: c["__s"]).alias(out), n)
 
 
-def centroid(df: DataFrame, keys: Sequence[str], vec: str, out: str = "centroid") -> DataFrame:
+def centroid(df: DataFrame, keys: Sequence[str], vec: str, out: str = "centroid", dim: int | None = None) -> DataFrame:
     """Element-wise mean per key."""
-    sums = vector_sums(df, keys, vec)
+    sums = vector_sums(df, keys, vec, dim=dim)
     return sums.select(
         *keys, scale(F.col("vec_sum"), F.lit(1.0) / F.col("n_vec")).alias(out), F.col("n_vec")
     )

@@ -108,3 +108,40 @@ def merge(
         else:
             out.append(F.col(f"s.{x}").alias(x))
     return joined.select(*out)
+
+
+def attach_catalog(rows: DataFrame, catalog: DataFrame, salt_by: str, salts: int = 64) -> DataFrame:
+    """Give every row every catalog row, without a cross join.
+
+    The catalog is a handful of packed rows. Rows get a salt from ``salt_by`` and
+    the catalog one copy per salt, so the join has an equality key: Spark
+    broadcasts the catalog while its measured size allows and otherwise shuffles
+    both sides over ``salts`` balanced partitions.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = catalog.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, "__salt").drop("__salt")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", width: float = 1 / 4096) -> DataFrame:
+    """Exact median per key without gathering a key's values.
+
+    A histogram finds the bins that hold the middle ranks; only the distinct
+    values of those bins are counted and scanned.
+    """
+    rows = df.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull()).withColumn("__bin", F.floor(F.col("__v") / width))
+    bins = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__total", F.sum("__n").over(whole))
+    bins = bins.withColumn("__r1", F.floor((F.col("__total") - 1) / 2)).withColumn("__r2", F.floor(F.col("__total") / 2))
+    end = F.col("__before") + F.col("__n")
+    holds = lambda r: (F.col(r) >= F.col("__before")) & (F.col(r) < end)
+    middle = bins.filter(holds("__r1") | holds("__r2")).select(*keys, "__bin", "__before", "__r1", "__r2")
+    values = rows.join(middle, [*keys, "__bin"]).groupBy(*keys, "__bin", "__before", "__r1", "__r2", "__v").agg(F.count("*").alias("__n"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    end = F.col("__before") + F.col("__n")
+    return values.groupBy(*keys).agg(
+        ((F.max(F.when(holds("__r1"), F.col("__v"))) + F.max(F.when((F.col("__r2") >= F.col("__before")) & (F.col("__r2") < end), F.col("__v")))) / 2).alias(out)
+    )
