@@ -33,6 +33,7 @@ def _normal_form(form: str) -> Callable[[Column], Column]:
 
 nfkc = _normal_form("NFKC")
 nfkd = _normal_form("NFKD")
+nfd = _normal_form("NFD")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.plans.session import work_folder
+
 Order = Sequence[Column]
 
 
@@ -27,6 +29,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Order, k: int = 1, ra
     return out if rank else out.drop(name)
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """The frame written once to the work folder and read back.
+
+    For results that several branches of a plan read: they scan the columns they
+    need instead of recomputing the lineage, and a lost executor costs a re-read.
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prefix_before(
     df: DataFrame, keys: Sequence[str], slot: str, order: Order, value: Column, out: str, how: str = "max"
 ) -> DataFrame:
@@ -123,8 +136,10 @@ def attach_catalog(rows: DataFrame, catalog: DataFrame, salt_by: str, salts: int
     return salted.join(copies, "__salt").drop("__salt")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", width: float = 1 / 4096) -> DataFrame:
-    """Exact median per key without gathering a key's values.
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", width: float = 1 / 4096, upper: bool = False
+) -> DataFrame:
+    """Exact median per key without gathering a key's values (``upper`` takes the upper middle of an even count).
 
     A histogram finds the bins that hold the middle ranks; only the distinct
     values of those bins are counted and scanned.
@@ -142,6 +157,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     inside = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     end = F.col("__before") + F.col("__n")
-    return values.groupBy(*keys).agg(
-        ((F.max(F.when(holds("__r1"), F.col("__v"))) + F.max(F.when((F.col("__r2") >= F.col("__before")) & (F.col("__r2") < end), F.col("__v")))) / 2).alias(out)
-    )
+    high = F.max(F.when(holds("__r2") & (F.col("__r2") < end), F.col("__v")))
+    if upper:
+        return values.groupBy(*keys).agg(high.alias(out))
+    low = F.max(F.when(holds("__r1") & (F.col("__r1") < end), F.col("__v")))
+    return values.groupBy(*keys).agg(((low + high) / 2).alias(out))

@@ -265,8 +265,9 @@ UNION ALL
 SELECT order_id, 'h', 'HEAD', CONCAT('Market Hall ', MIN(p_brand)), CAST(0.9 AS DOUBLE), CAST(40 AS DOUBLE), CAST(0 AS DOUBLE), CAST(260 AS DOUBLE), CAST(14 AS DOUBLE)
 FROM fx_lines GROUP BY order_id
 UNION ALL
-SELECT order_id, 'n', 'DATE', CASE WHEN MIN(line_no) = 1 THEN REPLACE(CAST(MIN(order_date) AS STRING), '-', '/')
-  ELSE CONCAT('31/02/', SUBSTR(CAST(MIN(order_date) AS STRING), 1, 4)) END, CAST(0.9 AS DOUBLE), CAST(40 AS DOUBLE), CAST(40 AS DOUBLE), CAST(260 AS DOUBLE), CAST(54 AS DOUBLE)
+SELECT order_id, 'n', 'DATE', CASE WHEN MIN(line_no) = 1 THEN REPLACE(CAST(@ADDM[MIN(order_date), 120] AS STRING), '-', '/')
+  WHEN MIN(line_no) = 2 THEN CONCAT('on ', SUBSTR(CAST(MIN(order_date) AS STRING), 9, 2), '-', SUBSTR(CAST(MIN(order_date) AS STRING), 6, 2), '-07 10:30')
+  ELSE CONCAT('31/02/20', SUBSTR(CAST(MIN(order_date) AS STRING), 3, 2)) END, CAST(0.9 AS DOUBLE), CAST(40 AS DOUBLE), CAST(40 AS DOUBLE), CAST(260 AS DOUBLE), CAST(54 AS DOUBLE)
 FROM fx_lines GROUP BY order_id
 UNION ALL
 SELECT order_id, 't', 'TOTAL', CONCAT(CASE WHEN MIN(flag) = 'A' THEN 'Grand Total ' ELSE 'TOTAL ' END,
