@@ -121,8 +121,7 @@ def _(t):
 
 @query("r11_item_name", "SELECT line_id, TRIM(REGEXP_REPLACE(text, '[0-9.,]+$', '')) AS name FROM fx_ocr WHERE made_as IN ('ITEM', 'COPY')")
 def _(t):
-    rows = t.ocr.filter("made_as IN ('ITEM', 'COPY')").select("line_id", R.item_name(F.col("text")).alias("name"))
-    return rows.filter(R.valid_name(F.col("name")))
+    return R.named_rows(t.ocr.filter("made_as IN ('ITEM', 'COPY')"), "text").select("line_id", "name")
 
 
 @query("r12_attach_wrapped")
@@ -168,7 +167,8 @@ SELECT item_id, preprocessing, role, CASE WHEN regexp_full_match(v, '(\\d{{1,3}}
 FROM (SELECT *, replace(regexp_replace(trim(CASE WHEN regexp_matches(bare, '\\d') AND regexp_full_match(bare, '[0-9OoIl|BSs., ]{{1,24}}') THEN translate(bare, 'OoIl|BSs', '00111855') ELSE text END), '(?i)(EGP|L\\.?E\\.?|ج(نيه)?|جم)', '', 'g'), ' ', '') AS v
   FROM (SELECT *, {_BARE} AS bare FROM fx_candidates) a) b""")
 def _(t):
-    return t.candidates.select("item_id", "preprocessing", "role", R.repair_number(F.col("text")).alias("amount_minor"))
+    x = keyed.pin(t.candidates, "repaired", R.repaired_text(F.col("text")))
+    return x.select("item_id", "preprocessing", "role", R.strict_minor(F.col("repaired")).alias("amount_minor"))
 
 
 def scored_of(t):

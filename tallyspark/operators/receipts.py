@@ -139,7 +139,7 @@ def dedupe_lines(lines: DataFrame, band: float = 32.0) -> DataFrame:
     Overlapping boxes share a band, and the similarity test is skipped where the
     lengths rule it out. The copies are found by a semi join: no pair is emitted.
     """
-    boxed = lines.filter(F.col("box_top").isNotNull()).withColumn("form", product_form(F.col("text")))
+    boxed = keyed.pin(lines.filter(F.col("box_top").isNotNull()), "form", product_form(F.col("text")))
     x = _banded(boxed, F.col("box_top"), F.col("box_bottom"), band).select(
         "receipt_id", "band", "line_id", "form", F.coalesce("confidence", F.lit(0.0)).alias("conf"), "box_left", "box_top", "box_right", "box_bottom")
     a, b = x.alias("a"), x.alias("b")
@@ -194,7 +194,8 @@ def money_tokens(rows: DataFrame, key: list[str], column: str = "row_text") -> D
     A token is strong with a decimal point, a comma or a currency right after it.
     """
     extra = [c for c in ("box_left", "box_right", "confidence") if c in rows.columns]
-    x = rows.select(*key, *extra, mask(F.col(column), DATE).alias("__d"), F.length(column).alias("__len")).withColumn("__t", mask(F.col("__d"), TIME))
+    x = rows.select(*key, *extra, F.length(column).alias("__len"), F.col(column).alias("__text"))
+    x = keyed.pin(keyed.pin(x, "__d", mask(F.col("__text"), DATE)), "__t", mask(F.col("__d"), TIME))
     pieces, runs = F.split("__t", NUMBER_RUN), F.regexp_extract_all("__t", F.lit(NUMBER_RUN), F.lit(0))
     x = x.withColumns({"__p": pieces, "__r": runs})
     # Start of run i: the lengths of everything before it.
@@ -226,7 +227,7 @@ def parse_date(c: Column) -> Column:
 
 def receipt_date(rows: DataFrame, order: str = "row_no") -> DataFrame:
     """The first valid date of each receipt, in row order."""
-    found = rows.select("receipt_id", order, parse_date(F.col("row_text")).alias("d")).filter(F.col("d").isNotNull())
+    found = keyed.pin(rows.select("receipt_id", order, "row_text"), "d", parse_date(F.col("row_text"))).filter(F.col("d").isNotNull())
     return found.groupBy("receipt_id").agg(F.min(F.struct(order, "d")).alias("x")).select("receipt_id", F.col("x.d").alias("receipt_date"))
 
 
@@ -246,15 +247,18 @@ def _canonical(t: Column, scale: int) -> Column:
     return F.when(as_point, F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
 
 
-def repair_number(c: Column) -> Column:
-    """A re-read price to minor units, or null when it is not strictly money."""
-    t = repaired_text(c)
+def strict_minor(t: Column) -> Column:
+    """Repaired text to minor units, or null when it is not strictly money."""
     return F.when(t.rlike(CROP_MONEY), (_canonical(t, 2).try_cast("decimal(20,2)") * 100).try_cast("long"))
 
 
-def repair_decimal(c: Column, scale: int) -> Column:
-    """A re-read decimal as canonical text with at most ``scale`` decimals, or null."""
-    t = repaired_text(c)
+def repair_number(c: Column) -> Column:
+    """A re-read price to minor units."""
+    return strict_minor(repaired_text(c))
+
+
+def strict_decimal(t: Column, scale: int) -> Column:
+    """Repaired text as canonical decimal text with at most ``scale`` decimals, or null."""
     ok = t.rlike(rf"^(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:[.,]\d{{1,{scale}}})?$")
     return F.when(ok, _canonical(t, scale))
 
@@ -265,16 +269,16 @@ def repair_decimal(c: Column, scale: int) -> Column:
 def classify_rows(rows: DataFrame) -> DataFrame:
     """Adds is_summary, is_adjustment, is_noise, is_header and is_product."""
     t = F.col("row_text")
-    x = rows.withColumn("keywords", keyword_form(t))
+    x = keyed.pin(rows, "keywords", keyword_form(t))
     k = F.col("keywords")
     headers = F.lit(0)
     for w in TABLE_HEADER:
         headers = headers + k.contains(w).cast("int")
     bare_quantity = t.rlike(QUANTITY_LABEL) & ~F.regexp_replace(t, QUANTITY_ONLY, " ").rlike(LETTER)
     noise = t.rlike(r"\d{7,}") | is_noise(k)
-    x = x.withColumns({
-        "is_summary": is_summary(k), "is_adjustment": k.rlike(ADJUSTMENT_ENGLISH) | _any(k, ADJUSTMENT_ARABIC), "is_noise": noise, "is_header": headers >= 2,
-    })
+    x = keyed.pin(x, "flags", F.struct(
+        is_summary(k).alias("is_summary"), (k.rlike(ADJUSTMENT_ENGLISH) | _any(k, ADJUSTMENT_ARABIC)).alias("is_adjustment"),
+        noise.alias("is_noise"), (headers >= 2).alias("is_header"))).select("*", "flags.*").drop("flags")
     product = t.rlike(LETTER) & ~F.col("is_summary") & ~bare_quantity & ~_has_date_or_time(t) & ~F.col("is_noise") & ~F.col("is_header")
     return x.withColumn("is_product", product)
 
@@ -379,16 +383,24 @@ def item_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def valid_name(name: Column) -> Column:
+def valid_name(name: Column, keywords: Column) -> Column:
+    """2 to 120 characters, with letters, at most half digits, and no summary word."""
     n = F.length(name)
-    return n.between(2, MAX_NAME) & name.rlike(LETTER) & (_digits(name) <= F.floor(n / 2)) & ~is_summary(keyword_form(name))
+    return n.between(2, MAX_NAME) & name.rlike(LETTER) & (_digits(name) <= F.floor(n / 2)) & ~is_summary(keywords)
+
+
+def named_rows(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with a valid product ``name`` taken from ``column``."""
+    x = keyed.pin(rows, "name", item_name(F.col(column)))
+    x = keyed.pin(x, "name_keywords", keyword_form(F.col("name")))
+    return x.filter(valid_name(F.col("name"), F.col("name_keywords"))).drop("name_keywords")
 
 
 def row_items(classified: DataFrame) -> DataFrame:
     """Product rows with a price: name, amount (the last strong token) and the row's box."""
     rows = classified.filter("is_product")
     last = money_tokens(rows, ["receipt_id", "row_no"]).filter("is_strong").groupBy("receipt_id", "row_no").agg(F.max(F.struct("token_no", "amount_minor")).alias("c"))
-    named = rows.withColumn("name", item_name(F.col("row_text"))).filter(valid_name(F.col("name")))
+    named = named_rows(rows, "row_text")
     return named.join(last, ["receipt_id", "row_no"]).select(
         "receipt_id", "row_no", "name", F.col("c.amount_minor").alias("amount_minor"), "confidence", "box_top", "box_bottom")
 
@@ -418,7 +430,7 @@ def attach_wrapped(items: DataFrame, classified: DataFrame) -> DataFrame:
 def dedupe_items(items: DataFrame, band: float = 64.0) -> DataFrame:
     """Repeated readings of one item removed: same amount, similar name, overlapping or adjacent rows."""
     h = _height(F.col("box_top"), F.col("box_bottom"))
-    x = items.withColumn("form", product_form(F.col("name")))
+    x = keyed.pin(items, "form", product_form(F.col("name")))
     x = _banded(x, F.col("box_top") - h, F.col("box_bottom") + h, band).select("receipt_id", "band", "amount_minor", "row_no", "form", "box_top", "box_bottom")
     a, b, col = x.alias("a"), x.alias("b"), F.col
     center = lambda s: (col(f"{s}.box_top") + col(f"{s}.box_bottom")) / 2
@@ -479,12 +491,13 @@ def repair_targets(items: DataFrame, totals: DataFrame, k: int = MAX_REPAIR_ROWS
 
 def score_candidates(items: DataFrame, candidates: DataFrame, totals: DataFrame) -> DataFrame:
     """Every re-read line total with its score; the parts are described in ``select_repairs``."""
-    line = candidates.filter(F.col("role") == "LINE_TOTAL").withColumn("amount", repair_number(F.col("text")))
+    candidates = keyed.pin(candidates, "repaired", repaired_text(F.col("text")))
+    line = keyed.pin(candidates.filter(F.col("role") == "LINE_TOTAL"), "amount", strict_minor(F.col("repaired")))
     line = line.filter(F.col("amount").between(MIN_PRICE, MAX_PRICE))
     agree = line.groupBy("receipt_id", "item_id", F.col("amount")).agg(F.count("*").alias("agreeing"))
 
     def decimals(role: str, scale: int, fits: Column) -> DataFrame:
-        rows = candidates.filter(F.col("role") == role).withColumn("value", repair_decimal(F.col("text"), scale)).filter(F.col("value").isNotNull() & fits)
+        rows = keyed.pin(candidates.filter(F.col("role") == role), "value", strict_decimal(F.col("repaired"), scale)).filter(F.col("value").isNotNull() & fits)
         per = rows.groupBy("receipt_id", "item_id", "value").agg((F.max("confidence") + F.least(F.count("*"), F.lit(3)) * 0.03).alias("w"))
         return per.groupBy("receipt_id", "item_id").agg(F.max(F.struct("w", "value")).alias("b")).select("receipt_id", "item_id", F.col("b.value").cast("decimal(12,3)").alias(role.lower()))
 
@@ -512,7 +525,7 @@ def score_candidates(items: DataFrame, candidates: DataFrame, totals: DataFrame)
         + F.greatest(F.lit(0), F.least(F.lit(2), F.col("agreeing") - 1)) * 0.05
         + F.when(improves, 0.1 * (1.0 - after / F.greatest(before, F.lit(1)))).otherwise(0.0) + arithmetic
     )
-    return j.withColumn("score", score).withColumn("improves_total", improves)
+    return keyed.pin(j.withColumn("improves_total", improves), "score", score)
 
 
 def select_repairs(scored: DataFrame) -> DataFrame:

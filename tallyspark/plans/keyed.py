@@ -29,6 +29,16 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Order, k: int = 1, ra
     return out if rank else out.drop(name)
 
 
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row.
+
+    A filter or projection on an ordinary alias gets the whole expression copied
+    into every place that mentions it; costly text expressions are generated
+    from a one-element array instead, which the optimizer does not copy.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """The frame written once to the work folder and read back.
 
