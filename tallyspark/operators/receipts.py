@@ -32,7 +32,9 @@ DATE = r"\b(\d{4}|\d{1,2})[./-](\d{1,2})[./-](\d{2,4})\b"
 TIME = r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
 NUMBER_RUN = r"[.,]*[0-9][0-9.,]*"
 MONEY = r"^(?:\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)$"
-MONEY_IN_TEXT = r"(?<![\d.,])(?:\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)(?![\d.,])"
+PRICE_IN_TEXT = (
+    r"(?i)(?<![\d.,])(?:\d{1,3}(?:,\d{3})+(?:\.\d{1,3})?|\d+\.\d{1,3}|\d+(?=\s{0,3}(?:EGP|L\.?E\.?|جنيه|ج\s*م)(?![A-Za-z])))(?![\d.,])"
+)
 CURRENCY = r"(?i)(?:(?<![A-Za-z])(?:EGP|L\.?E\.?)(?![A-Za-z])|جنيه|ج\s*م)"
 CROP_CURRENCY = r"(?i)(?:EGP|L\.?E\.?|ج(?:نيه)?|جم)"
 SUMMARY_ENGLISH = (
@@ -168,7 +170,7 @@ def band_rows(lines: DataFrame, slot: float = 4096.0) -> DataFrame:
     p_top, p_bottom = F.col("prev.box_top"), F.col("prev.box_bottom")
     height = F.greatest(_height(F.col("box_top"), F.col("box_bottom")), _height(p_top, p_bottom))
     same = (overlap_ratio(p_top, p_bottom, F.col("box_top"), F.col("box_bottom")) >= ROW_OVERLAP) | (F.abs(F.col("mid") - F.col("prev.mid")) <= height * ROW_CENTER)
-    x = x.withColumn("starts", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("long")).drop("prev")
+    x = x.withColumn("starts", F.when(F.col("prev").isNotNull() & same, 0).otherwise(1).cast("long")).drop("prev")
     x = keyed.prefix_before(x, ["receipt_id"], "slot", order, F.col("starts"), "before", how="sum")
     x = x.withColumn("row_no", F.col("before") + F.col("starts") - 1)
     part = F.struct(F.col("box_left").alias("l"), F.col("line_id").alias("i"), F.col("text").alias("t"))
@@ -376,8 +378,8 @@ def arithmetic_check(rows: DataFrame) -> DataFrame:
 
 
 def item_name(c: Column) -> Column:
-    """The product text: without numbers, quantity labels, currency and separators."""
-    t = F.regexp_replace(mask(mask(c, DATE), TIME), MONEY_IN_TEXT, " ")
+    """The product text: without prices and weights, quantity labels, currency and separators."""
+    t = F.regexp_replace(mask(mask(c, DATE), TIME), PRICE_IN_TEXT, " ")
     for pattern in (QUANTITY_LABEL, CURRENCY, r"[|•]+", r"#+"):
         t = F.regexp_replace(t, pattern, " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
@@ -401,13 +403,15 @@ def row_items(classified: DataFrame) -> DataFrame:
     rows = classified.filter("is_product")
     last = money_tokens(rows, ["receipt_id", "row_no"]).filter("is_strong").groupBy("receipt_id", "row_no").agg(F.max(F.struct("token_no", "amount_minor")).alias("c"))
     named = named_rows(rows, "row_text")
+    last = last.filter(F.col("c.amount_minor") > 0)
     return named.join(last, ["receipt_id", "row_no"]).select(
         "receipt_id", "row_no", "name", F.col("c.amount_minor").alias("amount_minor"), "confidence", "box_top", "box_bottom")
 
 
 def _adjacent(upper_bottom: Column, upper_top: Column, lower_top: Column, lower_bottom: Column) -> Column:
     gap = F.greatest(F.lit(0.0), lower_top - upper_bottom)
-    return gap <= F.greatest(_height(upper_top, upper_bottom), _height(lower_top, lower_bottom)) * WRAPPED_GAP
+    known = upper_bottom.isNotNull() & lower_top.isNotNull()
+    return known & (gap <= F.greatest(_height(upper_top, upper_bottom), _height(lower_top, lower_bottom)) * WRAPPED_GAP)
 
 
 def attach_wrapped(items: DataFrame, classified: DataFrame) -> DataFrame:
@@ -421,8 +425,8 @@ def attach_wrapped(items: DataFrame, classified: DataFrame) -> DataFrame:
         return loose.select("receipt_id", (F.col("row_no") + n).alias("row_no"), F.col("row_text").alias(f"t{n}"), F.col("box_top").alias(f"top{n}"), F.col("box_bottom").alias(f"bot{n}"))
 
     j = items.join(above(1), ["receipt_id", "row_no"], "left").join(above(2), ["receipt_id", "row_no"], "left")
-    one = F.coalesce(_adjacent(F.col("bot1"), F.col("top1"), F.col("box_top"), F.col("box_bottom")), F.lit(False))
-    two = one & F.coalesce(_adjacent(F.col("bot2"), F.col("top2"), F.col("top1"), F.col("bot1")), F.lit(False))
+    one = F.col("t1").isNotNull() & F.coalesce(_adjacent(F.col("bot1"), F.col("top1"), F.col("box_top"), F.col("box_bottom")), F.lit(False))
+    two = one & F.col("t2").isNotNull() & F.coalesce(_adjacent(F.col("bot2"), F.col("top2"), F.col("top1"), F.col("bot1")), F.lit(False))
     name = F.concat_ws(" ", F.when(two, F.col("t2")), F.when(one, F.col("t1")), F.col("name"))
     return j.withColumn("name", F.trim(F.regexp_replace(name, r"\s+", " "))).drop("t1", "t2", "top1", "top2", "bot1", "bot2")
 
