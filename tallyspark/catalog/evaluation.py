@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.catalog.categorisation import DIM, FUZZY_ITEMS, UNIT, fuzzy_of
 from tallyspark.catalog.registry import query
 from tallyspark.operators import evaluate as E
+from tallyspark.plans import keyed
 from tallyspark.plans.session import work_folder
 from tallyspark.sources import readers
 
@@ -48,15 +49,17 @@ def items_of(t):
 
 
 def refs_of(t):
-    return E.canonical_refs(items_of(t).filter("variant_type = 'clean'"), dim=DIM)
+    """Reference vectors, written once: the class sums and the own vectors both read them."""
+    return keyed.cut(E.canonical_refs(items_of(t).filter("variant_type = 'clean'"), dim=DIM), "refs")
 
 
-def pred_of(t, strategy="HYBRID_PROTOTYPE"):
-    return E.predict(items_of(t), t.desc.withColumnRenamed("label", "category_id"), refs_of(t), strategy, dim=DIM)
+def pred_of(t, strategy="HYBRID_PROTOTYPE", refs=None):
+    return E.predict(items_of(t), t.desc.withColumnRenamed("label", "category_id"), refs or refs_of(t), strategy, dim=DIM)
 
 
 def both_of(t):
-    return E.stack_predictions([pred_of(t), pred_of(t, "EXAMPLE_CENTROID")])
+    refs = refs_of(t)
+    return E.stack_predictions([pred_of(t, refs=refs), pred_of(t, "EXAMPLE_CENTROID", refs)])
 
 
 for _name, _strategy, _sql in (("e01_predict_hybrid", "HYBRID_PROTOTYPE", HYBRID), ("e01_predict_centroid", "EXAMPLE_CENTROID", CENTROID), ("e01_predict_description", "DESCRIPTION_ONLY", DESCRIPTION)):
@@ -175,8 +178,9 @@ SELECT semantic_model, COUNT(*) FILTER (lex_ok OR sem_raw) AS accepted, COUNT(*)
   COUNT(*) FILTER (lex_ok) AS lexical_accepted, COUNT(*) FILTER (sem_raw AND NOT lex_ok) AS semantic_accepted_after_lexical FROM j GROUP BY semantic_model""", doubles=["coverage_percentage", "accepted_accuracy"])
 def _(t):
     """The centroid strategy stands in for the first-stage model."""
-    first = pred_of(t, "EXAMPLE_CENTROID").withColumn("model", F.lit("lexical"))
-    second = pred_of(t)
+    refs = refs_of(t)
+    first = keyed.cut(pred_of(t, "EXAMPLE_CENTROID", refs).withColumn("model", F.lit("lexical")), "first")
+    second = keyed.cut(pred_of(t, refs=refs), "second")
     best = E.best_threshold(E.threshold_sweep(first.unionByName(second)), safe=0.3)
     return E.cascade_report(first, second, best, "lexical")
 
@@ -268,7 +272,7 @@ def _(t):
 
 @query("e18_gap_summary", f"SELECT model, top1_correct, COUNT(*) AS n, avg(score_gap) AS mean_gap, median(score_gap) AS median_gap FROM ({HYBRID}) p GROUP BY model, top1_correct", doubles=["mean_gap", "median_gap"])
 def _(t):
-    return E.gap_summary(pred_of(t))
+    return E.gap_summary(keyed.cut(pred_of(t), "predictions"))
 
 
 @query("e18_least_confident", f"SELECT item_id, score_gap FROM ({HYBRID}) p ORDER BY score_gap, item_id LIMIT 20", doubles=["score_gap"])

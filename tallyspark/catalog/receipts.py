@@ -15,8 +15,13 @@ TIME = "\\b\\d{1,2}:\\d{2}(?::\\d{2})?\\b"
 MONEY = "(\\d{1,3}(,\\d{3})*(\\.\\d{1,2})?|\\d+(\\.\\d{1,2})?)"
 
 
+def lines_of(t):
+    """Cleaned lines, written once: the stages below read them several times."""
+    return keyed.cut(R.clean_lines(t.ocr), "clean")
+
+
 def rows_of(t):
-    return R.band_rows(R.dedupe_lines(R.clean_lines(t.ocr)))
+    return R.band_rows(R.dedupe_lines(lines_of(t)))
 
 
 def classified_of(t):
@@ -34,7 +39,7 @@ def _(t):
 
 @query("r02_dedupe_lines")
 def _(t):
-    return R.dedupe_lines(R.clean_lines(t.ocr)).select("receipt_id", "line_id", "text", "confidence")
+    return R.dedupe_lines(lines_of(t)).select("receipt_id", "line_id", "text", "confidence")
 
 
 @query("r03_band_rows")
@@ -91,7 +96,7 @@ def _(t):
 
 
 def placed_of(t, rows):
-    return keyed.cut(R.column_cells(R.numeric_cells(rows.filter("is_product")), R.receipt_widths(t.ocr)), "columns")
+    return keyed.cut(R.column_cells(R.numeric_cells(rows.filter("is_product")), R.receipt_widths(rows)), "columns")
 
 
 @query("r08_numeric_columns")
@@ -132,7 +137,7 @@ def _(t):
 
 @query("r13_dedupe_items")
 def _(t):
-    rows = keyed.cut(R.classify_rows(R.band_rows(R.clean_lines(t.ocr))), "rows")
+    rows = keyed.cut(R.classify_rows(R.band_rows(lines_of(t))), "rows")
     return R.dedupe_items(R.row_items(rows)).select("receipt_id", "row_no", "name", "amount_minor")
 
 

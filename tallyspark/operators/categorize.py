@@ -151,13 +151,17 @@ def suggest_semantic(items: DataFrame, protos: DataFrame, min_gap: float = MINIM
 
 
 def suggest_all(items: DataFrame, mappings: DataFrame, terms: DataFrame, cats: DataFrame, protos: DataFrame, min_gap: float = MINIMUM_GAP) -> DataFrame:
-    """Learned, lexical, semantic, abstain; each stage sees only what earlier ones left open."""
-    learned = suggest_learned(items, mappings, cats)
-    rest = unresolved(items, learned)
-    lexical = suggest_lexical(rest, terms, cats)
-    rest = unresolved(rest, lexical)
+    """Learned, lexical, semantic, abstain; each stage sees only what earlier ones left open.
+
+    The answers of a stage and the items it leaves are read by all later stages,
+    so each is written once instead of being recomputed by every one of them.
+    """
+    learned = keyed.cut(suggest_learned(items, mappings, cats), "learned")
+    rest = keyed.cut(unresolved(items, learned), "after-learned")
+    lexical = keyed.cut(suggest_lexical(rest, terms, cats), "lexical")
+    rest = keyed.cut(unresolved(rest, lexical), "after-lexical")
     live = protos.join(cats.filter(~F.col("is_archived")).select("category_id"), "category_id", "left_semi")
-    semantic = suggest_semantic(rest, live, min_gap)
+    semantic = keyed.cut(suggest_semantic(rest, live, min_gap), "semantic")
     open_items = unresolved(rest, semantic).select(
         "item_id", F.lit(None).cast("bigint").alias("category_id"), F.lit(None).cast("double").alias("confidence"), F.lit("ABSTAIN").alias("source")
     )

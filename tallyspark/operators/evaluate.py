@@ -27,13 +27,19 @@ def canonical_refs(clean: DataFrame, dim: int | None = None) -> DataFrame:
     return mean.select("category_id", "canonical_id", vectors.l2_normalize(F.col("centroid")).alias("ref_vec"))
 
 
-def loo_prototypes(items: DataFrame, refs: DataFrame, dim: int | None = None) -> DataFrame:
+def class_sums(refs: DataFrame, dim: int | None = None) -> DataFrame:
+    """(category, class_sum, class_n): the sum and number of its product vectors."""
+    return vectors.vector_sums(refs, ["category_id"], "ref_vec", out="class_sum", n="class_n", dim=dim)
+
+
+def loo_prototypes(items: DataFrame, refs: DataFrame, dim: int | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Per item the unit centroid of its category's other products (null when there is none).
 
     Leaving one out is class sum minus own vector, so no item meets the other
-    products.
+    products. ``sums`` may pass the class sums in when they are known.
     """
-    sums = vectors.vector_sums(refs, ["category_id"], "ref_vec", out="class_sum", n="class_n", dim=dim)
+    if sums is None:
+        sums = class_sums(refs, dim)
     own = refs.select("category_id", "canonical_id", F.col("ref_vec").alias("own_vec"))
     j = items.join(own, ["category_id", "canonical_id"], "left").join(sums, "category_id", "left")
     others = F.coalesce("class_n", F.lit(0)) - F.when(F.col("own_vec").isNotNull(), 1).otherwise(0)
@@ -60,13 +66,13 @@ def predict(items: DataFrame, descriptions: DataFrame, refs: DataFrame, strategy
     Only the item's own category depends on the item; every other prototype comes
     from one packed catalog row.
     """
-    sums = vectors.vector_sums(refs, ["category_id"], "ref_vec", out="class_sum", n="class_n", dim=dim)
+    sums = class_sums(refs, dim)
     whole = descriptions.join(sums, "category_id", "left")
     centroid = F.when(F.col("class_n") > 0, vectors.l2_normalize(F.col("class_sum")))
     full = whole.select("category_id", _prototype(F.col("vec"), centroid, strategy).alias("vec"))
     packed = full.groupBy().agg(F.collect_list(F.struct("category_id", "vec")).alias("protos"))
     own_desc = descriptions.select("category_id", F.col("vec").alias("own_desc"))
-    own = loo_prototypes(items, refs, dim).join(own_desc, "category_id", "left")
+    own = loo_prototypes(items, refs, dim, sums).join(own_desc, "category_id", "left")
     own = own.withColumn("own_proto", _prototype(F.col("own_desc"), F.col("loo_centroid"), strategy)).drop("own_desc", "loo_centroid", "n_others")
     rows = keyed.attach_catalog(own, packed, "item_id").withColumn("own_score", vectors.dot(F.col("own_proto"), F.col("vec")))
     score = lambda p: F.when(p["category_id"] == F.col("category_id"), F.col("own_score")).otherwise(vectors.dot(p["vec"], F.col("vec")))

@@ -66,15 +66,13 @@ def purchase_prefill(tx: DataFrame) -> DataFrame:
 def selectable_categories(items: DataFrame, cats: DataFrame, item_key: str = "asset_id") -> DataFrame:
     """(item, category) choices: every active category plus the item's own, even archived.
 
-    The active list is the same for all items of a catalog, so it is packed into
-    one bounded array per catalog row set and exploded beside the item.
+    The catalog's active ids are packed into one row and attached by a salted
+    equality, so the item table is neither shuffled nor crossed.
     """
     packed = cats.filter(~F.col("is_archived")).agg(F.collect_set("category_id").alias("__active"))
-    # One catalog row: attached through an equality on a constant key.
-    catalog = packed.withColumn("__k", F.lit(1))
-    keyed_items = items.select(item_key, "category_id").withColumn("__k", F.lit(1))
+    attached = keyed.attach_catalog(items.select(item_key, "category_id"), packed, item_key)
     own = cats.select(F.col("category_id").alias("__own"), F.lit(True).alias("__exists"))
-    joined = keyed_items.join(catalog, "__k").join(own, F.col("category_id") == F.col("__own"), "left")
+    joined = attached.join(own, F.col("category_id") == F.col("__own"), "left")
     extra = F.when(F.col("__exists"), F.array("category_id")).otherwise(F.array().cast("array<bigint>"))
     return joined.select(
         item_key, F.explode(F.array_union("__active", extra)).alias("selectable_id")

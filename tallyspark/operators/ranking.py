@@ -45,7 +45,7 @@ def _substrings(names: DataFrame, name: str) -> DataFrame:
     return at.withColumn("sub", F.col(name).substr(F.col("sub_at") + 1, F.col("__len"))).drop("__len")
 
 
-def _recency(alias: str = "") -> list[Column]:
+def _recency() -> list[Column]:
     return [F.desc("usage_count"), F.desc("last_used_at"), F.when(F.col("source") == "SEEDED", 1).otherwise(0).asc(), F.asc("display_name"), F.asc("merchant_id")]
 
 
@@ -64,7 +64,7 @@ def rank_merchants(queries: DataFrame, merchants: DataFrame, k: int = 6) -> Data
     pairs = hits.select("query", *cols).dropDuplicates(["query", "merchant_id"]).withColumn("match_kind", kind)
     # A blank query shows the most recent merchants: k rows of the whole table.
     recent = merchants.select(*cols).orderBy(*_recency()).limit(k).withColumn("match_kind", F.lit("RECENT"))
-    blank = q.filter(F.trim("query") == "").withColumn("match_kind", F.lit("RECENT")).join(recent, "match_kind")
+    blank = keyed.attach_catalog(q.filter(F.trim("query") == ""), recent, "query").select("query", *cols, "match_kind")
     order = [_match_rank(F.col("match_kind")).asc(), *_recency()]
     return keyed.top_per_key(pairs.unionByName(blank), ["query"], order, k, rank="position")
 
@@ -98,11 +98,11 @@ def rank_categories(queries: DataFrame, usage: DataFrame, k: int = 5) -> DataFra
     rank = F.when(n == query, 0).when(n.startswith(query), 1).otherwise(2)
     named = hits.select("query", "suggested_id", *order_cols).dropDuplicates(["query", "suggested_id", "category_id"]).withColumn("match_rank", rank)
     by_use = [F.desc("usage_count"), F.desc_nulls_last("last_used"), F.asc("category_id")]
-    blank = q.filter(query == "").withColumn("__k", F.lit(1))
-    top = names.select(*order_cols).orderBy(*by_use).limit(k).withColumn("__k", F.lit(1))
+    blank = q.filter(query == "")
+    top = names.select(*order_cols).orderBy(*by_use).limit(k)
     own = names.select(*order_cols).withColumn("__id", F.col("category_id"))
-    shown = blank.join(top, "__k").drop("__k").unionByName(
-        blank.join(own, F.col("suggested_id") == F.col("__id")).drop("__k", "__id")
+    shown = keyed.attach_catalog(blank, top, "suggested_id").unionByName(
+        blank.join(own, F.col("suggested_id") == F.col("__id")).drop("__id")
     ).dropDuplicates(["suggested_id", "category_id"])
     shown = shown.withColumn("match_rank", F.when(F.col("category_id").eqNullSafe(F.col("suggested_id")), 0).otherwise(1))
     suggested_last = F.when(F.col("category_id").eqNullSafe(F.col("suggested_id")), 0).otherwise(1)

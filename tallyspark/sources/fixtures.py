@@ -186,9 +186,10 @@ SELECT line_id AS event_id, part_id AS asset_id, CASE flag WHEN 'R' THEN 'OWNED'
   ship_date AS effective_date, order_id AS created_at
 FROM fx_lines WHERE line_no = 2""",
     "fx_reminder_rules": """
-SELECT CONCAT('W', CAST(p_partkey AS STRING), CASE k WHEN 0 THEN 'd' ELSE 'o' END) AS rule_id, p_partkey AS asset_id, 'WARRANTY' AS source_type, p_partkey AS source_id,
-  CASE k WHEN 0 THEN 'DAYS_BEFORE' ELSE 'ON_DUE' END AS trigger_kind, CAST(CASE k WHEN 0 THEN 30 ELSE 0 END AS BIGINT) AS lead_value, p_size % 10 <> 3 AS is_enabled
-FROM part JOIN (SELECT CASE WHEN r_regionkey < 2 THEN 0 ELSE 1 END AS k FROM region WHERE r_regionkey IN (1, 2)) x ON p_size <> 4
+SELECT CONCAT('W', CAST(p_partkey AS STRING), 'd') AS rule_id, p_partkey AS asset_id, 'WARRANTY' AS source_type, p_partkey AS source_id,
+  'DAYS_BEFORE' AS trigger_kind, CAST(30 AS BIGINT) AS lead_value, p_size % 10 <> 3 AS is_enabled FROM part WHERE p_size <> 4
+UNION ALL
+SELECT CONCAT('W', CAST(p_partkey AS STRING), 'o'), p_partkey, 'WARRANTY', p_partkey, 'ON_DUE', CAST(0 AS BIGINT), p_size % 10 <> 3 FROM part WHERE p_size <> 4
 UNION ALL
 SELECT CONCAT('M', CAST(p_partkey AS STRING)), p_partkey, 'MAINTENANCE', p_partkey, CASE WHEN p_size % 2 = 0 THEN 'KM_BEFORE' ELSE 'ON_DUE' END,
   CAST(500 AS BIGINT), p_size % 10 <> 3 FROM part WHERE p_size <> 4
