@@ -300,7 +300,7 @@ def _(t):
     return unknown.select("item_id", "item_text", "category")
 
 
-@query("snk01_write_report")
+@query("snk01_write_report", sweep_sql(HYBRID), doubles=SWEEP_DOUBLES)
 def _(t):
     """The threshold sweep written as a CSV report and read back with its schema."""
     path = work_folder(t.spark, "sweep")

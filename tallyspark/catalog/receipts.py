@@ -37,7 +37,18 @@ def _(t):
     return R.clean_lines(t.ocr).select("line_id", "receipt_id", "text")
 
 
-@query("r02_dedupe_lines")
+_CLEAN = "SELECT *, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS form FROM fx_ocr WHERE confidence >= 0.35 OR (confidence >= 0.15 AND regexp_matches(text, '[A-Za-z]'))"
+
+
+def _common(start: str, end: str) -> str:
+    return f"greatest(0, least(a.{end}, b.{end}) - greatest(a.{start}, b.{start})) / greatest(1, least(a.{end} - a.{start}, b.{end} - b.{start}))"
+
+
+@query("r02_dedupe_lines", f"""
+WITH c AS ({_CLEAN}) SELECT receipt_id, line_id, text, confidence FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.receipt_id = a.receipt_id
+  AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND (b.box_top, b.box_left, b.line_id) < (a.box_top, a.box_left, a.line_id)))
+  AND {_common('box_top', 'box_bottom')} >= 0.55 AND {_common('box_left', 'box_right')} >= 0.45
+  AND length(a.form) > 0 AND length(b.form) > 0 AND 1.0 - CAST(levenshtein(a.form, b.form) AS DOUBLE) / greatest(length(a.form), length(b.form)) >= 0.86)""", doubles=["confidence"])
 def _(t):
     return R.dedupe_lines(lines_of(t)).select("receipt_id", "line_id", "text", "confidence")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.catalog.assets import items_of
+from tallyspark.catalog.assets import ATTENTION, FIRES, items_of
 from tallyspark.catalog.obligations import occ_of
 from tallyspark.catalog.registry import query
 from tallyspark.operators import assets as A
@@ -71,7 +71,7 @@ def _(t):
     return J.read_state(t.spark, f"{base}/state", J.MAPPING_STATE)
 
 
-@query("st05_stream_reminders")
+@query("st05_stream_reminders", f"SELECT DISTINCT r.rule_id, i.occurrence_key FROM ({ATTENTION}) i JOIN fx_reminder_rules r USING (asset_id, source_type, source_id) WHERE r.is_enabled AND {FIRES}")
 def _(t):
     """One tick over the attention list; the deliveries it records."""
     base = work_folder(t.spark, "reminders")

@@ -41,8 +41,8 @@ def suggest_learned(items: DataFrame, mappings: DataFrame, cats: DataFrame) -> D
     live = active_mappings(mappings, cats)
     special = live.filter(F.col("normalized_merchant").isNotNull()).select("normalized_item", "normalized_merchant", F.col("category_id").alias("__own"))
     generic = live.filter(F.col("normalized_merchant").isNull()).select("normalized_item", F.col("category_id").alias("__any"))
-    x = items.select("item_id", text.normalize_item(F.col("item_name")).alias("normalized_item"), text.normalize_item(F.col("merchant")).alias("normalized_merchant"))
-    x = x.filter(F.col("normalized_item") != "")
+    x = keyed.pin(items.select("item_id", "item_name", "merchant"), "normalized_item", text.normalize_item(F.col("item_name")))
+    x = keyed.pin(x.filter(F.col("normalized_item") != ""), "normalized_merchant", text.normalize_item(F.col("merchant")))
     j = x.join(special, ["normalized_item", "normalized_merchant"], "left").join(generic, "normalized_item", "left")
     category = F.coalesce("__own", "__any")
     return j.filter(category.isNotNull()).select(
