@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyspark.llm.decontaminate import find_passages, judged
+from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +49,50 @@ SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document (4-word shingles, 85 %)."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query(
+    "op2_benchmark_decontamination",
+    f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS p
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM phrases))),
+found AS (SELECT doc_id, i, f.n, item_id FROM places JOIN phrases f USING (n, p)),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+)
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words under 13-word benchmark passages, and the items found, of every document."""
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=13)
+    return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query(
+    "op4_line_dedup",
+    f"""
+WITH pieces AS (SELECT doc_id, text, regexp_extract_all(text, '{line_pattern(WRAP, "")}') AS p FROM documents),
+units AS (SELECT doc_id, unnest(p) AS u, generate_subscripts(p, 1) AS i FROM pieces),
+trimmed AS (SELECT doc_id, i, u, rtrim(u, chr(32) || chr(9) || chr(10) || chr(13) || chr(12)) AS k FROM units),
+windows AS (SELECT doc_id, i, k, lead(k, 1) OVER w AS k1, lead(k, 2) OVER w AS k2 FROM trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k, k1, k2 ORDER BY doc_id, i) AS r FROM windows WHERE k2 IS NOT NULL),
+cut AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM ranked WHERE r > 1),
+marked AS (SELECT t.*, c.i IS NOT NULL AS gone, lead(c.i IS NOT NULL) OVER (PARTITION BY t.doc_id ORDER BY t.i) AS next_gone
+    FROM trimmed t LEFT JOIN cut c ON t.doc_id = c.doc_id AND t.i = c.i),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_cut, coalesce(string_agg(CASE WHEN next_gone AND u NOT LIKE '%' || chr(10) THEN k || chr(10) ELSE u END, '' ORDER BY i)
+    FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, coalesce(n_cut, 0) AS n_cut, CASE WHEN n_cut > 0 THEN kept ELSE text END AS text
+FROM pieces LEFT JOIN kept USING (doc_id)
+""",
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and lines cut of every document, by three-line windows over all documents, with the text that is left."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("line_dedup.n_lines").cast("long").alias("n_lines"), F.col("line_dedup.n_cut").cast("long").alias("n_cut"), "text")
