@@ -17,13 +17,14 @@ Empty tables: no rows, or no hits. Repeated rows stay rows of their own. Other c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.words import ALNUM, blocks, buffers, word_hashes
+from tallyspark.llm.words import ALNUM, blocks, buffers, text_of, word_hashes
 
 #: Benchmark text that one pass over the documents searches for.
 ITEM_BYTES = 8 << 20
@@ -187,7 +188,7 @@ def occurrences(phrases: Phrases, words: np.ndarray, first: np.ndarray) -> tuple
 
 
 def _found(phrases: Phrases, batch: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = buffers(batch.column(1))
+    data, offsets = buffers(text_of(batch))
     words, first = word_hashes(data, offsets, ALNUM)
     which, place = occurrences(phrases, words, first)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -214,24 +215,23 @@ def _found(phrases: Phrases, batch: pa.RecordBatch) -> pa.RecordBatch:
     who, item = np.divmod(pairs, max(1, len(phrases.names)))
     ends = np.searchsorted(who, np.arange(len(first)), "left").astype(np.int32)
     items = pa.ListArray.from_arrays(pa.array(ends), pa.array(phrases.names[item].tolist(), pa.string()))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), spans, items, *batch.columns[2:]], ["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), spans, items, batch.column(1)], ["doc_id", "n_words", "spans", "items", "row"])
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, span: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, spans, items, *carry): merged word ranges under a phrase and the items they come from.
+def find_passages(docs: DataFrame, benchmark: DataFrame, span: int = 13, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, n_words, spans, items): merged word ranges under a phrase and the items they come from.
 
     ``spans`` holds ``struct<start, stop>`` of word positions, half open, disjoint and in order; ``items`` the distinct
-    item ids as text, in text order.
+    item ids as text, in text order. ``whole_rows`` adds ``row``, the struct of all columns of ``docs``.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // ITEM_BYTES))
     numbered = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    kept = [F.col(c) for c in carry]
-    frame = docs.select("doc_id", F.col("text").cast("string").alias("text"), *kept)
-    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in frame.schema.fields[2:])
-    kind = frame.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, spans array<struct<start:long,stop:long>>, items array<string>{extra}"
+    columns = docs.columns if whole_rows else ["text"]
+    frame = docs.select("doc_id", F.struct(*[docs[c] for c in columns]).alias("row"))
+    kinds = [frame.schema[c].dataType.simpleString() for c in ("doc_id", "row")]
+    schema = f"doc_id {kinds[0]}, n_words long, spans array<struct<start:long,stop:long>>, items array<string>, row {kinds[1]}"
     sc = docs.sparkSession.sparkContext
 
     def one(part: int) -> DataFrame:
@@ -245,19 +245,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, span: int = 13, carry:
         return frame.mapInArrow(run, schema)
 
     if parts == 1:
-        return one(0)
-    keyed = frame.withColumn("row", F.xxhash64("doc_id", "text"))
-    counted = keyed.groupBy("doc_id", "row").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in carry))
-    every = None
-    frame = keyed.select("doc_id", "text", "row").dropDuplicates(["doc_id", "row"])
-    schema = f"doc_id {kind}, n_words long, spans array<struct<start:long,stop:long>>, items array<string>, row long"
-    for part in range(parts):
-        every = one(part) if every is None else every.unionByName(one(part))
-    merged = every.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = merged.withColumn("spans", merge_spans(F.col("spans")))
-    out = merged.join(counted, [merged["doc_id"].eqNullSafe(counted["doc_id"]), merged["row"] == counted["row"]])
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(merged["doc_id"], "n_words", "spans", "items", *carry)
+        out = one(0)
+    else:  # equal rows find the same in each block of items, so they are told apart by their number alone
+        found = reduce(DataFrame.unionByName, [one(part).withColumn("part", F.lit(part)) for part in range(parts)])
+        found = found.groupBy("doc_id", "row", "part").agg(F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("copies"))
+        merged = found.groupBy("doc_id", "row").agg(
+            F.first("n_words").alias("n_words"),
+            merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.first("copies").alias("copies"),
+        )
+        out = merged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select("doc_id", "n_words", "spans", "items", *(["row"] if whole_rows else []))
 
 
 def merge_spans(spans: Column) -> Column:

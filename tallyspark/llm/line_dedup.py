@@ -8,7 +8,7 @@ of all documents share never meets in one task.
 
 Null or empty texts, and texts of fewer than three lines, have no window and stay as they are. Rows with the same
 doc_id and text count as one document and are all kept alike. Rows without doc_id are first in order and told apart by
-their text. Empty table: no rows. Columns of the table stay; clashing names are no problem, helpers live in a struct.
+their text. Empty table: no rows. Columns of the table stay; their names never clash with the results, since each row is a struct.
 """
 
 from __future__ import annotations
@@ -74,19 +74,17 @@ def _without(pieces: Column, covered: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, span: int = 3, wrap: int = WRAP) -> DataFrame:
-    """The table with repeated windows cut from ``text``; texts of which nothing is left become empty.
-
-    Adds ``line_dedup``: struct of the number of lines, the number cut and their merged ranges.
-    """
+    """(row, n_lines, n_cut, cut): the rows with repeated windows cut from ``text``, and the merged ranges that were cut."""
     found = repeated_lines(docs, span, wrap).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("covered").alias("__covered"))
     row = F.struct(*[docs[c].alias(c) for c in docs.columns])
     rows = docs.select(row.alias("row"))
     joined = rows.join(found, rows["row"]["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(rows["row"]["text"]) == found["__version"]), "left")
     pieces = lines(F.col("row.text"), wrap)
     text = F.when(F.col("__covered").isNull(), F.col("row.text")).otherwise(_without(pieces, F.col("__covered")))
-    facts = F.struct(
+    facts = (
         F.coalesce(F.size(pieces), F.lit(0)).alias("n_lines"),
         F.coalesce(F.aggregate("__covered", F.lit(0), lambda n, x: n + x["stop"] - x["start"]), F.lit(0)).alias("n_cut"),
         F.coalesce("__covered", F.array().cast("array<struct<start:int,stop:int>>")).alias("cut"),
     )
-    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], facts.alias("line_dedup"))
+    out = F.struct(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return joined.select(out.alias("row"), *facts)

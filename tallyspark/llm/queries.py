@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm import language_id, packing
 from tallyspark.llm.decontaminate import find_passages, judged
 from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
@@ -29,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(n: int, doc_id: str = "doc_id") -> Column:
+    """Remainder of the id's CRC-32 that deals rows into learning and held-out ones; null without an id."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(n))
+
+
+def held_out(n: int, remainder: int, doc_id: str = "doc_id") -> Column:
+    return F.coalesce(fold(n, doc_id) == remainder, F.lit(False))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -95,4 +106,20 @@ FROM pieces LEFT JOIN kept USING (doc_id)
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and lines cut of every document, by three-line windows over all documents, with the text that is left."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("line_dedup.n_lines").cast("long").alias("n_lines"), F.col("line_dedup.n_cut").cast("long").alias("n_cut"), "text")
+    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_cut").cast("long").alias("n_cut"), "row.text")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identify(docs, fold(4) != 2)
+    return out.select("row.doc_id", held_out(4, 2, "row.doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 2048 tokens and its place there."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, capacity=2048, end=0)
+    return packing.pack(pieces, capacity=2048)

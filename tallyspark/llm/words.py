@@ -58,10 +58,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The column ``text``, or that field of the column ``row``."""
+    at = batch.schema.get_field_index("row")
+    return batch.column(at).field("text") if at >= 0 else batch.column(batch.schema.get_field_index("text"))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text; a longer text makes a slice of its own."""
     for batch in batches:
-        _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
+        _, offsets = buffers(text_of(batch))
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
