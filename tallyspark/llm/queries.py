@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, packing
+from tallyspark.llm import chat, language_id, packing, sharding
 from tallyspark.llm.decontaminate import find_passages, judged
 from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
@@ -123,3 +123,37 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, capacity=2048, end=0)
     return packing.pack(pieces, capacity=2048)
+
+
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes, copies together."""
+    out = sharding.shard(spark, table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "range")
+
+
+PROBE = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op8_chat_formatting",
+    f"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}'))),
+parts AS (SELECT *, role = 'assistant' AS trained, lag(role, 1, '') OVER w AS prior, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS last,
+    length(CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' WHEN 'tool' THEN '### Tool: ' END) + length(' </turn>' || chr(10))
+    + length(replace(replace(replace(text, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')) AS n
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (trained), '')) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars,
+    bool_and((prior, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'), ('assistant', 'tool'), ('tool', 'assistant')))
+    AND bool_or(last = 1 AND role = 'assistant') AS valid
+FROM parts GROUP BY conv_id
+""",
+)
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text; conversation -7 speaks in control strings."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_turns(rows.unionByName(probe)))
