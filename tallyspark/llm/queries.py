@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, language_id, packing, sharding
+from tallyspark.llm import chat, language_id, packing, sharding, toxicity
 from tallyspark.llm.decontaminate import find_passages, judged
 from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
@@ -157,3 +157,18 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return chat.conversation_digests(chat.format_turns(rows.unionByName(probe)))
+
+
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, learnable: Column) -> DataFrame:
+    """(doc_id, text, label) of the documents to learn from."""
+    labels = table(spark, sf_dir, "labels").filter(F.col(label).isNotNull() & learnable).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
+    return docs.join(labels, "doc_id").select("doc_id", "text", label)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out documents are not used."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, labelled(spark, sf_dir, docs, "toxic", fold(5) != 0))
+    out = toxicity.score(docs, model).withColumn("held_out", held_out(5, 0))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
