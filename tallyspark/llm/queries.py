@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, language_id, packing, sharding, toxicity
+from tallyspark.llm import chat, language_id, packing, quality, sharding, toxicity
 from tallyspark.llm.decontaminate import find_passages, judged
 from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
+from tallyspark.plans.keyed import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +173,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, labelled(spark, sf_dir, docs, "toxic", fold(5) != 0))
     out = toxicity.score(docs, model).withColumn("held_out", held_out(5, 0))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; of the learning rows those with remainder 3 calibrate, the others fit."""
+    x = cut(quality.measured(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").filter(F.col("quality").isNotNull() & (fold(4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = quality.learn(x.join(labels, "doc_id").select("x", "label", (fold(4) != 3).alias("fitted")))
+    out = quality.score(x, model).withColumn("held_out", held_out(4, 2))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
