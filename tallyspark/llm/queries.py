@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, language_id, packing, quality, sharding, toxicity
+from tallyspark.llm import chat, language_id, packing, quality, sharding, syncmers, toxicity
 from tallyspark.llm.decontaminate import find_passages, judged
 from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
@@ -183,3 +183,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(x.join(labels, "doc_id").select("x", "label", (fold(4) != 3).alias("fitted")))
     out = quality.score(x, model).withColumn("held_out", held_out(4, 2))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_document_fingerprints")
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with their likeness and that of the next document."""
+    return syncmers.compared(table(spark, sf_dir, "documents"))

@@ -55,7 +55,7 @@ def _quantiles(sample: list[tuple[str, float]], parts: int) -> list[str]:
     return out
 
 
-def range_of(k: Column, bounds: list[str]) -> Column:
+def range_of(k: Column, bounds: list) -> Column:
     """Number of bounds not above ``k``, found in two steps of about the square root of their number."""
     if not bounds:
         return F.lit(0)
