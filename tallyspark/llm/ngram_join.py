@@ -6,11 +6,12 @@ documents; the others follow by hash. Linked sets must share a token among the f
 
 1. Equal sets collapse into one node. Only the sampled hash range is counted and joined, since the order puts a
    prefix almost always inside it; a prefix of tokens that occur once needs no entry at all.
-2. Nodes with the same size and prefix collapse into a group, and groups that share a prefix token are filtered by
-   size and position.
-3. Group pairs are expanded to members and verified on whole sets. In a bucket with many groups, or a group with many
-   members, all are first held against one pivot; what that connects needs no further pair. Only pairs that lie in
-   different components are expanded then, so no link between components is lost and no group emits all its pairs.
+2. Nodes with the same size and prefix collapse into a group. Groups that share a token few nodes have are filtered by
+   size and position, expanded to members and verified on whole sets.
+3. Nodes that share a token with many others, as in large families of copies, meet once more with all their tokens,
+   counted among themselves, and are grouped anew. In a bucket that is still large, or a group, all are first held
+   against one pivot; what that connects needs no further pair. Only pairs that lie in different components and pass
+   the filters are expanded then, so no link between components is lost and no family emits all its pairs.
 4. Components come from alternating large-star and small-star steps over tables written to the shared folder.
 
 Nulls, texts without words: empty set, linked with nothing. Equal texts and repeated rows: one component. ``doc_id``
@@ -34,7 +35,7 @@ from tallyspark.plans.keyed import cut
 
 #: Part of the hash range whose tokens are counted; a little more than the prefix share of a set.
 COUNTED = 0.20
-#: Buckets with more groups than this are held against a pivot first.
+#: Buckets with more nodes than this are large: their nodes meet with all their tokens and a pivot.
 SMALL_BUCKET = 24
 #: Document ids that may be broadcast (8 bytes each); beyond it, documents are picked by a join.
 BROADCAST_IDS = 4_000_000
@@ -149,48 +150,82 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _grouped(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their group (same size and prefix), and one entry per group and prefix token with the token's bucket."""
+    groups = prefixes.groupBy("k1", "k2").agg(F.min("node").alias("g"), F.count("*").alias("members"))
+    nodes = cut(prefixes.join(groups, ["k1", "k2"]), "nodes")
+    posed = nodes.filter("node = g").select("g", "n", "alone", "members", F.posexplode("tokens").alias("i", "token"))
+    entries = posed.select("g", "n", "members", "token", (F.col("alone") + F.col("i")).alias("pos"))
+    buckets = entries.groupBy("token").agg(F.sum("members").alias("size"), F.min(F.struct("pos", "n", "g")).alias("pivot")).filter("size > 1")
+    return nodes.select("node", "n", "g", "members"), cut(entries.join(buckets, "token"), "entries")
+
+
+def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): groups that share a token and pass the filters."""
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _can_link("x", "y", percent)
+    return entries.alias("x").join(entries.alias("y"), meet).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+
+
+def _expanded(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, and the columns of both members): pairs of nodes behind pairs of groups; a group may meet itself."""
+    rest = [c for c in members.columns if c not in ("node", "g")]
+    left = members.select(F.col("g").alias("a"), F.col("node").alias("na"), *(F.col(c).alias(f"{c}_a") for c in rest))
+    right = members.select(F.col("g").alias("b"), F.col("node").alias("nb"), *(F.col(c).alias(f"{c}_b") for c in rest))
+    pairs = group_pairs.join(left, "a").join(right, "b").filter("na <> nb")
+    return pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), *(f"{c}_{s}" for c in rest for s in "ab"))
+
+
 def link_components(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a link."""
-    prefixes = cut(prefix_table(sets), "prefixes")
-    groups = prefixes.groupBy("k1", "k2").agg(F.min("node").alias("g"), F.count("*").alias("members"))
-    nodes = prefixes.select("node", "n", "k1", "k2").join(groups, ["k1", "k2"]).select("node", "n", "g", "members")
-    reps = prefixes.join(groups.select(F.col("g").alias("node")), "node", "left_semi")
-    posed = reps.select(F.col("node").alias("g"), "n", "alone", F.posexplode("tokens").alias("i", "token"))
-    entries = posed.select("g", "n", "token", (F.col("alone") + F.col("i")).alias("pos"))
-    buckets = entries.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "g")).alias("pivot")).filter("size > 1")
-    entries = cut(entries.join(buckets, "token"), "entries")
+    nodes, entries = _grouped(prefix_table(sets))
+    small = entries.filter(F.col("size") <= SMALL_BUCKET)
+    alone = nodes.filter(f"members between 2 and {SMALL_BUCKET}").select(F.col("g").alias("a"), F.col("g").alias("b")).distinct()
+    tried = _expanded(_group_pairs(small, percent).union(alone), nodes.select("g", "node")).distinct()
+    crowded = entries.filter(F.col("size") > SMALL_BUCKET).select("g").union(nodes.filter(f"members > {SMALL_BUCKET}").select("g")).distinct()
+    crowd = cut(nodes.join(crowded, "g", "left_semi").select("node"), "crowd")
+    if crowd.isEmpty():
+        tried = cut(tried, "tried")
+        return _labels(docs, None, tried, words, percent)
+
+    # Nodes of large buckets meet again with all their tokens, counted among themselves: what sets a copy apart is then rare.
+    whole = _sets_of(docs, crowd, words).withColumn("n", F.size("tokens"))
+    whole = whole.select("node", "n", F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1").alias("p"), F.col("n").alias("r"), F.col("tokens").alias("counted"), F.array().cast("array<bigint>").alias("later"))
+    nodes, entries = _grouped(prefix_table(cut(whole, "crowd-sets")))
     few, many = entries.filter(F.col("size") <= SMALL_BUCKET), entries.filter(F.col("size") > SMALL_BUCKET)
-
-    group_pairs = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _can_link("x", "y", percent))
-    group_pairs = cut(group_pairs.select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct(), "pairs")
     to_pivot = many.select(F.struct("g", "n", "pos").alias("x"), F.col("pivot").alias("y")).filter(_can_link("x", "y", percent) & (F.col("x.g") != F.col("y.g")))
     to_pivot = to_pivot.select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"))
-    in_group = nodes.filter("members > 1 and node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    tried = cut(group_pairs.union(to_pivot).union(in_group).distinct(), "tried")
+    in_group = nodes.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
+    few = cut(_group_pairs(few, percent), "pairs")
+    tried = cut(tried.union(few).union(to_pivot).union(in_group).distinct(), "tried")
+    return _labels(docs, (nodes, few, many), tried, words, percent)
+
+
+def _labels(docs: DataFrame, crowd: tuple[DataFrame, DataFrame, DataFrame] | None, tried: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components of the links among the pairs tried, and of those that the pivots leave open."""
     if tried.isEmpty():
         return docs.sparkSession.createDataFrame([], "node long, component long")
     links = cut(verify(docs, tried, words, percent), "links")
     labels = cut(components(links), "labels")
-
-    # What is left: pairs of different components in a large bucket, in a group, or behind a pair of groups.
-    marked = cut(_labelled(nodes, labels), "marked")
-    spread = marked.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    cells = many.join(spread, "g").groupBy("token", "n", "pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    if crowd is None:
+        return labels
+    nodes, few, many = crowd
+    marked = cut(_labelled(nodes.select("node", "g"), labels), "marked")
+    spread = marked.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    cells = many.drop("members").join(spread, "g").groupBy("token", "n", "pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     differ = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("x.hi") == F.col("y.lo")) & (F.col("y.lo") == F.col("y.hi")))
     ordered = F.struct("x.n", "x.pos") <= F.struct("y.n", "y.pos")
     open_cells = cells.alias("x").join(cells.alias("y"), (F.col("x.token") == F.col("y.token")) & ordered & differ & _can_link("x", "y", percent))
     open_cells = open_cells.select(F.col("x.token").alias("token"), F.col("x.n").alias("n"), F.col("x.pos").alias("pos"), F.col("y.n").alias("n2"), F.col("y.pos").alias("pos2"))
-    other = many.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("g").alias("g2"))
-    behind = many.select("token", "n", "pos", "g").join(open_cells, ["token", "n", "pos"]).join(other, ["token", "n2", "pos2"]).select(F.col("g").alias("a"), F.col("g2").alias("b"))
+    other = many.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("g").alias("b"))
+    behind = many.select("token", "n", "pos", F.col("g").alias("a")).join(open_cells, ["token", "n", "pos"]).join(other, ["token", "n2", "pos2"]).select("a", "b")
+    wide = spread.filter("members > 1").select("g")
+    multiple = few.join(wide.withColumnRenamed("g", "a"), "a", "left_semi").union(few.join(wide.withColumnRenamed("g", "b"), "b", "left_semi").select("a", "b"))
     within = spread.filter("lo <> hi").select(F.col("g").alias("a"), F.col("g").alias("b"))
-    left, right = marked.select(F.col("g").alias("a"), F.col("node").alias("na"), F.col("component").alias("ca")), marked.select(F.col("g").alias("b"), F.col("node").alias("nb"), F.col("component").alias("cb"))
-    rest = group_pairs.union(behind).union(within).distinct().join(left, "a").join(right, "b").filter("ca <> cb and na <> nb")
-    rest = rest.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest, "rest")
+    rest = _expanded(behind.union(multiple).union(within).distinct(), marked).filter("component_a <> component_b")
+    rest = cut(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return labels
-    more = verify(docs, rest, words, percent)
-    return components(links.union(more))
+    return components(links.union(verify(docs, rest, words, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
