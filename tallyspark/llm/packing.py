@@ -2,9 +2,9 @@
 
 Documents become token ids and an end id; longer ones are cut so that only the first piece is short, and full pieces
 are sequences of their own. The others are packed in partitions of bounded size by best-fit decreasing. Dual-feasible
-functions give a lower bound on each partition's sequences: where the bound is met the packing is certified and stays.
-In the other partitions full sequences stay and the documents of loose sequences are dealt anew among fewer
-partitions, which pack again, until nothing is gained.
+functions give a lower bound on each partition's sequences: where the bound is met the packing is certified and stays,
+but for a sequence that is half empty. In the other partitions full sequences stay. The documents of the rest are dealt anew among fewer
+partitions of twice the size, which pack again, until nothing is gained or after four rounds.
 
 Null text: empty, one end id. Very long texts are streamed through as pieces. Repeated rows are pieces of their own.
 Empty table: no rows. Other columns are not read.
@@ -165,7 +165,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
-    """Adds sequence_id, offset and ``settled``: the partition meets its bound, or the sequence is full."""
+    """Adds sequence_id, offset and ``settled``: the partition meets its bound (unless half empty), or the sequence is full."""
     lengths = table["length"].to_numpy()
     uid = table["uid"].to_numpy()
     bins = best_fit(lengths, capacity)
@@ -178,7 +178,8 @@ def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
     offset -= np.repeat(offset[first], np.diff(np.append(first, len(order)))) if made else 0
     filled = np.bincount(bins, lengths, made)
     out = table.select([c for c in table.column_names if c not in ("part", "sequence_id", "offset", "settled")]).take(pa.array(order))
-    settled = np.full(len(order), True) if certified else filled[bins[order]] == capacity
+    fill = filled[bins[order]]
+    settled = 2 * fill > capacity if certified else fill == capacity  # at most one sequence is half empty
     for name, values in (("sequence_id", uid[order][first][bins[order]] if made else uid), ("offset", offset), ("settled", settled)):
         out = out.append_column(name, pa.array(values))
     return out
@@ -196,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         n = rest.count()
         if n == 0:
             break
-        parts = -(-n // PARTITION)
+        parts = -(-n // (PARTITION << turn))
         dealt = rest.select(*names, F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)).alias("part"))
         packed = cut(dealt.groupBy("part").applyInArrow(lambda t: _pack_partition(t, capacity), schema), "packed")
         made = packed.filter("not settled").select("sequence_id").distinct().count()
