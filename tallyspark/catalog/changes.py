@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.catalog.assets import CHECK
+from tallyspark.catalog.assets import CHECK, latest
 from tallyspark.catalog.quality import PARTS
 from tallyspark.catalog.registry import query
 from tallyspark.operators import changes as M
@@ -59,24 +59,34 @@ def _(t):
 
 
 STATUS_CMDS = """
-SELECT order_id AS commitment_id, @ADDM[order_date, line_no] AS due_date, CASE WHEN tax < 0.05 THEN 'PAID' WHEN tax < 0.07 THEN 'SKIPPED' ELSE 'UNPAID' END AS status, discount < 0.07 AS create_expense,
+SELECT order_id AS commitment_id, @ADDM[order_date, line_no % 3] AS due_date, CASE WHEN tax < 0.05 THEN 'PAID' WHEN tax < 0.07 THEN 'SKIPPED' ELSE 'UNPAID' END AS status, discount < 0.07 AS create_expense,
   part_id AS ts, line_id AS seq FROM fx_lines"""
-MADE = "'commitment-' || w.commitment_id || '-' || CAST(w.due_date AS VARCHAR)"
-STATUS_WON = f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commitment_id, due_date ORDER BY seq DESC) AS r FROM ({STATUS_CMDS}) c) x WHERE r = 1"
-
-
-@query("m04_apply_status", f"""
-SELECT COALESCE(w.commitment_id, o.commitment_id) AS commitment_id, COALESCE(w.due_date, o.due_date) AS due_date, COALESCE(w.status, o.status) AS status,
-  CASE WHEN w.commitment_id IS NULL THEN o.paid_tx_id WHEN w.status = 'PAID' AND w.create_expense AND o.paid_tx_id IS NULL THEN {MADE} ELSE o.paid_tx_id END AS paid_tx_id,
-  CASE WHEN w.commitment_id IS NULL THEN o.paid_at WHEN w.status <> 'PAID' THEN NULL WHEN w.create_expense AND o.paid_tx_id IS NULL THEN w.ts ELSE COALESCE(o.paid_at, w.ts) END AS paid_at
-FROM ({STATUS_WON}) w FULL OUTER JOIN fx_overrides o ON o.commitment_id = w.commitment_id AND o.due_date = w.due_date""", dates=["due_date"])
+STATUS_FOLD = f"""
+WITH RECURSIVE q AS (
+  SELECT c.*, 'commitment-' || c.commitment_id || '-' || CAST(c.due_date AS VARCHAR) AS made_id, ROW_NUMBER() OVER (PARTITION BY c.commitment_id, c.due_date ORDER BY c.seq) AS i
+  FROM ({STATUS_CMDS}) c WHERE c.commitment_id IN (SELECT commitment_id FROM fx_commitments)),
+fold AS (
+  SELECT k.commitment_id, k.due_date, CAST(0 AS BIGINT) AS i, o.status, o.paid_tx_id, o.paid_at, false AS made
+  FROM (SELECT DISTINCT commitment_id, due_date FROM q) k LEFT JOIN fx_overrides o ON o.commitment_id = k.commitment_id AND o.due_date = k.due_date
+  UNION ALL
+  SELECT f.commitment_id, f.due_date, q.i, q.status,
+    CASE WHEN q.status = 'PAID' AND q.create_expense AND f.paid_tx_id IS NULL THEN q.made_id ELSE f.paid_tx_id END,
+    CASE WHEN q.status = 'PAID' AND q.create_expense AND f.paid_tx_id IS NULL THEN q.ts WHEN q.status = 'PAID' THEN COALESCE(f.paid_at, q.ts) END,
+    f.made OR (q.status = 'PAID' AND q.create_expense AND f.paid_tx_id IS NULL)
+  FROM fold f JOIN q ON q.commitment_id = f.commitment_id AND q.due_date = f.due_date AND q.i = f.i + 1),
+last AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commitment_id, due_date ORDER BY i DESC) AS r FROM fold) x WHERE r = 1)"""
+
+
+@query("m04_apply_status", f"""{STATUS_FOLD}
+SELECT commitment_id, due_date, status, paid_tx_id, paid_at FROM last
+UNION ALL SELECT commitment_id, due_date, status, paid_tx_id, paid_at FROM fx_overrides o
+WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.commitment_id = o.commitment_id AND l.due_date = o.due_date)""", dates=["due_date"])
 def _(t):
     return M.apply_status(t.overrides, t.sql(STATUS_CMDS), t.commitments)["overrides"].select("commitment_id", "due_date", "status", "paid_tx_id", "paid_at")
 
 
-@query("m04_status_expenses", f"""
-SELECT {MADE} AS tx_id, c.amount_minor, 'Commitment: ' || c.title AS note, w.due_date AS tx_date FROM ({STATUS_WON}) w JOIN fx_commitments c ON c.commitment_id = w.commitment_id
-LEFT JOIN fx_overrides o ON o.commitment_id = w.commitment_id AND o.due_date = w.due_date WHERE w.status = 'PAID' AND w.create_expense AND o.paid_tx_id IS NULL""", dates=["tx_date"])
+@query("m04_status_expenses", f"""{STATUS_FOLD}
+SELECT l.paid_tx_id AS tx_id, c.amount_minor, 'Commitment: ' || c.title AS note, l.due_date AS tx_date FROM last l JOIN fx_commitments c ON c.commitment_id = l.commitment_id WHERE l.made""", dates=["tx_date"])
 def _(t):
     return M.apply_status(t.overrides, t.sql(STATUS_CMDS), t.commitments)["transactions"].select("tx_id", "amount_minor", "note", "tx_date")
 
@@ -163,72 +173,107 @@ def _(t):
 
 
 DONE = "SELECT asset_id, rule_id, event_date, km, cost_minor, linked_tx_id, event_id AS idempotency_key FROM fx_rule_events WHERE event_date < DATE '1997-01-01'"
+# Several tries share a key: the order number's last digit within an item.
 MAINT_CMDS = """
 SELECT part_id AS asset_id, CASE WHEN line_no < 6 THEN part_id END AS rule_id, CASE WHEN tax > 0.078 THEN ' ' ELSE p_name END AS title, ship_date AS event_date,
-  CASE WHEN discount < 0.09 THEN CAST(quantity AS BIGINT) * 2500 END AS km, CASE WHEN tax < 0.01 THEN NULL ELSE price_minor END AS cost_minor, flag = 'R' AS create_expense,
-  CASE WHEN p_size > 3 THEN CAST(2 AS BIGINT) END AS category_id, line_id AS idempotency_key, line_id AS seq FROM fx_lines"""
-MAINT_OK = f"""
-SELECT *, CASE WHEN create_expense THEN 'maintenance-' || idempotency_key END AS linked FROM (
-  SELECT c.*, a.current_km, a.is_archived, r.asset_id AS r_asset, r.is_active, r.trigger_type, GREATEST(a.current_km, MAX(c.km) OVER (PARTITION BY c.asset_id ORDER BY c.event_date, c.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS floor_km
-  FROM ({MAINT_CMDS}) c JOIN fx_assets a ON a.asset_id = c.asset_id LEFT JOIN fx_rules r ON r.rule_id = c.rule_id WHERE c.idempotency_key NOT IN (SELECT idempotency_key FROM ({DONE}) d)) x
-WHERE NOT is_archived AND (rule_id IS NULL OR (r_asset = asset_id AND is_active)) AND trim(title) <> '' AND (cost_minor IS NULL OR cost_minor > 0)
-  AND (km IS NULL OR floor_km IS NULL OR km >= floor_km) AND (trigger_type IS NULL OR trigger_type = 'TIME' OR km IS NOT NULL) AND (NOT create_expense OR (cost_minor > 0 AND category_id IS NOT NULL))"""
+  CASE WHEN discount < 0.09 THEN CAST(quantity AS BIGINT) * 100 + order_id * 4 END AS km, CASE WHEN tax < 0.01 THEN NULL ELSE price_minor END AS cost_minor, flag = 'R' AS create_expense,
+  CASE WHEN p_size > 3 THEN 1 + order_id % 8 END AS category_id, CONCAT(CAST(part_id AS STRING), ':', CAST(order_id % 10 AS STRING)) AS idempotency_key,
+  CONCAT(LPAD(CAST(order_id AS STRING), 12, '0'), ':', line_id) AS seq FROM fx_lines"""
+MAINT_FOLD = f"""
+WITH RECURSIVE q AS (
+  SELECT c.*, a.is_archived, r.asset_id AS r_asset, r.is_active, r.trigger_type, k.category_id IS NOT NULL AS usable, ROW_NUMBER() OVER (PARTITION BY c.asset_id ORDER BY c.seq) AS i
+  FROM ({MAINT_CMDS}) c JOIN fx_assets a ON a.asset_id = c.asset_id LEFT JOIN fx_rules r ON r.rule_id = c.rule_id
+  LEFT JOIN fx_categories k ON k.category_id = c.category_id AND NOT k.is_archived),
+judged AS (
+  SELECT *, NOT is_archived AND (rule_id IS NULL OR (r_asset = asset_id AND is_active)) AND trim(title) <> '' AND (cost_minor IS NULL OR cost_minor > 0)
+    AND (trigger_type IS NULL OR trigger_type = 'TIME' OR km IS NOT NULL) AND (NOT create_expense OR (cost_minor > 0 AND usable))
+    AND idempotency_key NOT IN (SELECT idempotency_key FROM ({DONE}) d) AS sound FROM q),
+fold AS (
+  SELECT asset_id, CAST(0 AS BIGINT) AS i, CAST(current_km AS BIGINT) AS high, CAST([] AS VARCHAR[]) AS keys, false AS took FROM fx_assets
+  UNION ALL
+  SELECT asset_id, i, CASE WHEN ok THEN COALESCE(km, high) ELSE high END, CASE WHEN ok THEN list_append(keys, idempotency_key) ELSE keys END, ok FROM (
+    SELECT f.asset_id, j.i, f.high, f.keys, j.km, j.idempotency_key,
+      COALESCE(j.sound, false) AND NOT list_contains(f.keys, j.idempotency_key) AND (j.km IS NULL OR (j.km >= 0 AND (f.high IS NULL OR j.km >= f.high))) AS ok
+    FROM fold f JOIN judged j ON j.asset_id = f.asset_id AND j.i = f.i + 1) s),
+accepted AS (SELECT j.*, CASE WHEN j.create_expense THEN 'maintenance-' || j.idempotency_key END AS linked FROM fold f JOIN judged j ON j.asset_id = f.asset_id AND j.i = f.i WHERE f.took)"""
 
 
 def maintained_of(t):
-    return M.apply_maintenance(t.sql(DONE), t.sql(MAINT_CMDS), t.assets, t.rules)
+    return M.apply_maintenance(t.sql(DONE), t.sql(MAINT_CMDS), t.assets, t.rules, t.categories)
 
 
-@query("m08_apply_maintenance", f"""
-SELECT idempotency_key, asset_id, rule_id, event_date, km, linked_tx_id FROM ({DONE}) d UNION ALL SELECT idempotency_key, asset_id, rule_id, event_date, km, linked FROM ({MAINT_OK}) m""", dates=["event_date"])
+@query("m08_apply_maintenance", f"""{MAINT_FOLD}
+SELECT idempotency_key, asset_id, rule_id, event_date, km, linked_tx_id FROM ({DONE}) d UNION ALL SELECT idempotency_key, asset_id, rule_id, event_date, km, linked FROM accepted""", dates=["event_date"])
 def _(t):
     return maintained_of(t)["events"].select("idempotency_key", "asset_id", "rule_id", "event_date", "km", "linked_tx_id")
 
 
-@query("m08_maintenance_mileage", f"""
-SELECT a.asset_id, GREATEST(a.current_km, m.km) AS current_km FROM fx_assets a LEFT JOIN (SELECT asset_id, MAX(km) AS km FROM ({MAINT_OK}) o GROUP BY asset_id) m ON m.asset_id = a.asset_id""")
+@query("m08_maintenance_mileage", f"""{MAINT_FOLD}
+SELECT a.asset_id, GREATEST(a.current_km, m.km) AS current_km FROM fx_assets a LEFT JOIN (SELECT asset_id, MAX(km) AS km FROM accepted GROUP BY asset_id) m ON m.asset_id = a.asset_id""")
 def _(t):
     return maintained_of(t)["assets"].select("asset_id", "current_km")
 
 
-CP_CMDS = "SELECT part_id AS checkpoint_id, ship_date AS event_date, CASE WHEN discount < 0.08 THEN CAST(quantity AS BIGINT) * 1500 END AS km, CASE WHEN flag = 'R' THEN ' done ' ELSE ' ' END AS note, line_no AS ts, line_id AS seq FROM fx_lines WHERE flag <> 'N'"
-CP_DONE = f"""
-SELECT c.checkpoint_id, 'completion-' || c.seq AS event_id, c.event_date, c.km, d.next_date AS due_date, d.next_km AS due_km, CASE WHEN trim(c.note) <> '' THEN trim(c.note) END AS note
-FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY checkpoint_id ORDER BY seq) AS r FROM ({CP_CMDS}) q) w WHERE r = 1) c JOIN ({CHECK}) d ON d.checkpoint_id = c.checkpoint_id AND d.is_active WHERE d.repeat_km IS NULL OR c.km >= 0"""
-
-
-@query("m09_complete_checkpoints", f"SELECT checkpoint_id, event_id, event_date, km, due_date, due_km, note FROM ({CP_DONE}) d", dates=["event_date", "due_date"])
+CP_CMDS = """SELECT part_id AS checkpoint_id, ship_date AS event_date, CASE WHEN discount < 0.08 THEN CAST(quantity AS BIGINT) * 1500 END AS km, CASE WHEN flag = 'R' THEN ' done ' ELSE ' ' END AS note,
+  line_no AS ts, CONCAT(LPAD(CAST(order_id AS STRING), 12, '0'), ':', line_id) AS seq FROM fx_lines"""
+CP_FOLD = f"""
+WITH RECURSIVE recorded AS (SELECT checkpoint_id, event_date, km FROM {latest('fx_checkpoint_events', 'checkpoint_id')} e),
+q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY checkpoint_id ORDER BY seq) AS i FROM ({CP_CMDS}) c),
+fold AS (
+  SELECT c.checkpoint_id, CAST(0 AS BIGINT) AS i, c.is_active AS live, e.event_date AS newest, CAST(e.km AS BIGINT) AS newest_km, c.rescheduled_date, c.rescheduled_km,
+    c.due_date AS own_date, c.due_km AS own_km, c.repeat_months, c.repeat_km, false AS took, CAST(NULL AS DATE) AS due_date, CAST(NULL AS BIGINT) AS due_km
+  FROM fx_checkpoints c LEFT JOIN recorded e ON e.checkpoint_id = c.checkpoint_id
+  UNION ALL
+  SELECT checkpoint_id, qi, CASE WHEN ok THEN repeat_months IS NOT NULL OR repeat_km IS NOT NULL ELSE live END,
+    CASE WHEN ok AND (newest IS NULL OR q_date >= newest) THEN q_date ELSE newest END, CASE WHEN ok AND (newest IS NULL OR q_date >= newest) THEN q_km ELSE newest_km END,
+    CASE WHEN NOT ok THEN rescheduled_date END, CASE WHEN NOT ok THEN rescheduled_km END, own_date, own_km, repeat_months, repeat_km, ok,
+    COALESCE(rescheduled_date, CASE WHEN newest IS NULL THEN own_date ELSE CAST(newest + to_months(CAST(repeat_months AS INTEGER)) AS DATE) END),
+    COALESCE(rescheduled_km, CASE WHEN newest IS NULL THEN own_km ELSE newest_km + repeat_km END)
+  FROM (SELECT f.*, q.i AS qi, q.event_date AS q_date, q.km AS q_km, f.live AND (f.repeat_km IS NULL OR COALESCE(q.km >= 0, false)) AS ok FROM fold f JOIN q ON q.checkpoint_id = f.checkpoint_id AND q.i = f.i + 1) s)"""
+
+
+@query("m09_complete_checkpoints", f"""{CP_FOLD}
+SELECT f.checkpoint_id, 'completion-' || q.seq AS event_id, q.event_date, q.km, f.due_date, f.due_km, CASE WHEN trim(q.note) <> '' THEN trim(q.note) END AS note
+FROM fold f JOIN q ON q.checkpoint_id = f.checkpoint_id AND q.i = f.i WHERE f.took""", dates=["event_date", "due_date"])
 def _(t):
     return M.complete_checkpoints(t.checkpoints, t.sql(CP_CMDS), t.checkpoint_events)["events"].select("checkpoint_id", "event_id", "event_date", "km", "due_date", "due_km", "note")
 
 
-@query("m09_checkpoint_state", f"""
-SELECT c.checkpoint_id, CASE WHEN d.checkpoint_id IS NOT NULL THEN c.repeat_months IS NOT NULL OR c.repeat_km IS NOT NULL ELSE c.is_active END AS is_active,
-  CASE WHEN d.checkpoint_id IS NULL THEN c.rescheduled_date END AS rescheduled_date, CASE WHEN d.checkpoint_id IS NULL THEN c.rescheduled_km END AS rescheduled_km
-FROM fx_checkpoints c LEFT JOIN ({CP_DONE}) d ON d.checkpoint_id = c.checkpoint_id""", dates=["rescheduled_date"])
+@query("m09_checkpoint_state", f"""{CP_FOLD}
+SELECT checkpoint_id, live AS is_active, rescheduled_date, rescheduled_km FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY checkpoint_id ORDER BY i DESC) AS r FROM fold) x WHERE r = 1""", dates=["rescheduled_date"])
 def _(t):
     return M.complete_checkpoints(t.checkpoints, t.sql(CP_CMDS), t.checkpoint_events)["checkpoints"].select("checkpoint_id", "is_active", "rescheduled_date", "rescheduled_km")
 
 
 CP_EDITS = """
 SELECT checkpoint_id, asset_id, CONCAT(' ', title) AS title, CASE WHEN warning_days IS NULL THEN 'DATE_OR_MILEAGE' ELSE trigger_mode END AS trigger_mode,
-  CASE WHEN due_date IS NOT NULL THEN due_date + 7 END AS due_date, CASE WHEN due_km > 50000 THEN due_km + 500 ELSE due_km END AS due_km, 21 AS warning_days, CASE WHEN due_km > 20000 THEN CAST(2000 AS BIGINT) ELSE warning_km END AS warning_km, checkpoint_id AS seq
-FROM fx_checkpoints"""
+  CASE WHEN due_date IS NOT NULL THEN due_date + 7 END AS due_date, CASE WHEN due_km > 50000 THEN due_km + 500 ELSE due_km END AS due_km, repeat_months, repeat_km, 21 AS warning_days,
+  CASE WHEN due_km > 20000 THEN CAST(2000 AS BIGINT) ELSE warning_km END AS warning_km, is_active OR repeat_km IS NOT NULL AS is_active, checkpoint_id AS seq
+FROM fx_checkpoints
+UNION ALL SELECT 100000000 + checkpoint_id, asset_id, title, trigger_mode, due_date, due_km, CASE WHEN warning_km IS NULL THEN -1 ELSE repeat_months END, repeat_km, warning_days, warning_km, true, 100000000 + checkpoint_id FROM fx_checkpoints"""
+CP_SOUND = f"""
+SELECT e.* FROM ({CP_EDITS}) e JOIN fx_assets a ON a.asset_id = e.asset_id AND NOT a.is_archived
+WHERE trim(title) <> '' AND COALESCE(repeat_months > 0, true) AND COALESCE(repeat_km > 0, true) AND COALESCE(warning_days >= 0, true) AND COALESCE(warning_km >= 0, true) AND COALESCE(due_km >= 0, true)
+  AND CASE trigger_mode WHEN 'DATE' THEN due_date IS NOT NULL AND due_km IS NULL AND repeat_km IS NULL WHEN 'MILEAGE' THEN due_km IS NOT NULL AND due_date IS NULL AND repeat_months IS NULL
+    ELSE due_date IS NOT NULL AND due_km IS NOT NULL END AND (repeat_months IS NULL OR due_date IS NOT NULL) AND (repeat_km IS NULL OR due_km IS NOT NULL)"""
 EDITED = f"""
 SELECT e.*, e.trigger_mode <> o.trigger_mode AS sw, o.due_date AS o_due_date, o.due_km AS o_due_km, o.next_date, o.next_km, o.rescheduled_date AS o_rd, o.rescheduled_km AS o_rk, o.trigger_mode AS o_mode, o.warning_days AS o_wd, o.warning_km AS o_wk
-FROM ({CP_EDITS}) e JOIN ({CHECK}) o ON o.checkpoint_id = e.checkpoint_id"""
+FROM ({CP_SOUND}) e JOIN ({CHECK}) o ON o.checkpoint_id = e.checkpoint_id"""
+CP_COLS = "checkpoint_id, title, trigger_mode, due_date, due_km, repeat_months, repeat_km, warning_days, warning_km, rescheduled_date, rescheduled_km, is_active"
 
 
 def edited_of(t):
-    return M.edit_checkpoints(t.checkpoints, t.sql(CP_EDITS), t.checkpoint_events, t.reminder_rules)
+    return M.edit_checkpoints(t.checkpoints, t.sql(CP_EDITS), t.checkpoint_events, t.reminder_rules, t.assets)
 
 
 @query("m10_edit_checkpoints", f"""
-SELECT checkpoint_id, trim(title) AS title, trigger_mode, CASE WHEN sw THEN due_date ELSE o_due_date END AS due_date, CASE WHEN sw THEN due_km ELSE o_due_km END AS due_km,
-  CASE WHEN NOT sw THEN COALESCE(CASE WHEN due_date IS DISTINCT FROM next_date THEN due_date END, o_rd) END AS rescheduled_date, CASE WHEN NOT sw THEN COALESCE(CASE WHEN due_km IS DISTINCT FROM next_km THEN due_km END, o_rk) END AS rescheduled_km
-FROM ({EDITED}) e""", dates=["due_date", "rescheduled_date"])
+SELECT checkpoint_id, trim(title) AS title, trigger_mode, CASE WHEN sw THEN due_date ELSE o_due_date END AS due_date, CASE WHEN sw THEN due_km ELSE o_due_km END AS due_km, repeat_months, repeat_km, warning_days, warning_km,
+  CASE WHEN NOT sw THEN COALESCE(CASE WHEN due_date IS DISTINCT FROM next_date THEN due_date END, o_rd) END AS rescheduled_date, CASE WHEN NOT sw THEN COALESCE(CASE WHEN due_km IS DISTINCT FROM next_km THEN due_km END, o_rk) END AS rescheduled_km, is_active
+FROM ({EDITED}) e
+UNION ALL SELECT checkpoint_id, trim(title), trigger_mode, due_date, due_km, repeat_months, repeat_km, warning_days, warning_km, NULL, NULL, is_active FROM ({CP_SOUND}) n WHERE checkpoint_id NOT IN (SELECT checkpoint_id FROM fx_checkpoints)
+UNION ALL SELECT {CP_COLS} FROM fx_checkpoints WHERE checkpoint_id NOT IN (SELECT checkpoint_id FROM ({EDITED}) k)""", dates=["due_date", "rescheduled_date"])
 def _(t):
-    return edited_of(t)["checkpoints"].select("checkpoint_id", "title", "trigger_mode", "due_date", "due_km", "rescheduled_date", "rescheduled_km")
+    return edited_of(t)["checkpoints"].select(*CP_COLS.split(", "))
 
 
 @query("m10_rule_deltas", f"""

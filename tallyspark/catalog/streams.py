@@ -39,7 +39,7 @@ def _(t):
     key = F.concat_ws(":", F.col("user_id").cast("string"), F.round("value").cast("long").cast("string"))
     rows = J.events_stream(t.spark, t.folder).select(
         "event_id", key.alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("amount_minor"))
-    J.stream_payments(rows, f"{base}/sink", f"{base}/ck", PAY, watermark="40 days").awaitTermination()
+    J.stream_payments(rows, f"{base}/sink", f"{base}/ck", PAY).awaitTermination()
     out = J.read_versions(t.spark, f"{base}/sink", PAY)
     return out.groupBy("idempotency_key").agg((F.count("*") == 1).alias("recorded"))
 

@@ -42,7 +42,7 @@ def _ordinal(c: Column, names: Sequence[str]) -> Column:
 def label(c: Column, domain: str) -> Column:
     """Display text of an enum value: a fixed text or the capitalised words."""
     words = F.replace(F.lower(c), F.lit("_"), F.lit(" "))
-    out = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
+    out = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
     for value, shown in LABELS[domain].items():
         out = F.when(c == value, F.lit(shown)).otherwise(out)
     return out
@@ -51,7 +51,7 @@ def label(c: Column, domain: str) -> Column:
 def item_type_label(assets: DataFrame, custom: DataFrame) -> DataFrame:
     """``type_label``: the custom type's name, else the built-in label."""
     names = custom.select("custom_type_id", F.col("name").alias("__custom"))
-    plain = F.concat(F.substring("asset_type", 1, 1), F.lower(F.substring("asset_type", 2, 1000)))
+    plain = F.concat(F.substring("asset_type", 1, 1), F.lower(F.expr("substring(asset_type, 2)")))
     built_in = F.when(F.col("asset_type") == "COMPUTER", F.lit(TYPE_LABELS["COMPUTER"])).otherwise(plain)
     return assets.join(names, "custom_type_id", "left").withColumn("type_label", F.coalesce("__custom", built_in)).drop("__custom")
 

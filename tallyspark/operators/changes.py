@@ -7,20 +7,20 @@ of a batch produces the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.operators import assets as A
 from tallyspark.operators import obligations as O
-from tallyspark.operators.quality import rule_violation
+from tallyspark.operators.quality import checkpoint_violation, rule_violation
 from tallyspark.plans import keyed
 from tallyspark.sources.category_data import MERCHANT_DIRECTORY
 
 
-
 def _latest(cmds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keyed.latest_command(cmds, keys, [F.desc("seq")])
 
@@ -111,20 +111,31 @@ def seed_merchants(merchants: DataFrame, cats: DataFrame, directory: Sequence[tu
 
 
 def apply_status(overrides: DataFrame, cmds: DataFrame, commitments: DataFrame) -> dict[str, DataFrame]:
-    """Occurrence statuses: the latest command of each (commitment, due date) wins.
+    """Occurrence statuses after all commands of each (commitment, due date), in ``seq`` order.
 
-    PAID with ``create_expense`` and no linked transaction yields one expense.
+    The first PAID with ``create_expense`` while no transaction is linked makes one
+    expense, whatever follows; the link stays. ``paid_at`` belongs to the last run
+    of PAID commands: the expense's time if it is made there, else the time kept
+    from before or that of the run's first command. All parts are aggregates.
     """
     keys = ["commitment_id", "due_date"]
     c = commitments.select("commitment_id", "owner_id", "title", "amount_minor", "merchant_id")
-    won = _latest(cmds, keys).join(c, "commitment_id")
-    old = overrides.select(*keys, F.col("paid_tx_id").alias("o_tx"), F.col("paid_at").alias("o_at"), F.col("status").alias("o_status"))
-    j = won.join(old, keys, "left")
-    makes = (F.col("status") == "PAID") & F.col("create_expense") & F.col("o_tx").isNull()
+    rows = cmds.join(c.select("commitment_id"), "commitment_id", "left_semi")
+    pays = F.col("status") == "PAID"
+    ends = rows.groupBy(*keys).agg(
+        F.max(F.struct("seq", "status")).alias("last"), F.max(F.when(~pays, F.col("seq"))).alias("other"),
+        F.min(F.when(pays & F.col("create_expense"), F.struct("seq", "ts"))).alias("make"))
+    run = rows.filter(pays).join(ends.select(*keys, "other"), keys).filter(F.col("other").isNull() | (F.col("seq") > F.col("other")))
+    run = run.groupBy(*keys).agg(F.min(F.struct("seq", "ts")).alias("run"))
+    old = overrides.select(*keys, F.col("paid_tx_id").alias("o_tx"), F.col("paid_at").alias("o_at"))
+    j = ends.join(run, keys, "left").join(old, keys, "left").join(c, "commitment_id")
+    makes = F.col("make").isNotNull() & F.col("o_tx").isNull()
     made_id = F.concat(F.lit("commitment-"), F.col("commitment_id").cast("string"), F.lit("-"), F.col("due_date").cast("string"))
     j = j.withColumn("new_tx", F.when(makes, made_id))
-    paid_at = F.when(makes, F.col("ts")).when(F.col("status") == "PAID", F.coalesce("o_at", "ts"))
-    changed = j.select("owner_id", *keys, "status", F.coalesce("new_tx", "o_tx").alias("paid_tx_id"), paid_at.alias("paid_at"))
+    in_run = F.col("new_tx").isNotNull() & (F.col("other").isNull() | (F.col("make.seq") > F.col("other")))
+    kept = F.coalesce(F.when(F.col("other").isNull(), F.col("o_at")), F.col("run.ts"))
+    paid_at = F.when(F.col("last.status") == "PAID", F.when(in_run, F.col("make.ts")).otherwise(kept))
+    changed = j.select("owner_id", *keys, F.col("last.status").alias("status"), F.coalesce("new_tx", "o_tx").alias("paid_tx_id"), paid_at.alias("paid_at"))
     expenses = j.filter(F.col("new_tx").isNotNull()).select(
         "owner_id", F.col("new_tx").alias("tx_id"), F.lit("EXPENSE").alias("type"), "amount_minor", "merchant_id",
         F.concat(F.lit("Commitment: "), F.col("title")).alias("note"), F.col("due_date").alias("tx_date"),
@@ -221,23 +232,54 @@ def upsert_commitments(commitments: DataFrame, cmds: DataFrame) -> dict[str, Dat
 # --- items -------------------------------------------------------------------
 
 
-def apply_maintenance(events: DataFrame, cmds: DataFrame, assets: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
-    """Maintenance completions: valid, once per idempotency key, optional expense, mileage only upward."""
-    first = keyed.top_per_key(cmds, ["idempotency_key"], [F.asc("seq")], 1)
-    fresh = first.join(events.select("idempotency_key"), "idempotency_key", "left_anti")
+def accepted_in_order(rows: DataFrame) -> DataFrame:
+    """Maintenance commands that are accepted when each item's are taken in ``seq`` order.
+
+    ``rows`` has passed every check that does not depend on other commands. A key
+    that is already accepted is done; a mileage below the highest accepted one is
+    refused, and the key may be tried again. Rows are sorted into their item and
+    streamed, so a task holds one item's reading and keys only.
+    """
+    dealt = rows.repartition("asset_id").sortWithinPartitions("asset_id", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        item, high, keys = None, None, set()
+        for batch in batches:
+            take = []
+            for asset, now, km, key in zip(batch["asset_id"], batch["current_km"], batch["km"], batch["idempotency_key"], strict=True):
+                if asset != item:
+                    item, high, keys = asset, None if pd.isna(now) else now, set()
+                ok = key not in keys and (pd.isna(km) or (km >= 0 and (high is None or km >= high)))
+                take.append(ok)
+                if ok:
+                    keys.add(key)
+                    if not pd.isna(km):
+                        high = km
+            yield batch[take]
+
+    return dealt.mapInPandas(run, dealt.schema)
+
+
+def apply_maintenance(events: DataFrame, cmds: DataFrame, assets: DataFrame, rules: DataFrame, categories: DataFrame) -> dict[str, DataFrame]:
+    """Maintenance completions: valid ones, once per idempotency key, optional expense, mileage only upward.
+
+    Invalid tries do not use up their key and leave the mileage alone. The
+    category of an expense must be active.
+    """
+    fresh = cmds.join(events.select("idempotency_key"), "idempotency_key", "left_anti")
     a = assets.select("asset_id", "owner_id", "current_km", F.col("is_archived").alias("__arch"))
     r = rules.select("rule_id", F.col("asset_id").alias("__r_asset"), F.col("is_active").alias("__r_active"), "trigger_type")
-    j = fresh.join(a, "asset_id").join(r, "rule_id", "left")
-    # Earlier accepted readings of the batch count, and a running maximum of all readings equals theirs.
-    j = keyed.prefix_before(j, ["asset_id"], "event_date", [F.asc("seq")], F.col("km"), "__high")
-    floor = F.greatest("current_km", "__high")
-    km_ok = F.col("km").isNull() | ((F.col("km") >= 0) & (floor.isNull() | (F.col("km") >= floor)))
+    c = categories.filter(~F.col("is_archived")).select("category_id", F.lit(True).alias("__usable")).distinct()
+    j = fresh.join(a, "asset_id").join(r, "rule_id", "left").join(c, "category_id", "left")
     rule_ok = F.col("rule_id").isNull() | ((F.col("__r_asset") == F.col("asset_id")) & F.col("__r_active"))
     needs_km = F.coalesce(F.col("trigger_type") != "TIME", F.lit(False))
     cost_ok = F.col("cost_minor").isNull() | (F.col("cost_minor") > 0)
-    pays = ~F.col("create_expense") | ((F.col("cost_minor") > 0) & F.col("category_id").isNotNull())
-    ok = ~F.col("__arch") & rule_ok & (F.trim("title") != "") & cost_ok & km_ok & (~needs_km | F.col("km").isNotNull()) & pays
-    done = j.filter(F.coalesce(ok, F.lit(False))).withColumn("linked_tx_id", F.when(F.col("create_expense"), F.concat(F.lit("maintenance-"), F.col("idempotency_key"))))
+    pays = ~F.col("create_expense") | ((F.col("cost_minor") > 0) & F.coalesce("__usable", F.lit(False)))
+    ok = ~F.col("__arch") & rule_ok & (F.trim("title") != "") & cost_ok & (~needs_km | F.col("km").isNotNull()) & pays
+    good = j.filter(F.coalesce(ok, F.lit(False))).select("asset_id", "owner_id", "rule_id", "title", "event_date", "km", "cost_minor", "create_expense", "category_id", "idempotency_key", "seq", "current_km")
+    done = accepted_in_order(good)
+    done = keyed.top_per_key(done, ["idempotency_key"], [F.asc("seq")], 1).withColumn(
+        "linked_tx_id", F.when(F.col("create_expense"), F.concat(F.lit("maintenance-"), F.col("idempotency_key").cast("string"))))
     cols = ["asset_id", "rule_id", "event_date", "km", "cost_minor", "linked_tx_id", "idempotency_key"]
     expenses = done.filter("create_expense").select(
         "owner_id", F.col("linked_tx_id").alias("tx_id"), F.lit("EXPENSE").alias("type"), F.col("cost_minor").alias("amount_minor"), "category_id",
@@ -249,44 +291,69 @@ def apply_maintenance(events: DataFrame, cmds: DataFrame, assets: DataFrame, rul
 
 
 def complete_checkpoints(checkpoints: DataFrame, cmds: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """Active checkpoints completed: the event stores the due point it satisfied."""
-    due = A.checkpoint_due(checkpoints.filter("is_active"), events).select(
-        "checkpoint_id", F.col("next_date").alias("due_date"), F.col("next_km").alias("due_km"), "repeat_km")
-    won = keyed.top_per_key(cmds, ["checkpoint_id"], [F.asc("seq")], 1)
-    j = won.join(due, "checkpoint_id").filter(F.col("repeat_km").isNull() | (F.col("km") >= 0))
+    """Every valid completion of an active checkpoint, in ``seq`` order, with the due point it satisfied.
+
+    The first one answers the current due point. It clears the reschedule and ends
+    a checkpoint that does not repeat; the due point of a later one comes from the
+    newest event so far, recorded or of this batch.
+    """
+    live = checkpoints.filter("is_active").join(A.latest_event(events, "checkpoint_id"), "checkpoint_id", "left").select(
+        "checkpoint_id", F.col("due_date").alias("own_date"), F.col("due_km").alias("own_km"), "repeat_months", "repeat_km", "rescheduled_date", "rescheduled_km",
+        F.when(F.col("last_event_id").isNotNull(), F.struct(F.col("last_date").alias("event_date"), F.lit(0).alias("turn"), F.col("last_km").alias("km"))).alias("recorded"))
+    j = cmds.join(live, "checkpoint_id").filter(F.col("repeat_km").isNull() | (F.col("km") >= 0))
+    order = Window.partitionBy("checkpoint_id").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    j = j.withColumn("turn", F.row_number().over(order))
+    at = F.struct("event_date", "turn", F.col("km").cast("long").alias("km"))
+    j = j.withColumn("newest", F.greatest("recorded", F.max(at).over(before)))
+    repeats = F.col("repeat_months").isNotNull() | F.col("repeat_km").isNotNull()
+    j = j.filter((F.col("turn") == 1) | repeats)
+    first, done = F.col("turn") == 1, F.col("newest").isNotNull()
+    date = F.when(done, F.add_months(F.col("newest.event_date"), F.col("repeat_months"))).otherwise(F.col("own_date"))
+    km = F.when(done, F.col("newest.km") + F.col("repeat_km")).otherwise(F.col("own_km"))
     made = j.select(
-        "checkpoint_id", F.concat(F.lit("completion-"), F.col("seq").cast("string")).alias("event_id"), "event_date", "km", "due_date", "due_km",
+        "checkpoint_id", F.concat(F.lit("completion-"), F.col("seq").cast("string")).alias("event_id"), "event_date", "km",
+        F.coalesce(F.when(first, F.col("rescheduled_date")), date).alias("due_date"), F.coalesce(F.when(first, F.col("rescheduled_km")), km).alias("due_km"),
         _present("note").alias("note"), F.col("ts").alias("created_at"))
-    hit = made.select("checkpoint_id").withColumn("__hit", F.lit(True))
+    hit = made.select("checkpoint_id").distinct().withColumn("__hit", F.lit(True))
     x = checkpoints.join(hit, "checkpoint_id", "left")
-    done = F.col("__hit").isNotNull()
-    repeats = F.col("repeat_months").isNotNull() | F.col("repeat_km").isNotNull()
+    answered = F.col("__hit").isNotNull()
     after = x.withColumns({
-        "is_active": F.when(done, repeats).otherwise(F.col("is_active")),
-        "rescheduled_date": F.when(~done, F.col("rescheduled_date")), "rescheduled_km": F.when(~done, F.col("rescheduled_km")),
+        "is_active": F.when(answered, repeats).otherwise(F.col("is_active")),
+        "rescheduled_date": F.when(~answered, F.col("rescheduled_date")), "rescheduled_km": F.when(~answered, F.col("rescheduled_km")),
     }).drop("__hit")
     return {"events": made, "checkpoints": after}
 
 
-def edit_checkpoints(checkpoints: DataFrame, edits: DataFrame, events: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
-    """Edited checkpoints: a changed due point becomes a reschedule, a changed trigger clears it.
+def edit_checkpoints(checkpoints: DataFrame, edits: DataFrame, events: DataFrame, rules: DataFrame, assets: DataFrame) -> dict[str, DataFrame]:
+    """All checkpoints after the edits, new ones included, and the reminder rule deltas.
 
-    Reminder rule deltas: a changed warning disables the old lead and enables the
-    new one, for checkpoints that already have rules.
+    Edits that break a checkpoint rule, belong to an archived or another item, are
+    refused; of the others the last of a checkpoint counts. A changed due point
+    becomes a reschedule, a changed trigger clears it. An edit without an id, or
+    with one that is not known, is a new checkpoint. A changed warning disables the
+    old lead and enables the new one, for checkpoints that already have rules.
     """
-    won = _latest(edits, ["checkpoint_id"])
+    live = assets.filter(~F.col("is_archived")).select("asset_id")
+    sound = edits.filter(checkpoint_violation().isNull()).join(live, "asset_id", "left_semi").withColumn("title", F.trim("title"))
+    made_id = F.coalesce(F.when(F.col("checkpoint_id") != 0, F.col("checkpoint_id")), F.abs(F.xxhash64("asset_id", "title", "seq") % 2**62))
+    known = checkpoints.select("checkpoint_id")
+    none = F.lit(None)
+    new = sound.withColumn("checkpoint_id", made_id).join(known, "checkpoint_id", "left_anti")
+    new = _latest(new, ["checkpoint_id"]).withColumns({c: none.cast(checkpoints.schema[c].dataType) for c in ("rescheduled_date", "rescheduled_km")})
     old = A.checkpoint_due(checkpoints, events)
     cols = ["trigger_mode", "due_date", "due_km", "warning_days", "warning_km", "rescheduled_date", "rescheduled_km", "asset_id", "next_date", "next_km"]
-    j = won.join(old.select("checkpoint_id", *[F.col(c).alias(f"o_{c}") for c in cols]), "checkpoint_id").filter(F.col("asset_id") == F.col("o_asset_id"))
+    own = sound.join(old.select("checkpoint_id", *[F.col(c).alias(f"o_{c}") for c in cols]), "checkpoint_id").filter(F.col("asset_id") == F.col("o_asset_id"))
+    j = _latest(own, ["checkpoint_id"])
     switched = F.col("trigger_mode") != F.col("o_trigger_mode")
     moved = lambda new, cur, kept: F.coalesce(F.when(~new.eqNullSafe(cur), new), kept)
-    edited = j.select(
-        "checkpoint_id", "asset_id", F.trim("title").alias("title"), "trigger_mode",
-        F.when(switched, F.col("due_date")).otherwise(F.col("o_due_date")).alias("due_date"),
-        F.when(switched, F.col("due_km")).otherwise(F.col("o_due_km")).alias("due_km"), "warning_days", "warning_km",
-        F.when(~switched, moved(F.col("due_date"), F.col("o_next_date"), F.col("o_rescheduled_date"))).alias("rescheduled_date"),
-        F.when(~switched, moved(F.col("due_km"), F.col("o_next_km"), F.col("o_rescheduled_km"))).alias("rescheduled_km"),
-    )
+    changed = j.withColumns({
+        "due_date": F.when(switched, F.col("due_date")).otherwise(F.col("o_due_date")), "due_km": F.when(switched, F.col("due_km")).otherwise(F.col("o_due_km")),
+        "rescheduled_date": F.when(~switched, moved(F.col("due_date"), F.col("o_next_date"), F.col("o_rescheduled_date"))),
+        "rescheduled_km": F.when(~switched, moved(F.col("due_km"), F.col("o_next_km"), F.col("o_rescheduled_km"))),
+    })
+    names = checkpoints.columns
+    edited = keyed.merge(checkpoints, changed.select(*names).unionByName(new.select(*names)), ["checkpoint_id"], "REPLACE")
     with_rules = rules.filter(F.col("source_type") == "CHECKPOINT").select(F.col("source_id").alias("checkpoint_id")).distinct()
     k = j.join(with_rules, "checkpoint_id", "left_semi")
     by_day = lambda c, mode: F.when(F.col(mode) != "MILEAGE", F.col(c).cast("long"))

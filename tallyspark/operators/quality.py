@@ -35,11 +35,10 @@ def check_payments(pay: DataFrame) -> DataFrame:
     return pay.filter(~((total > 0) & (p >= 0) & (f >= 0) & (late >= 0) & (total == p + f + late)))
 
 
-def check_checkpoints(cp: DataFrame) -> DataFrame:
-    """Checkpoint rules by trigger mode."""
+def _checkpoint_conditions() -> dict[str, Column]:
     date, km, months, every = F.col("due_date"), F.col("due_km"), F.col("repeat_months"), F.col("repeat_km")
     mode = F.col("trigger_mode")
-    return _explain(cp, "checkpoint_id", {
+    return {
         "blank title": F.trim("title") == "",
         "repeat months not positive": months <= 0,
         "repeat km not positive": every <= 0,
@@ -51,7 +50,17 @@ def check_checkpoints(cp: DataFrame) -> DataFrame:
         "date or mileage trigger": (mode == "DATE_OR_MILEAGE") & ~(date.isNotNull() & km.isNotNull()),
         "repeat months without date": months.isNotNull() & date.isNull(),
         "repeat km without km": every.isNotNull() & km.isNull(),
-    })
+    }
+
+
+def checkpoint_violation() -> Column:
+    """The first condition a checkpoint breaks, or null."""
+    return F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in _checkpoint_conditions().items()])
+
+
+def check_checkpoints(cp: DataFrame) -> DataFrame:
+    """Checkpoint rules by trigger mode."""
+    return _explain(cp, "checkpoint_id", _checkpoint_conditions())
 
 
 def _rule_conditions() -> dict[str, Column]:

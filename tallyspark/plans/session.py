@@ -31,12 +31,15 @@ def build_session(master: str | None = None, app: str = "tallyspark", **extra: s
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder for written intermediate tables and stream checkpoints.
 
-    On a cluster it lies below the shared ``spark.checkpoint.dir``; only where
-    that is unset (tests, laptops) is a local temporary folder used.
+    It lies below the shared ``spark.checkpoint.dir``. Where that is unset a
+    temporary folder is used on a local master; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if base:
         return f"{base.rstrip('/')}/tallyspark-{label}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not (master.startswith("local") and not master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), label)
