@@ -27,8 +27,8 @@ TOPS = RANKED.replace("{scored}", SCORED.format(items="SELECT item_id, vec FROM
 LEARNED = """
 SELECT i.item_id, COALESCE(s.category_id, g.category_id) AS category_id, CASE WHEN s.category_id IS NOT NULL THEN 0.98 ELSE 0.9 END AS confidence, 'USER_LEARNED' AS source
 FROM {items} i LEFT JOIN (SELECT m.* FROM fx_mappings m JOIN fx_cats10 c ON c.category_id = m.category_id AND NOT c.is_archived WHERE normalized_merchant IS NOT NULL) s
-  ON s.normalized_item = i.item_name AND s.normalized_merchant = lower(replace(i.merchant, '#', ' '))
-LEFT JOIN (SELECT m.* FROM fx_mappings m JOIN fx_cats10 c ON c.category_id = m.category_id AND NOT c.is_archived WHERE normalized_merchant IS NULL) g ON g.normalized_item = i.item_name
+  ON s.owner_id = i.owner_id AND s.normalized_item = i.item_name AND s.normalized_merchant = lower(replace(i.merchant, '#', ' '))
+LEFT JOIN (SELECT m.* FROM fx_mappings m JOIN fx_cats10 c ON c.category_id = m.category_id AND NOT c.is_archived WHERE normalized_merchant IS NULL) g ON g.owner_id = i.owner_id AND g.normalized_item = i.item_name
 WHERE COALESCE(s.category_id, g.category_id) IS NOT NULL"""
 MATCHES = """
 SELECT i.item_id, l.category_id, COUNT(*) AS n_terms FROM (SELECT item_id, unnest(list_distinct(string_split(item_name, ' '))) AS term FROM {items} i) i
@@ -52,7 +52,7 @@ def protos_of(t):
 
 
 def learned_items(t):
-    return t.items.select("item_id", "item_name", "merchant", "vec")
+    return t.items.select("item_id", "owner_id", "item_name", "merchant", "vec")
 
 
 @query("c01_suggest_learned", LEARNED.replace("{items}", "fx_items"), doubles=["confidence"])

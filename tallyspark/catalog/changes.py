@@ -32,28 +32,30 @@ def _(t):
     return M.fold_confirmations(t.sql(KNOWN), t.sql(CONFIRMS))
 
 
-USES = "SELECT merchant_name, CAST(category_id AS BIGINT) AS category_id, used_at, event_id AS seq FROM fx_uses"
-SHOPS = """SELECT CONCAT('shop ', CAST(s_suppkey AS STRING)) AS normalized_name, CONCAT('SHOP ', CAST(s_suppkey AS STRING)) AS display_name, s_suppkey % 7 AS usage_count, CAST(-1 AS BIGINT) AS last_used_at,
-  CAST(8 AS BIGINT) AS default_category_id, 'SEEDED' AS source FROM supplier"""
+USES = "SELECT owner_id, merchant_name, CAST(category_id AS BIGINT) AS category_id, used_at, event_id AS seq FROM fx_uses"
+SHOPS = """SELECT CAST(s_suppkey % 5 AS BIGINT) AS owner_id, CONCAT('shop ', CAST(s_suppkey % 60 AS STRING)) AS normalized_name, MAX(CONCAT('SHOP ', CAST(s_suppkey % 60 AS STRING))) AS display_name, COUNT(*) AS usage_count,
+  CAST(-1 AS BIGINT) AS last_used_at, CAST(8 AS BIGINT) AS default_category_id, 'SEEDED' AS source FROM supplier GROUP BY s_suppkey % 5, s_suppkey % 60"""
 
 
 @query("m02_fold_merchant_use", f"""
-SELECT COALESCE(m.normalized_name, u.k) AS normalized_name, COALESCE(u.shown, m.display_name) AS display_name, COALESCE(m.usage_count, 0) + COALESCE(u.n, 0) AS usage_count,
+SELECT COALESCE(m.owner_id, u.owner_id) AS owner_id, COALESCE(m.normalized_name, u.k) AS normalized_name, COALESCE(u.shown, m.display_name) AS display_name, COALESCE(m.usage_count, 0) + COALESCE(u.n, 0) AS usage_count,
   COALESCE(u.used_at, m.last_used_at) AS last_used_at, COALESCE(u.category_id, m.default_category_id) AS default_category_id, CASE WHEN u.k IS NOT NULL THEN 'USER' ELSE m.source END AS source
-FROM ({SHOPS}) m FULL OUTER JOIN (SELECT lower(shown) AS k, arg_max(shown, seq) AS shown, COUNT(*) AS n, MAX(used_at) AS used_at, arg_max(category_id, seq) AS category_id
-  FROM (SELECT *, trim(regexp_replace(merchant_name, '\\s+', ' ', 'g')) AS shown FROM ({USES}) a) b GROUP BY lower(shown)) u ON u.k = m.normalized_name""")
+FROM ({SHOPS}) m FULL OUTER JOIN (SELECT owner_id, lower(shown) AS k, arg_max(shown, seq) AS shown, COUNT(*) AS n, MAX(used_at) AS used_at, arg_max(category_id, seq) AS category_id
+  FROM (SELECT *, trim(regexp_replace(merchant_name, '\\s+', ' ', 'g')) AS shown FROM ({USES}) a) b GROUP BY owner_id, lower(shown)) u ON u.owner_id = m.owner_id AND u.k = m.normalized_name""")
 def _(t):
     return M.fold_merchant_use(t.sql(SHOPS), t.sql(USES))
 
 
 _SEEDS = ", ".join("('{}', {})".format(n.replace("'", "''"), f"'{c}'" if c else "NULL") for n, c in MERCHANT_DIRECTORY)
-SEED_CATS = "SELECT category_id, CASE name WHEN 'ECONOMY' THEN 'Medicine' WHEN 'SMALL' THEN 'Restaurants' WHEN 'MEDIUM' THEN 'Bills' ELSE name END AS name FROM fx_categories"
-SEED_KNOWN = f"{SHOPS} UNION ALL SELECT 'kfc', 'Kfc', COUNT(*), CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'USER' FROM supplier"
+SEED_CATS = """SELECT CAST(s_suppkey % 5 AS BIGINT) AS owner_id, c.category_id + 10 * (s_suppkey % 5) AS category_id, CASE c.name WHEN 'ECONOMY' THEN 'Medicine' WHEN 'SMALL' THEN 'Restaurants' WHEN 'MEDIUM' THEN 'Bills' ELSE c.name END AS name
+  FROM fx_categories c JOIN supplier ON s_suppkey <= 5"""
+SEED_KNOWN = f"{SHOPS} UNION ALL SELECT CAST(3 AS BIGINT), 'kfc', 'Kfc', COUNT(*), CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'USER' FROM supplier"
 
 
 @query("m03_seed_merchants", f"""
-WITH known AS ({SEED_KNOWN}) SELECT * FROM known UNION ALL
-SELECT lower(n), n, 0, 0, c.category_id, 'SEEDED' FROM (VALUES {_SEEDS}) s(n, cat) LEFT JOIN ({SEED_CATS}) c ON c.name = s.cat WHERE lower(n) NOT IN (SELECT normalized_name FROM known)""")
+WITH known AS ({SEED_KNOWN}), owners AS (SELECT DISTINCT owner_id FROM known) SELECT * FROM known UNION ALL
+SELECT o.owner_id, lower(n), n, 0, 0, c.category_id, 'SEEDED' FROM owners o, (VALUES {_SEEDS}) s(n, cat) LEFT JOIN ({SEED_CATS}) c ON c.name = s.cat AND c.owner_id = o.owner_id
+WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.owner_id = o.owner_id AND k.normalized_name = lower(n))""")
 def _(t):
     return M.seed_merchants(t.sql(SEED_KNOWN), t.sql(SEED_CATS))
 
@@ -351,23 +353,27 @@ def _(t):
     return M.edit_categories(t.categories, t.sql(CAT_CMDS))
 
 
-TYPE_NAMES = "SELECT CONCAT(' ', REPLACE(p_name, ' ', '   '), ' ') AS name, p_partkey AS seq FROM part UNION ALL SELECT 'BICYCLE', -1 FROM region UNION ALL SELECT ' BOAT', -2 FROM region"
+TYPE_NAMES = """SELECT CAST(p_partkey % 2 AS BIGINT) AS owner_id, CONCAT(' ', REPLACE(p_name, ' ', '   '), ' ') AS name, p_partkey AS seq FROM part
+UNION ALL SELECT CAST(r_regionkey % 2 AS BIGINT), 'BICYCLE', -1 - r_regionkey FROM region UNION ALL SELECT CAST(0 AS BIGINT), ' BOAT', -20 - r_regionkey FROM region"""
 
 
 @query("m15_create_custom_types", f"""
-SELECT COALESCE(o.key, w.key) AS key, COALESCE(o.name, w.shown) AS name, CASE WHEN w.key IS NOT NULL THEN false ELSE o.is_archived END AS is_archived FROM (SELECT lower(name) AS key, name, is_archived FROM fx_custom_types) o
-FULL OUTER JOIN (SELECT lower(shown) AS key, arg_min(shown, seq) AS shown FROM (SELECT trim(regexp_replace(name, '\\s+', ' ', 'g')) AS shown, seq FROM ({TYPE_NAMES}) a) b GROUP BY lower(shown)) w ON w.key = o.key""")
+SELECT COALESCE(o.owner_id, w.owner_id) AS owner_id, COALESCE(o.key, w.key) AS key, COALESCE(o.name, w.shown) AS name, CASE WHEN w.key IS NOT NULL THEN false ELSE o.is_archived END AS is_archived
+FROM (SELECT owner_id, lower(name) AS key, name, is_archived FROM fx_custom_types) o
+FULL OUTER JOIN (SELECT owner_id, lower(shown) AS key, arg_min(shown, seq) AS shown FROM (SELECT owner_id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS shown, seq FROM ({TYPE_NAMES}) a) b GROUP BY owner_id, lower(shown)) w
+  ON w.owner_id = o.owner_id AND w.key = o.key""")
 def _(t):
     return M.create_custom_types(t.custom_types, t.sql(TYPE_NAMES))
 
 
-OLD_TX = "SELECT tx_id, type, CASE WHEN category_id = 2 THEN CONCAT(' ', merchant, ' ') ELSE merchant END AS merchant, purchase_group_id AS receipt_group_id, amount_minor FROM fx_tx"
-SHOP_IDS = "SELECT CONCAT('shop ', CAST(s_suppkey AS STRING)) AS normalized_name, s_suppkey AS merchant_id FROM supplier WHERE s_nationkey < 20"
+OLD_TX = "SELECT owner_id, tx_id, type, CASE WHEN category_id = 2 THEN CONCAT(' ', merchant, ' ') ELSE merchant END AS merchant, purchase_group_id AS receipt_group_id, amount_minor FROM fx_tx"
+SHOP_IDS = "SELECT owner_id, LOWER(merchant) AS normalized_name, owner_id * 1000000 + MIN(merchant_id) AS merchant_id FROM fx_tx WHERE merchant IS NOT NULL AND category_id <> 3 GROUP BY owner_id, LOWER(merchant)"
 
 
-@query("m16_backfill_merchant_ids", f"SELECT t.tx_id, m.merchant_id, t.receipt_group_id AS purchase_group_id FROM ({OLD_TX}) t LEFT JOIN ({SHOP_IDS}) m ON t.type = 'EXPENSE' AND m.normalized_name = lower(trim(t.merchant))")
+@query("m16_backfill_merchant_ids", f"""SELECT t.owner_id, t.tx_id, m.merchant_id, t.receipt_group_id AS purchase_group_id FROM ({OLD_TX}) t
+LEFT JOIN ({SHOP_IDS}) m ON t.type = 'EXPENSE' AND m.owner_id = t.owner_id AND m.normalized_name = lower(trim(t.merchant))""")
 def _(t):
-    return M.backfill_merchant_ids(t.sql(OLD_TX), t.sql(SHOP_IDS)).select("tx_id", "merchant_id", "purchase_group_id")
+    return M.backfill_merchant_ids(t.sql(OLD_TX), t.sql(SHOP_IDS)).select("owner_id", "tx_id", "merchant_id", "purchase_group_id")
 
 
 MANUAL = "SELECT tx_id, type, amount_minor, COALESCE(category_id, 3) AS category_id, CASE WHEN created_at = 2 THEN '  ' ELSE merchant END AS merchant, CASE WHEN created_at = 3 THEN '' ELSE note END AS note FROM fx_tx"

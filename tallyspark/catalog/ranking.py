@@ -52,7 +52,7 @@ def _(t):
     return R.offer_new_merchant(t.queries, known).select("query")
 
 
-MAP = "normalized_item, normalized_merchant, category_id, confirmation_count"
+MAP = "owner_id, normalized_item, normalized_merchant, category_id, confirmation_count"
 MAPC = [c.strip() for c in MAP.split(",")]
 
 
@@ -61,11 +61,11 @@ def _(t):
     return R.active_mappings(t.mappings, t.cats10).select(*MAPC)
 
 
-KEYS = "SELECT p_name AS normalized_item, CASE WHEN p_size % 2 = 0 THEN LOWER(REPLACE(p_brand, '#', ' ')) END AS normalized_merchant FROM part"
+KEYS = "SELECT CAST(p_partkey % 3 AS BIGINT) AS owner_id, p_name AS normalized_item, CASE WHEN p_size % 2 = 0 THEN LOWER(REPLACE(p_brand, '#', ' ')) END AS normalized_merchant FROM part"
 
 
 @query("j05_find_mapping", f"""
-SELECT m.{MAP.replace(', ', ', m.')} FROM fx_mappings m WHERE EXISTS (SELECT 1 FROM ({KEYS}) k WHERE k.normalized_item = m.normalized_item AND k.normalized_merchant IS NOT DISTINCT FROM m.normalized_merchant)""")
+SELECT m.{MAP.replace(', ', ', m.')} FROM fx_mappings m WHERE EXISTS (SELECT 1 FROM ({KEYS}) k WHERE k.owner_id = m.owner_id AND k.normalized_item = m.normalized_item AND k.normalized_merchant IS NOT DISTINCT FROM m.normalized_merchant)""")
 def _(t):
     return R.find_mapping(t.sql(KEYS), t.mappings).select(*MAPC)
 

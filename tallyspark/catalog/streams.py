@@ -45,15 +45,15 @@ def _(t):
 
 
 @query("st03_stream_merchant_use", """
-SELECT lower(shown) AS normalized_name, arg_max(shown, event_id) AS display_name, COUNT(*) AS usage_count, MAX(event_id) AS last_used_at FROM (
-  SELECT 'Shop ' || (CAST(ROUND(value) AS BIGINT) % 50) AS shown, event_id FROM events) x GROUP BY lower(shown)""")
+SELECT owner_id, lower(shown) AS normalized_name, arg_max(shown, event_id) AS display_name, COUNT(*) AS usage_count, MAX(event_id) AS last_used_at FROM (
+  SELECT CAST(user_id AS BIGINT) AS owner_id, 'Shop ' || (CAST(ROUND(value) AS BIGINT) % 50) AS shown, event_id FROM events) x GROUP BY owner_id, lower(shown)""")
 def _(t):
     base = work_folder(t.spark, "uses")
     uses = J.events_stream(t.spark, t.folder).select(
-        F.concat(F.lit(" Shop  "), (F.round("value").cast("long") % 50).cast("string")).alias("merchant_name"), category().alias("category_id"),
+        F.col("user_id").cast("long").alias("owner_id"), F.concat(F.lit(" Shop  "), (F.round("value").cast("long") % 50).cast("string")).alias("merchant_name"), category().alias("category_id"),
         F.col("event_id").alias("used_at"), F.col("event_id").alias("seq"))
     J.stream_merchant_use(uses, f"{base}/state", f"{base}/ck").awaitTermination()
-    return J.read_state(t.spark, f"{base}/state", J.MERCHANT_STATE).select("normalized_name", "display_name", "usage_count", "last_used_at")
+    return J.read_state(t.spark, f"{base}/state", J.MERCHANT_STATE).select("owner_id", "normalized_name", "display_name", "usage_count", "last_used_at")
 
 
 @query("st04_stream_confirmations", """

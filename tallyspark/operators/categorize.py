@@ -37,13 +37,13 @@ def unresolved(items: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def suggest_learned(items: DataFrame, mappings: DataFrame, cats: DataFrame) -> DataFrame:
-    """Exact mapping of the item, the merchant's own before the generic one."""
+    """The owner's exact mapping of the item, the merchant's own before the generic one."""
     live = active_mappings(mappings, cats)
-    special = live.filter(F.col("normalized_merchant").isNotNull()).select("normalized_item", "normalized_merchant", F.col("category_id").alias("__own"))
-    generic = live.filter(F.col("normalized_merchant").isNull()).select("normalized_item", F.col("category_id").alias("__any"))
-    x = keyed.pin(items.select("item_id", "item_name", "merchant"), "normalized_item", text.normalize_item(F.col("item_name")))
+    special = live.filter(F.col("normalized_merchant").isNotNull()).select("owner_id", "normalized_item", "normalized_merchant", F.col("category_id").alias("__own"))
+    generic = live.filter(F.col("normalized_merchant").isNull()).select("owner_id", "normalized_item", F.col("category_id").alias("__any"))
+    x = keyed.pin(items.select("item_id", "owner_id", "item_name", "merchant"), "normalized_item", text.normalize_item(F.col("item_name")))
     x = keyed.pin(x.filter(F.col("normalized_item") != ""), "normalized_merchant", text.normalize_item(F.col("merchant")))
-    j = x.join(special, ["normalized_item", "normalized_merchant"], "left").join(generic, "normalized_item", "left")
+    j = x.join(special, ["owner_id", "normalized_item", "normalized_merchant"], "left").join(generic, ["owner_id", "normalized_item"], "left")
     category = F.coalesce("__own", "__any")
     return j.filter(category.isNotNull()).select(
         "item_id", category.alias("category_id"),

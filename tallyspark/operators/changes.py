@@ -79,17 +79,16 @@ def fold_confirmations(mappings: DataFrame, cmds: DataFrame) -> DataFrame:
 
 
 def fold_merchant_use(merchants: DataFrame, uses: DataFrame) -> DataFrame:
-    """Uses folded into the merchants: count, last use, latest name and category; unknown names are added."""
+    """Uses folded into their owner's merchants: count, last use, latest name and category; unknown names are added."""
+    keys = ["owner_id", "normalized_name"]
     clean = F.trim(F.regexp_replace("merchant_name", r"\s+", " "))
-    rows = uses.filter(clean != "").select(text.normalize_merchant(clean).alias("normalized_name"), clean.alias("shown"), "category_id", "used_at", "seq")
-    new = rows.groupBy("normalized_name").agg(
-        F.count("*").alias("n"), F.max(F.struct("used_at", "seq", "shown", "category_id")).alias("last"), F.min("used_at").alias("first_at")
-    )
-    m = merchants.select("normalized_name", "display_name", "usage_count", "last_used_at", "default_category_id", "source")
-    j = m.join(new, "normalized_name", "full_outer")
+    rows = uses.filter(clean != "").select("owner_id", text.normalize_merchant(clean).alias("normalized_name"), clean.alias("shown"), "category_id", "used_at", "seq")
+    new = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.struct("used_at", "seq", "shown", "category_id")).alias("last"))
+    m = merchants.select(*keys, "display_name", "usage_count", "last_used_at", "default_category_id", "source")
+    j = m.join(new, keys, "full_outer")
     used = F.col("n").isNotNull()
     return j.select(
-        "normalized_name", F.coalesce("last.shown", "display_name").alias("display_name"),
+        *keys, F.coalesce("last.shown", "display_name").alias("display_name"),
         (F.coalesce("usage_count", F.lit(0).cast("long")) + F.coalesce("n", F.lit(0).cast("long"))).alias("usage_count"),
         F.coalesce("last.used_at", "last_used_at").alias("last_used_at"), F.coalesce("last.category_id", "default_category_id").alias("default_category_id"),
         F.when(used, F.lit("USER")).otherwise(F.col("source")).alias("source"),
@@ -97,13 +96,19 @@ def fold_merchant_use(merchants: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def seed_merchants(merchants: DataFrame, cats: DataFrame, directory: Sequence[tuple[str, str | None]] = tuple(MERCHANT_DIRECTORY)) -> DataFrame:
-    """The directory's merchants that are not known yet, added with their default category by name."""
-    seeds = merchants.sparkSession.createDataFrame([(n, c) for n, c in directory], "display_name STRING, category_name STRING")
+    """The directory's merchants that an owner does not know yet, added with that owner's default category by name.
+
+    Owners are those of ``merchants`` and ``cats``; each gets the directory, a fixed list.
+    """
+    keys = ["owner_id", "normalized_name"]
+    owners = merchants.select("owner_id").union(cats.select("owner_id")).distinct()
+    listed = F.array(*[F.struct(F.lit(n).alias("display_name"), F.lit(c).cast("string").alias("category_name")) for n, c in directory])
+    seeds = owners.select("owner_id", F.explode(listed).alias("s")).select("owner_id", "s.*")
     seeds = seeds.withColumn("normalized_name", text.normalize_merchant(F.col("display_name")))
-    ids = cats.select(F.col("name").alias("category_name"), F.col("category_id").alias("default_category_id"))
-    fresh = seeds.join(merchants.select("normalized_name"), "normalized_name", "left_anti").join(ids, "category_name", "left")
+    ids = cats.select("owner_id", F.col("name").alias("category_name"), F.col("category_id").alias("default_category_id"))
+    fresh = seeds.join(merchants.select(*keys), keys, "left_anti").join(ids, ["owner_id", "category_name"], "left")
     zero = F.lit(0).cast("long")
-    fresh = fresh.select("normalized_name", "display_name", zero.alias("usage_count"), zero.alias("last_used_at"), "default_category_id", F.lit("SEEDED").alias("source"))
+    fresh = fresh.select(*keys, "display_name", zero.alias("usage_count"), zero.alias("last_used_at"), "default_category_id", F.lit("SEEDED").alias("source"))
     return merchants.select(*fresh.columns).unionByName(fresh)
 
 
@@ -470,17 +475,18 @@ def edit_categories(cats: DataFrame, cmds: DataFrame) -> DataFrame:
 
 
 def create_custom_types(types: DataFrame, names: DataFrame) -> DataFrame:
-    """Custom item types after creation: an archived one of that name is restored, an active one kept."""
-    wanted = names.select(F.trim(F.regexp_replace("name", r"\s+", " ")).alias("shown"), "seq").withColumn("key", text.normalize_type(F.col("shown")))
-    wanted = keyed.top_per_key(wanted.filter(F.col("key") != ""), ["key"], [F.asc("seq")], 1).drop("seq")
-    old = types.select(text.normalize_type(F.col("name")).alias("key"), "name", "is_archived")
-    j = old.join(wanted, "key", "full_outer")
-    return j.select("key", F.coalesce("name", "shown").alias("name"), F.when(F.col("shown").isNotNull(), F.lit(False)).otherwise(F.col("is_archived")).alias("is_archived"))
+    """An owner's custom item types after creation: an archived one of that name is restored, an active one kept."""
+    keys = ["owner_id", "key"]
+    wanted = names.select("owner_id", F.trim(F.regexp_replace("name", r"\s+", " ")).alias("shown"), "seq").withColumn("key", text.normalize_type(F.col("shown")))
+    wanted = keyed.top_per_key(wanted.filter(F.col("key") != ""), keys, [F.asc("seq")], 1).drop("seq")
+    old = types.select("owner_id", text.normalize_type(F.col("name")).alias("key"), "name", "is_archived")
+    j = old.join(wanted, keys, "full_outer")
+    return j.select(*keys, F.coalesce("name", "shown").alias("name"), F.when(F.col("shown").isNotNull(), F.lit(False)).otherwise(F.col("is_archived")).alias("is_archived"))
 
 
 def backfill_merchant_ids(tx: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Old transactions with their merchant id by normalised name (expenses only) and receipt group."""
-    m = merchants.select(F.col("normalized_name").alias("__name"), F.col("merchant_id").alias("__id"))
+    """Old transactions with their owner's merchant id by normalised name (expenses only) and receipt group."""
+    m = merchants.select(F.col("owner_id").alias("__owner"), F.col("normalized_name").alias("__name"), F.col("merchant_id").alias("__id"))
     key = F.when(F.col("type") == "EXPENSE", F.lower(F.trim("merchant")))
-    return tx.drop("merchant_id", "purchase_group_id").join(m, key == F.col("__name"), "left").drop("__name").withColumnRenamed("__id", "merchant_id").withColumn(
-        "purchase_group_id", F.col("receipt_group_id"))
+    joined = tx.drop("merchant_id", "purchase_group_id").join(m, (F.col("owner_id") == F.col("__owner")) & (key == F.col("__name")), "left").drop("__name", "__owner")
+    return joined.withColumnRenamed("__id", "merchant_id").withColumn("purchase_group_id", F.col("receipt_group_id"))

@@ -119,10 +119,10 @@ def active_mappings(mappings: DataFrame, cats: DataFrame) -> DataFrame:
 
 
 def find_mapping(keys: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Mapping of each (item, merchant) key; a null merchant is a key of its own."""
+    """The owner's mapping of each (item, merchant) key; a null merchant is a key of its own."""
     m = mappings.alias("m")
-    k = keys.select("normalized_item", "normalized_merchant").distinct().alias("k")
-    on = (F.col("k.normalized_item") == F.col("m.normalized_item")) & F.col("k.normalized_merchant").eqNullSafe(F.col("m.normalized_merchant"))
+    k = keys.select("owner_id", "normalized_item", "normalized_merchant").distinct().alias("k")
+    on = (F.col("k.owner_id") == F.col("m.owner_id")) & (F.col("k.normalized_item") == F.col("m.normalized_item")) & F.col("k.normalized_merchant").eqNullSafe(F.col("m.normalized_merchant"))
     return k.join(m, on).select("m.*")
 
 

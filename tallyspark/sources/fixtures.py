@@ -142,7 +142,7 @@ SELECT p_partkey AS asset_id, p_partkey % 100 AS owner_id, p_name AS name, p_bra
   p_partkey % 29 = 0 AS is_archived, p_partkey % 1000 AS updated_at
 FROM part""",
     "fx_custom_types": """
-SELECT CAST(custom_type_id AS BIGINT) AS custom_type_id, name, is_archived FROM (VALUES
+SELECT CAST(custom_type_id AS BIGINT) AS custom_type_id, CAST(custom_type_id % 2 AS BIGINT) AS owner_id, name, is_archived FROM (VALUES
  (1, 'Camera', false), (2, 'boat', false), (3, 'Bicycle', true), (4, 'drone', false)) AS t(custom_type_id, name, is_archived)""",
     "fx_warranties": """
 SELECT p_partkey AS warranty_id, p_partkey AS asset_id, CONCAT(p_name, ' warranty') AS name,
@@ -221,18 +221,18 @@ FROM embeddings""",
     "fx_desc": """
 SELECT v.label, v.vec FROM fx_vec v JOIN (SELECT label, MIN(item_id) AS item_id FROM fx_vec GROUP BY label) m ON m.item_id = v.item_id""",
     "fx_items": """
-SELECT v.item_id, v.label, p.p_name AS item_name, p.p_brand AS merchant, v.vec
+SELECT v.item_id, CAST(p.p_partkey % 3 AS BIGINT) AS owner_id, v.label, p.p_name AS item_name, p.p_brand AS merchant, v.vec
 FROM fx_vec v JOIN part p ON p.p_partkey = v.item_id""",
     "fx_cats10": """
 SELECT CAST(l AS BIGINT) AS category_id, CONCAT('K', CAST(l AS STRING)) AS name, l = 9 AS is_archived
 FROM (SELECT DISTINCT label AS l FROM embeddings) x""",
     "fx_mappings": """
-SELECT p_name AS normalized_item, NULL AS normalized_merchant, MIN(p_partkey) % 10 AS category_id, COUNT(*) AS confirmation_count,
+SELECT CAST(p_partkey % 3 AS BIGINT) AS owner_id, p_name AS normalized_item, NULL AS normalized_merchant, MIN(p_partkey) % 10 AS category_id, COUNT(*) AS confirmation_count,
   MIN(p_partkey) AS created_at, MAX(p_partkey) AS updated_at
-FROM part WHERE p_name LIKE '%ring' OR p_name LIKE '%bolt' GROUP BY p_name
+FROM part WHERE p_name LIKE '%ring' OR p_name LIKE '%bolt' GROUP BY p_partkey % 3, p_name
 UNION ALL
-SELECT p_name, LOWER(REPLACE(p_brand, '#', ' ')), MAX(p_partkey) % 10, COUNT(*), MIN(p_partkey), MAX(p_partkey)
-FROM part WHERE p_size > 25 GROUP BY p_name, p_brand""",
+SELECT CAST(p_partkey % 3 AS BIGINT), p_name, LOWER(REPLACE(p_brand, '#', ' ')), MAX(p_partkey) % 10, COUNT(*), MIN(p_partkey), MAX(p_partkey)
+FROM part WHERE p_size > 25 GROUP BY p_partkey % 3, p_name, p_brand""",
     "fx_lexicon": """
 SELECT term, CAST(category_id AS BIGINT) AS category_id FROM (VALUES
  ('red', 0), ('gear', 0), ('blue', 1), ('rod', 1), ('cold', 2), ('plate', 2), ('hot', 3), ('anvil', 3), ('large', 9), ('widget', 4)) AS t(term, category_id)""",
@@ -242,7 +242,7 @@ SELECT event_id, user_id AS owner_id, CONCAT('item', CAST(CAST(ROUND(value) AS B
   CASE WHEN user_id % 2 = 0 THEN 'shop' END AS normalized_merchant, ts
 FROM events""",
     "fx_uses": """
-SELECT event_id, CONCAT(' Shop  ', CAST(CAST(ROUND(value) AS BIGINT) % 50 AS STRING)) AS merchant_name,
+SELECT event_id, CAST(user_id % 5 AS BIGINT) AS owner_id, CONCAT(' Shop  ', CAST(CAST(ROUND(value) AS BIGINT) % 50 AS STRING)) AS merchant_name,
   CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS category_id,
   event_id AS used_at
 FROM events""",

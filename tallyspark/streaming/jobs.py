@@ -95,7 +95,7 @@ def fold_stream(
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-MERCHANT_STATE = "normalized_name STRING, display_name STRING, usage_count BIGINT, last_used_at BIGINT, default_category_id BIGINT, source STRING"
+MERCHANT_STATE = "owner_id BIGINT, normalized_name STRING, display_name STRING, usage_count BIGINT, last_used_at BIGINT, default_category_id BIGINT, source STRING"
 MAPPING_STATE = "owner_id BIGINT, normalized_item STRING, normalized_merchant STRING, category_id BIGINT, confirmation_count BIGINT, created_at BIGINT, updated_at BIGINT"
 
 
