@@ -109,13 +109,14 @@ def disguised(core: str) -> bool:
 def restored(token: str, model: Trigrams) -> str:
     """A lower-case token without the marks around it, decoded if it looks disguised; empty if it is no word."""
     plain = token.strip(_EDGE)
-    if plain.isalpha() and not disguised(plain):
-        return plain
-    core = plain if plain and not plain.isdigit() else ""
-    if "$" in token or "@" in token or "!" in token:  # a mark at the edge may be a letter, as in @ss
-        wider = token.strip(".,?;:\"'()[]{}*%#&|<>~^_-+=/\\`´«»“”‘’…")
-        core = wider if 0 < len(wider) - len(plain) <= 2 and any(c.isalpha() for c in plain) and not (plain.isalpha() and wider.startswith(plain)) else core
-    return viterbi(core, model) if core and disguised(core) else (core if core.isalpha() else "")
+    if not plain or plain.isdigit():
+        return ""
+    core = plain
+    if token[0] in "$@€£" and token[1:].startswith(plain):  # a mark at the edge may be a letter, as in $tupid
+        core = token[0] + core
+    if token[-1] == "$" and token[:-1].endswith(plain):
+        core += "$"
+    return viterbi(core, model) if disguised(core) else (core if core.isalpha() else "")
 
 
 def beginnings(word: str) -> list[str]:
