@@ -133,14 +133,23 @@ def merge(
     return joined.select(*out)
 
 
-def attach_catalog(rows: DataFrame, catalog: DataFrame, salt_by: str, salts: int = 64) -> DataFrame:
+#: Bytes of a catalog that every executor may hold; beyond it rows and catalog meet in a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def attach_catalog(rows: DataFrame, catalog: DataFrame, salt_by: str, salts: int | None = None) -> DataFrame:
     """Give every row every catalog row, without a cross join.
 
-    The catalog is a handful of packed rows. Rows get a salt from ``salt_by`` and
-    the catalog one copy per salt, so the join has an equality key: Spark
-    broadcasts the catalog while its measured size allows and otherwise shuffles
-    both sides over ``salts`` balanced partitions.
+    The catalog is a handful of packed rows. Its size is measured: up to
+    ``BROADCAST_BYTES`` it is broadcast on a constant key and the rows stay where
+    they are. Beyond that rows get a salt from ``salt_by`` and the catalog one copy
+    per salt, as many as there are shuffle partitions.
     """
+    held = catalog.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if held <= BROADCAST_BYTES:
+        one = rows.withColumn("__salt", F.lit(0))
+        return one.join(F.broadcast(catalog.withColumn("__salt", F.lit(0))), "__salt").drop("__salt")
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     copies = catalog.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, "__salt").drop("__salt")

@@ -139,8 +139,8 @@ def stream_reminders(
 ) -> StreamingQuery:
     """Reminders delivered once per (rule, occurrence).
 
-    Each tick asks ``eligible(spark, delivered)`` for what is due, posts it, and
-    only then records the delivery; a failed post leaves no record.
+    Each tick asks ``eligible(spark, delivered)`` once for what is due, records it,
+    and posts the recorded rows; a failed post takes its record back.
     """
     schema = "rule_id STRING, occurrence_key STRING"
 
@@ -151,8 +151,14 @@ def stream_reminders(
         others = [f"{deliveries}/v={v}" for v in _versions(spark, deliveries) if v != batch_id]
         delivered = spark.read.schema(schema).parquet(*others) if others else spark.createDataFrame([], schema)
         due = eligible(spark, delivered).select("rule_id", "occurrence_key")
-        post(due)
-        due.dropDuplicates().write.mode("overwrite").parquet(f"{deliveries}/v={batch_id}")
+        folder = f"{deliveries}/v={batch_id}"
+        due.dropDuplicates().write.mode("overwrite").parquet(folder)
+        try:
+            post(spark.read.schema(schema).parquet(folder))
+        except Exception:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            raise
 
     return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

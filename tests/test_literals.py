@@ -6,7 +6,9 @@ import itertools
 import random
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, money, text, vectors
@@ -18,6 +20,8 @@ from tallyspark.operators import obligations as O
 from tallyspark.operators import ranking as R
 from tallyspark.operators import receipts as P
 from tallyspark.plans import keyed
+from tallyspark.plans.session import work_folder
+from tallyspark.streaming import jobs as J
 
 D = dt.date
 
@@ -329,3 +333,72 @@ def test_hot_key_merge(spark):
     assert got["IGNORE"] == {(1, "a"), (2, "b"), (3, "n")}
     assert got["UPDATE"] == {(1, "x49"), (2, "b")}
     assert got["DELETE"] == {(2, "b")}
+
+
+def test_commands_are_folded_in_order(spark):
+    """Two commands per key, an invalid try before a valid one, and a link that outlives an UNPAID."""
+    status = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 5), "PAID", True, 100, 1), (1, dt.date(2024, 1, 5), "UNPAID", False, 200, 2), (2, dt.date(2024, 1, 5), "PAID", False, 10, 1), (2, dt.date(2024, 1, 5), "PAID", True, 20, 2)],
+        "commitment_id BIGINT, due_date DATE, status STRING, create_expense BOOLEAN, ts BIGINT, seq BIGINT")
+    commitments = spark.createDataFrame([(1, 7, "Rent", 500, None), (2, 7, "Gym", 50, None)], "commitment_id BIGINT, owner_id BIGINT, title STRING, amount_minor BIGINT, merchant_id BIGINT")
+    none = spark.createDataFrame([], "owner_id BIGINT, commitment_id BIGINT, due_date DATE, status STRING, paid_tx_id STRING, paid_at BIGINT")
+    out = M.apply_status(none, status, commitments)
+    got = {r["commitment_id"]: (r["status"], r["paid_tx_id"], r["paid_at"]) for r in out["overrides"].collect()}
+    assert got == {1: ("UNPAID", "commitment-1-2024-01-05", None), 2: ("PAID", "commitment-2-2024-01-05", 20)}
+    assert out["transactions"].count() == 2
+
+    assets = spark.createDataFrame([(1, 7, 100, False)], "asset_id BIGINT, owner_id BIGINT, current_km BIGINT, is_archived BOOLEAN")
+    rules = spark.createDataFrame([], "rule_id BIGINT, asset_id BIGINT, is_active BOOLEAN, trigger_type STRING")
+    events = spark.createDataFrame([], "asset_id BIGINT, rule_id BIGINT, event_date DATE, km BIGINT, cost_minor BIGINT, linked_tx_id STRING, idempotency_key STRING")
+    cats = spark.createDataFrame([(2, False), (3, True)], "category_id BIGINT, is_archived BOOLEAN")
+    tries = [(" ", 900, "a", 1), ("oil", 50, "b", 2), ("oil", 150, "a", 3), ("oil", 120, "b", 4), ("oil", 160, "b", 5), ("oil", 999, "b", 6)]
+    cmds = spark.createDataFrame([(1, None, t, dt.date(2024, 1, 1), km, None, False, None, k, s) for t, km, k, s in tries],
+        "asset_id BIGINT, rule_id BIGINT, title STRING, event_date DATE, km BIGINT, cost_minor BIGINT, create_expense BOOLEAN, category_id BIGINT, idempotency_key STRING, seq BIGINT")
+    done = M.apply_maintenance(events, cmds, assets, rules, cats)
+    assert sorted((r["idempotency_key"], r["km"]) for r in done["events"].collect()) == [("a", 150), ("b", 160)]
+    assert one(done["assets"])["current_km"] == 160
+
+    cp = spark.createDataFrame([(1, 1, "Oil", "DATE", dt.date(2024, 3, 1), None, 6, None, None, None, dt.date(2024, 4, 1), None, True)],
+        "checkpoint_id BIGINT, asset_id BIGINT, title STRING, trigger_mode STRING, due_date DATE, due_km BIGINT, repeat_months INT, repeat_km BIGINT, warning_days INT, warning_km BIGINT, rescheduled_date DATE, rescheduled_km BIGINT, is_active BOOLEAN")
+    no_events = spark.createDataFrame([], "checkpoint_id BIGINT, event_id BIGINT, event_date DATE, km BIGINT, created_at BIGINT")
+    twice = spark.createDataFrame([(1, dt.date(2024, 4, 2), None, " ", 1, 1), (1, dt.date(2024, 10, 3), None, " ", 2, 2)], "checkpoint_id BIGINT, event_date DATE, km BIGINT, note STRING, ts BIGINT, seq BIGINT")
+    made = M.complete_checkpoints(cp, twice, no_events)
+    assert [r["due_date"] for r in made["events"].orderBy("event_id").collect()] == [dt.date(2024, 4, 1), dt.date(2024, 10, 2)]
+
+    edits = cp.select(*[F.lit(0).cast("bigint").alias(c) if c == "checkpoint_id" else F.col(c) for c in cp.columns]).withColumn("seq", F.lit(1))
+    after = M.edit_checkpoints(cp, edits, no_events, spark.createDataFrame([], "source_type STRING, source_id BIGINT"), assets)["checkpoints"]
+    assert after.count() == 2 and after.filter("rescheduled_date is null").count() == 1
+
+
+def test_owners_stay_apart(spark):
+    """Confirmed mappings and backfilled merchants of several owners give one answer each."""
+    empty = spark.createDataFrame([], "owner_id BIGINT, normalized_item STRING, normalized_merchant STRING, category_id BIGINT, confirmation_count BIGINT, created_at BIGINT, updated_at BIGINT")
+    confirms = spark.createDataFrame([(1, "milk", None, 4, 1, 1), (2, "milk", None, 5, 2, 2)], "owner_id BIGINT, normalized_item STRING, normalized_merchant STRING, category_id BIGINT, ts BIGINT, seq BIGINT")
+    cats = spark.createDataFrame([(4, False), (5, False)], "category_id BIGINT, is_archived BOOLEAN")
+    items = spark.createDataFrame([(10, 1, "milk", "shop"), (11, 2, "milk", "shop")], "item_id BIGINT, owner_id BIGINT, item_name STRING, merchant STRING")
+    learned = C.suggest_learned(items, M.fold_confirmations(empty, confirms), cats)
+    assert sorted((r["item_id"], r["category_id"]) for r in learned.collect()) == [(10, 4), (11, 5)]
+    tx = spark.createDataFrame([(1, "t1", "EXPENSE", " Shop ", "g"), (2, "t2", "EXPENSE", "shop", "g")], "owner_id BIGINT, tx_id STRING, type STRING, merchant STRING, receipt_group_id STRING")
+    shops = spark.createDataFrame([(1, "shop", 8), (2, "shop", 9)], "owner_id BIGINT, normalized_name STRING, merchant_id BIGINT")
+    assert sorted((r["tx_id"], r["merchant_id"]) for r in M.backfill_merchant_ids(tx, shops).collect()) == [("t1", 8), ("t2", 9)]
+
+
+def test_late_payment_is_recorded(spark, tmp_path):
+    """Three batches, the last one a week late and with a repeated key."""
+    schema = "idempotency_key STRING, ts TIMESTAMP, amount_minor BIGINT"
+    for i, (key, day) in enumerate([("a", "2024-01-10"), ("b", "2024-01-12"), ("c", "2024-01-03"), ("a", "2024-01-20")]):
+        spark.createDataFrame([(key, dt.datetime.fromisoformat(day), i)], schema).write.parquet(f"{tmp_path}/in/f{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    J.stream_payments(stream, f"{tmp_path}/sink", f"{tmp_path}/ck", schema).awaitTermination()
+    assert sorted(r["idempotency_key"] for r in J.read_versions(spark, f"{tmp_path}/sink", schema).collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("master, fails", [("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)])
+def test_work_folder_needs_a_shared_place(master, fails):
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    if fails:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_folder(session, "x")
+    else:
+        assert work_folder(session, "x").endswith("/x")
