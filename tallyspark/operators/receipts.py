@@ -200,9 +200,10 @@ def money_tokens(rows: DataFrame, key: list[str], column: str = "row_text") -> D
     x = keyed.pin(keyed.pin(x, "__d", mask(F.col("__text"), DATE)), "__t", mask(F.col("__d"), TIME))
     pieces, runs = F.split("__t", NUMBER_RUN), F.regexp_extract_all("__t", F.lit(NUMBER_RUN), F.lit(0))
     x = x.withColumns({"__p": pieces, "__r": runs})
-    # Start of run i: the lengths of everything before it.
-    starts = F.transform("__r", lambda r, i: F.aggregate(F.slice("__p", 1, i + 1), F.lit(0), lambda s, p: s + F.length(p))
-                         + F.aggregate(F.slice("__r", 1, i), F.lit(0), lambda s, q: s + F.length(q)))
+    # Start of each run: a running total over the lengths of the text before it and of the runs.
+    sizes = F.zip_with("__p", "__r", lambda p, r: F.struct(F.length(p).alias("p"), F.coalesce(F.length(r), F.lit(0)).alias("r")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(sizes, begin, lambda s, x: F.struct((s["at"] + x["p"] + x["r"]).alias("at"), F.array_append(s["out"], s["at"] + x["p"]).alias("out")), lambda s: s["out"])
     x = x.withColumn("__z", F.arrays_zip(F.col("__r").alias("raw"), starts.alias("at")))
     x = x.select(*key, *extra, "__t", "__len", F.posexplode("__z").alias("token_no", "z")).filter(F.col("z.raw").rlike(MONEY))
     raw, at = F.col("z.raw"), F.col("z.at")
