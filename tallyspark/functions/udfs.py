@@ -45,6 +45,7 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+_LARGEST = 2**63 - 1
 _EXACT = Context(prec=400, rounding=ROUND_HALF_UP)
 
 
@@ -55,13 +56,13 @@ def _compound(basis: pd.Series, points: pd.Series, periods: pd.Series) -> pd.Ser
             return None
         growth = _EXACT.power(_EXACT.add(Decimal(1), Decimal(int(p)).scaleb(-4)), int(n))
         charge = _EXACT.multiply(Decimal(int(b)), _EXACT.subtract(growth, Decimal(1)))
-        return int(charge.quantize(Decimal(1), rounding=ROUND_HALF_UP, context=_EXACT))
+        return min(_LARGEST, int(charge.quantize(Decimal(1), rounding=ROUND_HALF_UP, context=_EXACT)))
 
     return pd.Series([one(b, p, n) for b, p, n in zip(basis, points, periods)], dtype="Int64")
 
 
 def compound_charge(basis: Column, points: Column, periods: Column) -> Column:
-    """``basis * ((1 + points/10000)^periods - 1)``, HALF_UP to a minor unit."""
+    """``basis * ((1 + points/10000)^periods - 1)``, HALF_UP to a minor unit; at most the largest long."""
     return _compound(basis, points, periods)
 
 

@@ -129,10 +129,21 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", t).filter((F.col("text") != "") & (c.isNull() | (c >= MIN_CONFIDENCE) | weak_name))
 
 
-def _banded(df: DataFrame, top: Column, bottom: Column, size: float) -> DataFrame:
-    """One row per vertical band of ``size`` the interval touches."""
-    lo, hi = F.floor(top / size).cast("int"), F.floor(bottom / size).cast("int")
-    return df.withColumn("band", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+#: A box that touches more bands than this is held against all rows of its receipt instead.
+MOST_BANDS = 64
+
+
+def _copies(rows: DataFrame, top: Column, bottom: Column, size: float, on: Column, key: list[str]) -> DataFrame:
+    """Keys of the rows ``a`` for which a row ``b`` of the receipt fulfils ``on``; rows meet in the bands of ``size`` they touch."""
+    low, high = F.floor(top / size).cast("long"), F.floor(bottom / size).cast("long")
+    x = rows.withColumn("__lo", low).withColumn("__hi", F.greatest(low, high))
+    tall = F.col("__hi") - F.col("__lo") >= MOST_BANDS
+    flat = x.filter(~tall).withColumn("band", F.explode(F.sequence("__lo", "__hi")))
+    receipt = F.col("a.receipt_id") == F.col("b.receipt_id")
+    found = flat.alias("a").join(flat.alias("b"), receipt & (F.col("a.band") == F.col("b.band")) & on, "left_semi").select(*key)
+    for a, b in ((x.filter(tall), x), (x, x.filter(tall))):
+        found = found.union(a.alias("a").join(b.alias("b"), receipt & on, "left_semi").select(*key))
+    return found.distinct()
 
 
 def dedupe_lines(lines: DataFrame, band: float = 32.0) -> DataFrame:
@@ -142,16 +153,14 @@ def dedupe_lines(lines: DataFrame, band: float = 32.0) -> DataFrame:
     lengths rule it out. The copies are found by a semi join: no pair is emitted.
     """
     boxed = keyed.pin(lines.filter(F.col("box_top").isNotNull()), "form", product_form(F.col("text")))
-    x = _banded(boxed, F.col("box_top"), F.col("box_bottom"), band).select(
-        "receipt_id", "band", "line_id", "form", F.coalesce("confidence", F.lit(0.0)).alias("conf"), "box_left", "box_top", "box_right", "box_bottom")
-    a, b = x.alias("a"), x.alias("b")
+    x = boxed.select("receipt_id", "line_id", "form", F.coalesce("confidence", F.lit(0.0)).alias("conf"), "box_left", "box_top", "box_right", "box_bottom")
     col = F.col
     better = (col("b.conf") > col("a.conf")) | ((col("b.conf") == col("a.conf")) & (
         F.struct(col("b.box_top"), col("b.box_left"), col("b.line_id")) < F.struct(col("a.box_top"), col("a.box_left"), col("a.line_id"))))
     placed = (overlap_ratio(col("a.box_top"), col("a.box_bottom"), col("b.box_top"), col("b.box_bottom")) >= 0.55) & (
         overlap_ratio(col("a.box_left"), col("a.box_right"), col("b.box_left"), col("b.box_right")) >= 0.45)
-    on = (col("a.receipt_id") == col("b.receipt_id")) & (col("a.band") == col("b.band")) & better & placed & text.similar(col("a.form"), col("b.form"), DUPLICATE_SIMILARITY)
-    copies = a.join(b, on, "left_semi").select("receipt_id", "line_id").distinct()
+    on = better & placed & text.similar(col("a.form"), col("b.form"), DUPLICATE_SIMILARITY)
+    copies = _copies(x, col("box_top"), col("box_bottom"), band, on, ["receipt_id", "line_id"])
     return lines.join(copies, ["receipt_id", "line_id"], "left_anti")
 
 
@@ -435,15 +444,13 @@ def attach_wrapped(items: DataFrame, classified: DataFrame) -> DataFrame:
 def dedupe_items(items: DataFrame, band: float = 64.0) -> DataFrame:
     """Repeated readings of one item removed: same amount, similar name, overlapping or adjacent rows."""
     h = _height(F.col("box_top"), F.col("box_bottom"))
-    x = keyed.pin(items, "form", product_form(F.col("name")))
-    x = _banded(x, F.col("box_top") - h, F.col("box_bottom") + h, band).select("receipt_id", "band", "amount_minor", "row_no", "form", "box_top", "box_bottom")
-    a, b, col = x.alias("a"), x.alias("b"), F.col
+    x = keyed.pin(items, "form", product_form(F.col("name"))).select("receipt_id", "amount_minor", "row_no", "form", "box_top", "box_bottom")
+    col = F.col
     center = lambda s: (col(f"{s}.box_top") + col(f"{s}.box_bottom")) / 2
     tall = F.greatest(_height(col("a.box_top"), col("a.box_bottom")), _height(col("b.box_top"), col("b.box_bottom")))
     near = (overlap_ratio(col("a.box_top"), col("a.box_bottom"), col("b.box_top"), col("b.box_bottom")) >= 0.35) | (F.abs(center("a") - center("b")) <= tall)
-    on = (col("a.receipt_id") == col("b.receipt_id")) & (col("a.band") == col("b.band")) & (col("a.amount_minor") == col("b.amount_minor"))
-    on = on & (col("b.row_no") < col("a.row_no")) & near & text.similar(col("a.form"), col("b.form"), DUPLICATE_SIMILARITY)
-    copies = a.join(b, on, "left_semi").select("receipt_id", "row_no").distinct()
+    on = (col("a.amount_minor") == col("b.amount_minor")) & (col("b.row_no") < col("a.row_no")) & near & text.similar(col("a.form"), col("b.form"), DUPLICATE_SIMILARITY)
+    copies = _copies(x, col("box_top") - h, col("box_bottom") + h, band, on, ["receipt_id", "row_no"])
     return items.join(copies, ["receipt_id", "row_no"], "left_anti")
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, money, text, vectors
+from tallyspark.functions.udfs import compound_charge
 from tallyspark.operators import assets as A
 from tallyspark.operators import categorize as C
 from tallyspark.operators import changes as M
@@ -101,8 +102,6 @@ def test_late_charges(spark):
 
 
 def test_compound_is_exact(spark):
-    from tallyspark.functions.udfs import compound_charge
-
     rows = [(random.Random(i).randrange(1, 10**9), 1 + i * 37 % 900, i % 40) for i in range(60)]
     df = spark.createDataFrame(rows, "b LONG, p LONG, n LONG").select("*", compound_charge(F.col("b"), F.col("p"), F.col("n")).alias("c"))
     for r in df.collect():
@@ -402,3 +401,15 @@ def test_work_folder_needs_a_shared_place(master, fails):
             work_folder(session, "x")
     else:
         assert work_folder(session, "x").endswith("/x")
+
+
+def test_very_tall_box_meets_its_receipt(spark):
+    """One box over a million bands: no row per band, and its copies are still found."""
+    rows = [(1, "a", "fresh milk", 0.9, 0.0, 0.0, 100.0, 32e6), (1, "b", "fresh milk", 0.5, 0.0, 500.0, 100.0, 520.0), (1, "c", "bread", 0.5, 0.0, 500.0, 100.0, 520.0)]
+    lines = spark.createDataFrame(rows, "receipt_id BIGINT, line_id STRING, text STRING, confidence DOUBLE, box_left DOUBLE, box_top DOUBLE, box_right DOUBLE, box_bottom DOUBLE")
+    assert sorted(r["line_id"] for r in P.dedupe_lines(lines).collect()) == ["a", "c"]
+
+
+def test_compound_charge_saturates(spark):
+    df = spark.createDataFrame([(10**7, 249, 3000)], "b BIGINT, p BIGINT, n BIGINT")
+    assert one(df.select(compound_charge(F.col("b"), F.col("p"), F.col("n")).alias("x")))["x"] == 2**63 - 1
