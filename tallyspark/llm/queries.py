@@ -160,10 +160,16 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(rows.unionByName(probe)))
 
 
+#: Labelled rows to learn from; of more, a sample by hash of about this size. Only ids and labels are broadcast.
+LEARN_ROWS = 200_000
+
+
 def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, learnable: Column) -> DataFrame:
-    """(doc_id, text, label) of the documents to learn from."""
+    """(doc_id, text, label) of the documents to learn from; the texts stay where they are read."""
     labels = table(spark, sf_dir, "labels").filter(F.col(label).isNotNull() & learnable).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
-    return docs.join(labels, "doc_id").select("doc_id", "text", label)
+    share = min(1.0, LEARN_ROWS / max(1, labels.count()))
+    kept = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    return docs.join(F.broadcast(kept), "doc_id").select("doc_id", "text", label)
 
 
 @query("op3_toxicity")
