@@ -169,7 +169,9 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, lear
     labels = table(spark, sf_dir, "labels").filter(F.col(label).isNotNull() & learnable).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
     share = min(1.0, LEARN_ROWS / max(1, labels.count()))
     kept = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    return docs.join(F.broadcast(kept), "doc_id").select("doc_id", "text", label)
+    found = docs.join(F.broadcast(kept), "doc_id").select("doc_id", "text", label)
+    one = found.groupBy(F.xxhash64("text").alias("copy")).agg(F.min("doc_id").alias("doc_id"), F.max(label).alias(label)).drop("copy")
+    return docs.join(F.broadcast(one), "doc_id").select("doc_id", "text", label)  # of equal texts one; no more rows than ``kept``
 
 
 @query("op3_toxicity")
