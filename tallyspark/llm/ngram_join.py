@@ -4,8 +4,8 @@ Two documents link when ``percent`` of the union of their distinct word shingles
 have one total order: those in the lowest part of the hash range come first, rarest first, with counts over all
 documents; the others follow by hash. Linked sets must share a token among the first ``n - ceil(t n) + 1``.
 
-1. Equal sets collapse into one node. Only the sampled hash range is counted and joined, since the order puts a
-   prefix almost always inside it; a prefix of tokens that occur once needs no entry at all.
+1. Equal sets collapse into one node. Only the lowest part of the hash range is counted and joined, since the order
+   puts a prefix almost always inside it; a prefix of tokens that occur once needs no entry at all.
 2. Nodes with the same size and prefix collapse into a group. Groups that share a token few nodes have are filtered by
    size and position, expanded to members and verified on whole sets.
 3. Nodes that share a token with many others, as in large families of copies, meet once more with all their tokens,
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.words import blocks, shingles
 from tallyspark.plans.keyed import cut
 
-#: Part of the hash range whose tokens are counted; a little more than the prefix share of a set.
-COUNTED = 0.20
+#: The tokens of this much more of the hash range than a prefix has of its set are counted.
+MARGIN = 0.05
 #: Buckets with more nodes than this are large: their nodes meet with all their tokens and a pivot.
 SMALL_BUCKET = 24
 #: Document ids that may be broadcast (8 bytes each); beyond it, documents are picked by a join.
@@ -44,7 +44,7 @@ BROADCAST_IDS = 4_000_000
 def set_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, p, r, h1, h2, counted, later): set size, prefix length, counted tokens, a 128-bit key of the set."""
     schema = "doc_id long, n int, p int, r int, h1 long, h2 long, counted array<long>, later array<long>"
-    bound = np.uint64(int(COUNTED * 2**64))
+    bound = np.uint64(int((1 - percent / 100 + MARGIN) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
