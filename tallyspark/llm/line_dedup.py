@@ -1,8 +1,10 @@
 """Line dedup by overlapping three-line windows, as DataFrame expressions only.
 
-A text is cut into lines: up to ``wrap`` words of one line of text with the white space that follows, so the pieces
-give the text again and a long paragraph is several lines. Every three consecutive lines form a window, hashed from the
-hashes of its lines. Of equal windows the one first by (doc_id, text, position) stays; the positions that the later
+A text is cut into lines: words of one line of text with the white space that follows, so the pieces give the text again
+and a long paragraph is several lines. A long line of text breaks where its words say so, not by their count: after the
+first word with an ``ENDS`` character at its end once a quarter of ``wrap`` words are together, and after three quarters in
+any case. Equal passages so fall into step after a few words, wherever in a line they begin, and any 3 * ``wrap`` words
+hold three whole lines. Every three consecutive lines form a window, hashed from the hashes of its lines. Of equal windows the one first by (doc_id, text, position) stays; the positions that the later
 ones cover are merged and cut out. Counting is a partial aggregate and the way back is a join, so a line that a third
 of all documents share never meets in one task.
 
@@ -18,13 +20,17 @@ from pyspark.sql import functions as F
 
 WRAP = 16
 SPACE = " \t\n\r\f"
-_BLANK, _WORD = "[ \\t\\r\\f]", "[^ \\t\\n\\r\\f]"
+#: Sentence ends, and the last characters of about half of all words.
+ENDS = ".!?:;。！？aeinrAEINR02468à-ïÀ-Ïаеийояاهين"
+_BLANK, _WORD, _OTHER = "[ \\t\\r\\f]", "[^ \\t\\n\\r\\f]", f"[^ \\t\\n\\r\\f{ENDS}]"
 
 
 def line_pattern(wrap: int, possessive: str = "+") -> str:
-    """Up to ``wrap`` words of one line and the white space up to the next word (``possessive``: never backtrack)."""
-    p = possessive
-    return f"[ \\t\\n\\r\\f]*{p}(?:{_WORD}+{p}{_BLANK}*{p}){{1,{wrap}}}{p}(?:\\n[ \\t\\n\\r\\f]*{p})?{p}"
+    """One piece of a line and the white space up to the next word (``possessive``: never backtrack)."""
+    p, least, most = possessive, max(2, wrap // 4), max(2, 3 * wrap // 4)
+    word = f"{_WORD}+{p}{_BLANK}*{p}"
+    inside = f"(?:{_WORD}*{_OTHER}{_BLANK}+{p}){{0,{most - least}}}{p}"  # words that do not end the piece
+    return f"[ \\t\\n\\r\\f]*{p}(?:{word}){{1,{least - 1}}}{p}{inside}(?:{word})?{p}(?:\\n[ \\t\\n\\r\\f]*{p})?{p}"
 
 
 def lines(text: Column, wrap: int) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from cases import PARAGRAPH, ROWS, documents
@@ -45,6 +46,20 @@ def test_passage_in_one_long_line(spark):
     assert all("shared" not in texts[i] and f"opening {i}" in texts[i] and f"ending {i}" in texts[i] for i in range(2, 6))
 
 
+def test_passage_at_any_place_of_a_line(spark):
+    """A passage of 50 words is found at any word offset, also after a word put in before it in the same line."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abdeghiklmnoprstuvz") for _ in range(rng.randint(3, 8)))
+    passage = [f"{word()}" for _ in range(50)]
+    rows = [(i, " ".join([*(f"{word()}" for _ in range(i)), *passage, *(f"{word()}" for _ in range(5))]), "en", "s", 0) for i in range(34)]
+    rows.append((40, "another " + rows[30][1].split(" ", 1)[1], "en", "s", 0))
+    texts = {r["doc_id"]: r["text"].split() for r in dedup_lines(documents(spark, rows)).select("row.doc_id", "row.text").collect()}
+    assert texts[0] == rows[0][1].split()
+    assert all(len(set(passage) & set(texts[i])) <= 25 for i in texts if i)
+    pieces = [len(p.split()) for r in rows for p in PATTERN.findall(r[1])]
+    assert max(pieces) <= 12
+
+
 def test_empty_table_and_no_repeats(spark):
     assert dedup_lines(documents(spark, [])).collect() == []
     alone = dedup_lines(documents(spark, [(1, PARAGRAPH, "en", "s", 0)])).select("row.text", "n_cut").first()
