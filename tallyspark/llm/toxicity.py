@@ -33,7 +33,7 @@ STANDS_FOR = {
 SUBSTITUTED, DROPPED, LEFT_OUT, STRETCHED = -1.5, -7.0, -0.7, -0.5
 #: Learning rows whose evidence sums fit the logistic curve.
 CURVE_ROWS = 50_000
-#: Toxic texts a form must be in to be evidence, a hundredth of them at least, and their share of all texts it is in.
+#: Toxic texts a form must be in to be evidence, however many there are, and their share of all texts it is in.
 LEAST_TEXTS, PURITY = 5, 0.85
 KEPT_WORDS = 400_000
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz"
@@ -219,9 +219,9 @@ def learn(docs: DataFrame, labelled: DataFrame) -> Model:
     # A form is evidence if it is nearly only in toxic texts, and chance alone would hardly give it there so often.
     rate, many = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
     spread = F.sqrt(many * rate * (1 - rate))
-    strong = (F.col("toxic") >= max(LEAST_TEXTS, toxic // 100)) & (F.col("toxic") >= PURITY * many) & (F.col("toxic") - many * rate > 4.5 * spread + 1.0)
+    strong = (F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= PURITY * many) & (F.col("toxic") - many * rate > 4.5 * spread + 1.0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    chosen = forms.filter(strong & (odds > 2)).select("form", odds.alias("odds"), "toxic").orderBy(F.col("odds").desc(), F.col("toxic").desc(), "form").limit(20_000).collect()
+    chosen = forms.filter(strong & (odds > 2)).select("form", odds.alias("odds")).collect()
     weights = {r["form"]: r["odds"] for r in chosen}
     evidence = sc.broadcast((trigrams, weights))
     share = min(1.0, CURVE_ROWS / (clean + toxic))

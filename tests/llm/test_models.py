@@ -71,6 +71,13 @@ def test_toxicity_learns_restored_words(spark):
     assert {r["score"] for r in toxicity.score(docs, unlabelled).collect()} == {0.5}
 
 
+def test_rare_toxic_words_count_on_large_data(spark):
+    """A word in eight of 1,500 toxic texts and in no clean one is evidence, as it is among fewer texts."""
+    rows = [(f"quiet words number{i} about rivers and hills", 0) for i in range(9000)] + [(f"an idiot says number{i}" + (" grobian" if i < 8 else ""), 1) for i in range(1500)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    assert {"idiot", "grobian"} <= set(toxicity.learn(labelled, labelled).weights)
+
+
 def test_held_out_toxicity(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     got = QUERIES["op3_toxicity"](spark, SMALL).join(labels, "doc_id").toPandas()
