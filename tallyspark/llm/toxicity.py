@@ -37,9 +37,14 @@ CURVE_ROWS = 50_000
 LEAST_TEXTS, PURITY = 5, 0.85
 KEPT_WORDS = 400_000
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz"
-_SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]{1,2}){3,}\w(?!\w)")
+_SPACED = re.compile(r"(?<![^\s\"'(\[{«“‘])(?:[\w@$!€£][ .\-_*]{1,3}){2,}[\w@$!€£](?!\w)")
+_GAPS = [re.compile(r"[ .\-_*]" + n) for n in ("{2,}", "{3}")]
 _STRETCHED = re.compile(r"(.)\1\1")
 _EDGE = ".,!?;:\"'()[]{}*$%#&|<>~^_-+=/\\@€£`´«»“”‘’…"
+#: Signs and digits that may be letters, and the marks around a word that never are.
+_LETTERED = frozenset(c for c, readings in STANDS_FOR.items() if readings != ("",))
+_SIGNS = "".join(sorted(_LETTERED))
+_MARKS = "".join(c for c in _EDGE if c not in _LETTERED)
 
 
 def _index(c: str) -> int:
@@ -64,9 +69,13 @@ def word_trigrams(word: str) -> list[int]:
     return [(x[i] * 28 + x[i + 1]) * 28 + x[i + 2] for i in range(len(x) - 2)]
 
 
-def lattice(core: str) -> list[list[tuple[str, float]]]:
-    """For each character (or run of one letter) its possible readings with their channel cost."""
+def lattice(core: str, edges: str = "") -> list[list[tuple[str, float]]]:
+    """For each character (or run of one letter) its possible readings with their channel cost.
+
+    ``edges``: signs that are easily left out at the edges of the word.
+    """
     out: list[list[tuple[str, float]]] = []
+    first, last = len(core) - len(core.lstrip(edges)), len(core.rstrip(edges)) - 1
     i = 0
     while i < len(core):
         c, j = core[i], i + 1
@@ -77,16 +86,20 @@ def lattice(core: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0 if n == 1 else STRETCHED * (1 if n == 2 else 0.2)), *([(c + c, 0.0)] if n > 1 else [])])
         else:
             readings = [(r, SUBSTITUTED if r else LEFT_OUT) for r in STANDS_FOR.get(c, ("",))]
+            if c in edges and (i < first or i > last):
+                out.extend([[*readings, ("", LEFT_OUT)]] * (j - i))
+                i = j
+                continue
             out.append(readings if "" in STANDS_FOR.get(c, ("",)) else [*readings, ("", DROPPED)])
             out.extend([[("", LEFT_OUT), *readings]] * (j - i - 1))
         i = j
     return out
 
 
-def viterbi(core: str, model: Trigrams) -> str:
-    """The likeliest plain word behind a disguised one."""
+def viterbi(readings_of: list[list[tuple[str, float]]], model: Trigrams) -> str:
+    """The likeliest plain word behind a disguised one, given as its lattice."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in lattice(core):
+    for readings in readings_of:
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, word) in best.items():
             for letters, cost in readings:
@@ -108,17 +121,35 @@ def disguised(core: str) -> bool:
     return any(c.isalpha() for c in core)
 
 
-def restored(token: str, model: Trigrams) -> str:
-    """A lower-case token without the marks around it, decoded if it looks disguised; empty if it is no word."""
-    plain = token.strip(_EDGE)
-    if not plain or plain.isdigit():
-        return ""
-    core = plain
-    if token[0] in "$@€£" and token[1:].startswith(plain):  # a mark at the edge may be a letter, as in $tupid
-        core = token[0] + core
-    if token[-1] == "$" and token[:-1].endswith(plain):
-        core += "$"
-    return viterbi(core, model) if disguised(core) else (core if core.isalpha() else "")
+def restored(token: str, model: Trigrams) -> list[str]:
+    """The words a lower-case token may be: without the marks around it, and with those that may be letters.
+
+    The marks are taken twice, left out where the model likes that better, as in ``idiot!``, and each as a letter, as in
+    ``a$$``. What looks disguised is decoded. Empty if it is no word.
+    """
+    plain, out = token.strip(_EDGE), []
+    if plain and not plain.isdigit():
+        if disguised(plain):
+            out.append(viterbi(lattice(plain), model))
+        elif plain.isalpha():
+            out.append(plain)
+    marked = token.strip(_MARKS)
+    if (marked != plain or marked.isdigit()) and sum(c in _LETTERED or c.isalpha() for c in marked) > 2:
+        out.append(viterbi(lattice(marked, _SIGNS), model))
+        out.append(viterbi([[r for r in x if r[0]] or x for x in lattice(marked)], model))
+    return out
+
+
+def spelt(run: str) -> Iterator[str]:
+    """The words that letters with blanks or marks between them may be, joined by hyphens.
+
+    A letter at the end may be a word of its own (``a m o r o n``), and wider gaps may part words.
+    """
+    parts = {run, *(p for gap in _GAPS for p in gap.split(run))}
+    for letters in (re.split(r"[ .\-_*]+", p) for p in parts):
+        for x in (letters, letters[1:], letters[:-1], letters[1:-1]):
+            if len(x) > 2:
+                yield "-".join(x)
 
 
 def beginnings(word: str) -> list[str]:
@@ -139,7 +170,7 @@ class Words:
         if got is None:
             if len(self.seen) > KEPT_WORDS:
                 self.seen.clear()
-            forms = beginnings(restored(token, self.model))
+            forms = dict.fromkeys(f for word in restored(token, self.model) for f in beginnings(word))
             got = self.seen[token] = tuple(forms if self.weights is None else [f for f in forms if f in self.weights])
         return got
 
@@ -147,8 +178,8 @@ class Words:
         """All forms of a text, words spelt with blanks between the letters included."""
         text = text.lower()
         tokens = set(text.split())
-        if _SPACED.search(text):
-            tokens.update(m[0].replace(" ", "-") for m in _SPACED.finditer(text))
+        for m in _SPACED.finditer(text):
+            tokens.update(spelt(m[0]))
         seen, out = self.seen, set()
         for t in tokens:
             got = seen.get(t)

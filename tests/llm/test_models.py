@@ -48,6 +48,19 @@ def test_restores_disguised_words(spark, seen, plain):
     assert plain in toxicity.Words(test_restores_disguised_words.model).of(f"you {seen} there")
 
 
+EDGES = [("!diot", "idiot"), ("|diot", "idiot"), ("(lown", "clown"), ("<lown", "clown"), ("+rash", "trash"), ("$$tupid", "stupid"), ('"$tupid', "stupid"), ("($cum)", "scum"), ("idio+", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("455", "ass")]
+SPELT = [("a m o r o n", "moron"), ("m o r o n u", "moron"), ('"m o r o n"', "moron"), ("a s s", "ass"), ("m   o   r   o   n", "moron"), ("i d i o t  m o r o n", "moron"), ("i d i o t   m o r o n", "idiot")]
+
+
+@pytest.mark.parametrize("seen, plain", EDGES + SPELT)
+def test_restores_signs_at_edges_and_spelt_words(spark, seen, plain):
+    df = spark.createDataFrame([(TRIGRAM_TEXT + "an ass " * 20,)], "text string")
+    got = test_restores_signs_at_edges_and_spelt_words
+    if not hasattr(got, "model"):
+        got.model = toxicity.Trigrams(toxicity.character_counts(df))
+    assert plain in toxicity.Words(got.model).of(f"you are {seen} there")
+
+
 def test_plain_words_stay(spark):
     model = toxicity.Trigrams(toxicity.character_counts(documents(spark)))
     assert {"hello", "naïve", "été"} <= toxicity.Words(model).of("Hello, naïve --- (ÉTÉ) 123 $$$ !!")
