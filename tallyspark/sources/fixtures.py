@@ -6,9 +6,8 @@ are expanded, so a query and its check read the same rows:
 * ``@ADDM[d, n]``  date plus n months     * ``@DIV[a, b]``   integer quotient
 * ``@DARR[x]``     float array as doubles * ``@DAYS[a, b]``  b - a in days
 
-All bodies cover the whole of their source tables but for ``fx_items``, the parts that have
-an embedding; rows that stand for another case get ids of their own instead. Bodies named ``fx_*`` may
-read each other.
+All bodies cover the whole of their source tables; rows that stand for another case get ids of their own
+instead. Parts without an embedding have a null vector in ``fx_items``. Bodies named ``fx_*`` may read each other.
 """
 
 from __future__ import annotations
@@ -222,8 +221,8 @@ FROM embeddings""",
     "fx_desc": """
 SELECT v.label, v.vec FROM fx_vec v JOIN (SELECT label, MIN(item_id) AS item_id FROM fx_vec GROUP BY label) m ON m.item_id = v.item_id""",
     "fx_items": """
-SELECT v.item_id, CAST(p.p_partkey % 3 AS BIGINT) AS owner_id, v.label, p.p_name AS item_name, p.p_brand AS merchant, v.vec
-FROM fx_vec v JOIN part p ON p.p_partkey = v.item_id""",
+SELECT p.p_partkey AS item_id, CAST(p.p_partkey % 3 AS BIGINT) AS owner_id, v.label, p.p_name AS item_name, p.p_brand AS merchant, v.vec
+FROM part p LEFT JOIN fx_vec v ON v.item_id = p.p_partkey""",
     "fx_cats10": """
 SELECT CAST(l AS BIGINT) AS category_id, CONCAT('K', CAST(l AS STRING)) AS name, l = 9 AS is_archived
 FROM (SELECT DISTINCT label AS l FROM embeddings) x""",
