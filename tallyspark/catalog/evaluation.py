@@ -152,7 +152,7 @@ def _(t):
 
 @query("e09_kshot_eval", doubles=["top1_accuracy"])
 def _(t):
-    return E.kshot_eval(items_of(t), t.desc.withColumnRenamed("label", "category_id"), refs_of(t), 5, (0, 1, 3))
+    return E.kshot_eval(items_of(t), t.desc.withColumnRenamed("label", "category_id"), refs_of(t), 5)
 
 
 @query("j13_k_reference_sets", f"""

@@ -345,9 +345,9 @@ def kshot_eval(items: DataFrame, descriptions: DataFrame, refs: DataFrame, categ
     """Accuracy of a new category with k confirmed products, over all eligible reference sets.
 
     Scores follow from dot products alone (item with product, product with
-    product, description with both), so a trial is a few additions. Sets that
-    share their first two products are packed (at most C(n, k-2) each); items
-    stay rows, and each (item, pack) row only counts its trials and hits.
+    product, description with both), so a trial is a few additions. The sets,
+    of which there are most, stay spread rows; the category's items are a packed
+    catalog, and each set only counts its trials and hits.
     """
     mine = refs.filter(F.col("category_id") == category)
     desc = descriptions.filter(F.col("category_id") == category).select("category_id", F.col("vec").alias("d"))
@@ -364,6 +364,7 @@ def kshot_eval(items: DataFrame, descriptions: DataFrame, refs: DataFrame, categ
         vectors.dot(F.col("d"), F.col("vec")).alias("dx"), F.array_max(F.transform("others", lambda o: vectors.dot(o, F.col("vec")))).alias("bar"),
         F.transform("rv", lambda r: vectors.dot(r, F.col("vec"))).alias("dots"), "dd",
     )
+    tried = asked.groupBy().agg(F.collect_list(F.struct("own", "dx", "bar", "dots", "dd")).alias("tried"))
     parts = None
     for k in ks:
         if k == 0:
@@ -375,15 +376,11 @@ def kshot_eval(items: DataFrame, descriptions: DataFrame, refs: DataFrame, categ
             total = lambda f: F.aggregate("members", F.lit(0.0), lambda s, i: s + f(i))
             size = F.sqrt(F.greatest(total(lambda i: F.aggregate("members", F.lit(0.0), lambda s, j: s + F.get(F.get("gram", i), j))), F.lit(1e-24)))
             sets = sets.select("members", size.alias("len"), total(lambda i: F.get("m", i)).alias("md"))
-            packs = sets.groupBy(F.get("members", F.lit(0)).alias("p0"), F.get("members", F.lit(1)).alias("p1")).agg(
-                F.collect_list(F.struct("members", "len", "md")).alias("sets")
-            )
-            rows = keyed.attach_catalog(asked, packs.select("sets"), "item_id")
-            norm = lambda s: F.sqrt(0.25 * (F.col("dd") + 2 * s["md"] / s["len"] + 1.0))
-            along = lambda s: F.aggregate(s["members"], F.lit(0.0), lambda t, p: t + F.get("dots", p)) / s["len"]
-            rows = rows.withColumn("eligible", F.filter("sets", lambda s: ~F.array_contains(s["members"], F.col("own")))).select(
+            rows = keyed.attach_catalog(sets.withColumn("key", F.to_json("members")), tried, "key")
+            along = lambda x: F.aggregate("members", F.lit(0.0), lambda t, p: t + F.get(x["dots"], p)) / F.col("len")
+            rows = rows.withColumn("eligible", F.filter("tried", lambda x: ~F.array_contains("members", x["own"]))).select(
                 F.size("eligible").cast("long").alias("trials"),
-                F.size(F.filter("eligible", lambda s: 0.5 * (F.col("dx") + along(s)) / norm(s) >= F.col("bar"))).cast("long").alias("hits"),
+                F.size(F.filter("eligible", lambda x: 0.5 * (x["dx"] + along(x)) / F.sqrt(0.25 * (x["dd"] + 2 * F.col("md") / F.col("len") + 1.0)) >= x["bar"])).cast("long").alias("hits"),
             )
             zero = F.lit(0).cast("long")
             part = rows.agg(F.coalesce(F.sum("trials"), zero).alias("trials"), F.coalesce(F.sum("hits"), zero).alias("hits"))
