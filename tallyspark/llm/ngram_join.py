@@ -202,7 +202,7 @@ def link_components(docs: DataFrame, sets: DataFrame, words: int, percent: int)
 
 def _labels(docs: DataFrame, crowd: tuple[DataFrame, DataFrame, DataFrame] | None, tried: DataFrame, words: int, percent: int) -> DataFrame:
     """Components of the links among the pairs tried, and of those that the pivots leave open."""
-    if tried.isEmpty():
+    if crowd is None and tried.isEmpty():
         return docs.sparkSession.createDataFrame([], "node long, component long")
     links = cut(verify(docs, tried, words, percent), "links")
     labels = cut(components(links), "labels")

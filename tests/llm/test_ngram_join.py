@@ -2,6 +2,7 @@ import random
 
 from cases import EXTRA, ROWS, components, documents
 
+from tallyspark.llm import ngram_join
 from tallyspark.llm.ngram_join import near_duplicates
 
 
@@ -50,3 +51,14 @@ def test_families_of_copies_against_all_pairs(spark):
         add(base[:n])
     for words, percent in ((4, 85), (5, 80)):
         assert result(documents(spark, rows), words, percent) == components([(r[0], r[1]) for r in rows], words, percent)
+
+
+def test_crowd_without_any_pair_tried(spark):
+    """Open cells of crowded buckets are tried although nothing else was."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = documents(spark, [(1, text, "en", "s", 0), (2, text + " more", "en", "s", 0), (3, "one two three four five six", "en", "s", 0)])
+    nodes = spark.createDataFrame([(i, n, i, 1) for i, n in ((1, 36), (2, 37), (3, 2))], "node long, n int, g long, members long")
+    many = spark.createDataFrame([(i, n, 1, 7, pos) for i, n, pos in ((1, 36, 1), (2, 37, 1), (3, 2, 0))], "g long, n int, members long, token long, pos int")
+    none = spark.createDataFrame([], "a long, b long")
+    labels = ngram_join._labels(docs, (nodes, none, many), none, 5, 80)
+    assert {(r["node"], r["component"]) for r in labels.collect()} == {(1, 1), (2, 1)}
