@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, language_id, packing, quality, sharding, syncmers, toxicity
+from tallyspark.llm import chat, divergence, language_id, mixing, packing, prefix_trie, quality, sharding, syncmers, toxicity
 from tallyspark.llm.decontaminate import find_passages, judged
 from tallyspark.llm.line_dedup import dedup_lines, line_pattern, WRAP
 from tallyspark.llm.ngram_join import near_duplicates
@@ -197,3 +197,83 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, with their likeness and that of the next document."""
     return syncmers.compared(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_source_mixing",
+    """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, count(*) AS n, sum(size) AS s, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM d GROUP BY source),
+filled AS (SELECT *, sum(s) OVER () AS total, coalesce(sum(s) OVER (ORDER BY s * (6 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
+    sum(w) OVER (ORDER BY s * (6 // w), source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM src),
+closed AS (SELECT *, 4 * s * open <= w * (3 * total - 4 * c) AS at_stop FROM filled),
+level AS (SELECT 3 * max(total) - 4 * coalesce(sum(s) FILTER (at_stop), 0) AS num, 2 * sum(w) FILTER (NOT at_stop) AS den FROM closed),
+targets AS (SELECT source, n, s, CASE WHEN at_stop THEN CAST(2 * s AS DOUBLE) ELSE CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM closed, level),
+parts AS (SELECT *, CASE WHEN s > 0 THEN CAST(least(2, floor(target / s)) AS BIGINT) ELSE 0 END AS whole FROM targets),
+tiers AS (SELECT d.*, p.s, p.target, p.whole, p.target - p.whole * p.s AS rest, CASE WHEN size * n > 8 * p.s THEN 0 WHEN size * n > p.s THEN 1 ELSE 2 END AS tier,
+    md5(concat_ws(':', '7', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS draw FROM d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, tier ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(size) FILTER (tier = 0) OVER (PARTITION BY source) AS s0, sum(size) FILTER (tier < 2) OVER (PARTITION BY source) AS s1 FROM tiers),
+first AS (SELECT *, CASE WHEN s > 0 THEN rest * coalesce(s0, 0) / s ELSE 0 END AS b0 FROM placed),
+second AS (SELECT *, CASE WHEN s > 0 THEN rest * coalesce(s1, 0) / s ELSE 0 END - coalesce(sum(size) FILTER (tier = 0 AND 2 * before + size <= 2 * b0) OVER (PARTITION BY source), 0) AS b1 FROM first),
+third AS (SELECT *, CASE WHEN s > 0 THEN rest * s / s ELSE 0 END - coalesce(sum(size) FILTER (tier = 0 AND 2 * before + size <= 2 * b0 OR tier = 1 AND 2 * before + size <= 2 * b1) OVER (PARTITION BY source), 0) AS b2 FROM second)
+SELECT doc_id, source, size, CAST(s AS BIGINT) AS source_size, target,
+    CAST(size * (whole + CASE WHEN whole < 2 AND 2 * before + size <= 2 * CASE tier WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM third
+""",
+)
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of every document; sources weigh 3, 1, 2 in turn, at most two epochs."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op12_conversation_trie",
+    """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS k,
+    length(coalesce(text, '')) AS len FROM conversations),
+convs AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+taken AS (SELECT convs.*, (SELECT count(*) FROM t WHERE t.c = convs.base AND t.i <= h) AS m FROM convs),
+turns AS (SELECT taken.c, t.i AS pos, k, len FROM taken JOIN t ON t.c = taken.base AND t.i <= h
+    UNION ALL SELECT taken.c, m + i - h AS pos, k, len FROM taken JOIN t ON t.c = taken.c AND t.i > h),
+paths AS (SELECT c, pos AS depth, string_agg(k, '') OVER (PARTITION BY c ORDER BY pos) AS path, len FROM turns UNION ALL SELECT c, 0, '', 0 FROM convs),
+nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len FROM paths GROUP BY path, depth),
+children AS (SELECT left(path, CAST(32 * (depth - 1) AS BIGINT)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+tops AS (SELECT left(path, CAST(32 * unnest(range(depth + 1)) AS BIGINT)) AS path, n_children IS NULL AS leaf, (n_convs - 1) * len AS saved FROM nodes LEFT JOIN children USING (path)),
+sums AS (SELECT path, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM tops GROUP BY path),
+last AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM (SELECT c, arg_max(path, depth) AS path FROM paths GROUP BY c) GROUP BY path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+    sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = left(n.path, CAST(32 * (n.depth - 1) AS BIGINT)) LEFT JOIN children ON children.path = n.path JOIN sums ON sums.path = n.path LEFT JOIN last ON last.path = n.path
+""",
+)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt on the first turns of its hundred's first conversation."""
+    nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"), rebuild=prefix_trie.rebuilt)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query(
+    "op13_source_divergence",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+tok AS (SELECT id, lang, source, unnest(t) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM tok GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, k.term, v, coalesce(n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT *, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM c),
+q AS (SELECT DISTINCT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) OVER (PARTITION BY lang, term) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM c),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+own AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own) QUALIFY part = 'pair' OR rank <= 50
+""",
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language and the 50 terms by which each source departs most from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
