@@ -105,7 +105,7 @@ LIVE_PROTOS = f"SELECT p.* FROM ({PROTOS}) p JOIN fx_cats10 c ON c.category_id =
 CASCADE = f"""
 WITH l AS ({LEARNED.replace('{items}', 'fx_items')}), r1 AS (SELECT * FROM fx_items WHERE item_id NOT IN (SELECT item_id FROM l)),
  x AS ({lexical_sql('r1')}), r2 AS (SELECT * FROM r1 WHERE item_id NOT IN (SELECT item_id FROM x)),
- s AS ({SEMANTIC.replace('{tops}', RANKED.replace('{scored}', SCORED.format(items='SELECT item_id, vec FROM r2', protos=LIVE_PROTOS)))})
+ s AS ({SEMANTIC.replace('{tops}', RANKED.replace('{scored}', SCORED.format(items='SELECT item_id, vec FROM r2 WHERE vec IS NOT NULL', protos=LIVE_PROTOS)))})
 SELECT item_id, category_id, confidence, source FROM l UNION ALL SELECT item_id, category_id, confidence, source FROM x UNION ALL SELECT item_id, category_id, confidence, source FROM s
 UNION ALL SELECT item_id, NULL, NULL, 'ABSTAIN' FROM r2 WHERE item_id NOT IN (SELECT item_id FROM s)"""
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.registry import query
+from tallyspark.catalog.scalars import compound_sql
 from tallyspark.operators import obligations as O
 from tallyspark.sources.fixtures import AS_OF
 
@@ -47,10 +48,10 @@ def months_between(a: str, b: str) -> str:
     return f"((year({b}) - year({a})) * 12 + month({b}) - month({a}) - CASE WHEN day({b}) < day({a}) THEN 1 ELSE 0 END)"
 
 
-def charges(due: str) -> str:
+def charges(due: str, rules: str = "fx_late_rules") -> str:
     """DuckDB text of ``late_charge`` for rules that do not compound."""
     return f"""
-SELECT profile_id, due_date, days_overdue, in_grace, periods,
+SELECT profile_id, due_date, days_overdue, in_grace, periods, charge_type, basis, rate_points, minimum_minor, maximum_minor,
   CASE WHEN periods = 0 THEN 0 ELSE CAST(GREATEST(0, LEAST(COALESCE(maximum_minor, 9223372036854775807), GREATEST(COALESCE(minimum_minor, 0), raw))) AS BIGINT) END AS charge_minor
 FROM (SELECT *, CASE charge_type WHEN 'FIXED_ONCE' THEN fixed_minor WHEN 'FIXED_PERIODIC' THEN fixed_minor * periods
     WHEN 'PERCENT_ONCE' THEN (CAST(basis AS HUGEINT) * rate_points + 5000) // 10000 ELSE (CAST(basis AS HUGEINT) * rate_points * periods + 5000) // 10000 END AS raw
@@ -60,7 +61,7 @@ FROM (SELECT *, CASE charge_type WHEN 'FIXED_ONCE' THEN fixed_minor WHEN 'FIXED_
         WHEN charge_interval = 'DAILY' THEN days_overdue - grace_days WHEN charge_interval = 'WEEKLY' THEN (days_overdue - grace_days) // 7
         ELSE GREATEST(0, {months_between('(due_date + CAST(grace_days AS INTEGER))', NOW)}) END AS periods
     FROM (SELECT d.*, GREATEST(0, date_diff('day', d.due_date, {NOW})) AS days_overdue, r.* EXCLUDE (profile_id, owner_id)
-      FROM ({due}) d LEFT JOIN fx_late_rules r ON r.profile_id = d.profile_id) a) b) c"""
+      FROM ({due}) d LEFT JOIN (SELECT * FROM {rules}) r ON r.profile_id = d.profile_id) a) b) c"""
 
 
 def occ_of(t):
@@ -245,7 +246,16 @@ def _(t):
     return O.late_charge(due_of(t), t.late_rules, AS_OF, compounding=False).select("profile_id", "due_date", "days_overdue", "in_grace_period", "chargeable_periods", "charge_minor")
 
 
-@query("o14_late_charge_compound", dates=["due_date"])
+MONTHLY = "(SELECT * REPLACE ('MONTHLY' AS charge_interval) FROM fx_late_rules)"
+# The table has no compounding rule; here all of them do, by month.
+COMPOUND = f"""
+WITH c AS MATERIALIZED ({charges(DUE, MONTHLY)}),
+ g AS ({compound_sql("SELECT profile_id, due_date, CAST(GREATEST(0, basis) AS HUGEINT) AS basis, rate_points AS points, periods FROM c WHERE charge_type = 'PERCENT_PERIODIC' AND periods > 0", "profile_id, due_date")})
+SELECT profile_id, due_date, periods AS chargeable_periods, CASE WHEN gain IS NULL THEN charge_minor
+  ELSE CAST(GREATEST(0, LEAST(COALESCE(maximum_minor, 9223372036854775807), GREATEST(COALESCE(minimum_minor, 0), gain))) AS BIGINT) END AS charge_minor FROM c LEFT JOIN g USING (profile_id, due_date)"""
+
+
+@query("o14_late_charge_compound", COMPOUND, dates=["due_date"])
 def _(t):
     rules = t.late_rules.withColumn("is_compounding", F.lit(True)).withColumn("charge_interval", F.lit("MONTHLY"))
     return O.late_charge(due_of(t), rules, AS_OF).select("profile_id", "due_date", "chargeable_periods", "charge_minor")

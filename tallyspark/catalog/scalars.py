@@ -168,11 +168,21 @@ def _(t):
     return t.raw("part").select("p_partkey", F.round(seq_ratio(F.col("p_name"), F.lower(F.concat("p_type", F.lit(" "), "p_brand"))), 6).alias("ratio"))
 
 
-@query("u04_compound_charge")
-def _(t):
-    from tallyspark.functions.udfs import compound_charge
+def compound_sql(rows: str, key: str) -> str:
+    """DuckDB text of (key, gain): (basis, points, periods) compounded by powers of each rate, carried along in limbs of four digits."""
+    return f"""
+WITH RECURSIVE rows AS ({rows}), rates AS (SELECT points, MAX(periods) AS top FROM rows GROUP BY points),
+ powers AS (SELECT points, 0 AS n, [CAST(1 AS HUGEINT)] AS limbs FROM rates UNION ALL
+  SELECT points, n + 1, list_concat(r[2:], [r[1]]) FROM (SELECT points, n, list_reduce(list_concat([[CAST(0 AS HUGEINT)]], list_transform(limbs, lambda x: [x])),
+   lambda a, x: list_concat([(x[1] * (10000 + points) + a[1]) // 10000], a[2:], [(x[1] * (10000 + points) + a[1]) % 10000])) AS r FROM powers JOIN rates USING (points) WHERE n < top) s),
+ sized AS (SELECT {key}, basis, limbs, n, list_reduce(list_concat([CAST(0 AS HUGEINT)], limbs[1:n - 1]), lambda a, x: (x * basis + a) // 10000) AS below,
+   list_reduce(list_concat([CAST(0 AS HUGEINT)], list_reverse(limbs[n + 1:])), lambda a, x: a * 10000 + x) AS whole FROM rows JOIN powers USING (points) WHERE periods = n)
+SELECT {key}, CASE WHEN n = 0 THEN 0 ELSE CAST(whole * basis + (limbs[n] * basis + below + 5000) // 10000 - basis AS BIGINT) END AS gain FROM sized"""
+
 
-    return t.tx.select("tx_id", compound_charge(F.col("amount_minor"), F.lit(150).cast("long"), F.col("created_at")).alias("charge_minor"))
+@query("u04_compound_charge", f"SELECT tx_id, gain AS charge_minor FROM ({compound_sql('SELECT tx_id, amount_minor AS basis, 150 AS points, created_at AS periods FROM fx_tx', 'tx_id')}) g")
+def _(t):
+    return t.tx.select("tx_id", money.compound_charge(F.col("amount_minor"), F.lit(150).cast("long"), F.col("created_at")).alias("charge_minor"))
 
 
 @query("u05_centroid", """

@@ -20,67 +20,87 @@ def category():
     return F.when(kind == "click", 1).when(kind == "view", 2).when(kind == "purchase", 3).when(kind == "signup", 4).otherwise(5).cast("long")
 
 
-@query("st01_stream_spend", """
-SELECT user_id AS owner_id, event_id % 7 AS category_id, CAST(ts AS DATE) AS day, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS amount_minor, COUNT(*) AS n_rows FROM events
-WHERE event_type = 'purchase' AND CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM events WHERE event_type = 'purchase') GROUP BY ALL""", dates=["day"])
+# Events arrive in four deliveries by day; every tenth comes three days after its time, some of them after their day was closed.
+ARRIVED = """SELECT user_id AS owner_id, event_id % 7 AS category_id, ts, CAST(ts AS DATE) AS day, CAST(ROUND(value * 100) AS BIGINT) AS amount_minor,
+  least(3, (date_diff('day', (SELECT CAST(MIN(ts) AS DATE) FROM events), CAST(ts AS DATE)) + CASE WHEN event_id % 10 = 0 THEN 3 ELSE 0 END) // 8) AS delivery FROM events WHERE event_type = 'purchase'"""
+
+
+@query("st01_stream_spend", f"""
+WITH e AS ({ARRIVED}), w AS (SELECT delivery, MAX(MAX(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e GROUP BY delivery),
+ m AS (SELECT e.*, COALESCE(day + INTERVAL 1 DAY <= seen - INTERVAL 1 DAY, FALSE) AS late FROM e JOIN w USING (delivery))
+SELECT part, owner_id, category_id, period, CAST(SUM(amount_minor) AS BIGINT) AS amount_minor, COUNT(*) AS n_rows FROM (
+  SELECT CASE WHEN late THEN 'late' ELSE 'day' END AS part, owner_id, category_id, day AS period, amount_minor FROM m
+  UNION ALL SELECT 'month', owner_id, category_id, CAST(date_trunc('month', day) AS DATE), amount_minor FROM m WHERE NOT late) x GROUP BY ALL""", dates=["period"])
 def _(t):
-    """Days the watermark has passed; the open days stay in the state."""
+    """Totals of every day and month after four deliveries, open ones too, and the rows that came too late by day."""
     base = work_folder(t.spark, "spend")
-    J.stream_spend(J.ledger_stream(J.events_stream(t.spark, t.folder)), f"{base}/out", f"{base}/ck").awaitTermination()
-    return t.spark.read.schema("owner_id BIGINT, category_id BIGINT, day DATE, amount_minor BIGINT, n_rows BIGINT").parquet(f"{base}/out")
+    events = t.raw("events")
+    began = events.agg(F.min("ts").cast("date")).first()[0]
+    delay = F.when(F.col("event_id") % 10 == 0, 3).otherwise(0)
+    delivery = F.least(F.lit(3), F.floor((F.date_diff(F.col("ts").cast("date"), F.lit(began)) + delay) / 8))
+    for k in range(4):
+        events.filter(delivery == k).write.mode("append").parquet(f"{base}/in")
+        arriving = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in")
+        J.stream_spend(J.ledger_stream(arriving), f"{base}/out", f"{base}/ck").awaitTermination()
+    late = J.read_late(t.spark, f"{base}/out").groupBy("owner_id", "category_id", F.to_date("ts").alias("period")).agg(F.sum("amount_minor").alias("amount_minor"), F.count("*").alias("n_rows"))
+    parts = [J.read_spend(t.spark, f"{base}/out", g).withColumnRenamed(g, "period").withColumn("part", F.lit(g)) for g in J.GRAINS]
+    return parts[0].unionByName(parts[1]).unionByName(late.withColumn("part", F.lit("late"))).select("part", "owner_id", "category_id", "period", "amount_minor", "n_rows")
 
 
 PAY = "event_id BIGINT, idempotency_key STRING, ts TIMESTAMP, amount_minor BIGINT"
 
 
+def in_deliveries(t, base, start, parts=3):
+    """The events in ``parts`` deliveries by id, ``start(stream)`` run to its end after each."""
+    events = t.raw("events")
+    for k in range(parts):
+        events.filter(F.floor(F.col("event_id") / 64) % parts == k).write.mode("append").parquet(f"{base}/in")
+        start(t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in")).awaitTermination()
+
+
 @query("st02_stream_payments", "SELECT CAST(user_id AS VARCHAR) || ':' || CAST(CAST(ROUND(value) AS BIGINT) AS VARCHAR) AS idempotency_key, COUNT(*) > 0 AS recorded FROM events GROUP BY ALL")
 def _(t):
+    """Keys that come again in the same delivery and in later ones, each recorded once."""
     base = work_folder(t.spark, "payments")
     key = F.concat_ws(":", F.col("user_id").cast("string"), F.round("value").cast("long").cast("string"))
-    rows = J.events_stream(t.spark, t.folder).select(
-        "event_id", key.alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("amount_minor"))
-    J.stream_payments(rows, f"{base}/sink", f"{base}/ck", PAY).awaitTermination()
-    out = J.read_versions(t.spark, f"{base}/sink", PAY)
-    return out.groupBy("idempotency_key").agg((F.count("*") == 1).alias("recorded"))
+    in_deliveries(t, base, lambda events: J.stream_payments(events.select(
+        "event_id", key.alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("amount_minor")), f"{base}/sink", f"{base}/ck", PAY))
+    return J.read_versions(t.spark, f"{base}/sink", PAY).groupBy("idempotency_key").agg((F.count("*") == 1).alias("recorded"))
 
 
 @query("st03_stream_merchant_use", """
-SELECT owner_id, lower(shown) AS normalized_name, arg_max(shown, event_id) AS display_name, COUNT(*) AS usage_count, MAX(event_id) AS last_used_at FROM (
-  SELECT CAST(user_id AS BIGINT) AS owner_id, 'Shop ' || (CAST(ROUND(value) AS BIGINT) % 50) AS shown, event_id FROM events) x GROUP BY owner_id, lower(shown)""")
+SELECT owner_id, lower(shown) AS normalized_name, arg_max(shown, event_id) AS display_name, COUNT(*) AS usage_count, MAX(event_id) AS last_used_at, arg_max(c, event_id) AS default_category_id FROM (
+  SELECT CAST(user_id AS BIGINT) AS owner_id, 'Shop ' || (CAST(ROUND(value) AS BIGINT) % 50) AS shown, event_id,
+    CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS c FROM events) x GROUP BY owner_id, lower(shown)""")
 def _(t):
     base = work_folder(t.spark, "uses")
-    uses = J.events_stream(t.spark, t.folder).select(
+    in_deliveries(t, base, lambda events: J.stream_merchant_use(events.select(
         F.col("user_id").cast("long").alias("owner_id"), F.concat(F.lit(" Shop  "), (F.round("value").cast("long") % 50).cast("string")).alias("merchant_name"), category().alias("category_id"),
-        F.col("event_id").alias("used_at"), F.col("event_id").alias("seq"))
-    J.stream_merchant_use(uses, f"{base}/state", f"{base}/ck").awaitTermination()
-    return J.read_state(t.spark, f"{base}/state", J.MERCHANT_STATE).select("owner_id", "normalized_name", "display_name", "usage_count", "last_used_at")
+        F.col("event_id").alias("used_at"), F.col("event_id").alias("seq")), f"{base}/out", f"{base}/ck"))
+    return J.read_latest(t.spark, f"{base}/out", J.MERCHANT_STATE, J.MERCHANT_KEYS).select("owner_id", "normalized_name", "display_name", "usage_count", "last_used_at", "default_category_id")
 
 
 @query("st04_stream_confirmations", """
-WITH steps AS (SELECT owner_id, normalized_item, m AS normalized_merchant, category_id, event_id AS seq FROM (SELECT *, unnest(CASE WHEN normalized_merchant IS NULL THEN [NULL] ELSE [NULL, normalized_merchant] END) AS m FROM fx_confirms) u),
- marked AS (SELECT *, CASE WHEN category_id IS DISTINCT FROM LAG(category_id) OVER (PARTITION BY owner_id, normalized_item, normalized_merchant ORDER BY seq) THEN 1 ELSE 0 END AS chg FROM steps),
- runs AS (SELECT *, SUM(chg) OVER (PARTITION BY owner_id, normalized_item, normalized_merchant ORDER BY seq) AS run, SUM(chg) OVER (PARTITION BY owner_id, normalized_item, normalized_merchant) AS last_run FROM marked)
-SELECT owner_id, normalized_item, normalized_merchant, CAST(MAX(category_id) FILTER (run = last_run) AS BIGINT) AS category_id, COUNT(*) FILTER (run = last_run) AS confirmation_count, MIN(seq) AS created_at, MAX(seq) AS updated_at
-FROM runs GROUP BY owner_id, normalized_item, normalized_merchant""")
+WITH steps AS (SELECT owner_id, normalized_item, m AS normalized_merchant, category_id, event_id AS seq, event_id // 64 % 3 AS d FROM (SELECT *, unnest(CASE WHEN normalized_merchant IS NULL THEN [NULL] ELSE [NULL, normalized_merchant] END) AS m FROM fx_confirms) u),
+ marked AS (SELECT *, CASE WHEN category_id IS DISTINCT FROM LAG(category_id) OVER (PARTITION BY owner_id, normalized_item, normalized_merchant ORDER BY d, seq) THEN 1 ELSE 0 END AS chg FROM steps),
+ runs AS (SELECT *, SUM(chg) OVER (PARTITION BY owner_id, normalized_item, normalized_merchant ORDER BY d, seq) AS run, SUM(chg) OVER (PARTITION BY owner_id, normalized_item, normalized_merchant) AS last_run FROM marked)
+SELECT owner_id, normalized_item, normalized_merchant, CAST(MAX(category_id) FILTER (run = last_run) AS BIGINT) AS category_id, COUNT(*) FILTER (run = last_run) AS confirmation_count,
+  arg_min(seq, d * 1000000000000 + seq) AS created_at, arg_max(seq, d * 1000000000000 + seq) AS updated_at FROM runs GROUP BY owner_id, normalized_item, normalized_merchant""")
 def _(t):
+    """Three deliveries; within one the commands are put in order, a later delivery counts as later."""
     base = work_folder(t.spark, "confirmations")
-    cmds = J.events_stream(t.spark, t.folder).select(
+    in_deliveries(t, base, lambda events: J.stream_confirmations(events.select(
         F.col("user_id").alias("owner_id"), F.concat(F.lit("item"), (F.round("value").cast("long") % 10).cast("string")).alias("normalized_item"),
-        F.when(F.col("user_id") % 2 == 0, F.lit("shop")).alias("normalized_merchant"), category().alias("category_id"), F.col("event_id").alias("ts"), F.col("event_id").alias("seq"))
-    J.stream_confirmations(cmds, f"{base}/state", f"{base}/ck").awaitTermination()
-    return J.read_state(t.spark, f"{base}/state", J.MAPPING_STATE)
+        F.when(F.col("user_id") % 2 == 0, F.lit("shop")).alias("normalized_merchant"), category().alias("category_id"), F.col("event_id").alias("ts"), F.col("event_id").alias("seq")), f"{base}/out", f"{base}/ck"))
+    return J.read_latest(t.spark, f"{base}/out", J.MAPPING_STATE, J.MAPPING_KEYS)
 
 
 @query("st05_stream_reminders", f"SELECT DISTINCT r.rule_id, i.occurrence_key FROM ({ATTENTION}) i JOIN fx_reminder_rules r USING (asset_id, source_type, source_id) WHERE r.is_enabled AND {FIRES}")
 def _(t):
-    """One tick over the attention list; the deliveries it records."""
+    """Ticks over the attention list; each reminder is recorded once."""
     base = work_folder(t.spark, "reminders")
-
-    def eligible(spark, delivered):
-        return A.eligible_reminders(items_of(t), t.reminder_rules, delivered)
-
-    J.stream_reminders(J.events_stream(t.spark, t.folder), eligible, f"{base}/sent", f"{base}/ck").awaitTermination()
-    return J.read_versions(t.spark, f"{base}/sent", "rule_id STRING, occurrence_key STRING")
+    J.stream_reminders(J.events_stream(t.spark, t.folder), lambda spark, sent: A.eligible_reminders(items_of(t), t.reminder_rules, sent), f"{base}/outbox", f"{base}/ck").awaitTermination()
+    return J.read_versions(t.spark, f"{base}/outbox/recorded", J.REMINDERS)
 
 
 @query("st06_run_daily", """

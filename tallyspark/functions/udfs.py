@@ -5,13 +5,14 @@ from __future__ import annotations
 import difflib
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
-from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.money import compound_charge  # noqa: F401  its former place
+
 ASCII = r"^[\x00-\x7F]*$"
 
 # The prefixes the embedding models expect for each text role.
@@ -45,27 +46,6 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-_LARGEST = 2**63 - 1
-_EXACT = Context(prec=400, rounding=ROUND_HALF_UP)
-
-
-@F.pandas_udf(T.LongType())
-def _compound(basis: pd.Series, points: pd.Series, periods: pd.Series) -> pd.Series:
-    def one(b, p, n):
-        if pd.isna(b) or pd.isna(p) or pd.isna(n):
-            return None
-        growth = _EXACT.power(_EXACT.add(Decimal(1), Decimal(int(p)).scaleb(-4)), int(n))
-        charge = _EXACT.multiply(Decimal(int(b)), _EXACT.subtract(growth, Decimal(1)))
-        return min(_LARGEST, int(charge.quantize(Decimal(1), rounding=ROUND_HALF_UP, context=_EXACT)))
-
-    return pd.Series([one(b, p, n) for b, p, n in zip(basis, points, periods)], dtype="Int64")
-
-
-def compound_charge(basis: Column, points: Column, periods: Column) -> Column:
-    """``basis * ((1 + points/10000)^periods - 1)``, HALF_UP to a minor unit; at most the largest long."""
-    return _compound(basis, points, periods)
-
-
 def embed(
     df: DataFrame,
     text: str,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates
-from tallyspark.functions.udfs import compound_charge
+from tallyspark.functions.money import compound_charge
 from tallyspark.operators.ledger import OWNER, zero_sum
 from tallyspark.plans import keyed
 
@@ -339,8 +339,8 @@ def late_charge(due: DataFrame, rules: DataFrame, as_of: dt.date, compounding: b
     """Overdue days, grace flag, chargeable periods and estimated charge.
 
     ``due`` has profile_id, due_date, scheduled_minor and outstanding_minor. The
-    exact power of compounding rules is a Python function fed only by those
-    rows; ``compounding=False`` leaves it out where no rule compounds.
+    exact power of compounding rules is worked out for their rows only;
+    ``compounding=False`` leaves it out of the plan where no rule compounds.
     """
     r = rules.select(
         "profile_id", "grace_days", "charge_type", "charge_interval", "charge_basis", "fixed_minor",

@@ -1,24 +1,25 @@
 """Structured Streaming counterparts of the jobs that are naturally incremental.
 
-Every job takes a streaming frame and folders, and returns the started query.
-Rows later than the watermark are left to the batch recompute of the same
-operator. Replays are harmless: batches write versioned folders named after
-their batch id, and keyed sinks anti-join what is already there.
+Every job takes a streaming frame and folders, and returns the started query. Replays are harmless: what a batch writes is
+named after its batch id and depends on earlier batches only, and keyed state lives in the state store (RocksDB), where a
+batch costs what it touches. Rows behind the watermark are kept in a table of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tallyspark.functions import dates
-from tallyspark.operators import changes
+from tallyspark.functions import dates, text
 from tallyspark.sources.schemas import DRIVER_TABLES
 
-WATERMARK = "1 day"
+DELAY = dt.timedelta(days=1)
 
 
 def events_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -39,35 +40,21 @@ def ledger_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_spend(tx: DataFrame, out: str, checkpoint: str, watermark: str = WATERMARK) -> StreamingQuery:
-    """Expense per owner, day and category; a day is appended once the watermark passes it."""
-    daily = (
-        tx.filter(F.col("type") == "EXPENSE").withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day").alias("w"), "owner_id", "category_id")
-        .agg(F.sum("amount_minor").alias("amount_minor"), F.count("*").alias("n_rows"))
-        .select("owner_id", "category_id", F.to_date("w.start").alias("day"), "amount_minor", "n_rows")
-    )
-    return daily.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def months_of(daily: DataFrame) -> DataFrame:
-    """Month totals from the appended days."""
-    return daily.groupBy("owner_id", "category_id", dates.month_of(F.col("day")).alias("month")).agg(
-        F.sum("amount_minor").alias("amount_minor"), F.sum("n_rows").alias("n_rows"))
+# --- folders of batches ------------------------------------------------------
 
 
-# --- versioned state ---------------------------------------------------------
+def _fs(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     """Batch ids with a finished version below ``folder`` (a directory listing, not data)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
+    path, fs = _fs(spark, folder)
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    done = [n for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{folder}/{n}/_SUCCESS")[0])]
     return sorted(int(n[2:]) for n in done)
 
 
@@ -79,98 +66,289 @@ def read_state(spark: SparkSession, folder: str, schema: str, before: int | None
     return spark.read.schema(schema).parquet(f"{folder}/v={ids[-1]}")
 
 
-def fold_stream(
-    source: DataFrame, state: str, checkpoint: str, schema: str, fold: Callable[[DataFrame, DataFrame], DataFrame]
-) -> StreamingQuery:
-    """Runs ``fold(state, batch)`` per micro-batch and writes the next state version.
+def read_versions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The union of all batch folders of a keyed sink."""
+    ids = _versions(spark, folder)
+    empty = spark.createDataFrame([], schema)
+    if not ids:
+        return empty
+    return spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/v={v}" for v in ids]).select(empty.columns)
+
+
+def read_latest(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> DataFrame:
+    """The last row of every key of a sink that holds, batch by batch, the keys that changed."""
+    ids = _versions(spark, folder)
+    empty = spark.createDataFrame([], schema)
+    if not ids:
+        return empty
+    rows = spark.read.schema(f"{schema}, v BIGINT").option("basePath", folder).parquet(*[f"{folder}/v={v}" for v in ids])
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*empty.columns), "v").alias("last"))  # null keys are keys too
+    return last.select("last.*")
+
+
+# --- running totals with open days -------------------------------------------
+
+TOTALS = "owner_id BIGINT, category_id BIGINT, amount_minor BIGINT, n_rows BIGINT"
+LATE = "owner_id BIGINT, tx_id STRING, ts TIMESTAMP, category_id BIGINT, amount_minor BIGINT"
+GRAINS = ("day", "month")
+
 
-    The version depends on the previous batch only, so a replayed batch writes
-    the same folder again.
+def _newest(spark: SparkSession, folder: str, grain: str, periods: list[dt.date] | None, before: int) -> dict[str, list[int]]:
+    """Versions under ``before`` of each period's partition, ascending; of the given periods or all."""
+    _, fs = _fs(spark, folder)
+    which = "*" if periods is None else "{" + ",".join(p.isoformat() for p in periods) + "}"
+    found: dict[str, list[int]] = {}
+    for status in fs.globStatus(_fs(spark, f"{folder}/{grain}={which}/v=*")[0]) or []:
+        path = status.getPath()
+        v = int(path.getName()[2:])
+        if v < before:
+            found.setdefault(path.getParent().getName().split("=", 1)[1], []).append(v)
+    return {p: sorted(vs) for p, vs in found.items()}
+
+
+def _read_periods(spark: SparkSession, folder: str, grain: str, newest: dict[str, list[int]]) -> DataFrame:
+    schema = f"{TOTALS}, {grain} DATE, v BIGINT"
+    if not newest:
+        return spark.createDataFrame([], schema).drop("v")
+    return spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/{grain}={p}/v={vs[-1]}" for p, vs in sorted(newest.items())]).drop("v")
+
+
+def _upsert(spark: SparkSession, folder: str, grain: str, delta: DataFrame, batch_id: int) -> None:
+    """The delta added to the partitions of its periods: each touched period gets a new version, the others are not read.
+
+    The last two versions of a period stay, so that a replay of the batch finds what it began with.
+    """
+    keys = ["owner_id", "category_id", grain]
+    periods = [r[0] for r in delta.select(grain).distinct().collect()]  # open periods only: as many as the delay lets be open
+    if not periods:
+        return
+    old = _newest(spark, folder, grain, periods, batch_id)
+    total = _read_periods(spark, folder, grain, old).select(*keys, "amount_minor", "n_rows").unionByName(delta.select(*keys, "amount_minor", "n_rows"))
+    total = total.groupBy(*keys).agg(F.sum("amount_minor").alias("amount_minor"), F.sum("n_rows").alias("n_rows")).withColumn("v", F.lit(batch_id).cast("long"))
+    total.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(grain, "v").parquet(folder)
+    for p, vs in old.items():
+        for v in vs[:-1]:
+            path, fs = _fs(spark, f"{folder}/{grain}={p}/v={v}")
+            fs.delete(path, True)
+
+
+def stream_spend(tx: DataFrame, out: str, checkpoint: str, delay: dt.timedelta = DELAY) -> StreamingQuery:
+    """Expense per owner, category and day and month, brought up to date by every batch.
+
+    The watermark is the latest time of all earlier batches less ``delay``. Rows of days that it has passed go to
+    ``out/late`` as they are and change no total; all others are added to the partitions of their days and months.
+    ``out/progress`` is written last and holds what the next batch needs of this one. A null time is late.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        old = read_state(batch.sparkSession, state, schema, before=batch_id)
-        fold(old, batch).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        spark = batch.sparkSession
+        seen = read_state(spark, f"{out}/progress", "seen BIGINT", before=batch_id).first()
+        seen = seen["seen"] if seen else None
+        rows = batch.filter(F.col("type") == "EXPENSE").withColumn("day", F.to_date("ts")).persist()
+        try:
+            ends = F.unix_micros(F.date_add("day", 1).cast("timestamp"))
+            open_ = F.col("ts").isNotNull() if seen is None else F.coalesce(ends > seen - delay // dt.timedelta(microseconds=1), F.lit(False))
+            late = rows.filter(~open_).select("owner_id", "tx_id", "ts", "category_id", "amount_minor")
+            late.write.mode("overwrite").parquet(f"{out}/late/v={batch_id}")
+            daily = rows.filter(open_).groupBy("owner_id", "category_id", "day").agg(F.sum("amount_minor").alias("amount_minor"), F.count("*").alias("n_rows")).persist()
+            try:
+                _upsert(spark, f"{out}/day", "day", daily, batch_id)
+                _upsert(spark, f"{out}/month", "month", months_of(daily), batch_id)
+            finally:
+                daily.unpersist()
+            latest = rows.agg(F.greatest(F.max(F.unix_micros("ts")), F.lit(seen).cast("long")).alias("seen"))
+            latest.write.mode("overwrite").parquet(f"{out}/progress/v={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return tx.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def months_of(daily: DataFrame) -> DataFrame:
+    """Month totals of days."""
+    return daily.groupBy("owner_id", "category_id", dates.month_of(F.col("day")).alias("month")).agg(
+        F.sum("amount_minor").alias("amount_minor"), F.sum("n_rows").alias("n_rows"))
+
+
+def read_spend(spark: SparkSession, out: str, grain: str = "day") -> DataFrame:
+    """Totals of all days or months after the last finished batch, without the late rows."""
+    done = _versions(spark, f"{out}/progress")
+    return _read_periods(spark, f"{out}/{grain}", grain, _newest(spark, f"{out}/{grain}", grain, None, done[-1] + 1 if done else 0))
+
+
+def read_late(spark: SparkSession, out: str) -> DataFrame:
+    """The rows behind the watermark of all finished batches."""
+    return read_versions(spark, f"{out}/late", LATE)
+
+
+# --- keyed state in the state store -------------------------------------------
 
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _with_state_store(df: DataFrame) -> DataFrame:
+    for k, v in STATE_STORE.items():
+        df.sparkSession.conf.set(k, v)
+    return df
+
+
+def _changes(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the keys that a batch has changed to a folder of its own."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+
+    return df.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 MERCHANT_STATE = "owner_id BIGINT, normalized_name STRING, display_name STRING, usage_count BIGINT, last_used_at BIGINT, default_category_id BIGINT, source STRING"
+MERCHANT_KEYS = ["owner_id", "normalized_name"]
 MAPPING_STATE = "owner_id BIGINT, normalized_item STRING, normalized_merchant STRING, category_id BIGINT, confirmation_count BIGINT, created_at BIGINT, updated_at BIGINT"
+MAPPING_KEYS = ["owner_id", "normalized_item", "normalized_merchant"]
 
 
-def stream_merchant_use(uses: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Running merchant usage; each batch is combined before it meets the state."""
-    return fold_stream(uses, state, checkpoint, MERCHANT_STATE, changes.fold_merchant_use)
+def stream_merchant_use(uses: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running merchant usage: count, last use, and name and category of the last use.
 
+    Partial aggregates combine a batch before it meets the state, so a hot merchant is one row a task.
+    """
+    clean = F.trim(F.regexp_replace("merchant_name", r"\s+", " "))
+    rows = _with_state_store(uses).filter(clean != "").select("owner_id", text.normalize_merchant(clean).alias("normalized_name"), clean.alias("shown"), "category_id", "used_at", "seq")
+    running = rows.groupBy(*MERCHANT_KEYS).agg(F.count("*").alias("usage_count"), F.max(F.struct("used_at", "seq", "shown", "category_id")).alias("last"))
+    return _changes(running.select(
+        *MERCHANT_KEYS, F.col("last.shown").alias("display_name"), "usage_count", F.col("last.used_at").alias("last_used_at"), F.col("last.category_id").alias("default_category_id"), F.lit("USER").alias("source"),
+    ), out, checkpoint)
 
-def stream_confirmations(cmds: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Running mapping confirmations; the batch fold keeps a hot key out of a single task."""
-    return fold_stream(cmds, state, checkpoint, MAPPING_STATE, changes.fold_confirmations)
+
+class Confirmations(StatefulProcessor):
+    """The mapping of one key: category, confirmations of it in a row, first and last time.
+
+    Rows of a key may come in any order within a batch; 24 bytes of each are held to put them in order. What came in an
+    earlier batch was earlier. The state has no expiry unless ``keep`` is given: then a mapping that nobody confirms for so
+    many milliseconds is forgotten.
+    """
+
+    def __init__(self, keep: int | None = None):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mapping = handle.getValueState("mapping", "category_id bigint, confirmation_count bigint, created_at bigint, updated_at bigint", self.keep)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        parts = [np.column_stack([part[c].to_numpy(np.int64) for c in ("ts", "seq", "category_id")]) for part in rows]
+        batch = np.concatenate(parts)
+        batch = batch[np.lexsort((batch[:, 1], batch[:, 0]))]
+        category, old = int(batch[-1, 2]), self.mapping.get()
+        others = np.flatnonzero(batch[:, 2] != category)
+        count = len(batch) - (int(others[-1]) + 1 if len(others) else 0)
+        if old is not None and not len(others) and old[0] == category:
+            count += old[1]
+        state = (category, count, old[2] if old is not None else int(batch[0, 0]), int(batch[-1, 0]))
+        self.mapping.update(state)
+        owner, item, marked = key
+        yield pd.DataFrame([(owner, item, marked[1:] if marked[0] == "+" else None, *state)], columns=[c.split()[0] for c in MAPPING_STATE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_confirmations(cmds: DataFrame, out: str, checkpoint: str, keep: dt.timedelta | None = None) -> StreamingQuery:
+    """Running mapping confirmations: a state machine per key in the state store; changed mappings go to the batch's folder.
+
+    A command without a category confirms nothing.
+    """
+    merchant = F.col("normalized_merchant")
+    both = F.when(merchant.isNull(), F.array(F.lit("-"))).otherwise(F.array(F.lit("-"), F.concat(F.lit("+"), merchant)))
+    rows = _with_state_store(cmds).filter((F.trim("normalized_item") != "") & F.col("category_id").isNotNull()).select(
+        F.col("owner_id").cast("long").alias("owner_id"), "normalized_item", F.explode(both).alias("mk"), F.col("category_id").cast("long").alias("category_id"), F.col("ts").cast("long").alias("ts"), F.col("seq").cast("long").alias("seq")
+    )
+    ms = None if keep is None else int(keep.total_seconds() * 1000)
+    mapped = rows.groupBy("owner_id", "normalized_item", "mk").transformWithStateInPandas(
+        statefulProcessor=Confirmations(ms), outputStructType=MAPPING_STATE, outputMode="Update", timeMode="None" if keep is None else "ProcessingTime")
+    return _changes(mapped, out, checkpoint)
 
 
 # --- keyed intake ------------------------------------------------------------
 
+#: Parts of the history of keys; a batch looks up its keys in the parts they fall into.
+BUCKETS = 256
+
+
+def history_of(spark: SparkSession, sink: str, keys: list[str], schema: str, buckets: list[int], without: int) -> DataFrame:
+    """Keys recorded by other batches in the given buckets; the files of other buckets are not read."""
+    paths = [f"{sink}/v={v}" for v in _versions(spark, sink) if v != without]
+    full = spark.read.schema(f"{schema}, bucket INT").option("basePath", sink).parquet(*paths)
+    return full.filter(F.col("bucket").isin(buckets)).select(*keys, "bucket")
 
-def append_new(sink: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends rows whose key is in no other batch's folder."""
+
+def append_new(sink: str, keys: list[str], schema: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch writer that appends rows whose key is in no other batch's folder. Folders are divided by hash of the key."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        others = [f"{sink}/v={v}" for v in _versions(spark, sink) if v != batch_id]
-        fresh = batch.dropDuplicates(keys)
-        if others:
-            seen = spark.read.schema(schema).parquet(*others).select(*keys)
-            fresh = fresh.join(seen, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sink}/v={batch_id}")
+        fresh = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if any(v != batch_id for v in _versions(spark, sink)):
+            fresh = fresh.persist()
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+            seen = history_of(spark, sink, keys, schema, touched, batch_id)
+            on = [fresh[k].eqNullSafe(seen[k]) for k in keys]
+            left = fresh.join(seen, [*on, fresh["bucket"] == seen["bucket"]], "left_anti")
+        else:
+            left = fresh
+        left.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/v={batch_id}")
+        fresh.unpersist()
 
     return apply
 
 
-def stream_payments(payments: DataFrame, sink: str, checkpoint: str, schema: str, key: str = "idempotency_key") -> StreamingQuery:
-    """Each payment key recorded once, however late it comes: against its batch and the table, without a watermark."""
-    writer = payments.writeStream.foreachBatch(append_new(sink, [key], schema))
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_payments(
+    payments: DataFrame, sink: str, checkpoint: str, schema: str, key: str = "idempotency_key", recent: str = "7 days", buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Each payment key recorded once, however late it comes.
+
+    Repeats within ``recent`` of their arrival are dropped by the state store, older ones by their part of the history.
+    The watermark follows the arrival, not the payment's own time, so a late payment is no late row.
+    """
+    arrived = _with_state_store(payments).withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", recent)
+    once = arrived.dropDuplicatesWithinWatermark([key]).drop("arrived_at")
+    return once.writeStream.foreachBatch(append_new(sink, [key], schema, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- reminders ---------------------------------------------------------------
+
+REMINDERS = "rule_id STRING, occurrence_key STRING"
+OUTBOX = f"{REMINDERS}, batch BIGINT, number BIGINT"
 
 
 def stream_reminders(
-    ticks: DataFrame, eligible: Callable[[SparkSession, DataFrame], DataFrame], deliveries: str, checkpoint: str,
+    ticks: DataFrame, eligible: Callable[[SparkSession, DataFrame], DataFrame], outbox: str, checkpoint: str,
     post: Callable[[DataFrame], None] = lambda df: None,
 ) -> StreamingQuery:
-    """Reminders delivered once per (rule, occurrence).
+    """Reminders delivered once per (rule, occurrence), through an outbox with two marks.
 
-    Each tick asks ``eligible(spark, delivered)`` once for what is due, records it,
-    and posts the recorded rows; a failed post takes its record back.
+    A tick asks ``eligible(spark, recorded)`` for what is due and records it with (batch, number); then it posts the record
+    and marks it as acknowledged. A record that is finished is never made anew: after a failure or a lost driver the same
+    rows go out again under the same numbers, by which the receiver knows what it has. An acknowledged batch is not posted
+    again.
     """
-    schema = "rule_id STRING, occurrence_key STRING"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
+        if batch.isEmpty() or batch_id in _versions(spark, f"{outbox}/acknowledged"):
             return
-        others = [f"{deliveries}/v={v}" for v in _versions(spark, deliveries) if v != batch_id]
-        delivered = spark.read.schema(schema).parquet(*others) if others else spark.createDataFrame([], schema)
-        due = eligible(spark, delivered).select("rule_id", "occurrence_key")
-        folder = f"{deliveries}/v={batch_id}"
-        due.dropDuplicates().write.mode("overwrite").parquet(folder)
-        try:
-            post(spark.read.schema(schema).parquet(folder))
-        except Exception:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            raise
+        if batch_id not in _versions(spark, f"{outbox}/recorded"):
+            due = eligible(spark, read_versions(spark, f"{outbox}/recorded", REMINDERS)).select("rule_id", "occurrence_key").dropDuplicates()
+            numbered = due.select("*", F.lit(batch_id).cast("long").alias("batch"), F.monotonically_increasing_id().alias("number"))
+            numbered.write.mode("overwrite").parquet(f"{outbox}/recorded/v={batch_id}")
+        post(spark.read.schema(OUTBOX).parquet(f"{outbox}/recorded/v={batch_id}"))
+        spark.createDataFrame([(batch_id,)], "batch BIGINT").write.mode("overwrite").parquet(f"{outbox}/acknowledged/v={batch_id}")
 
     return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_versions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The union of all batch folders of a keyed sink."""
-    ids = _versions(spark, folder)
-    if not ids:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{folder}/v={v}" for v in ids])
-
-
 def run_daily(as_of, jobs: dict[str, Callable], out: str) -> dict[str, str]:
     """The daily tick: every job re-evaluated for ``as_of`` and written to its dated folder."""
     paths = {}
@@ -181,6 +359,6 @@ def run_daily(as_of, jobs: dict[str, Callable], out: str) -> dict[str, str]:
 
 
 __all__ = [
-    "events_stream", "fold_stream", "ledger_stream", "months_of", "read_state", "read_versions", "run_daily",
+    "events_stream", "ledger_stream", "months_of", "read_late", "read_latest", "read_spend", "read_state", "read_versions", "run_daily",
     "stream_confirmations", "stream_merchant_use", "stream_payments", "stream_reminders", "stream_spend",
 ]
