@@ -109,7 +109,7 @@ def compound_charge(basis: Column, points: Column, periods: Column) -> Column:
     def settled(acc: Column) -> Column:
         x, k = acc["limbs"], acc["k"]
         below = F.aggregate(F.slice(x, 1, k - 1), long(0), lambda c, v: int_div(v + c, limb))
-        carry = int_div(F.get(x, k - 1) + below + LIMB // 2, limb)
+        carry = int_div(F.coalesce(F.get(x, k - 1), long(0)) + below + LIMB // 2, limb)
         whole = F.aggregate(F.reverse(F.slice(x, k + 1, 4)), F.lit(0).cast("decimal(38,0)"), lambda t, v: (t * F.lit(LIMB).cast("decimal(9,0)") + v).cast("decimal(38,0)"))
         gain = (whole + carry).cast("decimal(38,0)") - size
         return F.when(F.element_at(x, 1) < 0, long(MAX_LONG)).otherwise(F.least(gain, F.lit(MAX_LONG)).cast("long"))

@@ -410,6 +410,21 @@ def test_very_tall_box_meets_its_receipt(spark):
     assert sorted(r["line_id"] for r in P.dedupe_lines(lines).collect()) == ["a", "c"]
 
 
+def test_compound_charge_of_awkward_amounts(spark):
+    """Nothing, a loss, odd and even periods, high rates, the largest amounts, ties, and unknown parts."""
+    rng = random.Random(6)
+    rows = [(0, 240, 10), (0, 1, 1), (5, 0, 7), (7, -100, 9), (-700, 300, 3), (2**39, 5000, 39), (2**38, 5000, 39), (1, 10000, 62), (1, 10000, 63), (3, 4_000_000, 2), (10**18, 150, 100), (100, 50, 0)]
+    rows += [(rng.randrange(1, 10**rng.randrange(1, 16)), rng.choice([1, 37, 150, 249, 5000, 99_999, 200_001]), rng.randrange(1, 25)) for _ in range(150)]
+    df = spark.createDataFrame([*rows, (None, 1, 1), (1, None, 1), (1, 1, None)], "b LONG, p LONG, n LONG").select("*", compound_charge(F.col("b"), F.col("p"), F.col("n")).alias("c"))
+    for r in df.collect():
+        if None in (r.b, r.p, r.n):
+            assert r.c is None
+            continue
+        top, one_ = abs(r.b) * ((10000 + r.p) ** r.n - 10000**r.n), 10000**r.n
+        exact = (2 * top + one_) // (2 * one_) if top >= 0 else -((-2 * top + one_) // (2 * one_))
+        assert r.c == min(2**63 - 1, exact) * (-1 if r.b < 0 else 1), r
+
+
 def test_compound_charge_saturates(spark):
     df = spark.createDataFrame([(10**7, 249, 3000)], "b BIGINT, p BIGINT, n BIGINT")
     assert one(df.select(compound_charge(F.col("b"), F.col("p"), F.col("n")).alias("x")))["x"] == 2**63 - 1
