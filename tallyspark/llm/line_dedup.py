@@ -4,21 +4,34 @@ A text is cut into lines: words of one line of text with the white space that fo
 and a long paragraph is several lines. A long line of text breaks where its words say so, not by their count: after the
 first word with an ``ENDS`` character at its end once a quarter of ``wrap`` words are together, and after three quarters in
 any case. Equal passages so fall into step after a few words, wherever in a line they begin, and any 3 * ``wrap`` words
-hold three whole lines. Every three consecutive lines form a window, hashed from the hashes of its lines. Of equal windows the one first by (doc_id, text, position) stays; the positions that the later
-ones cover are merged and cut out. Counting is a partial aggregate and the way back is a join, so a line that a third
-of all documents share never meets in one task.
+hold three whole lines. Texts without blanks break at their line ends only.
+
+Every three consecutive lines form a window, hashed from the hashes of its lines. Of equal windows the one first by
+(doc_id, text, position) stays; the positions that the later ones cover are merged and cut out. Windows are dealt by hash
+once and ranked there. Windows that a sample of the documents shows to be frequent are dealt in ``SALTS`` parts; the first
+of each part is held back and only these are compared, so a line that a third of all documents share never meets in one
+task. Every window is looked at, whether the sample found it or not.
 
 Null or empty texts, and texts of fewer than three lines, have no window and stay as they are. Rows with the same
-doc_id and text count as one document and are all kept alike. Rows without doc_id are first in order and told apart by
-their text. Empty table: no rows. Columns of the table stay; their names never clash with the results, since each row is a struct.
+doc_id and text count as one document and are all kept alike; different texts of one doc_id are told apart by 34 bits of
+their hash. Rows without doc_id are first in order and told apart by 64 bits. Texts of any length are taken whole. Empty
+table: no rows. Columns of the table stay; their names never clash with the results, since each row is a struct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.plans.keyed import cut
+
 WRAP = 16
+#: One document of so many is sampled for frequent windows; found so often there, a window is dealt in parts.
+SAMPLED, OFTEN, SALTS = 64, 32, 64
+#: Frequent windows that are broadcast (16 bytes each); of more, the most frequent.
+MOST_HOT = 1 << 16
+#: Bits of a position; the higher bits of the same number hold the text's hash.
+PLACE_BITS = 30
 SPACE = " \t\n\r\f"
 #: Sentence ends, and the last characters of about half of all words.
 ENDS = ".!?:;。！？aeinrAEINR02468à-ïÀ-Ïаеийояاهين"
@@ -26,10 +39,11 @@ _BLANK, _WORD, _OTHER = "[ \\t\\r\\f]", "[^ \\t\\n\\r\\f]", f"[^ \\t\\n\\r\\f{EN
 
 
 def line_pattern(wrap: int, possessive: str = "+") -> str:
-    """One piece of a line and the white space up to the next word (``possessive``: never backtrack)."""
+    """One piece of a line and the white space up to the next word (``possessive``: never backtrack, and look behind)."""
     p, least, most = possessive, max(2, wrap // 4), max(2, 3 * wrap // 4)
     word = f"{_WORD}+{p}{_BLANK}*{p}"
-    inside = f"(?:{_WORD}*{_OTHER}{_BLANK}+{p}){{0,{most - least}}}{p}"  # words that do not end the piece
+    goes_on = f"{_WORD}++(?<![{ENDS}])" if p else f"{_WORD}*{_OTHER}"  # a word that does not end the piece
+    inside = f"(?:{goes_on}{_BLANK}+{p}){{0,{most - least}}}{p}"
     return f"[ \\t\\n\\r\\f]*{p}(?:{word}){{1,{least - 1}}}{p}{inside}(?:{word})?{p}(?:\\n[ \\t\\n\\r\\f]*{p})?{p}"
 
 
@@ -55,15 +69,42 @@ def runs(positions: Column) -> Column:
     return F.element_at(F.transform(F.array(F.array_sort(positions)), inside), 1)
 
 
+def _text_key(doc_id: Column, text: Column) -> Column:
+    return F.when(doc_id.isNull(), F.xxhash64(text))
+
+
+def windows_of(docs: DataFrame, span: int, wrap: int) -> DataFrame:
+    """(doc_id, text_key, place, window): ``place`` holds the text's hash above the position."""
+    version = F.xxhash64("text")
+    keyed = docs.select("doc_id", _text_key(F.col("doc_id"), F.col("text")).alias("text_key"), version.alias("version"), F.explode(F.array(lines(F.col("text"), wrap))).alias("pieces"))
+    found = keyed.select("doc_id", "text_key", "version", F.posexplode(_windows(F.col("pieces"), span)).alias("pos", "window"))
+    place = F.col("version").bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(F.col("pos").cast("long"))
+    return found.select("doc_id", "text_key", place.alias("place"), "version", "window")
+
+
+def hot_windows(windows: DataFrame) -> DataFrame:
+    """(window, hot): windows that are frequent in a sample of the documents, at most ``MOST_HOT``."""
+    sample = windows.filter(F.pmod("version", F.lit(SAMPLED)) == 0).groupBy("window").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    return sample.orderBy(F.desc("n"), "window").limit(MOST_HOT).select("window", F.lit(True).alias("hot"))
+
+
 def repeated_lines(docs: DataFrame, span: int = 3, wrap: int = WRAP) -> DataFrame:
-    """(doc_id, version, covered): merged ranges of lines under later occurrences, of the documents with any."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), lines(F.col("text"), wrap).alias("pieces"))
-    windows = keyed.filter(F.size("pieces") >= span).select("doc_id", "version", F.posexplode(_windows(F.col("pieces"), span)).alias("pos", "window"))
-    place = F.struct("doc_id", "version", "pos")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(firsts, "window").filter(place > F.col("first"))
-    positions = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + (span - 1)))))
-    return later.groupBy("doc_id", "version").agg(runs(positions).alias("covered"))
+    """(doc_id, text_key, version, covered): merged ranges of lines under later occurrences, of the documents with any."""
+    windows = windows_of(docs, span, wrap)
+    hot = cut(hot_windows(windows), "hot-windows")
+    salt = F.when(F.col("hot"), F.pmod("version", F.lit(SALTS))).otherwise(-1)
+    order = ["doc_id", "text_key", "place"]
+    dealt = windows.join(F.broadcast(hot), "window", "left").select("window", salt.cast("int").alias("salt"), *order)
+    ranked = dealt.withColumn("rank", F.rank().over(Window.partitionBy("window", "salt").orderBy(*order)))
+    # Not the first of its part, or the first of one of a frequent window's parts.
+    behind = cut(ranked.filter((F.col("rank") > 1) | (F.col("salt") >= 0)).select(*order, F.when(F.col("rank") == 1, F.col("window")).alias("first_of")), "behind")
+    heads = behind.filter(F.col("first_of").isNotNull())
+    first = heads.groupBy("first_of").agg(F.min(F.struct(*order)).alias("first"))  # frequent windows only
+    later = behind.filter(F.col("first_of").isNull()).select(*order).unionByName(
+        heads.join(F.broadcast(first), "first_of").filter(F.struct(*order) > F.col("first")).select(*order))
+    pos = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    positions = F.array_distinct(F.flatten(F.transform(F.collect_set(pos), lambda p: F.sequence(p, p + (span - 1)))))
+    return later.groupBy("doc_id", "text_key", F.shiftright("place", PLACE_BITS).alias("version")).agg(runs(positions).alias("covered"))
 
 
 def _without(pieces: Column, covered: Column) -> Column:
@@ -81,11 +122,12 @@ def _without(pieces: Column, covered: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, span: int = 3, wrap: int = WRAP) -> DataFrame:
     """(row, n_lines, n_cut, cut): the rows with repeated windows cut from ``text``, and the merged ranges that were cut."""
-    found = repeated_lines(docs, span, wrap).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("covered").alias("__covered"))
-    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
-    rows = docs.select(row.alias("row"))
-    joined = rows.join(found, rows["row"]["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(rows["row"]["text"]) == found["__version"]), "left")
-    pieces = lines(F.col("row.text"), wrap)
+    found = repeated_lines(docs, span, wrap).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_key", "version", "covered")])
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"))
+    doc_id, own = rows["row"]["doc_id"], rows["row"]["text"]
+    same = doc_id.eqNullSafe(found["__doc_id"]) & _text_key(doc_id, own).eqNullSafe(found["__text_key"]) & (F.shiftright(F.xxhash64(own), PLACE_BITS) == found["__version"])
+    joined = rows.join(found, same, "left").select("row", "__covered", F.explode(F.array(lines(F.col("row.text"), wrap))).alias("__pieces"))
+    pieces = F.col("__pieces")
     text = F.when(F.col("__covered").isNull(), F.col("row.text")).otherwise(_without(pieces, F.col("__covered")))
     facts = (
         F.coalesce(F.size(pieces), F.lit(0)).alias("n_lines"),
