@@ -106,7 +106,7 @@ def lettered(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def learn(rows: DataFrame) -> Codes | None:
-    """Codes from (text, lang) rows; None without any language."""
+    """Codes from (text, lang, draw) rows; None without any language. The lowest ``draw`` numbers centre and weigh the bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -142,8 +142,8 @@ def learn(rows: DataFrame) -> Codes | None:
             yield pa.RecordBatch.from_arrays([pa.array([index[x] for x in batch.column(1).to_pylist()], pa.int32()), pa.array(list(f), pa.list_(pa.float64()))], ["lang", "f"])
 
     total = rows.count()
-    part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / max(1, total))) + 1)
-    got = part.mapInArrow(measure, "lang int, f array<double>").limit(2 * CALIBRATION_ROWS).toPandas()
+    part = rows.filter(F.pmod("draw", F.lit(1 << 40)) < int((1 << 40) * min(1.0, CALIBRATION_ROWS / max(1, total))))  # about as many rows
+    got = part.mapInArrow(measure, "lang int, f array<double>").toPandas()
     f, sign = (np.vstack(got["f"]), words[got["lang"]]) if len(got) else (np.zeros((0, bits)), np.zeros((0, bits)))
     centre, scale, trust = np.zeros(bits), np.ones(bits), np.ones(bits)
     for b in range(bits):
@@ -174,7 +174,7 @@ def decode(codes: Codes, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 def identify(docs: DataFrame, learnable: Column) -> DataFrame:
     """(row, lang_pred, lang_score, lang_ambiguous) with ``row`` the struct of all columns; ``learnable`` marks rows to learn from."""
     known = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    codes = learn(known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    codes = learn(known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("draw")))
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,9 @@ documents; the others follow by hash. Linked sets must share a token among the f
 4. Components come from alternating large-star and small-star steps over tables written to the shared folder.
 
 Nulls, texts without words: empty set, linked with nothing. Equal texts and repeated rows: one component. ``doc_id``
-names a document (rows that share it are one node); rows without it get no component. An empty table gives no rows.
-Columns other than ``doc_id`` and ``text`` are not read.
+names a document: where different texts share one, each is a node of its own and the id unites what they are linked with.
+Rows without doc_id get no component. Texts of any length are taken whole, in blocks. Ties have no part in the result. An
+empty table gives no rows. Columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -228,11 +229,30 @@ def _labels(docs: DataFrame, crowd: tuple[DataFrame, DataFrame, DataFrame] | Non
     return components(links.union(verify(docs, rest, words, percent)))
 
 
+def _united(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """As ``near_duplicates`` where an id stands for different texts: rows are linked by numbers of their own, ids unite them."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = cut(rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select("doc_id", "text"), words, percent)
+    linked = cut(rows.select("doc_id", "id").join(found, "doc_id"), "by-number")
+    worded = linked.filter("n_shingles > 0")
+    first = worded.groupBy("id").agg(F.min("component_id").alias("b"))
+    joint = components(worded.join(first, "id").select(F.col("component_id").alias("a"), "b")).withColumnRenamed("component", "whole")
+    homes = worded.join(joint, worded["component_id"] == joint["node"], "left").select(worded["doc_id"], "id", F.coalesce("whole", "component_id").alias("whole"))
+    least = homes.join(homes.groupBy("whole").agg(F.min("id").alias("least")), "whole").select("doc_id", "least")
+    known = linked.join(least, "doc_id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    nameless = sets.filter(F.col("doc_id").isNull()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return known.unionByName(nameless)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module text for the method and the special cases."""
     sets = cut(set_table(docs, words, percent), "sets")
     first = lambda c: F.first(c).alias(c)
     named = sets.filter("n > 0 and doc_id is not null")
+    key = F.struct("h1", "h2")
+    if not named.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").isEmpty():
+        return _united(docs, sets, words, percent)
     distinct = cut(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), *(first(c) for c in ("p", "r", "counted", "later"))), "distinct")
     labels = link_components(docs, distinct.drop("h1", "h2"), words, percent)
     per_set = _labelled(distinct.select("h1", "h2", "node"), labels).select("h1", "h2", "component")

@@ -2,17 +2,23 @@
 
 A text becomes tokens: up to four characters of a word. Of every k consecutive tokens the inner substrings of s tokens
 are hashed; where the least one stands first or last, the k-mer is an anchor. Whether it is one depends on the k-mer
-alone, so texts that share a passage share its anchors wherever it stands. The fingerprint is the anchors' 32-bit
-hashes in text order; two fingerprints are alike by twice the number of common anchors over the number of both.
+alone, so texts that share a passage share its anchors wherever it stands. k - 1 empty tokens stand before and after every
+text, so that texts of any length have anchors and at most k - s k-mers lie between two of them.
 
-Null texts are empty. Texts without words have the empty fingerprint, two such are alike by 1. In texts of less than
-three k-mers every token is an anchor too. Equal texts have equal fingerprints. The next document follows in descending
-doc_id, then by text hash; rows without doc_id are last, after the last row comes the first. Empty table: no rows.
-Other columns are not read.
+Anchors are matched by position: a step is an anchor, the next one and the distance between them, the first step comes
+from the beginning and the last leads to the end. The fingerprint is the 32-bit hashes of the steps in text order; two
+fingerprints are alike by twice the number of common steps over the number of both. So an anchor counts only where its
+neighbour follows in step, and an insertion costs the steps across it.
+
+Null texts are empty. Texts without words have the empty fingerprint, two such are alike by 1. Equal texts have equal
+fingerprints. The next document follows in descending doc_id, then by text hash; rows without doc_id are last, after the
+last row comes the first. Texts of any length are read whole. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +30,14 @@ TOKEN = "[^ \\t\\n\\x0B\\f\\r]{1,4}"
 PER_PART, MOST_PARTS = 250, 4096
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<pos, hash>>: closed syncmers of a text with their token positions."""
-    w = k - s + 1  # inner substrings of a k-mer
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    def bound(value: Column, body) -> Column:
-        """``body(value)`` with the value computed once per row."""
-        return F.element_at(F.transform(F.array(value), body), 1)
+def anchors(text: Column, k: int = K, s: int = S, edges: bool = False) -> Column:
+    """array<struct<pos, hash>>: closed syncmers of a text with their token positions; ``edges`` adds the empty tokens around it."""
+    w = k - s + 1  # inner substrings of a k-mer
 
     def chosen(tokens: Column, inner: Column) -> Column:
         n = F.size(tokens)
@@ -38,30 +45,39 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         least = lambda i: F.least(*[at(i, d) for d in range(w)])
         places = F.filter(F.sequence(F.lit(0), n - k), lambda i: F.least(at(i, 0), at(i, w - 1)) == least(i))
         kmers = F.transform(places, lambda i: F.struct(i.alias("pos"), F.hash(F.slice(tokens, i + 1, F.lit(k))).alias("hash")))
-        none = F.array().cast("array<struct<pos:int,hash:int>>")
-        single = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), F.hash(t).alias("hash")))
-        return F.concat(F.when(n >= k, kmers).otherwise(none), F.when(n < 3 * k, single).otherwise(none))
+        return F.when(n >= k, kmers).otherwise(F.array().cast("array<struct<pos:int,hash:int>>"))
 
     def of_hashes(tokens: Column) -> Column:
         inner = F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(0), F.size(tokens) - s), lambda i: F.xxhash64(*[F.get(tokens, i + d) for d in range(s)])))
-        return bound(inner, lambda x: chosen(tokens, x))
+        return _bound(inner, lambda x: chosen(tokens, x))
 
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return bound(F.transform(tokens, lambda t: F.xxhash64(t)), of_hashes)
+    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    if edges:
+        around = F.array_repeat(F.lit(0).cast("long"), k - 1)
+        tokens = _bound(tokens, lambda t: F.when(F.size(t) > 0, F.concat(around, t, around)).otherwise(t))
+    return _bound(tokens, of_hashes)
 
 
 def marks(text: Column) -> Column:
-    """The anchors' hashes in text order."""
-    return F.transform(anchors(text), lambda a: a["hash"])
+    """Hashes of the steps from anchor to anchor in text order; none in a text without words."""
+
+    def steps(a: Column) -> Column:
+        none = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("hash"))
+        step = lambda x, y: F.hash(x["hash"], y["hash"], y["pos"] - x["pos"])
+        inside = F.transform(F.slice(a, F.lit(2), F.size(a)), lambda y, i: step(F.get(a, i), y))
+        last = F.element_at(a, -1)
+        return F.when(F.size(a) > 0, F.concat(F.array(step(none, F.get(a, 0))), inside, F.array(F.hash(last["hash"], F.lit(1))))).otherwise(F.array().cast("array<int>"))
+
+    return _bound(anchors(text, edges=True), steps)
 
 
 def fingerprint(hashes: Column) -> Column:
-    """Eight hexadecimal digits for each anchor."""
+    """Eight hexadecimal digits for each step."""
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the common distinct anchors over the distinct anchors of both; 1 where neither has any."""
+    """Twice the common distinct steps over the distinct steps of both; 1 where neither has any."""
     both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
@@ -93,7 +109,6 @@ def with_next(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", "marks", F.col("next.text").alias("next_text"), F.col("next.marks").alias("next_marks"))
 
 
-
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document, with their likeness."""
     rows = with_next(docs)

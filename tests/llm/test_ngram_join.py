@@ -1,6 +1,7 @@
 import random
 
-from cases import EXTRA, ROWS, components, documents
+import pytest
+from cases import EXTRA, ROWS, components, documents, shingle_set
 
 from tallyspark.llm import ngram_join
 from tallyspark.llm.ngram_join import near_duplicates
@@ -62,3 +63,53 @@ def test_crowd_without_any_pair_tried(spark):
     none = spark.createDataFrame([], "a long, b long")
     labels = ngram_join._labels(docs, (nodes, none, many), none, 5, 80)
     assert {(r["node"], r["component"]) for r in labels.collect()} == {(1, 1), (2, 1)}
+
+
+def linked_rows(rows, words, percent):
+    """[component of each row] by comparing all pairs of rows; rows of one doc_id are one."""
+    sets = [shingle_set(t, words) for _, t in rows]
+    home = list(range(len(rows)))
+
+    def find(a):
+        while home[a] != a:
+            a = home[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and (rows[i][0] == rows[j][0] or 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)):
+                home[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d, least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_id_for_different_texts(spark, turned):
+    """Each text of an id keeps its links, whichever row comes first."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "quite another text of a few words"), (4, ""), (4, None), (5, b.upper()), (1, a)]
+    rows = rows[::-1] if turned else rows
+    df = documents(spark, [(d, t, "en", "s", 0) for d, t in [*rows, (None, a)]]).repartition(2)
+    got = near_duplicates(df, 5, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == linked_rows(rows, 5, 80)
+    assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None] == [(56, None)]
+
+
+def test_other_paths_give_the_same(spark, monkeypatch):
+    """Documents picked by a join instead of a broadcast; every shared token makes a crowd."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(50):
+        words = list(base) if i % 2 else [f"v{j}" for j in range(70)]
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    want = components([(r[0], r[1]) for r in rows], 5, 80)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    assert result(documents(spark, rows), 5, 80) == want
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 1)
+    assert result(documents(spark, rows), 5, 80) == want
