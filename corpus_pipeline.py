@@ -29,12 +29,12 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component (five-word shingles, 0.8) the document with the smallest id stays, once."""
+    """Of each near-duplicate component (five-word shingles, 0.8) the document with the smallest id stays, once for each text of it."""
     found = ngram_join.near_duplicates(docs, words=5, percent=80).filter("component_id = doc_id and n_shingles > 0").select("doc_id").distinct()
     worded = F.col("text").rlike(r"[^ \t\n\x0B\f\r]") & F.col("doc_id").isNotNull()
     first = docs.filter(worded).join(found, "doc_id", "left_semi").select(*docs.columns)
     plain = docs.filter(~F.coalesce(worded, F.lit(False)))
-    return first.dropDuplicates(["doc_id"]).unionByName(plain)
+    return first.dropDuplicates(["doc_id", "text"]).unionByName(plain)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
