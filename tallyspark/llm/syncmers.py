@@ -2,11 +2,11 @@
 
 A text becomes tokens: up to four characters of a word. Of every k consecutive tokens the inner substrings of s tokens
 are hashed; where the least one stands first or last, the k-mer is an anchor. Whether it is one depends on the k-mer
-alone, so texts that share a passage share its anchors wherever it stands. k - 1 empty tokens stand before and after every
-text, so that texts of any length have anchors and at most k - s k-mers lie between two of them.
+alone, so texts that share a passage share its anchors wherever it stands. k - 1 empty tokens stand before every text and
+k - s - 1 after it, so that texts of any length have anchors: of k - s k-mers in a row one is an anchor.
 
-Anchors are matched by position: a step is an anchor, the next one and the distance between them, the first step comes
-from the beginning and the last leads to the end. The fingerprint is the 32-bit hashes of the steps in text order; two
+Anchors are matched by position: a step is an anchor, the one before it (at first the beginning) and the distance between
+them. The fingerprint is the 32-bit hashes of the steps in text order; two
 fingerprints are alike by twice the number of common steps over the number of both. So an anchor counts only where its
 neighbour follows in step, and an insertion costs the steps across it.
 
@@ -53,8 +53,8 @@ def anchors(text: Column, k: int = K, s: int = S, edges: bool = False) -> Column
 
     tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     if edges:
-        around = F.array_repeat(F.lit(0).cast("long"), k - 1)
-        tokens = _bound(tokens, lambda t: F.when(F.size(t) > 0, F.concat(around, t, around)).otherwise(t))
+        before, after = (F.array_repeat(F.lit(0).cast("long"), n) for n in (k - 1, k - s - 1))
+        tokens = _bound(tokens, lambda t: F.when(F.size(t) > 0, F.concat(before, t, after)).otherwise(t))
     return _bound(tokens, of_hashes)
 
 
@@ -65,8 +65,7 @@ def marks(text: Column) -> Column:
         none = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("hash"))
         step = lambda x, y: F.hash(x["hash"], y["hash"], y["pos"] - x["pos"])
         inside = F.transform(F.slice(a, F.lit(2), F.size(a)), lambda y, i: step(F.get(a, i), y))
-        last = F.element_at(a, -1)
-        return F.when(F.size(a) > 0, F.concat(F.array(step(none, F.get(a, 0))), inside, F.array(F.hash(last["hash"], F.lit(1))))).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(a) > 0, F.concat(F.array(step(none, F.get(a, 0))), inside)).otherwise(F.array().cast("array<int>"))
 
     return _bound(anchors(text, edges=True), steps)
 
