@@ -136,11 +136,28 @@ def _(t):
     return E.threshold_sweep(both_of(t))
 
 
+def clear_sql(pred: str, model: str) -> str:
+    """The predictions on the clearer vectors, of a model of that name."""
+    return f"SELECT * REPLACE ('{model}' AS model) FROM ({pred.replace('fx_vec', 'fx_clear').replace('fx_desc', 'fx_clear_desc')}) p"
+
+
+CLEAR = {"lexical": clear_sql(CENTROID, "lexical"), "semantic": clear_sql(HYBRID, "semantic")}
+
+
+def clear_of(t):
+    """Two models on the clearer vectors: the centroid strategy stands in for the first stage, the hybrid is the second."""
+    items, desc = t.clear.withColumnRenamed("label", "category_id"), t.clear_desc.withColumnRenamed("label", "category_id")
+    refs = keyed.cut(E.canonical_refs(items.filter("variant_type = 'clean'"), dim=DIM), "clear-refs")
+    made = [E.predict(items, desc, refs, s, dim=DIM).withColumn("model", F.lit(m)) for m, s in (("lexical", "EXAMPLE_CENTROID"), ("semantic", "HYBRID_PROTOTYPE"))]
+    return [keyed.cut(df, "clear") for df in made]
+
+
 @query("e07_best_threshold", f"""
 SELECT * EXCLUDE (r) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY model ORDER BY coverage_percentage DESC, accepted_accuracy DESC, minimum_score NULLS FIRST, minimum_gap, strategy) AS r
-FROM ({sweep_sql(BOTH)}) s WHERE accepted_accuracy >= 0.3 AND accepted > 0) x WHERE r = 1""", doubles=SWEEP_DOUBLES)
+FROM ({sweep_sql(" UNION ALL ".join(CLEAR.values()))}) s WHERE accepted_accuracy >= {E.SAFE_ACCURACY} AND accepted > 0) x WHERE r = 1""", doubles=SWEEP_DOUBLES)
 def _(t):
-    return E.best_threshold(E.threshold_sweep(both_of(t)), safe=0.3)
+    """The widest threshold of each of two models at which nine of ten accepted answers are right."""
+    return E.best_threshold(E.threshold_sweep(E.stack_predictions(clear_of(t))))
 
 
 @query("e08_errors", f"""
@@ -162,13 +179,9 @@ def _(t):
     return E.k_reference_sets(refs_of(t), 3).withColumn("members", F.to_json("members"))
 
 
-# The word-similarity baseline and the hybrid model judged on the parts table's first letters.
-LEX = f"""SELECT item_id, 'lexical' AS model, 'GAP' AS strategy, top1_score, score_gap, top1_correct FROM ({HYBRID}) p"""
-
-
 @query("e10_cascade_report", f"""
-WITH h AS ({HYBRID}), c AS ({CENTROID}), best AS (SELECT * FROM (SELECT model, minimum_gap, minimum_score, ROW_NUMBER() OVER (PARTITION BY model ORDER BY coverage_percentage DESC, accepted_accuracy DESC, minimum_score NULLS FIRST, minimum_gap, strategy) AS r
-   FROM ({sweep_sql("SELECT item_id, 'lexical' AS model, strategy, top1_score, score_gap, top1_correct FROM c UNION ALL SELECT item_id, model, strategy, top1_score, score_gap, top1_correct FROM h")}) s WHERE accepted_accuracy >= 0.3 AND accepted > 0) b WHERE r = 1),
+WITH h AS ({CLEAR["semantic"]}), c AS ({CLEAR["lexical"]}), best AS (SELECT * FROM (SELECT model, minimum_gap, minimum_score, ROW_NUMBER() OVER (PARTITION BY model ORDER BY coverage_percentage DESC, accepted_accuracy DESC, minimum_score NULLS FIRST, minimum_gap, strategy) AS r
+   FROM ({sweep_sql("SELECT item_id, model, strategy, top1_score, score_gap, top1_correct FROM c UNION ALL SELECT item_id, model, strategy, top1_score, score_gap, top1_correct FROM h")}) s WHERE accepted_accuracy >= {E.SAFE_ACCURACY} AND accepted > 0) b WHERE r = 1),
  j AS (SELECT h.model AS semantic_model, c.score_gap >= bl.minimum_gap AND (bl.minimum_score IS NULL OR c.top1_score >= bl.minimum_score) AS lex_ok, c.top1_correct AS lex_hit,
    h.score_gap >= bs.minimum_gap AND (bs.minimum_score IS NULL OR h.top1_score >= bs.minimum_score) AS sem_raw, h.top1_correct AS sem_hit
    FROM h JOIN c ON c.item_id = h.item_id JOIN best bl ON bl.model = 'lexical' JOIN best bs ON bs.model = h.model)
@@ -177,12 +190,8 @@ SELECT semantic_model, COUNT(*) FILTER (lex_ok OR sem_raw) AS accepted, COUNT(*)
   COUNT(*) FILTER (lex_ok OR sem_raw) - COUNT(*) FILTER ((lex_ok AND lex_hit) OR (sem_raw AND NOT lex_ok AND sem_hit)) AS incorrect_accepted,
   COUNT(*) FILTER (lex_ok) AS lexical_accepted, COUNT(*) FILTER (sem_raw AND NOT lex_ok) AS semantic_accepted_after_lexical FROM j GROUP BY semantic_model""", doubles=["coverage_percentage", "accepted_accuracy"])
 def _(t):
-    """The centroid strategy stands in for the first-stage model."""
-    refs = refs_of(t)
-    first = keyed.cut(pred_of(t, "EXAMPLE_CENTROID", refs).withColumn("model", F.lit("lexical")), "first")
-    second = keyed.cut(pred_of(t, refs=refs), "second")
-    best = E.best_threshold(E.threshold_sweep(first.unionByName(second)), safe=0.3)
-    return E.cascade_report(first, second, best, "lexical")
+    first, second = clear_of(t)
+    return E.cascade_report(first, second, E.best_threshold(E.threshold_sweep(first.unionByName(second))), "lexical")
 
 
 CANDIDATE = "SELECT item_id, label, list_transform(vec, lambda x: floor(x * 50 + 0.5) / 50) AS vec FROM fx_vec"

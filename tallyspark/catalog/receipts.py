@@ -10,6 +10,7 @@ from tallyspark.plans import keyed
 
 ROWS = "SELECT receipt_id, line_id, text AS row_text, confidence, box_left, box_top, box_right, box_bottom, box_top AS row_no FROM fx_ocr"
 TEXTS = "SELECT line_id AS text_id, text AS row_text FROM fx_ocr UNION ALL SELECT CONCAT('doc', CAST(doc_id AS STRING)), text FROM documents UNION ALL SELECT CONCAT('turn', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)), text FROM conversations"
+# The patterns of dates, times and amounts, as the operators have them.
 DATE = "\\b(\\d{4}|\\d{1,2})[./-](\\d{1,2})[./-](\\d{2,4})\\b"
 TIME = "\\b\\d{1,2}:\\d{2}(?::\\d{2})?\\b"
 MONEY = "(\\d{1,3}(,\\d{3})*(\\.\\d{1,2})?|\\d+(\\.\\d{1,2})?)"
@@ -53,9 +54,31 @@ def _(t):
     return R.dedupe_lines(lines_of(t)).select("receipt_id", "line_id", "text", "confidence")
 
 
-@query("r03_band_rows")
+def walk_sql(lines: str, order: str, begin: str, fits: str, grown: str) -> str:
+    """DuckDB text of a fold over each receipt's rows (relation ``walk``): ``fits`` and ``grown`` see the state w.a, w.b and the row n."""
+    return f"""
+ordered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY receipt_id ORDER BY {order}) AS i FROM ({lines}) l),
+ walk AS (SELECT receipt_id, i, CAST(0 AS BIGINT) AS g, {begin} FROM ordered n WHERE i = 1
+  UNION ALL SELECT n.receipt_id, n.i, CASE WHEN {fits} THEN w.g ELSE w.g + 1 END AS g, {grown} FROM walk w JOIN ordered n ON n.receipt_id = w.receipt_id AND n.i = w.i + 1)"""
+
+
+_DEDUPED = f"""WITH c AS MATERIALIZED ({_CLEAN}) SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.receipt_id = a.receipt_id
+  AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND (b.box_top, b.box_left, b.line_id) < (a.box_top, a.box_left, a.line_id)))
+  AND {_common('box_top', 'box_bottom')} >= 0.55 AND {_common('box_left', 'box_right')} >= 0.45
+  AND length(a.form) > 0 AND length(b.form) > 0 AND 1.0 - CAST(levenshtein(a.form, b.form) AS DOUBLE) / greatest(length(a.form), length(b.form)) >= 0.86)"""
+_FITS = """(greatest(0, least(w.b, n.box_bottom) - greatest(w.a, n.box_top)) / greatest(1, least(w.b - w.a, n.box_bottom - n.box_top)) >= 0.4
+  OR abs((w.a + w.b) / 2 - (n.box_top + n.box_bottom) / 2) <= greatest(1, w.b - w.a, n.box_bottom - n.box_top) * 0.55)"""
+BANDED = f"""
+WITH RECURSIVE {walk_sql(_DEDUPED, "(box_top + box_bottom) / 2, box_left, line_id", "box_top AS a, box_bottom AS b", _FITS,
+  f"CASE WHEN {_FITS} THEN least(w.a, n.box_top) ELSE n.box_top END AS a, CASE WHEN {_FITS} THEN greatest(w.b, n.box_bottom) ELSE n.box_bottom END AS b")}
+SELECT receipt_id, ROW_NUMBER() OVER (PARTITION BY receipt_id ORDER BY MIN(box_top), g) - 1 AS row_no, string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY box_left, line_id) AS row_text,
+  MIN(box_left) AS box_left, MIN(box_top) AS box_top, MAX(box_right) AS box_right, MAX(box_bottom) AS box_bottom, MAX(confidence) AS confidence
+FROM ordered JOIN walk USING (receipt_id, i) GROUP BY receipt_id, g"""
+
+
+@query("r03_band_rows", BANDED, doubles=["box_left", "box_top", "box_right", "box_bottom", "confidence"])
 def _(t):
-    return rows_of(t)
+    return rows_of(t).select("receipt_id", "row_no", "row_text", "box_left", "box_top", "box_right", "box_bottom", "confidence")
 
 
 _TOKENS = f"""
@@ -90,11 +113,14 @@ def _(t):
 SUMMARY = "(?i)(?:^|[^a-z])(?:grand\\s+total|sub\\s*total|net(?:\\s+(?:total|required))?|amount\\s+due|total\\s+due|paid|remaining|balance|cash|change|tax|vat|discount|total)(?:$|[^a-z])"
 
 
-@query("r06_classify_rows", f"""
-SELECT line_id, is_summary, is_adjustment, is_noise, false AS is_header,
-  regexp_matches(row_text, '[A-Za-z]') AND NOT is_summary AND NOT regexp_matches(row_text, '{DATE}') AND NOT regexp_matches(row_text, '{TIME}') AND NOT is_noise AS is_product
-FROM (SELECT line_id, row_text, regexp_matches(lower(row_text), '{SUMMARY}') AS is_summary, regexp_matches(lower(row_text), '(?:^|[^a-z])(?:paid|remaining|balance|cash|change|tax|vat|discount)(?:$|[^a-z])') AS is_adjustment,
-  regexp_matches(row_text, '\\d{{7,}}') OR regexp_matches(lower(row_text), '(?:^|[^a-z])(?:invoice|receipt|phone|telephone|tel|date|time|tax id|vat no)(?:$|[^a-z])') AS is_noise FROM ({ROWS}) r) x""")
+def classified_sql(rows: str) -> str:
+    return f"""
+SELECT *, false AS is_header, regexp_matches(row_text, '[A-Za-z]') AND NOT is_summary AND NOT regexp_matches(row_text, '{DATE}') AND NOT regexp_matches(row_text, '{TIME}') AND NOT is_noise AS is_product
+FROM (SELECT *, regexp_matches(lower(row_text), '{SUMMARY}') AS is_summary, regexp_matches(lower(row_text), '(?:^|[^a-z])(?:paid|remaining|balance|cash|change|tax|vat|discount)(?:$|[^a-z])') AS is_adjustment,
+  regexp_matches(row_text, '\\d{{7,}}') OR regexp_matches(lower(row_text), '(?:^|[^a-z])(?:invoice|receipt|phone|telephone|tel|date|time|tax id|vat no)(?:$|[^a-z])') AS is_noise FROM ({rows}) r) x"""
+
+
+@query("r06_classify_rows", f"SELECT line_id, is_summary, is_adjustment, is_noise, is_header, is_product FROM ({classified_sql(ROWS)}) c")
 def _(t):
     return R.classify_rows(plain_rows(t)).select("line_id", "is_summary", "is_adjustment", "is_noise", "is_header", "is_product")
 
@@ -107,15 +133,46 @@ def _(t):
 
 
 def placed_of(t, rows):
-    return keyed.cut(R.column_cells(R.numeric_cells(rows.filter("is_product")), R.receipt_widths(rows)), "columns")
+    product = R.before_footer(rows).filter("is_product")
+    return keyed.cut(R.column_cells(R.numeric_cells(product), R.receipt_widths(rows)), "columns")
+
+
+# Rows above the footer, their numbers with place and strength, and the columns those of strong numbers form.
+CLASSIFIED = f"""banded AS MATERIALIZED ({BANDED}), classed AS MATERIALIZED ({classified_sql("SELECT * FROM banded")}),
+ facts AS (SELECT *, regexp_matches(regexp_replace(regexp_replace(row_text, '{DATE}', '', 'g'), '{TIME}', '', 'g'), '[0-9]') AS num FROM classed),
+ heads AS (SELECT receipt_id, MIN(row_no) FILTER (NOT is_summary AND num AND regexp_matches(row_text, '[A-Za-z]')) AS product FROM facts GROUP BY receipt_id),
+ footers AS (SELECT receipt_id, MIN(row_no) AS footer FROM facts JOIN heads USING (receipt_id) WHERE is_summary AND num AND row_no > product GROUP BY receipt_id),
+ body AS (SELECT classed.* FROM classed LEFT JOIN footers USING (receipt_id) WHERE is_product AND (footer IS NULL OR row_no < footer))"""
+CELLS = f"""{CLASSIFIED}, cells AS MATERIALIZED (SELECT receipt_id, row_no, i AS token_no, amount_minor, box_left + greatest(1, box_right - box_left) * ((2 * begins + length(run)) / (2.0 * length(row_text))) AS x, strong FROM (
+   SELECT *, CAST(COALESCE(list_sum(list_transform(pieces[1:i], lambda p: length(p))), 0) + COALESCE(list_sum(list_transform(runs[1:i - 1], lambda r: length(r))), 0) AS BIGINT) AS begins,
+     TRY_CAST(TRY_CAST(replace(run, ',', '') AS DECIMAL(20, 2)) * 100 AS BIGINT) AS amount_minor, contains(run, '.') OR contains(run, ',') AS strong FROM (
+    SELECT *, unnest(runs) AS run, generate_subscripts(runs, 1) AS i FROM (SELECT *, regexp_extract_all(row_text, '[.,]*[0-9][0-9.,]*') AS runs, regexp_split_to_array(row_text, '[.,]*[0-9][0-9.,]*') AS pieces FROM body) p) q) r
+   WHERE regexp_full_match(run, '{MONEY}') AND amount_minor IS NOT NULL),
+ widths AS (SELECT receipt_id, greatest(1, MAX(box_right) - MIN(box_left)) AS width FROM classed GROUP BY receipt_id)"""
+_NEAR = "abs(n.x - w.a / w.b) <= n.tolerance"
+COLUMNS = f"""{CELLS}, {walk_sql("SELECT cells.*, greatest(14, width * 0.045) AS tolerance FROM cells JOIN widths USING (receipt_id) WHERE strong", "x, row_no, token_no", "n.x AS a, CAST(1 AS DOUBLE) AS b", _NEAR,
+  f"CASE WHEN {_NEAR} THEN w.a + n.x ELSE n.x END AS a, CASE WHEN {_NEAR} THEN w.b + 1 ELSE 1 END AS b")},
+ placed AS (SELECT *, g AS column_no FROM ordered JOIN walk USING (receipt_id, i)),
+ columns AS (SELECT receipt_id, column_no, AVG(x) AS center_x, COUNT(DISTINCT row_no) AS support FROM placed GROUP BY receipt_id, column_no HAVING COUNT(DISTINCT row_no) >= 2)"""
+
+
+@query("r08_numeric_columns", f"WITH RECURSIVE {COLUMNS} SELECT receipt_id, column_no, center_x, support FROM columns", doubles=["center_x"])
+def _(t):
+    return R.numeric_columns(placed_of(t, classified_of(t))).select("receipt_id", "column_no", "center_x", "support")
 
 
-@query("r08_numeric_columns")
-def _(t):
-    return R.numeric_columns(placed_of(t, classified_of(t)))
+TOTALS = "SELECT receipt_id, CAST(ROUND(CAST(regexp_extract(text, '([0-9.]+)$', 1) AS DOUBLE) * 100) AS BIGINT) AS detected_total_minor FROM fx_ocr WHERE made_as = 'TOTAL' AND confidence >= 0.15"
 
 
-@query("r09_choose_total_column")
+@query("r09_choose_total_column", f"""
+WITH RECURSIVE {COLUMNS},
+ nearest AS (SELECT * FROM placed JOIN columns USING (receipt_id, column_no) QUALIFY ROW_NUMBER() OVER (PARTITION BY receipt_id, column_no, row_no ORDER BY abs(x - center_x), token_no) = 1),
+ sums AS (SELECT receipt_id, column_no, center_x, support, SUM(amount_minor) AS s, COUNT(*) AS n, COUNT(*) FILTER (amount_minor BETWEEN 1 AND 1000) AS small FROM nearest GROUP BY ALL),
+ letters AS (SELECT receipt_id, AVG((box_left + box_right) / 2) AS letter_x FROM classed WHERE regexp_matches(row_text, '[A-Za-z]') GROUP BY receipt_id),
+ scored AS (SELECT sums.*, support * 200.0 + COALESCE(CASE WHEN t.detected_total_minor > 0 THEN CASE WHEN abs(s - t.detected_total_minor) <= 2 THEN 20000.0
+     ELSE greatest(0.0, 8000.0 * (1.0 - abs(s - t.detected_total_minor) / t.detected_total_minor)) END ELSE 0.0 END, 0.0) - CASE WHEN small >= (n + 1) // 2 THEN 1500.0 ELSE 0.0 END
+   + COALESCE(abs(center_x - letter_x) * 0.05, 0.0) AS score FROM sums LEFT JOIN ({TOTALS}) t USING (receipt_id) LEFT JOIN letters USING (receipt_id))
+SELECT receipt_id, column_no, center_x, support, score FROM scored QUALIFY ROW_NUMBER() OVER (PARTITION BY receipt_id ORDER BY score DESC, column_no) = 1""", doubles=["center_x", "score"])
 def _(t):
     rows = classified_of(t)
     placed = placed_of(t, rows)
@@ -135,6 +192,44 @@ def _(t):
     return R.arithmetic_check(t.sql(ARITHMETIC)).select("line_id", "calculated_minor", "is_consistent", "amount_minor", "price_source", "requires_review")
 
 
+# Rows whose price times weight meets their total, and the receipts with two of them.
+_MEETS = "abs((CAST(unit_minor AS HUGEINT) * weight_thousandths + 500) // 1000 - total_minor) <= 2 AND unit_minor >= 1 AND weight_thousandths BETWEEN 1 AND 1000000"
+TABLED = f"SELECT receipt_id, COUNT(*) AS support FROM fx_table_cells WHERE {_MEETS} GROUP BY receipt_id HAVING COUNT(*) >= 2"
+
+
+def tabled_of(t):
+    lines = t.table_lines
+    cells = keyed.cut(R.decimal_cells(lines), "decimal-cells")
+    return cells, R.arithmetic_columns(cells, R.receipt_widths(lines))
+
+
+@query("r10_arithmetic_columns", f"SELECT receipt_id, support, 0 AS unit, 1 AS weight, 2 AS total FROM ({TABLED}) x")
+def _(t):
+    """Columns found by their arithmetic: price times weight is the total in at least two rows."""
+    return tabled_of(t)[1].select("receipt_id", "support", "unit", "weight", "total")
+
+
+@query("r10_recover_totals", f"""
+SELECT receipt_id, row_no, CASE WHEN ok THEN total_minor ELSE calc END AS amount_minor, NOT ok AS requires_review FROM (
+  SELECT *, abs(calc - total_minor) <= 2 AS ok FROM (SELECT c.*, CAST((CAST(unit_minor AS HUGEINT) * weight_thousandths + 500) // 1000 AS BIGINT) AS calc FROM fx_table_cells c JOIN ({TABLED}) x USING (receipt_id)) y) z""")
+def _(t):
+    """Totals that do not meet price times weight, taken from the product."""
+    cells, columns = tabled_of(t)
+    return R.arithmetic_check(R.read_arithmetic(cells, columns)).select("receipt_id", "row_no", "amount_minor", "requires_review")
+
+
+@query("r09_choose_prices", """
+SELECT receipt_id, row_no, CASE WHEN n > 1 THEN total_minor ELSE CASE WHEN row_no % 2 = 0 THEN total_minor ELSE unit_minor END END AS amount_minor, n > 1 AS from_column
+FROM (SELECT c.*, COUNT(*) OVER (PARTITION BY receipt_id) AS n FROM fx_table_cells c) x""")
+def _(t):
+    """The total column where a receipt has one (several rows here), else the number farthest from the letters, which are to the right in odd rows."""
+    lines = t.table_lines.withColumn("letter_x", F.when(F.col("row_no") % 2 == 1, 400.0).otherwise(F.col("letter_x")))
+    many = t.table_lines.groupBy("receipt_id").agg(F.count_distinct("row_no").alias("n")).filter("n > 1")
+    column = many.select("receipt_id", F.lit(280.0).alias("center_x"), F.lit(14.0).alias("reach"))
+    cells = R.fragment_cells(lines.filter("line_id NOT LIKE 'w%'"))
+    return R.choose_prices(cells, column).select("receipt_id", "row_no", "amount_minor", "from_column")
+
+
 @query("r11_item_name", "SELECT line_id, TRIM(REGEXP_REPLACE(text, '[0-9.,]+$', '')) AS name FROM fx_ocr WHERE made_as IN ('ITEM', 'COPY')")
 def _(t):
     return R.named_rows(t.ocr.filter("made_as IN ('ITEM', 'COPY')"), "text").select("line_id", "name")
@@ -143,13 +238,13 @@ def _(t):
 @query("r12_attach_wrapped")
 def _(t):
     rows = classified_of(t)
-    return R.attach_wrapped(R.row_items(rows), rows).select("receipt_id", "row_no", "name", "amount_minor")
+    return R.attach_wrapped(R.row_items(R.before_footer(rows)), rows).select("receipt_id", "row_no", "name", "amount_minor")
 
 
 @query("r13_dedupe_items")
 def _(t):
     rows = keyed.cut(R.classify_rows(R.band_rows(lines_of(t))), "rows")
-    return R.dedupe_items(R.row_items(rows)).select("receipt_id", "row_no", "name", "amount_minor")
+    return R.dedupe_items(R.row_items(R.before_footer(rows))).select("receipt_id", "row_no", "name", "amount_minor")
 
 
 @query("r14_receipt_merchant", "SELECT receipt_id, text AS merchant FROM fx_ocr WHERE made_as = 'HEAD'")

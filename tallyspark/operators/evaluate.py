@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -341,49 +344,103 @@ def k_reference_sets(refs: DataFrame, k: int) -> DataFrame:
     return rows.select("category_id", "members")
 
 
+#: Items of the category that are broadcast at once (a vector and two numbers each); more take a pass for each block.
+ITEM_BLOCK = 50_000
+#: Bytes of a category's product vectors; C(n, k) sets of so many products would not end anyway.
+REFERENCE_BYTES = 64 << 20
+#: Scores (8 bytes each) that a task holds at once.
+SCORES = 4 << 20
+
+
+def _tails(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members, containing, first): the sets of the last ``size`` (1 or 2) members of n, by first member; for each product the
+    sets that contain it; and the first set whose members are all at or after each product."""
+    members = np.arange(n)[:, None] if size == 1 else np.column_stack(np.triu_indices(n, 1))
+    containing = np.array([np.flatnonzero((members == p).any(axis=1)) for p in range(n)]).reshape(n, -1)
+    return members, containing, np.searchsorted(members[:, 0], np.arange(n + 1))
+
+
+def _hits(block, k: int):
+    """Counts the hits of all sets that begin with the given members.
+
+    A set S of products has the prototype of d and c = R/|R|, R the sum of its vectors. Multiplied by its length, its score
+    of an item x reaches the best other score b exactly if x.R + (x.d) L - b L sqrt(d.d + 2 d.R/L + 1) >= 0 with L = |R|:
+    linear in numbers of the item alone. So all sets with the same first members meet all items in one matrix product.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, d, own, items = block.value
+        n, dd = len(refs), float(d @ d)
+        members, containing, first = _tails(n, min(k, 2))
+        sums = refs[members].sum(axis=1)
+        for batch in batches:
+            hits = 0
+            for head in batch.column("members").to_pylist():
+                start = head[-1] + 1 if head else 0
+                total = sums[first[start] :] + refs[head].sum(axis=0)
+                p = len(total)
+                if not p:
+                    continue
+                length = np.sqrt(np.maximum((total * total).sum(axis=1), 1e-24))
+                sets = np.column_stack([total, length, length * np.sqrt(dd + 2 * (total @ d) / length + 1)])
+                step = max(1, SCORES // p)
+                for i in range(0, len(items), step):
+                    mine, block_items = own[i : i + step], items[i : i + step]
+                    reached = np.zeros((p + 1, len(mine)), bool)  # a last row for sets that are not among these
+                    np.greater_equal(sets @ block_items.T, 0, out=reached[:p])
+                    free = ~np.isin(mine, head)
+                    count = reached.sum(axis=0)
+                    known = np.flatnonzero(free & (mine >= 0))
+                    with_own = containing[mine[known]] - first[start]
+                    count[known] -= reached[np.where(with_own >= 0, with_own, p), known[:, None]].sum(axis=1)
+                    hits += int(count[free].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64())], ["hits"])
+
+    return run
+
+
 def kshot_eval(items: DataFrame, descriptions: DataFrame, refs: DataFrame, category, ks: Sequence[int] = (0, 1, 3, 5)) -> DataFrame:
-    """Accuracy of a new category with k confirmed products, over all eligible reference sets.
+    """Accuracy of a new category with k confirmed products, over all eligible reference sets of each item.
 
-    Scores follow from dot products alone (item with product, product with
-    product, description with both), so a trial is a few additions. The sets,
-    of which there are most, stay spread rows; the category's items are a packed
-    catalog, and each set only counts its trials and hits.
+    A set of k products does not hold the item's own. Sets are spread by their first k - 2 members; the last two are tried
+    against all items in one matrix product. Trials are counted by binomials. The category's product vectors are on every
+    executor (``REFERENCE_BYTES``), its items in blocks of ``ITEM_BLOCK``; rows of the sets stay where they are.
     """
-    mine = refs.filter(F.col("category_id") == category)
-    desc = descriptions.filter(F.col("category_id") == category).select("category_id", F.col("vec").alias("d"))
-    packed = mine.groupBy("category_id").agg(F.array_sort(F.collect_list(F.struct("canonical_id", "ref_vec"))).alias("refs"))
-    facts = packed.join(desc, "category_id").select(
-        F.transform("refs", lambda r: r["canonical_id"]).alias("ids"), F.transform("refs", lambda r: r["ref_vec"]).alias("rv"), "d",
-        F.transform("refs", lambda r: vectors.dot(r["ref_vec"], F.col("d"))).alias("m"), vectors.dot(F.col("d"), F.col("d")).alias("dd"),
-        F.transform("refs", lambda a: F.transform("refs", lambda b: vectors.dot(a["ref_vec"], b["ref_vec"]))).alias("gram"),
-    )
-    others = descriptions.filter(F.col("category_id") != category).groupBy().agg(F.collect_list("vec").alias("others"))
-    own = items.filter(F.col("category_id") == category)
-    asked = keyed.attach_catalog(keyed.attach_catalog(own, facts, "item_id"), others, "item_id").select(
-        "item_id", (F.array_position("ids", F.col("canonical_id")).cast("int") - 1).alias("own"),
-        vectors.dot(F.col("d"), F.col("vec")).alias("dx"), F.array_max(F.transform("others", lambda o: vectors.dot(o, F.col("vec")))).alias("bar"),
-        F.transform("rv", lambda r: vectors.dot(r, F.col("vec"))).alias("dots"), "dd",
-    )
-    tried = asked.groupBy().agg(F.collect_list(F.struct("own", "dx", "bar", "dots", "dd")).alias("tried"))
-    parts = None
+    spark = items.sparkSession
+    mine = refs.filter(F.col("category_id") == category).select("category_id", "canonical_id", "ref_vec")
+    own_desc = descriptions.filter(F.col("category_id") == category).select(F.col("vec").alias("d"))
+    others = descriptions.filter(F.col("category_id") != category).groupBy().agg(F.collect_list("vec").alias("others"))  # a vector a category
+    size = mine.agg(F.coalesce(F.sum(8 * F.size("ref_vec")), F.lit(0))).first()[0]
+    if size > REFERENCE_BYTES:
+        raise ValueError(f"{size} bytes of product vectors: their sets cannot be enumerated")
+    known = mine.orderBy("canonical_id").collect()
+    number = spark.createDataFrame([(r["canonical_id"], i) for i, r in enumerate(known)], "canonical_id STRING, own INT")
+    own = items.filter(F.col("category_id") == category).join(F.broadcast(number), "canonical_id", "left")
+    asked = keyed.attach_catalog(keyed.attach_catalog(own, own_desc, "item_id"), others, "item_id").select(
+        F.coalesce("own", F.lit(-1)).alias("own"), "vec", "d", vectors.dot(F.col("d"), F.col("vec")).alias("dx"), F.array_max(F.transform("others", lambda o: vectors.dot(o, F.col("vec")))).alias("bar"))
+    asked = keyed.cut(asked, "asked")
+    n_known, n_free, zero_hits = asked.agg(F.count_if(F.col("own") >= 0), F.count_if(F.col("own") < 0), F.count_if(F.coalesce(F.col("dx") >= F.col("bar"), F.lit(True)))).first()
+    hits = dict.fromkeys(ks, 0) | ({0: zero_hits} if 0 in ks else {})
+
+    def tried(block: list) -> None:
+        d = np.array(block[0]["d"], float)
+        numbers = np.array([[*r["vec"], r["dx"], -r["bar"] if r["bar"] is not None else 1e300] for r in block], float)
+        shared = spark.sparkContext.broadcast((np.array([r["ref_vec"] for r in known], float), d, np.array([r["own"] for r in block]), numbers))
+        for k in ks:
+            if k and len(known) >= k:
+                heads = k_reference_sets(mine, max(0, k - 2)).select("members").repartition(4 * spark.sparkContext.defaultParallelism)
+                hits[k] += heads.mapInArrow(_hits(shared, k), "hits long").agg(F.sum("hits")).first()[0] or 0
+
+    block: list = []
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == ITEM_BLOCK:
+            tried(block)
+            block = []
+    if block:
+        tried(block)
+    rows = []
     for k in ks:
-        if k == 0:
-            hit = F.col("dx") >= F.col("bar")
-            part = asked.agg(F.count("*").alias("trials"), F.count_if(hit).alias("hits"))
-        else:
-            sets = k_reference_sets(mine, k).select("members").withColumn("key", F.to_json("members"))
-            sets = keyed.attach_catalog(sets, facts.select("m", "gram"), "key")
-            total = lambda f: F.aggregate("members", F.lit(0.0), lambda s, i: s + f(i))
-            size = F.sqrt(F.greatest(total(lambda i: F.aggregate("members", F.lit(0.0), lambda s, j: s + F.get(F.get("gram", i), j))), F.lit(1e-24)))
-            sets = sets.select("members", size.alias("len"), total(lambda i: F.get("m", i)).alias("md"))
-            rows = keyed.attach_catalog(sets.withColumn("key", F.to_json("members")), tried, "key")
-            along = lambda x: F.aggregate("members", F.lit(0.0), lambda t, p: t + F.get(x["dots"], p)) / F.col("len")
-            rows = rows.withColumn("eligible", F.filter("tried", lambda x: ~F.array_contains("members", x["own"]))).select(
-                F.size("eligible").cast("long").alias("trials"),
-                F.size(F.filter("eligible", lambda x: 0.5 * (x["dx"] + along(x)) / F.sqrt(0.25 * (x["dd"] + 2 * F.col("md") / F.col("len") + 1.0)) >= x["bar"])).cast("long").alias("hits"),
-            )
-            zero = F.lit(0).cast("long")
-            part = rows.agg(F.coalesce(F.sum("trials"), zero).alias("trials"), F.coalesce(F.sum("hits"), zero).alias("hits"))
-        part = part.withColumn("confirmed_examples", F.lit(k))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.select("confirmed_examples", "trials", F.when(F.col("trials") > 0, F.col("hits") / F.col("trials")).alias("top1_accuracy"))
+        trials = n_known * comb(len(known) - 1, k) + n_free * comb(len(known), k) if known else (n_known + n_free) * (k == 0)
+        rows.append((k, trials, hits[k] / trials if trials else None))
+    return spark.createDataFrame(rows, "confirmed_examples INT, trials LONG, top1_accuracy DOUBLE")

@@ -79,10 +79,41 @@ def selectable_categories(items: DataFrame, cats: DataFrame, item_key: str = "as
     )
 
 
+#: Wanted keys that are broadcast as they are (some 50 bytes each).
+LOOKUP_KEYS = 200_000
+#: Bits of the filter for more keys, in pages of 4 KB: 32 MB on every executor, whatever the number of keys.
+LOOKUP_BITS = 1 << 28
+PAGE_BITS = 32_768
+
+
+def key_filter(keys: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(page, bits): a bitmap of the keys' hashes, at most ``LOOKUP_BITS`` bits in pages; pages without keys are left out."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(LOOKUP_BITS))
+    x = keys.select(F.floor(place / PAGE_BITS).alias("page"), (place % PAGE_BITS).alias("bit"))
+    return x.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def maybe_wanted(df: DataFrame, pages: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose key may be in the filter, found where they are read: no shuffle, no wanted row is lost."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(LOOKUP_BITS))
+    x = df.withColumn("__page", F.floor(place / PAGE_BITS)).withColumn("__bit", (place % PAGE_BITS).cast("int"))
+    p = F.broadcast(pages.select(F.col("page").alias("__page"), F.col("bits").alias("__bits")))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(F.col("__bit") / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("__byte div cast(power(2, __bit % 8) as int) % 2 = 1")
+    return x.join(p, "__page").withColumn("__byte", byte).filter(hit).drop("__page", "__bit", "__bits", "__byte")
+
+
 def lookup(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is in ``wanted`` (nulls compare equal); absent keys give no row."""
-    w = wanted.select(*keys).distinct()
-    return df.join(w, [df[k].eqNullSafe(w[k]) for k in keys], "left_semi")
+    """Rows whose key is in ``wanted`` (nulls compare equal); absent keys give no row.
+
+    The distinct keys are counted. Up to ``LOOKUP_KEYS`` they are broadcast and the table is not shuffled. Of more keys a
+    bitmap of fixed size is broadcast; what passes it, the wanted rows and a few others, meets the keys exactly.
+    """
+    w = keyed.cut(wanted.select(*keys).distinct(), "wanted")
+    if w.count() <= LOOKUP_KEYS:
+        return df.join(F.broadcast(w), [df[k].eqNullSafe(w[k]) for k in keys], "left_semi")
+    near = maybe_wanted(df, key_filter(w, keys), keys)
+    return near.join(w, [near[k].eqNullSafe(w[k]) for k in keys], "left_semi")
 
 
 def ingest_manual(rows: DataFrame) -> DataFrame:

@@ -1,14 +1,19 @@
 """Receipts: text lines with boxes to rows, totals, items and price repair.
 
 Lines carry receipt_id, line_id, text, confidence and box_left/top/right/bottom.
-Clustering is by ordered gaps instead of greedy assignment, and comparisons
-meet on (receipt, vertical band), so one huge receipt spreads over its bands.
+Rows and columns are folds over a receipt's sorted boxes, which stream through
+with one state; comparisons meet on (receipt, vertical band), so one huge
+receipt spreads over its bands.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import text
 from tallyspark.functions.udfs import nfd
@@ -18,7 +23,7 @@ from tallyspark.plans import keyed
 MIN_CONFIDENCE, MIN_WEAK_CONFIDENCE = 0.35, 0.15
 DUPLICATE_SIMILARITY = 0.86
 ROW_OVERLAP, ROW_CENTER = 0.4, 0.55
-COLUMN_RATIO, MIN_COLUMN_TOLERANCE, MIN_COLUMN_SUPPORT = 0.045, 14.0, 2
+COLUMN_RATIO, MIN_COLUMN_TOLERANCE, MIN_COLUMN_SUPPORT, MIN_ARITHMETIC_SUPPORT = 0.045, 14.0, 2, 2
 WRAPPED_GAP, MAX_NAME = 0.8, 120
 TOTAL_TOLERANCE, ARITHMETIC_TOLERANCE = 2, 2
 MIN_PRICE, MAX_PRICE = 1, 100_000_000
@@ -27,6 +32,7 @@ RELIABLE_TOTAL, LOW_CONFIDENCE, STRONG_CONFIDENCE, REVIEW_CONFIDENCE = 0.82, 0.7
 MIN_REPAIR_SCORE, MIN_REPAIR_CONFIDENCE = 0.58, 0.55
 
 # Patterns.
+DECIMAL_CELL = r"^(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d{1,3})?$"
 LETTER = r"[A-Za-z\p{IsArabic}]"
 DATE = r"\b(\d{4}|\d{1,2})[./-](\d{1,2})[./-](\d{2,4})\b"
 TIME = r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
@@ -164,48 +170,90 @@ def dedupe_lines(lines: DataFrame, band: float = 32.0) -> DataFrame:
     return lines.join(copies, ["receipt_id", "line_id"], "left_anti")
 
 
-def band_rows(lines: DataFrame, slot: float = 4096.0) -> DataFrame:
-    """Logical rows: lines in centre order start a new row unless they overlap the one before.
+def scan_groups(df: DataFrame, order: list, measures: list[str], begin: Callable, join: Callable, out: str) -> DataFrame:
+    """Adds the group of each row, counted from 0 in its receipt: a fold over the receipt's rows in order.
 
-    Returns one row per (receipt, row_no) with its text from left to right, its
-    box and confidence. Lines without a box come last, each a row of its own.
+    ``join(state, values)`` is the group's next state, or None where the row begins a new group with ``begin(values)``. Rows
+    are dealt by receipt, sorted, and pass as a stream with one state, however many a receipt has.
     """
-    mid = (F.col("box_top") + F.col("box_bottom")) / 2
-    lines = keyed.cut(lines, "lines")
-    boxed = lines.filter(F.col("box_top").isNotNull()).withColumn("mid", mid).withColumn("slot", F.floor(mid / slot))
-    order = [F.asc("mid"), F.asc("box_left"), F.asc("line_id")]
-    here = F.struct("mid", "box_left", "line_id", "box_top", "box_bottom")
-    x = keyed.prefix_before(boxed, ["receipt_id"], "slot", order, here, "prev")
-    p_top, p_bottom = F.col("prev.box_top"), F.col("prev.box_bottom")
-    height = F.greatest(_height(F.col("box_top"), F.col("box_bottom")), _height(p_top, p_bottom))
-    same = (overlap_ratio(p_top, p_bottom, F.col("box_top"), F.col("box_bottom")) >= ROW_OVERLAP) | (F.abs(F.col("mid") - F.col("prev.mid")) <= height * ROW_CENTER)
-    x = x.withColumn("starts", F.when(F.col("prev").isNotNull() & same, 0).otherwise(1).cast("long")).drop("prev")
-    x = keyed.prefix_before(x, ["receipt_id"], "slot", order, F.col("starts"), "before", how="sum")
-    x = x.withColumn("row_no", F.col("before") + F.col("starts") - 1)
+    at = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receipt, state, n = object(), None, -1
+        for batch in batches:
+            groups = []
+            for r, *values in zip(*[batch.column(c).to_pylist() for c in ("receipt_id", *measures)], strict=True):
+                if r != receipt:
+                    receipt, state, n = r, None, -1
+                state = None if state is None else join(state, values)
+                if state is None:
+                    state, n = begin(values), n + 1
+                groups.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int64())], [*at, out])
+
+    dealt = df.repartition("receipt_id").sortWithinPartitions("receipt_id", *order)
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
+
+
+def _same_row(row: tuple[float, float], box: list[float]) -> tuple[float, float] | None:
+    """The row's band with the box, if they overlap or their centres are near."""
+    (top, bottom), (t, b) = row, box
+    common = max(0.0, min(bottom, b) - max(top, t)) / max(1.0, min(bottom - top, b - t))
+    near = abs((top + bottom) / 2 - (t + b) / 2) <= max(1.0, bottom - top, b - t) * ROW_CENTER
+    return (min(top, t), max(bottom, b)) if common >= ROW_OVERLAP or near else None
+
+
+def grouped_lines(lines: DataFrame) -> DataFrame:
+    """Boxed lines with the number of the row they join: the one whose centre is nearest, or a new one.
+
+    Lines pass in the order of their centres. A row is as tall as its lines together, and no centre lies below that of the
+    last line, so the nearest row is always the one begun last and a scan with that row's band suffices.
+    """
+    boxed = lines.filter(F.col("box_top").isNotNull()).withColumn("mid", (F.col("box_top") + F.col("box_bottom")) / 2)
+    return scan_groups(boxed, ["mid", "box_left", "line_id"], ["box_top", "box_bottom"], tuple, _same_row, "group_no").drop("mid")
+
+
+def _numbered_rows(grouped: DataFrame, slot: float) -> DataFrame:
+    """Text, box and confidence of each group, with ``row_no`` by top; ``letter_x`` is the mean centre of its lines with letters."""
     part = F.struct(F.col("box_left").alias("l"), F.col("line_id").alias("i"), F.col("text").alias("t"))
     agg = [
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["t"]), " ").alias("row_text"),
         F.min("box_left").alias("box_left"), F.min("box_top").alias("box_top"), F.max("box_right").alias("box_right"),
         F.max("box_bottom").alias("box_bottom"), F.max("confidence").alias("confidence"),
+        F.avg(F.when(F.col("text").rlike(LETTER), (F.col("box_left") + F.col("box_right")) / 2)).alias("letter_x"),
     ]
-    rows = x.groupBy("receipt_id", "row_no").agg(*agg)
+    rows = keyed.cut(grouped.groupBy("receipt_id", "group_no").agg(*agg).withColumn("slot", F.floor(F.col("box_top") / slot)), "banded")
+    return keyed.number_rows(rows, ["receipt_id"], "slot", [F.asc("box_top"), F.asc("group_no")], "row_no").drop("slot")
+
+
+def band_rows(lines: DataFrame, slot: float = 4096.0) -> DataFrame:
+    """Logical rows: one per (receipt, row_no), rows by their top, with the text from left to right, box and confidence.
+
+    Lines without a box come last, each a row of its own.
+    """
+    lines = keyed.cut(lines, "lines")
+    rows = _numbered_rows(grouped_lines(lines), slot)
     loose = lines.filter(F.col("box_top").isNull())
     loose = keyed.number_rows(loose.withColumn("slot", F.lit(0)), ["receipt_id"], "slot", [F.asc("line_id")], "n").select(
         "receipt_id", (F.col("n") + F.lit(1_000_000_000)).alias("row_no"), F.col("text").alias("row_text"),
         *[F.lit(None).cast("double").alias(c) for c in ("box_left", "box_top", "box_right", "box_bottom")], "confidence")
-    return rows.unionByName(loose)
+    return rows.select(loose.columns).unionByName(loose)
 
 
-# --- numbers and dates -------------------------------------------------------
+def row_fragments(lines: DataFrame, slot: float = 4096.0) -> DataFrame:
+    """Boxed lines with their ``row_no`` and the ``letter_x`` of the row: what prices and columns are read from."""
+    grouped = keyed.cut(grouped_lines(keyed.cut(lines, "lines")), "grouped")
+    rows = _numbered_rows(grouped, slot).select("receipt_id", "group_no", "row_no", "letter_x")
+    return grouped.join(rows, ["receipt_id", "group_no"]).select(
+        "receipt_id", "row_no", "line_id", "text", "confidence", "box_left", "box_top", "box_right", "box_bottom", "letter_x")
 
 
-def money_tokens(rows: DataFrame, key: list[str], column: str = "row_text") -> DataFrame:
-    """Money tokens of each text outside dates and times, with position and strength.
+# --- numbers and dates -------------------------------------------------------
 
-    A token is strong with a decimal point, a comma or a currency right after it.
-    """
-    extra = [c for c in ("box_left", "box_right", "confidence") if c in rows.columns]
-    x = rows.select(*key, *extra, F.length(column).alias("__len"), F.col(column).alias("__text"))
+
+def _number_runs(rows: DataFrame, keep: list[str], column: str) -> DataFrame:
+    """Runs of digits, points and commas outside dates and times: raw text, offset, and the masked text they stand in."""
+    x = rows.select(*keep, F.length(column).alias("__len"), F.col(column).alias("__text"))
     x = keyed.pin(keyed.pin(x, "__d", mask(F.col("__text"), DATE)), "__t", mask(F.col("__d"), TIME))
     pieces, runs = F.split("__t", NUMBER_RUN), F.regexp_extract_all("__t", F.lit(NUMBER_RUN), F.lit(0))
     x = x.withColumns({"__p": pieces, "__r": runs})
@@ -214,14 +262,27 @@ def money_tokens(rows: DataFrame, key: list[str], column: str = "row_text") -> D
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     starts = F.aggregate(sizes, begin, lambda s, x: F.struct((s["at"] + x["p"] + x["r"]).alias("at"), F.array_append(s["out"], s["at"] + x["p"]).alias("out")), lambda s: s["out"])
     x = x.withColumn("__z", F.arrays_zip(F.col("__r").alias("raw"), starts.alias("at")))
-    x = x.select(*key, *extra, "__t", "__len", F.posexplode("__z").alias("token_no", "z")).filter(F.col("z.raw").rlike(MONEY))
+    return x.select(*keep, "__t", "__len", F.posexplode("__z").alias("token_no", "z"))
+
+
+def _center_ratio() -> Column:
+    """Where in its text a run stands, from 0 to 1."""
+    return (F.col("z.at") * 2 + F.length("z.raw")) / (F.greatest("__len", F.lit(1)) * 2.0)
+
+
+def money_tokens(rows: DataFrame, key: list[str], column: str = "row_text") -> DataFrame:
+    """Money tokens of each text outside dates and times, with position and strength.
+
+    A token is strong with a decimal point, a comma or a currency right after it.
+    """
+    extra = [c for c in ("box_left", "box_right", "confidence") if c in rows.columns]
+    x = _number_runs(rows, [*key, *extra], column).filter(F.col("z.raw").rlike(MONEY))
     raw, at = F.col("z.raw"), F.col("z.at")
     after = F.substr(F.col("__t"), at + F.length(raw) + 1, F.lit(8))
     minor = (F.replace(raw, F.lit(","), F.lit("")).try_cast("decimal(20,2)") * 100).try_cast("long")
     out = x.select(
         *key, *extra, "token_no", raw.alias("raw"), minor.alias("amount_minor"),
-        (raw.contains(".") | raw.contains(",") | after.rlike(CURRENCY)).alias("is_strong"),
-        ((at * 2 + F.length(raw)) / (F.greatest("__len", F.lit(1)) * 2.0)).alias("center_ratio"),
+        (raw.contains(".") | raw.contains(",") | after.rlike(CURRENCY)).alias("is_strong"), _center_ratio().alias("center_ratio"),
     )
     return out.filter(F.col("amount_minor").isNotNull())
 
@@ -326,17 +387,23 @@ def receipt_widths(lines: DataFrame) -> DataFrame:
     return lines.groupBy("receipt_id").agg(F.greatest(F.lit(1.0), F.max("box_right") - F.min("box_left")).alias("width"))
 
 
-def column_cells(cells: DataFrame, widths: DataFrame, slot: float = 256.0) -> DataFrame:
-    """Strong cells with the number of their column: a gap wider than the tolerance starts a new one."""
+def _same_column(column: tuple[float, int], cell: list[float]) -> tuple[float, int] | None:
+    """Sum and number of the column's centres with the cell's, if it is within the tolerance of their mean."""
+    (total, n), (x, tolerance) = column, cell
+    return (total + x, n + 1) if abs(x - total / n) <= tolerance else None
+
+
+def column_cells(cells: DataFrame, widths: DataFrame) -> DataFrame:
+    """Strong cells with the number of their column: from left to right a cell joins the column whose mean centre is nearest.
+
+    Means lie left of the cells to come, so the nearest column is the last one.
+    """
     strong = cells.filter(F.col("is_strong") & F.col("x").isNotNull()).join(widths, "receipt_id")
-    strong = keyed.cut(strong.withColumn("slot", F.floor(F.col("x") / slot)), "cells")
-    order = [F.asc("x"), F.asc("row_no"), F.asc("token_no")]
-    y = keyed.prefix_before(strong, ["receipt_id"], "slot", order, F.col("x"), "prev_x")
-    tolerance = F.greatest(F.lit(MIN_COLUMN_TOLERANCE), F.col("width") * COLUMN_RATIO)
-    y = y.withColumn("starts", F.when(F.col("x") - F.col("prev_x") <= tolerance, 0).otherwise(1).cast("long"))
-    y = keyed.prefix_before(y, ["receipt_id"], "slot", order, F.col("starts"), "before", how="sum")
-    return y.withColumn("column_no", F.col("before") + F.col("starts") - 1).select(
-        "receipt_id", "row_no", "token_no", "column_no", "x", "amount_minor", "raw", "confidence")
+    strong = strong.withColumn("tolerance", F.greatest(F.lit(MIN_COLUMN_TOLERANCE), F.col("width") * COLUMN_RATIO))
+    found = scan_groups(
+        strong.select("receipt_id", "row_no", "token_no", "x", "amount_minor", "raw", "confidence", "tolerance"), ["x", "row_no", "token_no"], ["x", "tolerance"],
+        lambda cell: (cell[0], 1), _same_column, "column_no")
+    return found.select("receipt_id", "row_no", "token_no", "column_no", "x", "amount_minor", "raw", "confidence")
 
 
 def numeric_columns(placed: DataFrame) -> DataFrame:
@@ -369,6 +436,93 @@ def choose_total_column(placed: DataFrame, columns: DataFrame, totals: DataFrame
     return best.select("receipt_id", (-F.col("b.first")).alias("column_no"), F.col("b.center_x").alias("center_x"), F.col("b.support").alias("support"), F.col("b.score").alias("score"))
 
 
+def fragment_cells(fragments: DataFrame) -> DataFrame:
+    """Money tokens of each fragment with their centre inside the fragment's own box, in the row's order from left to right."""
+    keep = ["receipt_id", "row_no", "line_id", "letter_x"]
+    cells = money_tokens(fragments, keep, "text")
+    return cells.withColumn("x", F.col("box_left") + F.greatest(F.lit(1.0), F.col("box_right") - F.col("box_left")) * F.col("center_ratio"))
+
+
+def _reach(columns: DataFrame, placed: DataFrame) -> DataFrame:
+    """Adds how far from its centre a column's cells may lie: the width they span and the least tolerance."""
+    spans = placed.groupBy("receipt_id", "column_no").agg((F.max("x") - F.min("x") + MIN_COLUMN_TOLERANCE).alias("reach"))
+    return columns.join(spans, ["receipt_id", "column_no"])
+
+
+def choose_prices(cells: DataFrame, total_column: DataFrame) -> DataFrame:
+    """The price cell of every row: the one nearest to the line-total column, if within its reach.
+
+    Otherwise the row's only strong cell, or of several the one farthest from its letters, or the last where no letters are
+    known. ``total_column``: receipt_id, center_x, reach. Rows with weak cells only have no price.
+    """
+    near = F.abs(F.col("x") - F.col("center_x"))
+    j = cells.join(total_column.select("receipt_id", "center_x", "reach"), "receipt_id", "left")
+    in_column = F.coalesce(near <= F.col("reach"), F.lit(False))
+    away = F.when(F.col("letter_x").isNotNull(), F.abs(F.coalesce("x", "letter_x") - F.col("letter_x")))
+    place = F.struct("x", "line_id", "token_no")
+    # Of equal cells the first counts, save where only the order decides.
+    best = j.groupBy("receipt_id", "row_no").agg(
+        F.min(F.when(in_column, F.struct(near.alias("d"), place.alias("p"), "amount_minor", "confidence"))).alias("column"),
+        F.max(F.when(F.col("is_strong"), F.coalesce(away, F.lit(-1.0)))).alias("far"),
+    )
+    strong = j.filter("is_strong").join(best.select("receipt_id", "row_no", "far"), ["receipt_id", "row_no"]).filter(F.coalesce(away, F.lit(-1.0)) == F.col("far"))
+    pick = F.struct(place.alias("p"), "amount_minor", "confidence")
+    fallback = strong.groupBy("receipt_id", "row_no").agg(F.when(F.max("far") < 0, F.max(pick)).otherwise(F.min(pick)).alias("fallback"))
+    out = best.join(fallback, ["receipt_id", "row_no"], "left").filter("column is not null or fallback is not null")
+    return out.select(
+        "receipt_id", "row_no", F.coalesce("column.amount_minor", "fallback.amount_minor").alias("amount_minor"),
+        F.coalesce("column.confidence", "fallback.confidence").alias("price_confidence"), F.col("column").isNotNull().alias("from_column"))
+
+
+def decimal_cells(fragments: DataFrame) -> DataFrame:
+    """Numbers of up to three decimals in each fragment; ``column_like`` ones stand in a fragment with at most one letter."""
+    x = _number_runs(fragments, ["receipt_id", "row_no", "line_id", "box_left", "box_right", "text"], "text").filter(F.col("z.raw").rlike(DECIMAL_CELL))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    value = F.replace(F.col("z.raw"), F.lit(","), F.lit("")).try_cast("decimal(18,3)")
+    at = F.col("box_left") + F.greatest(F.lit(1.0), F.col("box_right") - F.col("box_left")) * _center_ratio()
+    return x.select("receipt_id", "row_no", "line_id", "token_no", at.alias("x"), value.alias("value"), (letters <= 1).alias("column_like")).filter("value is not null and x is not null")
+
+
+def arithmetic_columns(cells: DataFrame, widths: DataFrame) -> DataFrame:
+    """Per receipt the unit-price, weight and line-total columns that multiply in most rows, of at least two.
+
+    Columns come from the column-like cells; a row's cell of a column is its nearest within the column's reach. A row
+    supports three columns if price times weight meets the total to two minor units. A row has one cell a column, so its
+    triples are few; they are unfolded from one small array.
+    """
+    tolerance = F.greatest(F.lit(MIN_COLUMN_TOLERANCE), F.col("width") * COLUMN_RATIO)
+    like = cells.filter("column_like").join(widths, "receipt_id").select("receipt_id", "row_no", "line_id", "token_no", "x", tolerance.alias("tolerance"))
+    placed = keyed.cut(scan_groups(like, ["x", "row_no", "line_id", "token_no"], ["x", "tolerance"], lambda cell: (cell[0], 1), _same_column, "column_no"), "decimals")
+    columns = keyed.cut(_reach(numeric_columns(placed), placed), "decimal-columns")
+    near = F.abs(F.col("x") - F.col("center_x"))
+    of_row = cells.join(columns, "receipt_id").filter(near <= F.col("reach")).groupBy("receipt_id", "row_no", "column_no", "support").agg(
+        F.min(F.struct(near.alias("d"), "x", "line_id", "token_no", "value")).alias("c"))
+    rows = of_row.groupBy("receipt_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("column_no", F.col("c.value").alias("value"), "support"))).alias("cells"))
+    triple = lambda u, w, t: F.struct(u["column_no"].alias("unit"), w["column_no"].alias("weight"), t["column_no"].alias("total"), (u["support"] + w["support"] + t["support"]).alias("cells"))
+    apart = lambda u, w, t: (u["column_no"] != w["column_no"]) & (u["column_no"] != t["column_no"]) & (w["column_no"] != t["column_no"])
+    usable = lambda u, w: (u["value"] >= F.lit("0.01").cast("decimal(10,2)")) & w["value"].between(F.lit("0.001").cast("decimal(10,3)"), F.lit("1000").cast("decimal(10,3)"))
+    meets = lambda u, w, t: F.abs(F.round(u["value"] * w["value"], 2) - F.round(t["value"], 2)) <= F.lit("0.02").cast("decimal(10,2)")
+    three = lambda u, w: F.transform(F.filter("cells", lambda t: apart(u, w, t) & usable(u, w) & meets(u, w, t)), lambda t: triple(u, w, t))
+    found = rows.select("receipt_id", F.explode(F.flatten(F.transform("cells", lambda u: F.flatten(F.transform("cells", lambda w: three(u, w)))))).alias("t"))
+    judged = found.groupBy("receipt_id", "t").agg(F.count("*").alias("support")).filter(F.col("support") >= MIN_ARITHMETIC_SUPPORT)
+    order = [F.desc("support"), F.desc("t.cells"), F.asc("t.unit"), F.asc("t.weight"), F.asc("t.total")]
+    best = keyed.top_per_key(judged, ["receipt_id"], order, 1).select("receipt_id", "support", F.col("t.unit").alias("unit"), F.col("t.weight").alias("weight"), F.col("t.total").alias("total"))
+    place = columns.select("receipt_id", F.col("column_no"), F.struct("center_x", "reach").alias("place"))
+    for role in ("unit", "weight", "total"):
+        best = best.join(place.select("receipt_id", F.col("column_no").alias(role), F.col("place").alias(f"{role}_at")), ["receipt_id", role])
+    return best
+
+
+def read_arithmetic(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """(receipt_id, row_no, unit_price, weight, total_minor) of the rows with a unit price and a weight in the columns found."""
+    j = cells.join(columns.select("receipt_id", "unit_at", "weight_at", "total_at"), "receipt_id")
+    near = lambda role: F.abs(F.col("x") - F.col(f"{role}_at.center_x"))
+    of = lambda role: F.min(F.when(near(role) <= F.col(f"{role}_at.reach"), F.struct(near(role).alias("d"), F.col("x"), F.col("line_id"), F.col("token_no"), F.col("value").alias("v")))).alias(role)
+    rows = j.groupBy("receipt_id", "row_no").agg(*[of(r) for r in ("unit", "weight", "total")]).filter("unit is not null and weight is not null")
+    minor = (F.round(F.col("total.v"), 2) * 100).cast("long")
+    return rows.select("receipt_id", "row_no", F.col("unit.v").alias("unit_price"), F.col("weight.v").alias("weight"), minor.alias("total_minor"))
+
+
 def arithmetic_check(rows: DataFrame) -> DataFrame:
     """Unit price times weight against the line total.
 
@@ -408,9 +562,29 @@ def named_rows(rows: DataFrame, column: str) -> DataFrame:
     return x.filter(valid_name(F.col("name"), F.col("name_keywords"))).drop("name_keywords")
 
 
-def row_items(classified: DataFrame) -> DataFrame:
-    """Product rows with a price: name, amount (the last strong token) and the row's box."""
+def before_footer(classified: DataFrame) -> DataFrame:
+    """The rows above a receipt's footer, which starts at the first summary row with a number below a row that looks like a product.
+
+    Two small facts of each receipt decide; rows are not put in order.
+    """
+    number = F.regexp_replace(mask(mask(F.col("row_text"), DATE), TIME), r"[^0-9]", "") != ""
+    x = classified.withColumn("__number", number)
+    likely = ~F.col("is_summary") & F.col("row_text").rlike(LETTER) & F.col("__number")
+    first = x.filter(likely).groupBy("receipt_id").agg(F.min("row_no").alias("__product"))
+    ends = x.filter(F.col("is_summary") & F.col("__number")).join(first, "receipt_id").filter(F.col("row_no") > F.col("__product"))
+    footer = ends.groupBy("receipt_id").agg(F.min("row_no").alias("__footer"))
+    return classified.join(footer, "receipt_id", "left").filter(F.col("__footer").isNull() | (F.col("row_no") < F.col("__footer"))).drop("__footer")
+
+
+def row_items(classified: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Product rows with a price: name, amount and the row's box.
+
+    ``prices`` are those of ``choose_prices``; without them the last strong token of the row's text is its price.
+    """
     rows = classified.filter("is_product")
+    if prices is not None:
+        priced = prices.filter("amount_minor > 0").select("receipt_id", "row_no", "amount_minor")
+        return named_rows(rows, "row_text").join(priced, ["receipt_id", "row_no"]).select("receipt_id", "row_no", "name", "amount_minor", "confidence", "box_top", "box_bottom")
     last = money_tokens(rows, ["receipt_id", "row_no"]).filter("is_strong").groupBy("receipt_id", "row_no").agg(F.max(F.struct("token_no", "amount_minor")).alias("c"))
     named = named_rows(rows, "row_text")
     last = last.filter(F.col("c.amount_minor") > 0)

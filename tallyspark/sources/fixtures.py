@@ -27,12 +27,14 @@ _MACROS = {
         "DIV": "({0} div {1})",
         "DARR": "CAST({0} AS ARRAY<DOUBLE>)",
         "DAYS": "CAST(datediff({1}, {0}) AS BIGINT)",
+        "PULL": "transform({0}, (x, i) -> x + CASE WHEN i = {1} THEN CAST(item_id % 4 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)",
     },
     "duckdb": {
         "ADDM": "CAST({0} + to_months(CAST({1} AS INTEGER)) AS DATE)",
         "DIV": "({0} // {1})",
         "DARR": "CAST({0} AS DOUBLE[])",
         "DAYS": "CAST(date_diff('day', {0}, {1}) AS BIGINT)",
+        "PULL": "list_transform({0}, lambda x, i: x + CASE WHEN i = {1} + 1 THEN CAST(item_id % 4 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)",
     },
 }
 _MACRO = re.compile(r"@([A-Z]+)\[([^\[\]]*)\]")
@@ -220,6 +222,11 @@ SELECT vec_id AS item_id, CAST(label AS BIGINT) AS label, CONCAT(CAST(label AS S
 FROM embeddings""",
     "fx_desc": """
 SELECT v.label, v.vec FROM fx_vec v JOIN (SELECT label, MIN(item_id) AS item_id FROM fx_vec GROUP BY label) m ON m.item_id = v.item_id""",
+    # The same vectors moved towards the axis of their label, a quarter of them not, others up to three units: some answers are safe.
+    "fx_clear": """
+SELECT item_id, label, canonical_id, language, variant_type, @PULL[vec, label] AS vec FROM fx_vec""",
+    "fx_clear_desc": """
+SELECT v.label, v.vec FROM fx_clear v JOIN (SELECT label, MIN(item_id) AS item_id FROM fx_clear GROUP BY label) m ON m.item_id = v.item_id""",
     "fx_items": """
 SELECT p.p_partkey AS item_id, CAST(p.p_partkey % 3 AS BIGINT) AS owner_id, v.label, p.p_name AS item_name, p.p_brand AS merchant, v.vec
 FROM part p LEFT JOIN fx_vec v ON v.item_id = p.p_partkey""",
@@ -276,6 +283,15 @@ SELECT order_id, 't', 'TOTAL', CONCAT(CASE WHEN MIN(flag) = 'A' THEN 'Grand Tota
 FROM (SELECT order_id, MIN(flag) AS flag, SUM(price_minor) + CASE WHEN MAX(discount) > 0.09 THEN 500 ELSE 0 END AS t,
         ROUND(CAST(0.5 + 6 * MIN(discount) AS DOUBLE), 2) AS c, CAST(20 * (100 + MAX(part_id)) AS DOUBLE) AS b FROM fx_lines GROUP BY order_id) z
 GROUP BY order_id, t, c, b""",
+    # Receipt lines as tables: name, unit price, weight and total in boxes of their own; some totals are misread.
+    "fx_table_cells": """
+SELECT order_id AS receipt_id, CAST(ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY line_no, line_id) AS BIGINT) AS row_no, line_id, p_name AS name, price_minor AS unit_minor, CAST(quantity AS BIGINT) * 125 AS weight_thousandths,
+  @DIV[(price_minor * CAST(quantity AS BIGINT) * 125 + 500), 1000] + CASE WHEN tax > 0.05 THEN 700 ELSE 0 END AS total_minor FROM fx_lines""",
+    "fx_table_lines": """
+SELECT receipt_id, row_no, CONCAT('n', line_id) AS line_id, name AS text, CAST(0.9 AS DOUBLE) AS confidence, CAST(0 AS DOUBLE) AS box_left, CAST(120 AS DOUBLE) AS box_right, CAST(60 AS DOUBLE) AS letter_x FROM fx_table_cells
+UNION ALL SELECT receipt_id, row_no, CONCAT('u', line_id), CONCAT(CAST(@DIV[unit_minor, 100] AS STRING), '.', LPAD(CAST(unit_minor % 100 AS STRING), 2, '0')), CAST(0.9 AS DOUBLE), CAST(150 AS DOUBLE), CAST(180 AS DOUBLE), CAST(60 AS DOUBLE) FROM fx_table_cells
+UNION ALL SELECT receipt_id, row_no, CONCAT('w', line_id), CONCAT(CAST(@DIV[weight_thousandths, 1000] AS STRING), '.', LPAD(CAST(weight_thousandths % 1000 AS STRING), 3, '0')), CAST(0.9 AS DOUBLE), CAST(200 AS DOUBLE), CAST(230 AS DOUBLE), CAST(60 AS DOUBLE) FROM fx_table_cells
+UNION ALL SELECT receipt_id, row_no, CONCAT('z', line_id), CONCAT(CAST(@DIV[total_minor, 100] AS STRING), '.', LPAD(CAST(total_minor % 100 AS STRING), 2, '0')), CAST(0.9 AS DOUBLE), CAST(260 AS DOUBLE), CAST(300 AS DOUBLE), CAST(60 AS DOUBLE) FROM fx_table_cells""",
     "fx_receipt_items": """
 SELECT order_id AS receipt_id, line_id AS item_id, p_name AS name, price_minor AS amount_minor,
   ROUND(CAST(0.30 + 6 * discount AS DOUBLE), 2) AS confidence, tax > 0.07 AS requires_review,

@@ -17,6 +17,7 @@ from tallyspark.operators import assets as A
 from tallyspark.operators import categorize as C
 from tallyspark.operators import changes as M
 from tallyspark.operators import evaluate as E
+from tallyspark.operators import ledger as L
 from tallyspark.operators import obligations as O
 from tallyspark.operators import ranking as R
 from tallyspark.operators import receipts as P
@@ -248,8 +249,8 @@ def test_kshot_against_all_sets(spark):
     got = {r.confirmed_examples: (r.trials, r.top1_accuracy) for r in E.kshot_eval(
         spark.createDataFrame(items, "item_id LONG, category_id LONG, canonical_id STRING, vec ARRAY<DOUBLE>"),
         spark.createDataFrame(desc, "category_id LONG, vec ARRAY<DOUBLE>"),
-        spark.createDataFrame(refs, "category_id LONG, canonical_id STRING, ref_vec ARRAY<DOUBLE>"), 1, (0, 1, 3)).collect()}
-    for k in (0, 1, 3):
+        spark.createDataFrame(refs, "category_id LONG, canonical_id STRING, ref_vec ARRAY<DOUBLE>"), 1, (0, 1, 2, 3, 5)).collect()}
+    for k in (0, 1, 2, 3):
         trials = hits = 0
         for _, _, own, x in items:
             for combo in itertools.combinations([r for r in refs if r[1] != own], k):
@@ -304,6 +305,66 @@ def test_receipt_end_to_end(spark):
     assert one(P.reconcile(items, P.detect_total(rows))).consistency == "MATCH"
 
 
+def fragments(spark, *rows):
+    """Boxed fragments (text, left, right) of rows 20 units high."""
+    out = [(1, f"l{i:02d}-{j}", t, 0.9, float(a), 20.0 * i, float(b), 20.0 * i + 12) for i, row in enumerate(rows) for j, (t, a, b) in enumerate(row)]
+    return spark.createDataFrame(out, LINE)
+
+
+def test_rows_join_the_nearest_and_grow(spark):
+    """A line joins by the whole row's band, not only by the line before it; a tall line bridges; the next row begins anew."""
+    lines = [("a", 0, 10), ("b", 4, 16), ("c", 9, 22), ("d", 14, 40), ("e", 30, 36), ("f", 60, 66)]
+    df = spark.createDataFrame([(1, n, n, 0.9, float(i), float(top), float(i) + 1, float(bottom)) for i, (n, top, bottom) in enumerate(lines)], LINE)
+    rows, want, band = {}, [], None
+    for n, top, bottom in sorted(lines, key=lambda x: (x[1] + x[2]) / 2):
+        if band is not None and P._same_row(band, [top, bottom]):
+            band = P._same_row(band, [top, bottom])
+            want[-1] += n
+        else:
+            band = (top, bottom)
+            want.append(n)
+    rows = [r.row_text.replace(" ", "") for r in P.band_rows(df).orderBy("row_no").collect()]
+    assert rows == want and 1 < len(want) < 6
+    got = {r.line_id: r.row_no for r in P.row_fragments(df).collect()}
+    assert got == {n: i for i, row in enumerate(want) for n in row}
+
+
+def test_products_end_at_the_footer(spark):
+    rows = spark.createDataFrame([(1, i, t, s) for i, (t, s) in enumerate([("Total items", True), ("TOTAL 3.00", True), ("Milk 2.00", False), ("Name only", False), ("NET 5.00", True), ("Bag 1.00", False), ("TOTAL", True)])]
+                                 + [(2, 0, "TOTAL 9.00", True), (2, 1, "Milk 9.00", False)], "receipt_id BIGINT, row_no BIGINT, row_text STRING, is_summary BOOLEAN")
+    assert sorted((r.receipt_id, r.row_no) for r in P.before_footer(rows).collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+
+
+def test_columns_follow_their_mean(spark):
+    """A cell within the tolerance of the column's mean joins, though the last cell is farther off; steps alone do not chain."""
+    xs = [100.0, 112.0, 125.0, 137.0, 180.0]
+    cells = spark.createDataFrame([(1, i, 0, x, 100, "1.00", 0.9, True) for i, x in enumerate(xs)], "receipt_id BIGINT, row_no BIGINT, token_no INT, x DOUBLE, amount_minor BIGINT, raw STRING, confidence DOUBLE, is_strong BOOLEAN")
+    widths = spark.createDataFrame([(1, 200.0)], "receipt_id BIGINT, width DOUBLE")
+    assert [r.column_no for r in P.column_cells(cells, widths).orderBy("x").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_prices_and_arithmetic_columns(spark):
+    lines = fragments(
+        spark, [("Apples", 0, 80), ("12.50", 150, 180), ("2.000", 200, 230), ("25.00", 260, 300)], [("Pears", 0, 80), ("8.00", 150, 180), ("1.500", 200, 230), ("12.00", 260, 300)],
+        [("Figs", 0, 80), ("30.00", 150, 180), ("0.500", 200, 230), ("99.00", 260, 300)], [("Deposit 7", 0, 80)])
+    parts = keyed.cut(P.row_fragments(lines), "test")
+    cells = keyed.cut(P.decimal_cells(parts), "test")
+    columns = keyed.cut(P.arithmetic_columns(cells, P.receipt_widths(lines)), "test")
+    found = one(columns)
+    assert (found.unit, found.weight, found.total, found.support) == (0, 1, 2, 2)
+    checked = P.arithmetic_check(P.read_arithmetic(cells, columns)).orderBy("row_no").collect()
+    assert [(r.amount_minor, r.price_source, r.requires_review) for r in checked] == [(2500, "OCR_ORIGINAL", False), (1200, "OCR_ORIGINAL", False), (1500, "ARITHMETIC_RECOVERY", True)]
+    none = spark.createDataFrame([], "receipt_id BIGINT, center_x DOUBLE, reach DOUBLE")
+    money = keyed.cut(P.fragment_cells(parts), "test")
+    assert [r.amount_minor for r in P.choose_prices(money, none).orderBy("row_no").collect()] == [2500, 1200, 9900]
+    unit = spark.createDataFrame([(1, 165.0, 14.0)], "receipt_id BIGINT, center_x DOUBLE, reach DOUBLE")
+    assert [(r.amount_minor, r.from_column) for r in P.choose_prices(money, unit).orderBy("row_no").collect()] == [(1250, True), (800, True), (3000, True)]
+    right = fragments(spark, [("9.99", 0, 40), ("2.00", 150, 170), ("خبز", 250, 300)], [("4.00", 10, 30)])
+    assert [r.amount_minor for r in P.choose_prices(P.fragment_cells(P.row_fragments(right)), none).orderBy("row_no").collect()] == [999, 400]
+    two = P.arithmetic_columns(P.decimal_cells(P.row_fragments(fragments(spark, [("a", 0, 9), ("2.00", 20, 30), ("3.00", 60, 70)]))), spark.createDataFrame([(1, 90.0)], "receipt_id BIGINT, width DOUBLE"))
+    assert two.collect() == []
+
+
 def test_repaired_numbers(spark):
     got = values(spark, P.repair_number, ["1O5.5O", "12,50", "1,250", "l2.S0 EGP", "٣٫٥٠", "12.345", "abc"])
     assert got == [10550, 1250, 125000, 1250, 350, None, None]
@@ -369,6 +430,22 @@ def test_commands_are_folded_in_order(spark):
     assert after.count() == 2 and after.filter("rescheduled_date is null").count() == 1
 
 
+def test_lookup_by_broadcast_and_by_filter(spark, monkeypatch):
+    """Both paths give the same rows, null keys included; the filter lets little else through and the table is not shuffled before it."""
+    rows = [(i % 400 if i % 50 else None, f"k{i % 7}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a BIGINT, b STRING, n BIGINT")
+    wanted = spark.createDataFrame([(3, "k3"), (3, "k3"), (None, "k1"), (77, None), (9999, "k1")] + [(i, "k0") for i in range(0, 400, 40)], "a BIGINT, b STRING")
+    keys = {tuple(r) for r in wanted.collect()}
+    want = sorted(n for a, b, n in rows if (a, b) in keys)
+    assert sorted(r.n for r in L.lookup(df, wanted, ["a", "b"]).collect()) == want and want
+    monkeypatch.setattr(L, "LOOKUP_KEYS", 0)
+    found = L.lookup(df, wanted, ["a", "b"])
+    assert sorted(r.n for r in found.collect()) == want
+    near = L.maybe_wanted(df, L.key_filter(wanted.distinct(), ["a", "b"]), ["a", "b"])
+    assert len(want) <= near.count() <= len(want) + 3
+    assert L.lookup(df, wanted.limit(0), ["a", "b"]).collect() == []
+
+
 def test_owners_stay_apart(spark):
     """Confirmed mappings and backfilled merchants of several owners give one answer each."""
     empty = spark.createDataFrame([], "owner_id BIGINT, normalized_item STRING, normalized_merchant STRING, category_id BIGINT, confirmation_count BIGINT, created_at BIGINT, updated_at BIGINT")
