@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.assets import ATTENTION, FIRES, items_of
@@ -12,6 +14,7 @@ from tallyspark.operators import ledger as L
 from tallyspark.operators import obligations as O
 from tallyspark.plans.session import work_folder
 from tallyspark.sources.fixtures import AS_OF
+from tallyspark.streaming import calendar
 from tallyspark.streaming import jobs as J
 
 
@@ -114,3 +117,16 @@ def _(t):
         "spend": lambda d: L.period_totals(t.tx, d.replace(day=1), d),
     }, base)
     return t.spark.read.schema("asset_id BIGINT, warranty_state STRING").parquet(done["warranties"])
+
+
+@query("st06_due_calendar", f"SELECT asset_id, source_type, source_id, status, occurrence_key FROM ({ATTENTION}) a")
+def _(t):
+    """The attention list after a first full tick sixty days before and two that follow the calendar."""
+    base = work_folder(t.spark, "calendar")
+
+    def evaluate(touched, as_of):
+        return A.attention(t.assets.join(touched, "asset_id", "left_semi"), t.warranties, t.rules, t.rule_events, t.checkpoints, t.checkpoint_events, as_of)
+
+    for days, some in ((60, t.assets), (31, t.assets.limit(0)), (0, t.assets.limit(0))):
+        calendar.tick(t.spark, base, AS_OF - dt.timedelta(days=days), some, evaluate)
+    return calendar.attention_list(t.spark, base).select("asset_id", "source_type", "source_id", "status", "occurrence_key")

@@ -189,10 +189,12 @@ def attention(
         F.col("next_date").alias("due_date"), F.col("next_km").alias("due_km"), days("warning_days").alias("warning_days"), "warning_km",
     )
     items = from_warranty.unionByName(from_rules).unionByName(from_checkpoints).join(live, "asset_id")
-    return _described(items, as_of)
+    return described(items, as_of)
 
 
-def _described(items: DataFrame, as_of: dt.date) -> DataFrame:
+def described(items: DataFrame, as_of: dt.date) -> DataFrame:
+    """Status, priority, message and occurrence of items with a due point, as of a day."""
+
     def status(remaining: Column, warning: Column) -> Column:
         soon = warning.isNotNull() & (remaining <= warning)
         return F.when(remaining.isNull(), F.lit(None).cast("int")).when(remaining < 0, 4).when(remaining == 0, 3).when(soon, 2).otherwise(1)

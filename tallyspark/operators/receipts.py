@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import text
-from tallyspark.functions.udfs import nfd
+from tallyspark.functions.udfs import ASCII, nfd
 from tallyspark.plans import keyed
 
 # Thresholds.
@@ -105,6 +105,15 @@ def is_summary(keywords: Column) -> Column:
     return keywords.rlike(SUMMARY_ENGLISH) | _any(keywords, SUMMARY_ARABIC)
 
 
+def summary_candidates(rows: DataFrame) -> DataFrame:
+    """The rows that may be summaries, by one pattern on the raw text; only these need their keyword form.
+
+    In ASCII text the English words decide. Any other text may hold an Arabic word or a letter whose plain form matters.
+    """
+    t = F.col("row_text")
+    return rows.filter(t.rlike(SUMMARY_ENGLISH) | ~t.rlike(ASCII))
+
+
 def is_noise(keywords: Column) -> Column:
     english = "|".join(NOISE_ENGLISH)
     return keywords.rlike(rf"(?i)(?:^|[^a-z])(?:{english})(?:$|[^a-z])") | _any(keywords, NOISE_ARABIC)
@@ -253,7 +262,8 @@ def row_fragments(lines: DataFrame, slot: float = 4096.0) -> DataFrame:
 
 def _number_runs(rows: DataFrame, keep: list[str], column: str) -> DataFrame:
     """Runs of digits, points and commas outside dates and times: raw text, offset, and the masked text they stand in."""
-    x = rows.select(*keep, F.length(column).alias("__len"), F.col(column).alias("__text"))
+    digits = rows.filter(F.col(column).rlike("[0-9]"))  # most texts have none and skip all that follows
+    x = digits.select(*keep, F.length(column).alias("__len"), F.col(column).alias("__text"))
     x = keyed.pin(keyed.pin(x, "__d", mask(F.col("__text"), DATE)), "__t", mask(F.col("__d"), TIME))
     pieces, runs = F.split("__t", NUMBER_RUN), F.regexp_extract_all("__t", F.lit(NUMBER_RUN), F.lit(0))
     x = x.withColumns({"__p": pieces, "__r": runs})

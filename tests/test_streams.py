@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import assets as A
 from tallyspark.operators import changes as M
+from tallyspark.streaming import calendar
 from tallyspark.streaming import jobs as J
 
 TX = "owner_id BIGINT, tx_id STRING, ts TIMESTAMP, type STRING, amount_minor BIGINT, category_id BIGINT"
@@ -186,3 +188,33 @@ def test_reminders_arrive_once(spark, tmp_path, monkeypatch, lost):
     J.stream_reminders(spark.readStream.schema("n BIGINT").parquet(f"{tmp_path}/in"), eligible, outbox, f"{tmp_path}/ck", post).awaitTermination()
     assert sorted(received.values()) == [("r1", "o1"), ("r2", "o1"), ("r3", "o2")]
     assert lost in ("while posting", "after posting") or len(posts) == 3
+
+
+def test_due_calendar_follows_the_full_list(spark, tmp_path):
+    """Day after day the calendar's list is the full one, with events, a removed rule and a repeated tick; few items are evaluated."""
+    day = dt.date(2024, 3, 1)
+    assets = spark.createDataFrame([(i, 1, 1000 * i, i == 9) for i in range(40)], "asset_id BIGINT, owner_id BIGINT, current_km BIGINT, is_archived BOOLEAN")
+    warranties = spark.createDataFrame([(i, i, f"W{i}", day + dt.timedelta(days=i * 3 - 20)) for i in range(40)], "warranty_id BIGINT, asset_id BIGINT, name STRING, end_date DATE")
+    rules = [(100 + i, i, f"R{i}", True, ["TIME", "MILEAGE", "EITHER"][i % 3], 1, 5000, day - dt.timedelta(days=20 + i), 900 * i, 5 + i % 3, 200) for i in range(20)]
+    schema = "rule_id BIGINT, asset_id BIGINT, title STRING, is_active BOOLEAN, trigger_type STRING, interval_months INT, interval_km BIGINT, baseline_date DATE, baseline_km BIGINT, warning_days INT, warning_km BIGINT"
+    checkpoints = spark.createDataFrame([], "checkpoint_id BIGINT, asset_id BIGINT, title STRING, is_active BOOLEAN, due_date DATE, due_km BIGINT, repeat_months INT, repeat_km BIGINT, rescheduled_date DATE, rescheduled_km BIGINT, warning_days INT, warning_km BIGINT")
+    event = "event_id BIGINT, rule_id BIGINT, checkpoint_id BIGINT, event_date DATE, created_at BIGINT, km BIGINT"
+    events, evaluated = [], []
+    for n in range(9):
+        today, touched = day + dt.timedelta(days=n + (10 if n > 6 else 0)), list(range(40)) if n == 0 else []
+        if n in (2, 5):
+            events.append((n, 100 + n, None, today, n, 950 * n))
+            touched = [n]
+        if n == 4:
+            rules = [r if r[0] != 107 else (*r[:3], False, *r[4:]) for r in rules]
+            touched = [7]
+        own_events = spark.createDataFrame(events, event)
+        full = lambda a, d: A.attention(a, warranties, spark.createDataFrame(rules, schema), own_events, checkpoints, own_events, d)  # noqa: B023, E731
+        some = spark.createDataFrame([(i,) for i in touched], "asset_id BIGINT")
+        evaluate = lambda ids, d: full(assets.join(ids, "asset_id", "left_semi"), d)  # noqa: B023, E731
+        evaluated.append(calendar.tick(spark, f"{tmp_path}/c", today, some, evaluate))
+        if n == 5:
+            assert calendar.tick(spark, f"{tmp_path}/c", today, some, evaluate) == evaluated[-1]
+        want = sorted(str(tuple(r)) for r in full(assets, today).select(*calendar.STATUS).collect())
+        assert sorted(str(tuple(r)) for r in calendar.attention_list(spark, f"{tmp_path}/c").collect()) == want
+    assert evaluated[0] > 50 and max(evaluated[1:7]) < 12
