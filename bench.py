@@ -7,7 +7,7 @@ import os
 import time
 
 from tallyspark.catalog.index import QUERIES
-from tallyspark.plans.session import build_session
+from tallyspark.plans.session import build_session, clear_work
 
 HEADLINE = [
     "a02_spend_by_category", "a05_trend_daily", "a06_trend_monthly", "a09_category_explorer", "a10_group_purchases", "a12_backfill_merchants",
@@ -32,6 +32,7 @@ def main() -> None:
         started = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - started, 3)
+        clear_work(spark)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": folder.rstrip("/").split("sf")[-1],
     }))

@@ -86,6 +86,13 @@ def _(t):
         "item_id", "top1", "top1_score", "top2", "top2_score", "score_gap", "topk_categories")
 
 
+@query("w04_topk_pruned", TOPS, doubles=["top1_score", "top2_score", "score_gap"])
+def _(t):
+    """The same by balls of prototypes: products that cannot reach the third best are not computed."""
+    return C.topk_with_gap(C.nearest_prototypes(t.vec.select("item_id", "vec"), protos_of(t))).select(
+        "item_id", "top1", "top1_score", "top2", "top2_score", "score_gap", "topk_categories")
+
+
 @query("n17_topk_json", f"SELECT item_id, topk_categories FROM ({TOPS}) x")
 def _(t):
     """The same ranking from four prototype blocks, each contributing its own best."""

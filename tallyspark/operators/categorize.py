@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import text, vectors
 from tallyspark.functions.udfs import seq_ratio
@@ -143,6 +146,80 @@ def topk_with_gap(scored: DataFrame, k: int = TOP_K, blocks: int = 1) -> DataFra
     )
 
 
+#: Bytes of prototype vectors that are broadcast at once; more take a pass for each block.
+PROTOTYPE_BYTES = 64 << 20
+
+
+def _balls(vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(centres, radii, members) of about as many balls as the root of the number of vectors: a few rounds of k-means."""
+    m = max(1, int(len(vecs) ** 0.5))
+    centres = vecs[np.random.default_rng(7).choice(len(vecs), m, replace=False)]
+    for _ in range(6):
+        home = np.concatenate([((centres * centres).sum(axis=1) - 2 * vecs[i : i + 4096] @ centres.T).argmin(axis=1) for i in range(0, len(vecs), 4096)])
+        used = np.unique(home)
+        centres = np.array([vecs[home == c].mean(axis=0) for c in used])
+        home = np.searchsorted(used, home)
+    members = [np.flatnonzero(home == c) for c in range(len(centres))]
+    return centres, np.array([np.linalg.norm(vecs[own] - c, axis=1).max() for own, c in zip(members, centres, strict=True)]), members
+
+
+def _pruned(block, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, centres, radii, members = block.value  # ids ascending, so a lower row wins a tie
+        for batch in batches:
+            x = np.array(batch.column("vec").to_pylist(), float).reshape(batch.num_rows, vecs.shape[1])
+            bound = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * radii + 1e-12
+            order = np.argsort(-bound, axis=1, kind="stable")
+            score, row = np.full((len(x), k), -np.inf), np.full((len(x), k), len(ids))
+            tried, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
+            for turn in range(len(centres)):
+                nearest = order[open_, turn]
+                open_ = open_[bound[open_, nearest] >= score[open_, -1]]  # a ball that cannot reach the k-th best ends the search
+                if not len(open_):
+                    break
+                nearest = order[open_, turn]
+                for c in np.unique(nearest).tolist():
+                    mine, own = open_[nearest == c], members[c]
+                    s = np.concatenate([score[mine], x[mine] @ vecs[own].T], axis=1)
+                    r = np.concatenate([row[mine], np.broadcast_to(own, (len(mine), len(own)))], axis=1)
+                    best = np.lexsort((r, -s), axis=1)[:, :k]
+                    score[mine], row[mine] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
+                    tried[mine] += len(own)
+            top = [[{"minus": -float(v), "category_id": ids[i]} for v, i in zip(*pair, strict=True) if i < len(ids)] for pair in zip(score, row.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(top, pa.list_(pa.struct([("minus", pa.float64()), ("category_id", pa.int64())]))), pa.array(tried)], [*batch.schema.names, "scores", "tried"])
+
+    return run
+
+
+def nearest_prototypes(items: DataFrame, protos: DataFrame, k: int = TOP_K) -> DataFrame:
+    """As ``score_items`` with the ``k`` best of each block of prototypes only, and ``tried``, the products computed.
+
+    Prototypes are gathered into balls. An item looks at the balls in the order of the best score any member could have,
+    and stops where that is below its k-th best: exact, and near items' categories are few of many. For some dozens of
+    categories ``score_items`` is simpler and as fast.
+    """
+    spark = items.sparkSession
+    rows = items.filter(F.col("vec").isNotNull())
+    kind = T.ArrayType(T.StructType([T.StructField("minus", T.DoubleType()), T.StructField("category_id", T.LongType())]))
+    schema = T.StructType([*rows.schema.fields, T.StructField("scores", kind), T.StructField("tried", T.LongType()), T.StructField("block", T.IntegerType())])
+    out, block, held = None, [], 0
+
+    def passed(block: list) -> DataFrame:
+        vecs = np.array([r["vec"] for r in block], float)
+        shared = spark.sparkContext.broadcast(([r["category_id"] for r in block], vecs, *_balls(vecs)))
+        return rows.mapInArrow(_pruned(shared, k), T.StructType(schema.fields[:-1])).withColumn("block", F.lit(0))
+
+    for r in protos.select(F.col("category_id").cast("long").alias("category_id"), "vec").filter("vec is not null").orderBy("category_id").toLocalIterator():
+        if held and held + 8 * len(r["vec"]) > PROTOTYPE_BYTES:
+            out, block, held = passed(block) if out is None else out.unionByName(passed(block)), [], 0
+        block.append(r)
+        held += 8 * len(r["vec"])
+    if block:
+        out = passed(block) if out is None else out.unionByName(passed(block))
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def suggest_semantic(items: DataFrame, protos: DataFrame, min_gap: float = MINIMUM_GAP) -> DataFrame:
     """Nearest prototype, if it leads the second by at least ``min_gap``."""
     top = topk_with_gap(score_items(items, protos))

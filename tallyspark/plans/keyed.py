@@ -140,11 +140,12 @@ BROADCAST_BYTES = 64 << 20
 def attach_catalog(rows: DataFrame, catalog: DataFrame, salt_by: str, salts: int | None = None) -> DataFrame:
     """Give every row every catalog row, without a cross join.
 
-    The catalog is a handful of packed rows. Its size is measured: up to
-    ``BROADCAST_BYTES`` it is broadcast on a constant key and the rows stay where
-    they are. Beyond that rows get a salt from ``salt_by`` and the catalog one copy
+    The catalog is a handful of packed rows. It is written once and its size
+    measured there: up to ``BROADCAST_BYTES`` it is broadcast on a constant key and
+    the rows stay where they are. Beyond that rows get a salt from ``salt_by`` and the catalog one copy
     per salt, as many as there are shuffle partitions.
     """
+    catalog = cut(catalog, "catalog")
     held = catalog.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
     if held <= BROADCAST_BYTES:
         one = rows.withColumn("__salt", F.lit(0))

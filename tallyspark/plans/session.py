@@ -28,12 +28,32 @@ def build_session(master: str | None = None, app: str = "tallyspark", **extra: s
     return builder.getOrCreate()
 
 
+_MADE: list[str] = []
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder for written intermediate tables and stream checkpoints.
 
     It lies below the shared ``spark.checkpoint.dir``. Where that is unset a
     temporary folder is used on a local master; on a cluster that is an error.
+    ``clear_work`` removes all folders made so far.
     """
+    folder = _new_folder(spark, label)
+    _MADE.append(folder)
+    return folder
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Removes the intermediate tables of this process, once every result that reads them is written; returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )

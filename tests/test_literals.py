@@ -8,6 +8,7 @@ from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,29 @@ def test_maintenance_reason_and_status(spark):
     assert (r.due_status, r.trigger_reason) == ("DUE", "TIME")
 
 
+def test_pruned_nearest_prototypes(spark, monkeypatch):
+    """10,000 prototypes in groups: the full matrix's best three, with a small share of the products; ties, blocks and no prototypes."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(100, 16)))
+    protos = unit(centres[rng.integers(0, 100, 10_000)] + 0.1 * rng.normal(size=(10_000, 16)))
+    protos[5001] = protos[17]
+    items = np.vstack([unit(centres[:60] + 0.1 * rng.normal(size=(60, 16))), protos[17:18]])
+    full = items @ protos.T
+    best = [sorted(range(len(protos)), key=lambda c, i=i: (-full[i, c], c))[:3] for i in range(len(items))]
+    p = spark.createDataFrame([(c, v.tolist()) for c, v in enumerate(protos)], "category_id BIGINT, vec ARRAY<DOUBLE>")
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)] + [(999, None)], "item_id BIGINT, vec ARRAY<DOUBLE>").repartition(3)
+    got = {r.item_id: r for r in C.topk_with_gap(C.nearest_prototypes(x, p)).collect()}
+    assert sorted(got) == list(range(len(items)))
+    for i in got:
+        assert got[i].topk == best[i] and abs(got[i].score_gap - (full[i, best[i][0]] - full[i, best[i][1]])) < 1e-9
+    assert sum(r.tried for r in got.values()) < 0.25 * full.size
+    monkeypatch.setattr(C, "PROTOTYPE_BYTES", 3000 * 128)
+    blocks = {r.item_id: r.topk for r in C.topk_with_gap(C.nearest_prototypes(x, p), blocks=4).collect()}
+    assert blocks == {i: best[i] for i in got}
+    assert C.nearest_prototypes(x, p.limit(0)).collect() == []
+
+
 def test_semantic_gap_at_threshold(spark):
     protos = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "category_id LONG, vec ARRAY<DOUBLE>")
     items = spark.createDataFrame([(1, [0.51, 0.50]), (2, [0.509, 0.50]), (3, None)], "item_id LONG, vec ARRAY<DOUBLE>")
@@ -469,6 +493,18 @@ def test_late_payment_is_recorded(spark, tmp_path):
     assert sorted(r["idempotency_key"] for r in J.read_versions(spark, f"{tmp_path}/sink", schema).collect()) == ["a", "b", "c"]
 
 
+def test_work_is_cleared(spark, tmp_path, monkeypatch):
+    from tallyspark.plans import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    a, b = keyed.cut(spark.range(3), "a"), keyed.cut(spark.range(4), "b")
+    assert (a.count(), b.count(), len(session._MADE)) == (3, 4, 2)
+    assert session.clear_work(spark) == 2 and session.clear_work(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|No such file|FileNotFound"):
+        spark.catalog.clearCache()
+        a.collect()
+
+
 @pytest.mark.parametrize("master, fails", [("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)])
 def test_work_folder_needs_a_shared_place(master, fails):
     unset = SimpleNamespace(get=lambda *_: None)
