@@ -15,8 +15,14 @@ from tallyspark.llm.queries import fold
 from tallyspark.plans.keyed import cut
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Hands whole texts to Python in batches of 2,000 rows instead of 10,000: several are held at once on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what has a language: texts without letters, and those the code cannot decide on, go. Null ``lang`` is filled."""
+    modest_batches(spark)
     out = language_id.identify(docs, fold(4) != 2).filter((F.col("lang_pred") != "und") & ~F.col("lang_ambiguous"))
     return out.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
@@ -30,6 +36,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component (five-word shingles, 0.8) the document with the smallest id stays, once for each text of it."""
+    modest_batches(spark)
     found = ngram_join.near_duplicates(docs, words=5, percent=80).filter("component_id = doc_id and n_shingles > 0").select("doc_id").distinct()
     worded = F.col("text").rlike(r"[^ \t\n\x0B\f\r]") & F.col("doc_id").isNotNull()
     first = docs.filter(worded).join(found, "doc_id", "left_semi").select(*docs.columns)
@@ -39,6 +46,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words lie in benchmark passages go; the others stay as they are."""
+    modest_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.judged(decontaminate.find_passages(docs, benchmark, whole_rows=True))
     return found.filter("not contaminated").select(*[F.col("row")[c].alias(c) for c in docs.columns])
@@ -46,6 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, at most 2048 ids a sequence."""
+    modest_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(packing.tokenize(docs, ranks, public_tokenizers.PATTERN, capacity=2048, end=0), capacity=2048)
 
