@@ -69,7 +69,7 @@ LEFT JOIN ({DELIVERED}) d ON d.rule_id = r.rule_id AND d.occurrence_key = i.occu
 
 
 def items_of(t):
-    return A.attention(t.assets, t.warranties, t.rules, t.rule_events, t.checkpoints, t.checkpoint_events, AS_OF)
+    return A.attention(t.assets, t.warranties, t.rules, t.of_lines("fx_rule_events"), t.checkpoints, t.of_lines("fx_checkpoint_events"), AS_OF)
 
 
 def delivered_of(t, items):
@@ -129,12 +129,12 @@ def _(t):
 
 @query("x23_maintenance_due", f"SELECT rule_id, next_date, next_km, remaining_days, remaining_km, due_status, trigger_reason FROM ({MAINT}) m", dates=["next_date"])
 def _(t):
-    return A.maintenance_due(t.rules, t.rule_events, t.assets, AS_OF).select("rule_id", "next_date", "next_km", "remaining_days", "remaining_km", "due_status", "trigger_reason")
+    return A.maintenance_due(t.rules, t.of_lines("fx_rule_events"), t.assets, AS_OF).select("rule_id", "next_date", "next_km", "remaining_days", "remaining_km", "due_status", "trigger_reason")
 
 
 @query("x24_checkpoint_due", f"SELECT checkpoint_id, next_date, next_km FROM ({CHECK}) c", dates=["next_date"])
 def _(t):
-    return A.checkpoint_due(t.checkpoints, t.checkpoint_events).select("checkpoint_id", "next_date", "next_km")
+    return A.checkpoint_due(t.checkpoints, t.of_lines("fx_checkpoint_events")).select("checkpoint_id", "next_date", "next_km")
 
 
 @query("x25_attention", f"SELECT {ATT} FROM ({ATTENTION}) a", dates=["due_date"])
@@ -156,14 +156,14 @@ SELECT a.asset_id, a.owner_id, m.message AS attention, o.status AS last_event_st
 FROM fx_assets a LEFT JOIN (SELECT asset_id, message FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY {ORDER}) AS r FROM ({ATTENTION}) i WHERE status <> 'UPCOMING') j WHERE r = 1) m ON m.asset_id = a.asset_id
 LEFT JOIN {OWN} o ON o.asset_id = a.asset_id""", dates=["effective_date"])
 def _(t):
-    return A.asset_cards(t.assets, items_of(t), t.ownership_events).select("asset_id", "owner_id", "attention", "last_event_status", "effective_date")
+    return A.asset_cards(t.assets, items_of(t), t.of_lines("fx_ownership_events")).select("asset_id", "owner_id", "attention", "last_event_status", "effective_date")
 
 
 @query("x27_attention_counts", f"""
 SELECT a.owner_id, COUNT(m.asset_id) AS n_with_attention, COUNT(*) AS n_items FROM fx_assets a
 LEFT JOIN (SELECT DISTINCT asset_id FROM ({ATTENTION}) i WHERE status <> 'UPCOMING') m ON m.asset_id = a.asset_id GROUP BY a.owner_id""")
 def _(t):
-    return A.attention_counts(A.asset_cards(t.assets, items_of(t), t.ownership_events))
+    return A.attention_counts(A.asset_cards(t.assets, items_of(t), t.of_lines("fx_ownership_events")))
 
 
 @query("x27_urgent_items", f"""
@@ -232,7 +232,7 @@ def _(t):
 SELECT asset_id, kind, rule_id, due_status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY asset_id, kind ORDER BY CASE due_status WHEN 'OVERDUE' THEN 3 WHEN 'DUE' THEN 2 WHEN 'DUE_SOON' THEN 1 ELSE 0 END DESC, remaining_days NULLS LAST, rule_id) AS r
 FROM ({MAINT}) m WHERE is_active) x WHERE r = 1""")
 def _(t):
-    return A.most_urgent_rule(A.maintenance_due(t.rules, t.rule_events, t.assets, AS_OF)).select("asset_id", "kind", "rule_id", "due_status")
+    return A.most_urgent_rule(A.maintenance_due(t.rules, t.of_lines("fx_rule_events"), t.assets, AS_OF)).select("asset_id", "kind", "rule_id", "due_status")
 
 
 @query("w11_monotone_mileage", """

@@ -125,7 +125,7 @@ def _(t):
     base = work_folder(t.spark, "calendar")
 
     def evaluate(touched, as_of):
-        return A.attention(t.assets.join(touched, "asset_id", "left_semi"), t.warranties, t.rules, t.rule_events, t.checkpoints, t.checkpoint_events, as_of)
+        return A.attention(t.assets.join(touched, "asset_id", "left_semi"), t.warranties, t.rules, t.of_lines("fx_rule_events"), t.checkpoints, t.of_lines("fx_checkpoint_events"), as_of)
 
     for days, some in ((60, t.assets), (31, t.assets.limit(0)), (0, t.assets.limit(0))):
         calendar.tick(t.spark, base, AS_OF - dt.timedelta(days=days), some, evaluate)

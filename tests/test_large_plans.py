@@ -1,7 +1,11 @@
 """Plans of queries that failed on large tables: what is written, joined and dealt once."""
 
+import datetime as dt
+
+from tallyspark.operators import assets as A
 from tallyspark.operators import receipts as R
 from tallyspark.sources.fixtures import DriverTables
+from tallyspark.streaming import calendar
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,3 +60,33 @@ def test_rows_are_numbered_where_they_are_grouped(spark):
     rows = R.band_rows(_lines(spark, [(1, f"l{i:03d}", f"x{i}", 0.9, 0.0, 20.0 * i, 90.0, 20.0 * i + 14) for i in range(300)]))
     assert [(r.row_no, r.row_text) for r in rows.filter("box_top is not null").orderBy("row_no").collect()] == [(i, f"x{i}") for i in range(300)]
     assert joins(rows.filter("box_top is not null")) == 0
+
+
+def test_last_lines_of_parts_are_not_dealt_by_order(spark, tmp_path):
+    """Attention, cards and reminders read lines without a join to orders or parts; lines of lost orders stay out."""
+    for name in ("lineitem", "orders", "part"):
+        df = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        df = df.filter("o_orderkey % 5 <> 0").union(df.filter("o_orderkey % 7 = 0")) if name == "orders" else df
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    t = DriverTables(spark, str(tmp_path))
+    for name in ("fx_rule_events", "fx_checkpoint_events", "fx_ownership_events"):
+        once = t.of_lines(name)
+        assert joins(once) == 1 and "o_orderdate" not in once._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < once.count() < spark.read.parquet(f"{tmp_path}/lineitem.parquet").count()
+        assert {tuple(r) for r in once.collect()} == {tuple(r) for r in t.sql(f"SELECT * FROM {name}").collect()}
+
+
+def test_a_tick_without_touched_assets_reads_no_history(spark, tmp_path):
+    day = dt.date(2024, 3, 1)
+    assets = spark.createDataFrame([(1,)], "asset_id BIGINT")
+    item = (1, "WARRANTY", 7, "W", day + dt.timedelta(days=1), None, 30, None, 1, None)
+    asked = []
+
+    def evaluate(touched, as_of):
+        asked.append(as_of)
+        return A.described(touched.join(spark.createDataFrame([item], calendar._TYPES), "asset_id"), as_of)
+
+    for n, some in ((0, assets), (1, assets.limit(0)), (2, assets.limit(0))):
+        calendar.tick(spark, f"{tmp_path}/c", day + dt.timedelta(days=n), some, evaluate)
+    assert asked == [day]
+    assert [r.status for r in calendar.attention_list(spark, f"{tmp_path}/c").collect()] == ["OVERDUE"]
