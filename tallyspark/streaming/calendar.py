@@ -73,7 +73,9 @@ def tick(spark: SparkSession, folder: str, as_of: dt.date, touched: DataFrame, e
     fresh = spark.read.schema("asset_id BIGINT").parquet(f"{folder}/touched/v={now}")
     due = _void(_filed(spark, f"{folder}/filed", last, as_of, now), _logged(spark, f"{folder}/touched", "asset_id BIGINT", now))
     due = due.join(fresh, "asset_id", "left_anti").select(*FILED)
-    items = A.described(due, as_of).unionByName(evaluate(fresh, as_of), allowMissingColumns=True)
+    items = A.described(due, as_of)
+    if not fresh.isEmpty():  # without touched assets their histories need not be read
+        items = items.unionByName(evaluate(fresh, as_of), allowMissingColumns=True)
     items = with_next_change(items.select(*FILED, "status", "priority", "occurrence_key"), as_of)
     items.select(*STATUS, *[c for c in [*FILED, "changes_on"] if c not in STATUS]).write.mode("overwrite").parquet(f"{folder}/changes/v={now}")
     written = spark.read.parquet(f"{folder}/changes/v={now}")
