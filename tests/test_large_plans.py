@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from tallyspark.catalog.index import QUERIES
 from tallyspark.operators import assets as A
 from tallyspark.operators import receipts as R
 from tallyspark.sources.fixtures import DriverTables
@@ -90,3 +93,35 @@ def test_a_tick_without_touched_assets_reads_no_history(spark, tmp_path):
         calendar.tick(spark, f"{tmp_path}/c", day + dt.timedelta(days=n), some, evaluate)
     assert asked == [day]
     assert [r.status for r in calendar.attention_list(spark, f"{tmp_path}/c").collect()] == ["OVERDUE"]
+
+
+def test_totals_are_judged_without_a_self_join(spark):
+    """Candidates and the strongest of them meet in one grouping, so rows are classified once; Arabic words still count."""
+    rows = [(1, 1, "TOTAL 12.00", 0.5, 0.0, 0.0, 9.0, 1.0), (1, 2, "Net total 12.01", 0.5, 0.0, 2.0, 9.0, 3.0), (1, 3, "Change 3.00", 0.9, 0.0, 4.0, 9.0, 5.0), (2, 1, "الإجمالي 7.50", 0.9, 0.0, 0.0, 9.0, 1.0), (3, 1, "Milk 2.00", 0.9, 0.0, 0.0, 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "receipt_id BIGINT, row_no BIGINT, row_text STRING, confidence DOUBLE, box_left DOUBLE, box_top DOUBLE, box_right DOUBLE, box_bottom DOUBLE")
+    got = R.detect_total(R.summary_rows(df))
+    assert joins(got) == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.detect_total(R.classify_rows(df)).collect())) == [(1, 1201, 4, True), (2, 750, 4, True)]
+
+
+def test_arabic_words_are_not_looked_for_in_ascii_text(spark):
+    df = spark.createDataFrame([(1, "Milk 2.00"), (2, "الخصم 1.00"), (3, "الصنف السعر"), (4, None)], "line_id BIGINT, row_text STRING")
+    x = R.classify_rows(df)
+    assert "x7F" in df.select(R.is_noise(F.col("row_text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.is_summary, r.is_adjustment, r.is_noise, r.is_header) for r in x.orderBy("line_id").collect()] == [(False,) * 4, (True, True, False, False), (False, False, False, True), (None, None, None, None)]
+
+
+def test_the_only_number_of_a_text_stands_where_it_is_found(spark):
+    texts = [(1, "a 12.50 b"), (2, "12.50"), (3, "x. ,,1.5 EGP"), (4, "1.5 and 1.5"), (5, "on 01/02/2020 9.00"), (6, "ج 7.00")]
+    got = R.money_tokens(spark.createDataFrame(texts, "text_id BIGINT, row_text STRING"), ["text_id"])
+    at = {(r.text_id, r.token_no): (r.raw, round(r.center_ratio, 4)) for r in got.collect()}
+    assert at == {(1, 0): ("12.50", 0.5), (2, 0): ("12.50", 0.5), (4, 0): ("1.5", 0.1364), (4, 1): ("1.5", 0.8636), (5, 0): ("9.00", 0.8889), (6, 0): ("7.00", 0.6667)}
+
+
+def test_a_sum_beyond_a_long_is_null(spark, tmp_path):
+    for name in ("lineitem", "orders", "part", "conversations"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    text = " ".join(["4111111111111111"] * 30)
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").write.parquet(f"{tmp_path}/documents.parquet")
+    row = QUERIES["r04_money_tokens"](spark, str(tmp_path)).filter("text_id = 'doc1'").first()
+    assert (row.n_tokens, row.sum_minor, row.n_strong) == (30, None, 0)
