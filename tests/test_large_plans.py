@@ -125,3 +125,10 @@ def test_a_sum_beyond_a_long_is_null(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").write.parquet(f"{tmp_path}/documents.parquet")
     row = QUERIES["r04_money_tokens"](spark, str(tmp_path)).filter("text_id = 'doc1'").first()
     assert (row.n_tokens, row.sum_minor, row.n_strong) == (30, None, 0)
+
+
+def test_shuffled_shares_of_a_task_are_small(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64m")
+    QUERIES["x20_warranty_status"](spark, FOLDER)
+    assert spark.conf.get(key) == "16m"
