@@ -1,11 +1,13 @@
 """Plans of queries that failed on large tables: what is written, joined and dealt once."""
 
 import datetime as dt
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.index import QUERIES
 from tallyspark.operators import assets as A
+from tallyspark.operators import evaluate as E
 from tallyspark.operators import receipts as R
 from tallyspark.sources.fixtures import DriverTables
 from tallyspark.streaming import calendar
@@ -132,3 +134,14 @@ def test_shuffled_shares_of_a_task_are_small(spark):
     spark.conf.set(key, "64m")
     QUERIES["x20_warranty_status"](spark, FOLDER)
     assert spark.conf.get(key) == "16m"
+
+
+def test_only_the_beginnings_of_reference_sets_are_shuffled(spark):
+    """Sets of three are dealt by their first member, not by their first two; each set is there once, in more than one task."""
+    refs = spark.createDataFrame([(c, f"p{i}") for c, n in ((1, 9), (2, 2), (3, 4)) for i in range(n)] + [(1, "p0")], "category_id BIGINT, canonical_id STRING")
+    assert E.k_reference_sets(refs, 3)._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    for k, spread in ((3, 1), (3, 2), (2, 1), (1, 1), (5, 2)):
+        sets = E.k_reference_sets(refs, k, spread)
+        assert sets._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+        assert sorted((r.category_id, tuple(r.members)) for r in sets.collect()) == sorted((c, m) for c, n in ((1, 9), (2, 2), (3, 4)) for m in combinations(range(n), k))
+    assert E.k_reference_sets(refs, 3).select(F.spark_partition_id()).distinct().count() > 4
