@@ -32,40 +32,60 @@ def _present(c: str) -> Column:
 # --- learning ----------------------------------------------------------------
 
 
-def fold_confirmations(mappings: DataFrame, cmds: DataFrame) -> DataFrame:
-    """Confirmations folded into the learned mappings.
+CONFIRMED = ["owner_id", "normalized_item", "mk"]
+
+
+def _merchant_mark() -> Column:
+    """A null merchant is a key of its own: carried as a marker through the joins."""
+    return F.concat(F.when(F.col("normalized_merchant").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce("normalized_merchant", F.lit("")))
+
 
-    A new key counts 1, the same category adds 1, another category switches and
-    restarts at 1; each command writes the generic key and, if it names a
-    merchant, the merchant's key. Only the last run of equal categories matters:
-    it starts after the last command of any other category, so the fold is two
-    combinable aggregations instead of a scan of each key in order.
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join on keys that may be null; they stay once, of either side."""
+    other = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    j = left.join(other, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how)
+    return j.withColumns({k: F.coalesce(k, f"__{k}") for k in keys}).drop(*[f"__{k}" for k in keys])
+
+
+def confirmation_runs(cmds: DataFrame) -> DataFrame:
+    """What commands say of each key: ``win`` (last category, its last time and number), ``switched`` (the last time of any other
+    category, null without one), ``run`` (confirmations since then) and ``first`` (first time).
+
+    Each command is for the generic key and, if it names a merchant, for the merchant's. Only the last run of equal
+    categories matters: it starts after the last command of any other category, so this is two combinable aggregations
+    instead of a scan of each key in order. Commands of one time and number are ordered by category.
     """
-    keys = ["owner_id", "normalized_item", "normalized_merchant"]
     both = F.when(F.col("normalized_merchant").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
         F.array(F.lit(None).cast("string"), F.col("normalized_merchant"))
     )
     rows = cmds.filter(F.trim("normalized_item") != "").select(
-        "owner_id", "normalized_item", F.explode(both).alias("normalized_merchant"), "category_id", F.struct("ts", "seq").alias("at")
+        "owner_id", "normalized_item", F.explode(both).alias("normalized_merchant"), "category_id", F.struct("ts", "seq", "category_id").alias("at")
     )
-    # A null merchant is a key of its own: carried as a marker through the joins.
-    mark = F.concat(F.when(F.col("normalized_merchant").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce("normalized_merchant", F.lit("")))
-    rows = rows.withColumn("mk", mark)
-    kk = ["owner_id", "normalized_item", "mk"]
+    rows, kk = rows.withColumn("mk", _merchant_mark()), CONFIRMED
     per_cat = rows.groupBy(*kk, "category_id").agg(F.max("at").alias("last"), F.min("at").alias("first"), F.count("*").alias("n"))
     ranked = keyed.top_per_key(per_cat, kk, [F.desc("last")], 2, rank="r")
     ends = ranked.groupBy(*kk).agg(
         F.max(F.when(F.col("r") == 1, F.struct("category_id", "last", "n"))).alias("win"), F.max(F.when(F.col("r") == 2, F.col("last"))).alias("switched")
     )
     first = per_cat.groupBy(*kk).agg(F.min("first").alias("first"))
-    ends = ends.join(first, kk)
+    ends = _meet(ends, first, kk, "inner")
     switched = ends.filter(F.col("switched").isNotNull()).select(*kk, F.col("win.category_id").alias("category_id"), "switched")
-    run = rows.join(switched, [*kk, "category_id"]).filter(F.col("at") > F.col("switched")).groupBy(*kk).agg(F.count("*").alias("run"))
-    ends = ends.join(run, kk, "left")
-    old = mappings.withColumn("mk", mark).select(
-        *kk, F.col("category_id").alias("o_cat"), F.col("confirmation_count").alias("o_n"), F.col("created_at").alias("o_created"), F.col("updated_at").alias("o_updated")
+    run = _meet(rows.select(*kk, "category_id", "at"), switched, [*kk, "category_id"], "inner")
+    run = run.filter(F.col("at") > F.col("switched")).groupBy(*kk).agg(F.count("*").alias("run"))
+    return _meet(ends, run, kk, "left")
+
+
+def advance_mappings(mappings: DataFrame, runs: DataFrame) -> DataFrame:
+    """Mappings after the commands that ``runs`` sums up; ``is_touched`` marks those it names. Further columns of the mappings stay.
+
+    A new key counts 1, the same category adds 1, another category switches and restarts at 1.
+    """
+    own = ["owner_id", "normalized_item", "normalized_merchant", "category_id", "confirmation_count", "created_at", "updated_at"]
+    rest = [c for c in mappings.columns if c not in own]
+    old = mappings.withColumn("mk", _merchant_mark()).select(
+        *CONFIRMED, F.col("category_id").alias("o_cat"), F.col("confirmation_count").alias("o_n"), F.col("created_at").alias("o_created"), F.col("updated_at").alias("o_updated"), *rest
     )
-    j = old.join(ends, kk, "full_outer")
+    j = _meet(old, runs, CONFIRMED, "full_outer")
     same = F.col("o_cat") == F.col("win.category_id")
     count = (
         F.when(F.col("win").isNull(), F.col("o_n")).when(F.col("switched").isNotNull(), F.col("run"))
@@ -74,8 +94,13 @@ def fold_confirmations(mappings: DataFrame, cmds: DataFrame) -> DataFrame:
     return j.select(
         "owner_id", "normalized_item", F.when(F.substring("mk", 1, 1) == "+", F.expr("substring(mk, 2)")).alias("normalized_merchant"),
         F.coalesce("win.category_id", "o_cat").alias("category_id"), count.alias("confirmation_count"),
-        F.coalesce("o_created", "first.ts").alias("created_at"), F.coalesce("win.last.ts", "o_updated").alias("updated_at"),
-    ).select(*keys, "category_id", "confirmation_count", "created_at", "updated_at")
+        F.coalesce("o_created", "first.ts").alias("created_at"), F.coalesce("win.last.ts", "o_updated").alias("updated_at"), F.col("win").isNotNull().alias("is_touched"), *rest,
+    )
+
+
+def fold_confirmations(mappings: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Confirmations folded into the learned mappings."""
+    return advance_mappings(mappings, confirmation_runs(cmds)).drop("is_touched")
 
 
 def fold_merchant_use(merchants: DataFrame, uses: DataFrame) -> DataFrame:

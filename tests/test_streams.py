@@ -116,6 +116,23 @@ def test_confirmations_against_the_batch_fold(spark, tmp_path):
     assert spark.read.parquet(f"{out}/v=3").count() <= 12
 
 
+def test_confirmations_are_folded_without_python(spark, tmp_path):
+    """Only touched buckets get a new version, two of which stay; keys without an owner and times that tie are whole; a mapping is forgotten."""
+    out = f"{tmp_path}/out"
+    start = lambda df: J.stream_confirmations(df, out, f"{tmp_path}/ck")
+    deliver(spark, tmp_path, [(i, "milk", None, 1, i, i) for i in range(40)] + [(None, "milk", None, 3, 1, 1), (7, "tea", None, None, 1, 1)], CONFIRM, start)
+    query = deliver(spark, tmp_path, [(None, "milk", None, 3, 5, 5), (3, "milk", None, 2, 9, 9), (3, "milk", None, 1, 9, 9)], CONFIRM, start)
+    assert not query.lastProgress["stateOperators"]
+    deliver(spark, tmp_path, [(3, "milk", None, 2, 9, 10)], CONFIRM, start)
+    got = {r.owner_id: (r.category_id, r.confirmation_count, r.created_at, r.updated_at) for r in J.read_latest(spark, out, J.MAPPING_STATE, J.MAPPING_KEYS).collect()}
+    assert got == {i: (1, 1, i, i) for i in range(40)} | {None: (3, 2, 1, 5), 3: (2, 2, 3, 9)}
+    assert [spark.read.parquet(f"{out}/v={v}").count() for v in range(3)] == [41, 2, 1]
+    kept = sorted(len(os.listdir(p)) for p in glob.glob(f"{out}/state/bucket=*"))
+    assert kept[-2:] == [2, 2] and set(kept[:-2]) == {1}
+    deliver(spark, tmp_path, [(3, "milk", None, 2, 11, 11)], CONFIRM, lambda df: J.stream_confirmations(df, out, f"{tmp_path}/ck", keep=dt.timedelta(milliseconds=1)))
+    assert [r.confirmation_count for r in spark.read.parquet(f"{out}/v=3").collect()] == [1]
+
+
 PAY = "idempotency_key STRING, amount_minor BIGINT"
 
 
