@@ -379,8 +379,7 @@ def late_charge(due: DataFrame, rules: DataFrame, as_of: dt.date, compounding: b
         power = compound_charge(F.when(grows, basis), F.when(grows, rate), F.when(grows, n))
         raw = raw.when(grows, power)
     raw = raw.otherwise(simple)
-    charge = F.greatest(raw, F.coalesce("minimum_minor", raw))
-    charge = F.greatest(zero, F.least(charge, F.coalesce("maximum_minor", charge)))
+    charge = F.greatest(zero, F.least(F.greatest(raw, "minimum_minor"), "maximum_minor"))  # a null bound is none; raw is written once
     out = j.withColumn("charge_minor", F.when(n > 0, charge).otherwise(zero))
     in_grace = kind.isNotNull() & (F.col("days_overdue") > 0) & (F.col("days_overdue") <= grace)
     return out.withColumn("in_grace_period", in_grace).drop(

@@ -1,13 +1,16 @@
 """Plans of queries that failed on large tables: what is written, joined and dealt once."""
 
 import datetime as dt
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.index import QUERIES
+from tallyspark.functions.money import compound_charge
 from tallyspark.operators import assets as A
 from tallyspark.operators import evaluate as E
+from tallyspark.operators import obligations as O
 from tallyspark.operators import receipts as R
 from tallyspark.sources.fixtures import DriverTables
 from tallyspark.streaming import calendar
@@ -145,3 +148,24 @@ def test_only_the_beginnings_of_reference_sets_are_shuffled(spark):
         assert sets._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
         assert sorted((r.category_id, tuple(r.members)) for r in sets.collect()) == sorted((c, m) for c, n in ((1, 9), (2, 2), (3, 4)) for m in combinations(range(n), k))
     assert E.k_reference_sets(refs, 3).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_compounding_is_written_once_and_settled_where_floating_point_is_not(spark):
+    """Limbs stand once in a late charge's plan and behind a test; amounts on, next to and far from a half are exact."""
+    due = spark.createDataFrame([(1, dt.date(2020, 1, 1), 1001, 5000)], "profile_id LONG, due_date DATE, scheduled_minor LONG, outstanding_minor LONG")
+    rule = spark.createDataFrame([(1, 0, "PERCENT_PERIODIC", "MONTHLY", "OVERDUE_INSTALLMENT", None, 1000, True, None, 900)], "profile_id LONG, grace_days INT, charge_type STRING, charge_interval STRING, charge_basis STRING, fixed_minor LONG, rate_points LONG, is_compounding BOOLEAN, minimum_minor LONG, maximum_minor LONG")
+    late = O.late_charge(due, rule, dt.date(2020, 3, 1))
+    assert late._jdf.queryExecution().analyzed().toString().count("flatten(") == 1
+    assert [r.charge_minor for r in late.collect()] == [210]
+    rng = random.Random(3)
+    rows = [(1, 5000, 1), (-1, 5000, 1), (3, 5000, 1), (2**53 + 1, 1, 1), (0, 7, 9), (5, 0, 400), (10**18, 9999, 60), (7, -500, 3)]
+    for _ in range(150):
+        g, n = 10000 + rng.randrange(1, 3000), rng.randrange(1, 80)
+        top, low = g**n, 10000**n
+        k = rng.randrange(1, 10 ** rng.randrange(2, 13))
+        at = (2 * k + 1) * low // (2 * top)  # the amount that grows to about k and a half
+        rows += [(b, g - 10000, n) for b in (at, at + 1) if b > 0]
+    got = spark.createDataFrame(rows, "b LONG, p LONG, n LONG").select("*", compound_charge(F.col("b"), F.col("p"), F.col("n")).alias("c")).collect()
+    for r in got:
+        grown = (2 * abs(r.b) * (10000 + r.p) ** r.n + 10000**r.n) // (2 * 10000**r.n)
+        assert r.c == (-1 if r.b < 0 else 1) * min(grown - abs(r.b), 2**63 - 1), r
