@@ -169,3 +169,16 @@ def test_compounding_is_written_once_and_settled_where_floating_point_is_not(spa
     for r in got:
         grown = (2 * abs(r.b) * (10000 + r.p) ** r.n + 10000**r.n) // (2 * 10000**r.n)
         assert r.c == (-1 if r.b < 0 else 1) * min(grown - abs(r.b), 2**63 - 1), r
+
+
+def test_few_shot_deals_few_beginnings(spark, monkeypatch):
+    """Of five products the first or first two are dealt, not three: 700 products make 57 million beginnings of three."""
+    assert [E._spread(n, 3, 512) for n in (31, 156, 700)] == [3, 2, 1]
+    assert [E._spread(31, m, 512) for m in (-1, 0, 1)] == [1, 1, 1]
+    dealt, sets = [], E.k_reference_sets
+    monkeypatch.setattr(E, "k_reference_sets", lambda refs, k, spread: dealt.append((k, spread)) or sets(refs, k, spread))
+    monkeypatch.setattr(E, "_spread", lambda n, members, enough, spread=E._spread: spread(n, members, 5))
+    vectors = spark.createDataFrame([(c, f"{c}-{i}", [float(i * i % 7), float(i % 3), 1.0]) for c in (1, 2) for i in range(7)], "category_id BIGINT, canonical_id STRING, vec ARRAY<DOUBLE>")
+    got = E.kshot_eval(vectors, vectors.filter("canonical_id like '%-0'"), vectors.withColumnRenamed("vec", "ref_vec"), 1, (1, 5))
+    assert [(r.confirmed_examples, r.trials) for r in got.collect()] == [(1, 7 * 6), (5, 7 * 6)]
+    assert dealt == [(0, 1), (3, 1)]
