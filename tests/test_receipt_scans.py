@@ -90,3 +90,9 @@ def test_rows_are_neither_dealt_again_nor_written(spark, unwritten):
     """r03_band_rows deals lines to parts and orders; copies, rows and numbers need no join, grouping or stored table."""
     text = plan(QUERIES["r03_band_rows"](spark, FOLDER))
     assert text.count("Join ") == 2 and "Aggregate" not in text and "RepartitionByExpression" not in text
+
+
+def test_copies_are_found_where_receipts_lie(spark, unwritten):
+    """r02_dedupe_lines meets no lines with lines in a join."""
+    text = plan(QUERIES["r02_dedupe_lines"](spark, FOLDER))
+    assert text.count("Join ") == 2 and "Aggregate" not in text and "RepartitionByExpression" not in text
