@@ -96,3 +96,38 @@ def test_copies_are_found_where_receipts_lie(spark, unwritten):
     """r02_dedupe_lines meets no lines with lines in a join."""
     text = plan(QUERIES["r02_dedupe_lines"](spark, FOLDER))
     assert text.count("Join ") == 2 and "Aggregate" not in text and "RepartitionByExpression" not in text
+
+
+def odd_rows(spark):
+    """Classified rows of receipts with footers, gaps, wrapped names, weak and several numbers, and rows without a box."""
+    rng, rows = random.Random(9), []
+    texts = ["extra virgin", "olive oil 12.50", "rice 5kg 7.00 14.00", "TOTAL 19.50", "Total items", "12/03/2024 10:30", "bag 3", "شاي أخضر ١٢", "NET 5.00", "qty 2 1.00", "tea 0.00", "Rice 5kg 14.00", "x" * 130 + " 2.00", "9.99", "Change 1.00"]
+    for receipt in range(60):
+        for n in range(rng.randrange(1, 16)):
+            top = 20.0 * n + rng.choice([0, 0, 0, 90])
+            box = [0.0, top, 100.0 + rng.randrange(50), top + rng.choice([12.0, 14.0])] if rng.random() < 0.95 else [None] * 4
+            if rng.random() < 0.9:
+                rows.append((receipt, n, rng.choice(texts), rng.choice([0.4, 0.9, None]), *box))
+    df = spark.createDataFrame(rows, "receipt_id LONG, row_no LONG, row_text STRING, confidence DOUBLE, box_left DOUBLE, box_top DOUBLE, box_right DOUBLE, box_bottom DOUBLE")
+    return keyed.cut(R.classify_rows(df), "test")
+
+
+def test_tokens_of_a_row_stay_in_it(spark):
+    rows = odd_rows(spark)
+    kept = R.with_tokens(rows)
+    assert kept.count() == rows.count() and set(kept.columns) == {*rows.columns, "tokens"}
+    got = kept.select("receipt_id", "row_no", F.explode("tokens").alias("t")).select("receipt_id", "row_no", "t.*")
+    assert as_set(got) == as_set(R.money_tokens(rows, ["receipt_id", "row_no"]).select(got.columns)) != []
+
+
+def test_wrapped_names_are_completed_in_one_pass(spark):
+    rows = odd_rows(spark)
+    items = R.row_items(R.before_footer(rows))
+    want = R.attach_wrapped(items, rows).select(*R._ITEM)
+    assert as_set(R.items_above_footer(rows)) == as_set(items.select(*R._ITEM)) != []
+    assert as_set(R.wrapped_items(rows)) == as_set(want) != as_set(items.select(*R._ITEM))
+
+
+def test_items_are_dealt_once(spark, unwritten):
+    """r12_attach_wrapped: lines meet parts and orders; rows are neither joined nor written."""
+    assert plan(QUERIES["r12_attach_wrapped"](spark, FOLDER)).count("Join ") == 2
