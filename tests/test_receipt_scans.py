@@ -131,3 +131,15 @@ def test_wrapped_names_are_completed_in_one_pass(spark):
 def test_items_are_dealt_once(spark, unwritten):
     """r12_attach_wrapped: lines meet parts and orders; rows are neither joined nor written."""
     assert plan(QUERIES["r12_attach_wrapped"](spark, FOLDER)).count("Join ") == 2
+
+
+def test_columns_are_found_in_rows_dealt_once(spark):
+    rows = odd_rows(spark)
+    want = R.column_cells(R.numeric_cells(R.before_footer(rows).filter("is_product")), R.receipt_widths(rows))
+    place = ["receipt_id", "row_no", "token_no", "column_no", "x", "amount_minor"]
+    assert as_set(R.placed_cells(rows).select(place)) == as_set(want.select(place)) != []
+
+
+def test_numeric_columns_write_no_rows(spark, unwritten):
+    """r08_numeric_columns: lines meet parts and orders; rows, footers and widths are not joined."""
+    assert plan(QUERIES["r08_numeric_columns"](spark, FOLDER)).count("Join ") == 2
