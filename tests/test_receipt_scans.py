@@ -143,3 +143,18 @@ def test_columns_are_found_in_rows_dealt_once(spark):
 def test_numeric_columns_write_no_rows(spark, unwritten):
     """r08_numeric_columns: lines meet parts and orders; rows, footers and widths are not joined."""
     assert plan(QUERIES["r08_numeric_columns"](spark, FOLDER)).count("Join ") == 2
+
+
+def test_total_columns_are_chosen_where_cells_lie(spark, unwritten):
+    """r09_choose_total_column joins neither totals nor letters to the columns."""
+    assert plan(QUERIES["r09_choose_total_column"](spark, FOLDER)).count("Join ") == 2
+
+
+def test_totals_and_letters_go_along_with_the_cells(spark):
+    rows = odd_rows(spark)
+    facts = R.placed_cells(rows, totals=True).select("receipt_id", "total_minor", F.round("letter_x", 6).alias("letter_x")).distinct()
+    letters = rows.filter(F.col("row_text").rlike(R.LETTER)).groupBy("receipt_id").agg(F.round(F.avg((F.col("box_left") + F.col("box_right")) / 2), 6).alias("letter_x"))
+    totals = R.detect_total(rows).select("receipt_id", F.col("detected_total_minor").alias("total_minor"))
+    want = facts.select("receipt_id").join(totals, "receipt_id", "left").join(letters, "receipt_id", "left")
+    assert as_set(facts) == as_set(want)
+    assert facts.filter("total_minor > 0").count() > 5
