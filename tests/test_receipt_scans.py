@@ -158,3 +158,19 @@ def test_totals_and_letters_go_along_with_the_cells(spark):
     want = facts.select("receipt_id").join(totals, "receipt_id", "left").join(letters, "receipt_id", "left")
     assert as_set(facts) == as_set(want)
     assert facts.filter("total_minor > 0").count() > 5
+
+
+def test_a_merchant_is_found_in_rows_dealt_once(spark, unwritten):
+    """r14_receipt_merchant writes no rows and joins neither ends of headers nor second rows."""
+    assert plan(QUERIES["r14_receipt_merchant"](spark, FOLDER)).count("Join ") == 2
+
+
+def test_merchants_end_at_dates_and_take_a_second_row(spark):
+    def rows(receipt, *texts):
+        return [(receipt, n, t, 0.9, 0.0, 20.0 * n, 90.0, 20.0 * n + 14) for n, t in enumerate(texts)]
+
+    made = [
+        *rows(1, "Corner Market", "Main street branch", "12/03/2026", "Olive oil"), *rows(2, "12/03/2026", "Corner Market"), *rows(3, "9.00 Milk", "Tea House", "No 12345678", "Cairo 12"),
+        *rows(4, "Bag 3.00", "1", "2", "3", "4", "5", "Late Market"), *rows(5, "TOTAL 3.00", "Market A")]
+    df = R.classify_rows(spark.createDataFrame(made, "receipt_id LONG, row_no LONG, row_text STRING, confidence DOUBLE, box_left DOUBLE, box_top DOUBLE, box_right DOUBLE, box_bottom DOUBLE"))
+    assert as_set(R.receipt_merchant(df)) == [(1, "Corner Market Main street branch"), (3, "Tea House"), (5, "Market A")]
