@@ -174,3 +174,20 @@ def test_merchants_end_at_dates_and_take_a_second_row(spark):
         *rows(4, "Bag 3.00", "1", "2", "3", "4", "5", "Late Market"), *rows(5, "TOTAL 3.00", "Market A")]
     df = R.classify_rows(spark.createDataFrame(made, "receipt_id LONG, row_no LONG, row_text STRING, confidence DOUBLE, box_left DOUBLE, box_top DOUBLE, box_right DOUBLE, box_bottom DOUBLE"))
     assert as_set(R.receipt_merchant(df)) == [(1, "Corner Market Main street branch"), (3, "Tea House"), (5, "Market A")]
+
+
+def test_repeated_items_are_found_where_receipts_lie(spark, unwritten):
+    """r13_dedupe_items writes no rows and meets no items with items in a join."""
+    assert plan(QUERIES["r13_dedupe_items"](spark, FOLDER)).count("Join ") == 2
+
+
+def test_repeated_items_are_those_of_the_join(spark):
+    rng, rows = random.Random(2), []
+    for receipt in range(30):
+        for n in range(rng.randrange(1, 25)):
+            top, height = float(rng.randrange(0, 120, 3)), rng.choice([0.0, 12.0, 14.0, 14.0, 60.0, -5.0])
+            box = (top, top + height) if rng.random() < 0.9 else (None, None)
+            rows.append((receipt, n, rng.choice(["Olive oil virgin", "Olive oil virgjn", "olive oil  virgin", "Tea", "شاي أخضر"]), rng.choice([100, 100, 250]), 0.9, *box))
+    items = spark.createDataFrame(rows, "receipt_id LONG, row_no LONG, name STRING, amount_minor LONG, confidence DOUBLE, box_top DOUBLE, box_bottom DOUBLE").repartition(3, "receipt_id")
+    want = as_set(R.dedupe_items(items).select(items.columns))
+    assert as_set(R.kept_items(items)) == want and 0 < len(want) < len(rows)
