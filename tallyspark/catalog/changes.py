@@ -294,7 +294,7 @@ OWN_CMDS = "SELECT part_id AS asset_id, CASE flag WHEN 'R' THEN 'OWNED' WHEN 'A'
 SELECT asset_id, status, effective_date, seq FROM (SELECT c.*, COALESCE(LAG(c.status) OVER (PARTITION BY c.asset_id ORDER BY c.ts, c.seq), a.ownership_status) AS before
 FROM ({OWN_CMDS}) c JOIN fx_assets a ON a.asset_id = c.asset_id AND NOT a.is_archived) x WHERE status <> before""", dates=["effective_date"])
 def _(t):
-    return M.apply_ownership(t.assets, t.sql(OWN_CMDS))["events"].select("asset_id", "status", "effective_date", "seq")
+    return M.apply_ownership(t.assets, t.by_part(OWN_CMDS))["events"].select("asset_id", "status", "effective_date", "seq")
 
 
 @query("m11_ownership_state", f"""

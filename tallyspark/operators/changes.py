@@ -404,13 +404,14 @@ def edit_checkpoints(checkpoints: DataFrame, edits: DataFrame, events: DataFrame
 def apply_ownership(assets: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
     """Ownership changes: repeats of the current status are dropped, others logged and applied.
 
-    The status before each command comes from a two-level prefix (``ts`` as the
-    coarse order), so one item's long history is not a single task.
+    Commands are dealt by item once, for the join and for the status before each
+    of them; an item's history passes in order with one row held. Items are dealt
+    too, not broadcast: their keys alone are more than a driver can hold.
     """
     now = assets.filter(~F.col("is_archived")).select("asset_id", F.col("ownership_status").alias("__now"))
-    rows = cmds.join(now, "asset_id").withColumn("__at", F.struct("ts", "seq", "status"))
-    rows = keyed.prefix_before(rows, ["asset_id"], "ts", [F.asc("seq")], F.col("__at"), "__before")
-    log = rows.filter(F.col("status") != F.coalesce(F.col("__before.status"), F.col("__now"))).select(
+    before = F.lag("status").over(Window.partitionBy("asset_id").orderBy("ts", "seq", "status"))
+    rows = cmds.join(now.hint("merge"), "asset_id").withColumn("__before", before)
+    log = rows.filter(F.col("status") != F.coalesce(F.col("__before"), F.col("__now"))).select(
         "asset_id", "status", "effective_date", text.none_if_blank(F.trim("note")).alias("note"), F.col("ts").alias("created_at"), "seq")
     last = cmds.groupBy("asset_id").agg(F.max(F.struct("ts", "seq", "status")).alias("__l")).select("asset_id", F.col("__l.status").alias("__new"))
     moved = assets.join(last, "asset_id", "left").withColumn(

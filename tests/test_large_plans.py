@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.catalog.index import QUERIES
 from tallyspark.functions.money import compound_charge
 from tallyspark.operators import assets as A
+from tallyspark.operators import changes as M
 from tallyspark.operators import evaluate as E
 from tallyspark.operators import obligations as O
 from tallyspark.operators import receipts as R
@@ -182,3 +183,21 @@ def test_few_shot_deals_few_beginnings(spark, monkeypatch):
     got = E.kshot_eval(vectors, vectors.filter("canonical_id like '%-0'"), vectors.withColumnRenamed("vec", "ref_vec"), 1, (1, 5))
     assert [(r.confirmed_examples, r.trials) for r in got.collect()] == [(1, 7 * 6), (5, 7 * 6)]
     assert dealt == [(0, 1), (3, 1)]
+
+
+def _executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_of_ownership_changes_are_dealt(spark):
+    """Neither parts nor items pass through the driver, and one window gives the status before a command; orders are few here."""
+    text = _executed(QUERIES["m11_apply_ownership"](spark, FOLDER))
+    assert text.count("SortMergeJoin") == 2 and text.count("BroadcastHashJoin") <= 1 and text.count("Window ") == 1
+
+
+def test_ownership_before_a_command_of_the_same_time(spark):
+    assets = spark.createDataFrame([(1, "OWNED", False), (2, "SOLD", False), (3, "OWNED", True)], "asset_id BIGINT, ownership_status STRING, is_archived BOOLEAN")
+    cmds = [(1, "OWNED", 5, "a"), (1, "SOLD", 5, "b"), (1, "SOLD", 6, "a"), (1, "LOST", 7, "a"), (2, "OWNED", 9, "c"), (2, "SOLD", 8, "z"), (3, "SOLD", 1, "a"), (4, "SOLD", 1, "a")]
+    rows = spark.createDataFrame([(a, s, dt.date(2024, 1, 1), " ", ts, seq) for a, s, ts, seq in cmds], "asset_id BIGINT, status STRING, effective_date DATE, note STRING, ts BIGINT, seq STRING")
+    log = M.apply_ownership(assets, rows)["events"]
+    assert sorted((r.asset_id, r.created_at, r.seq, r.status) for r in log.collect()) == [(1, 5, "b", "SOLD"), (1, 7, "a", "LOST"), (2, 9, "c", "OWNED")]
