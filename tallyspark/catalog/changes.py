@@ -265,7 +265,7 @@ CP_COLS = "checkpoint_id, title, trigger_mode, due_date, due_km, repeat_months,
 
 
 def edited_of(t):
-    return M.edit_checkpoints(t.checkpoints, t.sql(CP_EDITS), t.checkpoint_events, t.reminder_rules, t.assets)
+    return M.edit_checkpoints(t.checkpoints, t.sql(CP_EDITS), t.of_lines("fx_checkpoint_events"), t.reminder_rules, t.assets)
 
 
 @query("m10_edit_checkpoints", f"""

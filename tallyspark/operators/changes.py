@@ -364,10 +364,11 @@ def edit_checkpoints(checkpoints: DataFrame, edits: DataFrame, events: DataFrame
     with one that is not known, is a new checkpoint. A changed warning disables the
     old lead and enables the new one, for checkpoints that already have rules.
     """
-    live = assets.filter(~F.col("is_archived")).select("asset_id")
+    # Dealt, not broadcast: Spark takes the keys for as small as their packed file.
+    live = assets.filter(~F.col("is_archived")).select("asset_id").hint("merge")
     sound = edits.filter(checkpoint_violation().isNull()).join(live, "asset_id", "left_semi").withColumn("title", F.trim("title"))
     made_id = F.coalesce(F.when(F.col("checkpoint_id") != 0, F.col("checkpoint_id")), F.abs(F.xxhash64("asset_id", "title", "seq") % 2**62))
-    known = checkpoints.select("checkpoint_id")
+    known = checkpoints.select("checkpoint_id").hint("merge")
     none = F.lit(None)
     new = sound.withColumn("checkpoint_id", made_id).join(known, "checkpoint_id", "left_anti")
     new = _latest(new, ["checkpoint_id"]).withColumns({c: none.cast(checkpoints.schema[c].dataType) for c in ("rescheduled_date", "rescheduled_km")})

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -201,3 +202,11 @@ def test_ownership_before_a_command_of_the_same_time(spark):
     rows = spark.createDataFrame([(a, s, dt.date(2024, 1, 1), " ", ts, seq) for a, s, ts, seq in cmds], "asset_id BIGINT, status STRING, effective_date DATE, note STRING, ts BIGINT, seq STRING")
     log = M.apply_ownership(assets, rows)["events"]
     assert sorted((r.asset_id, r.created_at, r.seq, r.status) for r in log.collect()) == [(1, 5, "b", "SOLD"), (1, 7, "a", "LOST"), (2, 9, "c", "OWNED")]
+
+
+def test_items_of_checkpoint_edits_are_dealt(spark):
+    """Live items and known checkpoints meet edits in merge joins, and events are read without a join of lines and parts."""
+    text = _executed(QUERIES["m10_edit_checkpoints"](spark, FOLDER))
+    assert re.search(r"SortMergeJoin \[asset_id[^\n]*LeftSemi", text) and re.search(r"SortMergeJoin [^\n]*checkpoint_id[^\n]*LeftAnti", text)
+    assert not re.search(r"BroadcastHashJoin \[(asset_id|checkpoint_id)[^\n]*Left(Semi|Anti)", text)
+    assert not re.search(r"Join \[[^\n]*(l_partkey|p_partkey)", text)
