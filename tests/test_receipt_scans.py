@@ -191,3 +191,25 @@ def test_repeated_items_are_those_of_the_join(spark):
     items = spark.createDataFrame(rows, "receipt_id LONG, row_no LONG, name STRING, amount_minor LONG, confidence DOUBLE, box_top DOUBLE, box_bottom DOUBLE").repartition(3, "receipt_id")
     want = as_set(R.dedupe_items(items).select(items.columns))
     assert as_set(R.kept_items(items)) == want and 0 < len(want) < len(rows)
+
+
+def test_table_fragments_are_the_table_lines(spark, tmp_path):
+    """Also with lines and orders there twice; ids are places in a row, in the order of the ids they stand for."""
+    for name in ("lineitem", "orders", "part"):
+        df = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        key = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey"}[name]
+        df.union(df.filter(f"{key} % 7 = 0")).filter(f"{key} % 5 <> 0").write.parquet(f"{tmp_path}/{name}.parquet")
+    t = DriverTables(spark, str(tmp_path))
+    got, want = t.table_fragments(), t.table_lines
+    place = F.expr("locate(substr(line_id, 1, 1), 'nuwz') - 1").alias("line_id")
+    columns = ["receipt_id", "row_no", "line_id", "text", "box_left", "box_right"]
+    assert as_set(got.select(columns)) == as_set(want.withColumn("line_id", place).select(columns)) != []
+    assert as_set(got.select("receipt_id", "width").distinct()) == as_set(R.receipt_widths(want))
+
+
+def test_arithmetic_columns_write_cells_and_columns_alone(spark, monkeypatch):
+    """r10_arithmetic_columns: the reshaped table, the placed cells and the columns' places are neither written nor joined."""
+    written, cut = [], keyed.cut
+    monkeypatch.setattr(keyed, "cut", lambda df, label: written.append(label) or cut(df, label))
+    assert plan(QUERIES["r10_arithmetic_columns"](spark, FOLDER)).count("Join ") == 1
+    assert written == ["decimal-cells", "decimal-columns"]
