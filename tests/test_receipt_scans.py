@@ -213,3 +213,11 @@ def test_arithmetic_columns_write_cells_and_columns_alone(spark, monkeypatch):
     monkeypatch.setattr(keyed, "cut", lambda df, label: written.append(label) or cut(df, label))
     assert plan(QUERIES["r10_arithmetic_columns"](spark, FOLDER)).count("Join ") == 1
     assert written == ["decimal-cells", "decimal-columns"]
+
+
+def test_totals_are_recovered_from_cells_written_once(spark, monkeypatch):
+    """r10_recover_totals writes the same two tables; cells meet the places of their receipt's columns."""
+    written, cut = [], keyed.cut
+    monkeypatch.setattr(keyed, "cut", lambda df, label: written.append(label) or cut(df, label))
+    assert QUERIES["r10_recover_totals"](spark, FOLDER).count() > 0
+    assert written == ["decimal-cells", "decimal-columns"]
