@@ -221,3 +221,12 @@ def test_totals_are_recovered_from_cells_written_once(spark, monkeypatch):
     monkeypatch.setattr(keyed, "cut", lambda df, label: written.append(label) or cut(df, label))
     assert QUERIES["r10_recover_totals"](spark, FOLDER).count() > 0
     assert written == ["decimal-cells", "decimal-columns"]
+
+
+def test_readings_of_a_line_come_out_together(spark):
+    """r18_score_candidates: readings are those of fx_candidates, from one scan of the stored lines."""
+    t = DriverTables(spark, FOLDER)
+    want = as_set(t.candidates)
+    t.keep_sums()
+    assert as_set(t.readings()) == want and "Union" not in plan(t.readings())
+    assert plan(QUERIES["r18_score_candidates"](spark, FOLDER)).count("Join ") == 3  # items, unit price and weight
