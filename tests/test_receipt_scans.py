@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.catalog.index import QUERIES
 from tallyspark.operators import receipts as R
 from tallyspark.plans import keyed
-from tallyspark.sources.fixtures import DriverTables
+from tallyspark.sources.fixtures import SUMMED_ITEMS, DriverTables
 
 FOLDER = "/root/testdata/sf0.001"
 LINE = "receipt_id LONG, line_id STRING, text STRING, confidence DOUBLE, box_left DOUBLE, box_top DOUBLE, box_right DOUBLE, box_bottom DOUBLE"
@@ -230,3 +230,14 @@ def test_readings_of_a_line_come_out_together(spark):
     t.keep_sums()
     assert as_set(t.readings()) == want and "Union" not in plan(t.readings())
     assert plan(QUERIES["r18_score_candidates"](spark, FOLDER)).count("Join ") == 3  # items, unit price and weight
+
+
+def test_items_bring_their_receipts_sum(spark):
+    """r18_select_repairs: items with sums and totals are those of the joins, and are not joined with either."""
+    t = DriverTables(spark, FOLDER)
+    items = t.receipt_items.select("receipt_id", "item_id", "amount_minor", "confidence", "price_source")
+    sums = t.receipt_items.groupBy("receipt_id").agg(F.sum("amount_minor").alias("item_sum"))
+    want = as_set(items.join(sums, "receipt_id").join(t.receipt_totals.select("receipt_id", "detected_total_minor"), "receipt_id"))
+    t.keep_sums()
+    assert as_set(t.sql(SUMMED_ITEMS)) == want != []
+    assert plan(QUERIES["r18_select_repairs"](spark, FOLDER)).count("Join ") == 3
